@@ -37,29 +37,39 @@ def window_rollup(
     ``tick - span .. tick - 1``. Windows after ``last`` are left out. Gives
     ``keys, tick, total, <sums>, mean, <probs>``.
     """
+    if probs:
+        return quantile_rollup(count_cells(rows, keys, value, sums), keys, list(sums), probs, span, last)
+    counted = ["total", *sums, "value_sum"]
+    panes = rows.groupBy(*keys, "pane").agg(
+        F.count(F.lit(1)).alias("total"),
+        *[F.sum(c).alias(s) for s, c in sums.items()],
+        F.sum(value).alias("value_sum"),
+    )
+    wins = panes.withColumn("tick", ticks_of(span, last)).groupBy(*keys, "tick").agg(*[F.sum(c).alias(c) for c in counted])
+    return wins.select(*keys, "tick", "total", *sums, (F.col("value_sum") / F.col("total")).alias("mean"))
+
+
+def ticks_of(span: int, last: int | None) -> Column:
+    """The windows a pane belongs to, one row each."""
     end = F.col("pane") + span
-    ticks = F.explode(F.sequence(F.col("pane") + 1, F.least(end, F.lit(last).cast("bigint")) if last is not None else end))
-    counted = {"total": "total", **{s: s for s in sums}, "value_sum": "value_sum"}
-
-    if not probs:
-        panes = rows.groupBy(*keys, "pane").agg(
-            F.count(F.lit(1)).alias("total"),
-            *[F.sum(c).alias(s) for s, c in sums.items()],
-            F.sum(value).alias("value_sum"),
-        )
-        wins = (
-            panes.withColumn("tick", ticks)
-            .groupBy(*keys, "tick")
-            .agg(*[F.sum(c).alias(c) for c in counted])
-        )
-        return wins.select(*keys, "tick", "total", *sums, (F.col("value_sum") / F.col("total")).alias("mean"))
-
-    cells = rows.groupBy(*keys, "pane", value_bin(value).alias("bin"), F.col(value).alias("v")).agg(
+    return F.explode(F.sequence(F.col("pane") + 1, F.least(end, F.lit(last).cast("bigint")) if last is not None else end))
+
+
+def count_cells(rows: DataFrame, keys: list[str], value: str, sums: dict[str, Column]) -> DataFrame:
+    """Rows counted per pane, bin and exact value ``v``; adds up map-side."""
+    return rows.groupBy(*keys, "pane", value_bin(value).alias("bin"), F.col(value).alias("v")).agg(
         F.count(F.lit(1)).alias("total"), *[F.sum(c).alias(s) for s, c in sums.items()]
     )
+
+
+def quantile_rollup(
+    cells: DataFrame, keys: list[str], sums: list[str], probs: dict[str, float], span: int = 1, last: int | None = None
+) -> DataFrame:
+    """``window_rollup`` from ``count_cells`` output, which may be a stored table."""
+    counted = ["total", *sums, "value_sum"]
     add_up = [F.sum("total").alias("total"), *[F.sum(s).alias(s) for s in sums]]
     panes = cells.groupBy(*keys, "pane", "bin").agg(*add_up, F.sum(F.col("v") * F.col("total")).alias("value_sum"))
-    hist = panes.withColumn("tick", ticks)
+    hist = panes.withColumn("tick", ticks_of(span, last))
     if span > 1:
         hist = hist.groupBy(*keys, "tick", "bin").agg(*add_up, F.sum("value_sum").alias("value_sum"))
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from signalgraph.functions import scalars as S
+from signalgraph.functions.ordered import number_rows
 from signalgraph.functions.quantiles import window_rollup
 from signalgraph.params import Params
 from signalgraph.sources.logs import last_ts, since
@@ -57,12 +58,21 @@ def service_ticks(logs: DataFrame, p: Params, probs: tuple[str, ...] = ("p50", "
         span=p.ticks_per_window,
         last=last,
     )
+    return finish_ticks(rolled, p, chosen)
+
+
+def finish_ticks(rolled: DataFrame, p: Params, probs: dict[str, float]) -> DataFrame:
     rolled = rolled.withColumnRenamed("tick", "tick_no")
-    return _finish(
-        rolled.withColumn("tick", F.col("tick_no") * F.lit(p.tick_s)),
-        ["tick_no", "tick"],
-        chosen,
-    )
+    return _finish(rolled.withColumn("tick", F.col("tick_no") * F.lit(p.tick_s)), ["tick_no", "tick"], probs)
+
+
+def tick_numbers(logs: DataFrame, p: Params) -> DataFrame:
+    """The ticks whose window holds any row, with their running number ``seq``."""
+    last = int(last_ts(logs) // p.tick_s) + 1
+    panes = logs.select(S.bucket_index("ts", p.tick_s).alias("pane")).distinct()
+    ends = F.sequence(F.col("pane") + 1, F.least(F.col("pane") + p.ticks_per_window, F.lit(last).cast("bigint")))
+    ticks = panes.select(F.explode(ends).alias("tick_no")).distinct()
+    return number_rows(ticks.withColumn("tick", F.col("tick_no") * F.lit(p.tick_s)), "tick_no", [], "seq", 4096)
 
 
 def feature_matrix(rates: DataFrame) -> DataFrame:

@@ -86,22 +86,32 @@ class LeafGroups:
         self.rows: np.ndarray | None = None
         self.size = 0
 
-    def add(self, words: list[str], threshold: float) -> tuple[int, bool]:
-        """Number of the group the message joins, from 0, and whether it is new."""
-        coded = np.array([self.ids.setdefault(w, len(self.ids)) for w in words], dtype=np.int64)
+    def _coded(self, words: list[str]) -> np.ndarray:
+        return np.array([self.ids.setdefault(w, len(self.ids)) for w in words], dtype=np.int64)
+
+    def append(self, words: list[str]) -> None:
+        """Takes ``words`` as one more group."""
+        coded = self._coded(words)
         if self.rows is None:
             self.rows = np.empty((4, len(coded)), dtype=np.int64)
-        known = self.rows[: self.size]
-        if self.size:
-            alike = ((known == coded) | (known == self.PLACEHOLDER_ID)).sum(axis=1) / len(coded)
-            best = int(alike.argmax())
-            if alike[best] >= threshold:
-                known[best][known[best] != coded] = self.PLACEHOLDER_ID
-                return best, False
         if self.size == len(self.rows):
             self.rows = np.concatenate([self.rows, np.empty_like(self.rows)])
         self.rows[self.size] = coded
         self.size += 1
+
+    def add(self, words: list[str], threshold: float) -> tuple[int, bool]:
+        """Number of the group the message joins, from 0, and whether it is new."""
+        if not self.size:
+            self.append(words)
+            return 0, True
+        coded = self._coded(words)
+        known = self.rows[: self.size]
+        alike = ((known == coded) | (known == self.PLACEHOLDER_ID)).sum(axis=1) / len(coded)
+        best = int(alike.argmax())
+        if alike[best] >= threshold:
+            known[best][known[best] != coded] = self.PLACEHOLDER_ID
+            return best, False
+        self.append(words)
         return self.size - 1, True
 
     def texts(self) -> Iterator[str]:

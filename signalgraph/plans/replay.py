@@ -11,7 +11,6 @@ from functools import cached_property
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from signalgraph.functions.ordered import number_rows
 from signalgraph.operators import correlation as C
 from signalgraph.operators import detect as D
 from signalgraph.operators import forecast as E
@@ -56,13 +55,13 @@ class Replay:
 
     @cached_property
     def ticks(self) -> DataFrame:
-        return stage(R.service_ticks(self.raw_logs, self.p), "ticks")
+        """Per-tick aggregates; the detectors need no other quantile than p95."""
+        return stage(R.service_ticks(self.raw_logs, self.p, ("p95",)), "ticks")
 
     @cached_property
     def numbered(self) -> DataFrame:
         """Ticks that hold rows, with their running number ``seq``."""
-        distinct = self.ticks.select("tick_no", "tick").distinct()
-        return stage(number_rows(distinct, "tick_no", [], "seq", 4096), "tick_numbers")
+        return stage(R.tick_numbers(self.raw_logs, self.p), "tick_numbers")
 
     @cached_property
     def mined(self) -> tuple[DataFrame, DataFrame]:
