@@ -101,7 +101,7 @@ def joined(df: DataFrame, *lists: str) -> DataFrame:
 
 
 def _trace_summary(logs):
-    return joined(TR.trace_summary(logs), "services")
+    return joined(TR.trace_summary(logs), "services").withColumn("duration_ms", F.round("duration_ms", 2))
 
 
 def _neighbours(logs):
@@ -320,7 +320,7 @@ def _line_edges(spark, folder):
 
 
 def _line_traces(spark, folder):
-    return rounded(_trace_summary(A.lineitem_logs(A.table(spark, folder, "lineitem"))), "started")
+    return _trace_summary(A.lineitem_logs(A.table(spark, folder, "lineitem")))
 
 
 def _line_depth(spark, folder):
@@ -361,7 +361,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "services": on_logs(reads.services),
     "inserted_total": on_logs(reads.inserted_total),
     "retention": on_logs(lambda x: L.retained(x, L.last_ts(x), P.retention_s).select("ts", "span_id", "service")),
-    "trace_summary": on_logs(_trace_summary),
+    "trace_summary": on_logs(_trace_summary, "duration_ms"),
     "trace_waterfall": on_logs(TR.trace_waterfall),
     "trace_depth": on_logs(lambda x: TR.trace_depth(x).select("span_id", F.col("depth").cast("bigint").alias("depth"))),
     "edge_counts": on_logs(lambda x: G.edge_counts(x, P)),

@@ -101,7 +101,13 @@ def ordered_fold(
         if key is not None and finish:
             yield pd.DataFrame(list(finish(state, key)), columns=columns)
 
-    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(run, schema)
+    return spread_by(df, *keys).sortWithinPartitions(*keys, *order).mapInPandas(run, schema)
+
+
+def spread_by(df: DataFrame, *keys: str) -> DataFrame:
+    """Partitions by key for work whose cost is Python time, not bytes: the
+    session's shuffle width is kept, small inputs are not packed into one task."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
 
 
 def lookup_hot_safe(

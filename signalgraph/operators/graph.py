@@ -142,8 +142,9 @@ def node_history(metrics: DataFrame, numbered: DataFrame) -> DataFrame:
     last_seq = numbered.agg(F.max("seq")).first()[0] or 0
     known = metrics.join(numbered.select("tick_no", "seq"), "tick_no")
     until = F.coalesce(F.lead("seq").over(lives), F.lit(last_seq + 1)) - 1
-    filled = known.withColumn("seq", F.explode(F.sequence("seq", until))).drop("tick_no", "tick")
-    return filled.join(numbered, "seq").drop("seq")
+    lasting = known.withColumn("until", until).drop("tick_no", "tick")
+    filled = lasting.withColumn("seq", F.explode(F.sequence("seq", "until")))
+    return filled.join(numbered, "seq").drop("seq", "until")
 
 
 def topologies(weights: DataFrame, p: Params) -> tuple[DataFrame, DataFrame]:

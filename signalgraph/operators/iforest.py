@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from signalgraph.functions.ordered import spread_by
 from signalgraph.functions.quantiles import window_rollup
 from signalgraph.operators.rates import FEATURES
 from signalgraph.params import Params
@@ -34,66 +35,67 @@ def mean_path(n: np.ndarray) -> np.ndarray:
 class Forest:
     """All trees grown together, one level at a time.
 
-    Node ``k`` of a tree has children ``2k + 1`` and ``2k + 2``. ``feature`` is
-    -1 at leaves; ``length`` is the path length credited to rows ending there.
+    The nodes of all trees lie in one array. Node ``k`` of a tree has children
+    ``2k + 1`` and ``2k + 2``. ``feature`` is -1 at leaves; ``length`` is the path
+    length credited to rows ending there.
     """
 
     def __init__(self, samples: np.ndarray, seed: int) -> None:
         trees, n, width = samples.shape
         self.sample_size = n
         self.depth = max(1, math.ceil(math.log2(max(n, 2))))
-        nodes = 2 ** (self.depth + 1) - 1
-        self.feature = np.full((trees, nodes), -1, dtype=np.int64)
-        self.split = np.zeros((trees, nodes))
-        self.length = np.zeros((trees, nodes))
+        self.nodes = 2 ** (self.depth + 1) - 1
+        self.feature = np.full(trees * self.nodes, -1, dtype=np.int64)
+        self.split = np.zeros(trees * self.nodes)
+        self.length = np.zeros(trees * self.nodes)
         rng = np.random.default_rng(seed)
-        tree = np.arange(trees)[:, None]
-        at = np.zeros((trees, n), dtype=np.int64)
+        rows = samples.reshape(trees * n, width)
+        at = np.repeat(np.arange(trees), n) * self.nodes
         for level in range(self.depth + 1):
-            first, count = 2**level - 1, 2**level
-            here = (at >= first).astype(bool)
-            local = np.where(here, at - first, 0)
-            size = np.zeros((trees, count))
-            np.add.at(size, (tree, local), here)
-            self.length[:, first : first + count] = level + mean_path(size)
-            if level == self.depth:
+            order = np.argsort(at, kind="stable")
+            rows, at = rows[order], at[order]
+            node, first, size = np.unique(at, return_index=True, return_counts=True)
+            self.length[node] = level + mean_path(size)
+            if level == self.depth or not len(node):
                 break
-            low = np.full((trees, count, width), np.inf)
-            high = np.full((trees, count, width), -np.inf)
-            np.minimum.at(low, (tree, local), np.where(here[..., None], samples, np.inf))
-            np.maximum.at(high, (tree, local), np.where(here[..., None], samples, -np.inf))
-            varied = high > low
-            pick = np.where(varied, rng.random(varied.shape), -1.0).argmax(axis=2)
-            lo = np.take_along_axis(low, pick[..., None], 2)[..., 0]
-            hi = np.take_along_axis(high, pick[..., None], 2)[..., 0]
-            splits = varied.any(axis=2)
-            chance = rng.random(splits.shape)
-            cut = np.where(splits, np.where(splits, lo, 0) + chance * np.where(splits, hi - np.where(splits, lo, 0), 0), 0)
-            self.feature[:, first : first + count] = np.where(splits, pick, -1)
-            self.split[:, first : first + count] = cut
-            feature = self.feature[tree, at]
-            value = np.take_along_axis(samples, np.maximum(feature, 0)[..., None], 2)[..., 0]
-            child = 2 * at + 1 + (value > self.split[tree, at])
-            at = np.where(here & (feature >= 0), child, at)
+            low, high = np.minimum.reduceat(rows, first, axis=0), np.maximum.reduceat(rows, first, axis=0)
+            pick = np.where(high > low, rng.random(low.shape), -1.0).argmax(axis=1)
+            each = np.arange(len(node))
+            low, high = low[each, pick], high[each, pick]
+            self.feature[node] = np.where(high > low, pick, -1)
+            self.split[node] = low + rng.random(len(node)) * (high - low)
+            live = self.feature[at] >= 0
+            rows, at = rows[live], at[live]
+            value = rows[np.arange(len(rows)), self.feature[at]]
+            at = self._child(at, value)
+
+    def _child(self, at: np.ndarray, value: np.ndarray) -> np.ndarray:
+        root = at // self.nodes * self.nodes
+        return root + 2 * (at - root) + 1 + (value > self.split[at])
 
     def score(self, rows: np.ndarray) -> np.ndarray:
         """Negative anomaly score of each row; lower is more unusual."""
-        tree = np.arange(len(self.feature))[:, None]
-        at = np.zeros((len(self.feature), len(rows)), dtype=np.int64)
+        trees = len(self.feature) // self.nodes
+        at = np.repeat(np.arange(trees)[:, None] * self.nodes, len(rows), axis=1)
+        each = np.arange(len(rows))[None, :]
         for _ in range(self.depth):
-            feature = self.feature[tree, at]
-            value = rows[np.arange(len(rows))[None, :], np.maximum(feature, 0)]
-            at = np.where(feature >= 0, 2 * at + 1 + (value > self.split[tree, at]), at)
-        mean_length = self.length[tree, at].mean(axis=0)
+            feature = self.feature[at]
+            at = np.where(feature >= 0, self._child(at, rows[each, np.maximum(feature, 0)]), at)
+        mean_length = self.length[at].mean(axis=0)
         return -(2.0 ** (-mean_length / max(float(mean_path(self.sample_size)), 1e-12)))
 
 
+def subsamples(rows: np.ndarray, p: Params) -> np.ndarray:
+    """Rows for each tree, drawn without replacement."""
+    if len(rows) <= SUBSAMPLE:
+        return np.broadcast_to(rows, (p.trees, *rows.shape))
+    rng = np.random.default_rng(p.forest_seed)
+    return rows[np.stack([rng.choice(len(rows), SUBSAMPLE, replace=False) for _ in range(p.trees)])]
+
+
 def fit_and_score(rows: np.ndarray, p: Params) -> np.ndarray:
     """Decision value of each row; the ``contamination`` share is below 0."""
-    rng = np.random.default_rng(p.forest_seed)
-    n = min(SUBSAMPLE, len(rows))
-    picks = np.stack([rng.permutation(len(rows))[:n] for _ in range(p.trees)])
-    raw = Forest(rows[picks], p.forest_seed).score(rows)
+    raw = Forest(subsamples(rows, p), p.forest_seed).score(rows)
     return raw - np.percentile(raw, 100.0 * p.contamination)
 
 
@@ -110,7 +112,7 @@ def forest_per_tick(features: DataFrame, p: Params) -> DataFrame:
         decision = fit_and_score(np.log1p(pdf[FEATURES].to_numpy(dtype=float)), p)
         return pdf[["tick_no", "tick", "service"]].assign(decision=decision, is_outlier=decision < 0)
 
-    return features.groupBy("tick_no").applyInPandas(
+    return spread_by(features, "tick_no").groupBy("tick_no").applyInPandas(
         run, "tick_no long, tick double, service string, decision double, is_outlier boolean"
     )
 
@@ -125,9 +127,7 @@ def pooled_forest(features: DataFrame, keys: list[str], p: Params) -> DataFrame:
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in logged.select(*keys).schema)
     if len(pool) < p.forest_min_rows:
         return logged.limit(0).select(*keys, F.lit(0.0).alias("decision"), F.lit(False).alias("is_outlier"))
-    rng = np.random.default_rng(p.forest_seed)
-    n = min(SUBSAMPLE, len(pool))
-    forest = Forest(pool[np.stack([rng.permutation(len(pool))[:n] for _ in range(p.trees)])], p.forest_seed)
+    forest = Forest(subsamples(pool, p), p.forest_seed)
     shared = features.sparkSession.sparkContext.broadcast(forest)
 
     def run(batches):

@@ -2,7 +2,7 @@
 grouped by position-wise similarity (the Drain idea: He et al., ICWS 2017).
 
 Only distinct masked messages are mined; their number, not the number of logs,
-decides the cost. Routing is four rounds of grouping and joining. The greedy
+decides the cost. Routing is a round of grouping and joining per level. The greedy
 grouping inside a leaf depends on arrival order, so it is an ordered fold;
 leaves are independent of each other.
 """
@@ -50,30 +50,33 @@ def route(masked: DataFrame, p: Params) -> DataFrame:
     A branch takes its first ``template_children`` distinct tokens, in arrival
     order; later ones share the placeholder branch.
     """
-    arrival = F.struct("first_ts", "first_span")
-    out = masked.withColumn("words", F.split("masked", " ")).withColumn("width", F.size("words"))
-    out = out.withColumn("leaf", F.col("width").cast("string"))
-    for level in range(p.template_depth):
-        word = F.get("words", F.lit(level))
-        out = out.withColumn(
-            "branch", F.when(F.startswith(word, F.lit("<")), F.lit(S.PLACEHOLDER)).otherwise(word)
-        )
-        by_arrival = Window.partitionBy("leaf").orderBy("arrived")
+    levels = [f"b{i}" for i in range(p.template_depth)]
+    words = F.split("masked", " ")
+    out = masked.withColumn("width", F.size(words))
+    for i, b in enumerate(levels):
+        word = F.get(words, F.lit(i))
+        out = out.withColumn(b, F.when(F.startswith(word, F.lit("<")), F.lit(S.PLACEHOLDER)).otherwise(word))
+    # Routing looks at first tokens only, so it runs over the distinct ones.
+    starts = (
+        out.groupBy("width", *levels)
+        .agg(F.min(F.struct("first_ts", "first_span")).alias("arrived"))
+        .withColumn("leaf", F.col("width").cast("string"))
+    )
+    for b in levels:
+        by_arrival = Window.partitionBy("leaf").orderBy("branch_arrived")
         kept = (
-            out.filter(F.col("branch").isNotNull())
-            .groupBy("leaf", "branch")
-            .agg(F.min(arrival).alias("arrived"))
+            starts.filter(F.col(b).isNotNull())
+            .groupBy("leaf", b)
+            .agg(F.min("arrived").alias("branch_arrived"))
             .withColumn("place", F.row_number().over(by_arrival))
             .filter(F.col("place") <= p.template_children)
-            .select("leaf", "branch", F.lit(True).alias("kept"))
-        )
-        step = F.when(F.col("kept"), F.col("branch")).when(
-            F.col("branch").isNotNull(), F.lit(S.PLACEHOLDER)
-        )
-        out = out.join(kept, ["leaf", "branch"], "left").withColumn("leaf", F.concat_ws(" ", "leaf", step)).drop(
-            "branch", "kept"
+            .select("leaf", b, F.lit(True).alias("kept"))
         )
-    return out.drop("words", "width")
+        step = F.when(F.col("kept"), F.col(b)).when(F.col(b).isNotNull(), F.lit(S.PLACEHOLDER))
+        starts = starts.join(kept, ["leaf", b], "left").withColumn("leaf", F.concat_ws(" ", "leaf", step)).drop("kept")
+    routed = stage(starts.select("width", *levels, "leaf"), "routes")
+    same = [out["width"] == routed["width"], *[out[b].eqNullSafe(routed[b]) for b in levels]]
+    return out.join(routed, same).select(*[out[c] for c in masked.columns], routed["leaf"])
 
 
 class LeafGroups:

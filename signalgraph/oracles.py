@@ -70,11 +70,8 @@ def near(expr: str) -> str:
     return f"round({expr} + CAST(1e-9 AS DOUBLE), 6)"
 
 
-def _isin_error(c: str = "level") -> str:
-    return f"{c} IN ('ERROR', 'FATAL')"
-
-
-ERRORS = f"CAST(sum(CASE WHEN {_isin_error()} THEN 1 ELSE 0 END) AS BIGINT)"
+IS_ERROR = "level IN ('ERROR', 'FATAL')"
+ERRORS = f"CAST(sum(CASE WHEN {IS_ERROR} THEN 1 ELSE 0 END) AS BIGINT)"
 WARNS = "CAST(sum(CASE WHEN level = 'WARN' THEN 1 ELSE 0 END) AS BIGINT)"
 AGGS = f"""count(*) AS total, {ERRORS} AS errors, {WARNS} AS warns, avg(latency_ms) AS mean_lat,
   quantile_cont(latency_ms, 0.5) AS p50, quantile_cont(latency_ms, 0.95) AS p95, quantile_cont(latency_ms, 0.99) AS p99,
@@ -245,12 +242,11 @@ summary AS (
     array_to_string(list_sort(list(DISTINCT service)), ',') AS services,
     bool_or(level IN ('ERROR', 'FATAL')) AS has_errors, count(*) AS spans
   FROM logs GROUP BY trace_id)"""
-SHOWN_SUMMARY = f"SELECT trace_id, started, {near('duration_ms')} AS duration_ms, services, has_errors, spans FROM summary"
+SHOWN_SUMMARY = f"SELECT trace_id, started, round(duration_ms, 2) AS duration_ms, services, has_errors, spans FROM summary"
 
 MASKED = f"""
 cleaned AS (
-  SELECT logs.*, array_to_string(list_filter(
-      string_split_regex(regexp_replace(message, '{PARAMETER_PATTERN}', '<*>', 'g'), '\\s+'), w -> w <> ''), ' ') AS masked
+  SELECT logs.*, trim(regexp_replace(regexp_replace(message, '{PARAMETER_PATTERN}', '<*>', 'g'), '\\s+', ' ', 'g')) AS masked
   FROM logs),
 masks AS (
   SELECT masked, count(*) AS n, min(ts) AS first_ts, arg_min(service, (ts, span_id)) AS first_service
@@ -271,9 +267,10 @@ node_metrics AS (
 
 SHOWN_LOG = "ts, service, level, trace_id, span_id, parent_service, latency_ms, status_code, message"
 
-_pairs = f"""
+STATS = """
 stats AS (
-  SELECT service, avg(rate) AS m, stddev_pop(rate) AS s FROM dense GROUP BY service)
+  SELECT service, avg(rate) AS m, stddev_pop(rate) AS s FROM dense GROUP BY service)"""
+PAIRS = """
 SELECT a.service AS service_a, b.service AS service_b,
   round(CASE WHEN sa.s < 1e-9 OR sb.s < 1e-9 THEN CASE WHEN a.service = b.service THEN 1.0 ELSE 0.0 END
     ELSE greatest(-1, least(1, avg((a.rate - sa.m) * (b.rate - sb.m)) / (sa.s * sb.s))) END + CAST(1e-9 AS DOUBLE), 3) AS corr
@@ -317,7 +314,7 @@ ORACLES: dict[str, str] = {
         "SELECT count(*) AS total_matches FROM recent WHERE message ILIKE '%took 1%' AND level = 'WARN'"
     ),
     "recent_traces": sql(
-        f"""SELECT trace_id, max(ts) AS latest FROM recent WHERE {_isin_error()}
+        f"""SELECT trace_id, max(ts) AS latest FROM recent WHERE {IS_ERROR}
         GROUP BY trace_id ORDER BY latest DESC, trace_id LIMIT 30"""
     ),
     "recent_problems": sql(
@@ -440,7 +437,7 @@ reach AS (
         EWMA,
         recursive=True,
     ),
-    "correlation": sql(_pairs, RATE_SERIES),
+    "correlation": sql(PAIRS, RATE_SERIES, STATS),
     "masked_messages": sql(" SELECT masked, n, first_ts, first_service FROM masks", MASKED),
     "templates": sql(
         " SELECT template_id, masked AS template, n AS count, first_ts, first_service FROM found", MASKED
@@ -476,8 +473,7 @@ reach AS (
         """ SELECT concat('signalgraph_service_logs_total{service="', service, '"} ', total) AS line FROM rates
         UNION ALL SELECT concat('signalgraph_service_error_rate{service="', service, '"} ', printf('%.4f', error_rate)) FROM rates
         UNION ALL SELECT concat('signalgraph_service_p95_latency_ms{service="', service, '"} ', printf('%.2f', p95)) FROM rates
-        UNION ALL SELECT concat('signalgraph_total_inserted ', count(*)) FROM logs
-        UNION ALL SELECT unnest(['signalgraph_logs_per_sec 0'])""",
+        UNION ALL SELECT concat('signalgraph_total_inserted ', count(*)) FROM logs""",
         f" rates AS (SELECT service, {AGGS} FROM recent GROUP BY service) ",
     ),
     "line_service_rates": "WITH "

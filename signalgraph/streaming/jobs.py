@@ -189,7 +189,8 @@ def incident_signals(anomalies: DataFrame, p: Params, by: str = "env") -> DataFr
 
 def _event_stream(spark: SparkSession, folder: str) -> DataFrame:
     path = f"{folder}/events.parquet"
-    return event_logs(spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)).drop("event_time")
+    stream = spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{path}*")
+    return event_logs(stream).drop("event_time")
 
 
 def run_once(stream: DataFrame, name: str) -> DataFrame:

@@ -66,7 +66,8 @@ def compare(spark, con, folder, name):
     if mine_cols != cols:
         return mine, f"columns {mine_cols} / {cols}"
     if mine != theirs:
-        only = [r for r in mine if r not in set(theirs)][:3], [r for r in theirs if r not in set(mine)][:3]
+        a, b = set(mine), set(theirs)
+        only = sorted(a - b)[:3], sorted(b - a)[:3]
         return mine, f"{len(mine)} / {len(theirs)} rows, e.g. {only}"
     return mine, ""
 
