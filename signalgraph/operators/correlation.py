@@ -39,7 +39,9 @@ def correlation(rates: DataFrame, start: int, end: int) -> DataFrame:
     if not moving:
         return _fill(spark.createDataFrame([], schema), spark, names)
 
-    scaled = rates.join(spread, "service").withColumn("z", F.col("rate") / F.col("sd"))
+    scaled = rates.join(spread.filter(F.col("sd") >= FLAT), "service").withColumn(
+        "z", F.col("rate") / F.greatest("sd", F.lit(FLAT))
+    )
     wide = scaled.groupBy("bucket").pivot("service", moving).agg(F.first("z"))
     columns = [f"s{i}" for i in range(len(moving))]
     wide = (

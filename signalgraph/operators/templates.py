@@ -57,15 +57,18 @@ def route(masked: DataFrame, p: Params) -> DataFrame:
         word = F.get(words, F.lit(i))
         out = out.withColumn(b, F.when(F.startswith(word, F.lit("<")), F.lit(S.PLACEHOLDER)).otherwise(word))
     # Routing looks at first tokens only, so it runs over the distinct ones.
-    starts = (
-        out.groupBy("width", *levels)
-        .agg(F.min(F.struct("first_ts", "first_span")).alias("arrived"))
-        .withColumn("leaf", F.col("width").cast("string"))
+    starts = stage(
+        out.groupBy("width", *levels).agg(F.min(F.struct("first_ts", "first_span")).alias("arrived")), "starts"
     )
+    busiest = starts.groupBy("width").count().agg(F.max("count")).first()[0] or 0
+    if busiest <= p.template_children:  # no branch can be full
+        return out.withColumn("leaf", F.concat_ws(" ", F.col("width").cast("string"), *levels)).drop("width", *levels)
+
+    routes = starts.withColumn("leaf", F.col("width").cast("string"))
     for b in levels:
         by_arrival = Window.partitionBy("leaf").orderBy("branch_arrived")
         kept = (
-            starts.filter(F.col(b).isNotNull())
+            routes.filter(F.col(b).isNotNull())
             .groupBy("leaf", b)
             .agg(F.min("arrived").alias("branch_arrived"))
             .withColumn("place", F.row_number().over(by_arrival))
@@ -73,8 +76,8 @@ def route(masked: DataFrame, p: Params) -> DataFrame:
             .select("leaf", b, F.lit(True).alias("kept"))
         )
         step = F.when(F.col("kept"), F.col(b)).when(F.col(b).isNotNull(), F.lit(S.PLACEHOLDER))
-        starts = starts.join(kept, ["leaf", b], "left").withColumn("leaf", F.concat_ws(" ", "leaf", step)).drop("kept")
-    routed = stage(starts.select("width", *levels, "leaf"), "routes")
+        routes = routes.join(kept, ["leaf", b], "left").withColumn("leaf", F.concat_ws(" ", "leaf", step)).drop("kept")
+    routed = stage(routes.select("width", *levels, "leaf"), "routes")
     same = [out["width"] == routed["width"], *[out[b].eqNullSafe(routed[b]) for b in levels]]
     return out.join(routed, same).select(*[out[c] for c in masked.columns], routed["leaf"])
 
