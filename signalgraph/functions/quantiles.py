@@ -4,8 +4,7 @@ The built-in ``percentile`` keeps every distinct value of a group in one
 task. Here a group is never held whole: values are counted in coarse,
 order-preserving bins first, the bins holding the wanted ranks are found from
 those counts, and only rows of these bins are sorted. Rows are not multiplied
-by the number of windows they belong to either; only bin counts and the rows of
-the few chosen bins are.
+by the number of windows they belong to either; only the few chosen ones are.
 """
 
 from __future__ import annotations
@@ -67,11 +66,11 @@ def quantile_rollup(
 ) -> DataFrame:
     """``window_rollup`` from ``count_cells`` output, which may be a stored table."""
     counted = ["total", *sums, "value_sum"]
-    add_up = [F.sum("total").alias("total"), *[F.sum(s).alias(s) for s in sums]]
-    panes = cells.groupBy(*keys, "pane", "bin").agg(*add_up, F.sum(F.col("v") * F.col("total")).alias("value_sum"))
-    hist = panes.withColumn("tick", ticks_of(span, last))
-    if span > 1:
-        hist = hist.groupBy(*keys, "tick", "bin").agg(*add_up, F.sum("value_sum").alias("value_sum"))
+    hist = sliding_histogram(cells, keys, sums, span, last)
+
+    def block_of(pane: Column) -> Column:
+        """Runs of ``span`` panes: a window touches two at most."""
+        return F.floor(pane / F.lit(span))
 
     whole = Window.partitionBy(*keys, "tick")
     climbing = whole.orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -86,13 +85,18 @@ def quantile_rollup(
         .withColumn("w_total", F.max("upto").over(whole))
         .filter(F.exists(places, lambda r: (r >= F.col("start")) & (r < F.col("upto"))))
         .select(*keys, "tick", "bin", "start", *[f"w_{c}" for c in counted])
-        .withColumn("pane", F.explode(F.sequence(F.col("tick") - span, F.col("tick") - 1)))
+        .withColumn("block", F.explode(F.array_distinct(F.array(block_of(F.col("tick") - span), block_of(F.col("tick") - 1)))))
     )
     within = Window.partitionBy(*keys, "tick", "bin").orderBy("v").rowsBetween(
         Window.unboundedPreceding, Window.currentRow
     )
+    in_window = (F.col("pane") >= F.col("tick") - span) & (F.col("pane") < F.col("tick"))
     ranked = (
-        chosen.join(cells.select(*keys, "pane", "bin", "v", "total"), [*keys, "pane", "bin"])
+        chosen.join(
+            cells.select(*keys, "pane", "bin", "v", "total", block_of(F.col("pane")).alias("block")),
+            [*keys, "bin", "block"],
+        )
+        .filter(in_window)
         .withColumn("upto", F.col("start") + F.sum("total").over(within))
         .withColumn("start", F.col("upto") - F.col("total"))
     )
@@ -123,6 +127,46 @@ def quantile_rollup(
     )
 
 
+def sliding_histogram(
+    cells: DataFrame, keys: list[str], sums: list[str], span: int, last: int | None
+) -> DataFrame:
+    """Counts and sums per key, bin and window.
+
+    A pane enters the windows at one tick and leaves them at another, so running
+    totals over these changes are the window's sums; each lasts until the next
+    change. Nothing is multiplied by the number of windows a row is in.
+    """
+    cells = cells.withColumn("value_sum", F.col("v") * F.col("total"))
+    counted = ["total", *sums, "value_sum"]
+    if span == 1:
+        hist = cells.groupBy(*keys, "pane", "bin").agg(*[F.sum(c).alias(c) for c in counted])
+        hist = hist.withColumn("tick", F.col("pane") + 1).drop("pane")
+        return hist if last is None else hist.filter(F.col("tick") <= last)
+    enter = F.struct((F.col("pane") + 1).alias("tick"), *counted)
+    leave = F.struct((F.col("pane") + span + 1).alias("tick"), *[(-F.col(c)).alias(c) for c in counted])
+    changes = (
+        cells.select(*keys, "bin", F.explode(F.array(enter, leave)).alias("c"))
+        .select(*keys, "bin", "c.*")
+        .groupBy(*keys, "bin", "tick")
+        .agg(*[F.sum(c).alias(c) for c in counted])
+    )
+    in_time = Window.partitionBy(*keys, "bin").orderBy("tick")
+    so_far = in_time.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    until = F.lead("tick").over(in_time) - 1
+    running = changes.select(
+        *keys,
+        "bin",
+        F.col("tick").alias("from_tick"),
+        (until if last is None else F.least(until, F.lit(last).cast("bigint"))).alias("until_tick"),
+        *[F.sum(c).over(so_far).alias(c) for c in counted],
+    )
+    return (
+        running.filter((F.col("total") > 0) & (F.col("until_tick") >= F.col("from_tick")))
+        .withColumn("tick", F.explode(F.sequence("from_tick", "until_tick")))
+        .drop("from_tick", "until_tick")
+    )
+
+
 def _place(p: float) -> Column:
     """Position of quantile ``p`` among ``w_total`` sorted values, from 0."""
     return (F.col("w_total") - 1) * F.lit(p)
