@@ -120,8 +120,7 @@ def lookup_hot_safe(
     many, so they are broadcast; for the rest no key is hot, so they are joined
     by shuffle. Rows already answered get keys of their own, spread evenly.
     """
-    total = found.agg(F.sum(weight)).first()[0] or 0
-    is_hot = F.col(weight) * hot_share >= F.lit(total)
+    is_hot = F.col(weight) * hot_share >= F.lit(rows.count())
     hot = found.filter(is_hot).select(F.col(key), F.struct(*values).alias("_hot"))
     cold = found.filter(~is_hot).select(F.col(key).alias("_key"), F.struct(*values).alias("_cold"))
     spread = F.concat(F.lit("\u0000"), F.monotonically_increasing_id().cast("string"))

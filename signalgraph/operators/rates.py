@@ -9,7 +9,7 @@ from signalgraph.functions import scalars as S
 from signalgraph.functions.ordered import number_rows
 from signalgraph.functions.quantiles import window_rollup
 from signalgraph.params import Params
-from signalgraph.sources.logs import last_ts, since
+from signalgraph.sources.logs import last_ts, since, until, within
 
 LATENCY_PROBS = {"p50": 0.5, "p95": 0.95, "p99": 0.99}
 RATE_COLUMNS = ["service", "total", "errors", "warns", "mean_lat", "p50", "p95", "p99", "error_rate"]
@@ -36,7 +36,7 @@ def _finish(rolled: DataFrame, lead: list[str], probs: dict[str, float]) -> Data
 def service_rates(logs: DataFrame, p: Params, as_of: float | None = None) -> DataFrame:
     """Counts, latency quantiles and error rate per service over the last window."""
     as_of = last_ts(logs) if as_of is None else as_of
-    rows = since(logs, as_of - p.window_s).filter(F.col("ts") <= F.lit(as_of)).withColumn("pane", F.lit(0).cast("bigint"))
+    rows = within(logs, as_of, p.window_s).withColumn("pane", F.lit(0).cast("bigint"))
     rolled = window_rollup(rows, ["service"], "latency_ms", _sums(), LATENCY_PROBS)
     return _finish(rolled, [], LATENCY_PROBS)
 
@@ -94,7 +94,7 @@ def _spine(df: DataFrame, start: int, end: int) -> DataFrame:
 def _bucket_rows(logs: DataFrame, p: Params, start: int, end: int) -> DataFrame:
     """Rows of the spine's buckets. Rows newer than its end are cut as well."""
     return (
-        since(logs, start * p.bucket_s)
+        until(since(logs, start * p.bucket_s), end * p.bucket_s)
         .withColumn("bucket", S.bucket_index("ts", p.bucket_s))
         .filter(F.col("bucket") < end)
     )

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,11 +11,13 @@ from pyspark.sql import types as T
 
 from signalgraph.schema import LOG_COLUMNS, LOG_SCHEMA
 
-STORED_SCHEMA = T.StructType([*LOG_SCHEMA.fields, T.StructField("event_date", T.DateType())])
+STORED_SCHEMA = T.StructType(
+    [*LOG_SCHEMA.fields, T.StructField("event_date", T.DateType()), T.StructField("batch", T.StringType())]
+)
 
 
 def read_logs(spark: SparkSession, path: str) -> DataFrame:
-    """The stored table: parquet, one folder per ``event_date``."""
+    """The stored table: parquet, a folder per ``event_date`` and written batch."""
     return spark.read.schema(STORED_SCHEMA).parquet(path)
 
 
@@ -45,17 +48,22 @@ def with_event_date(logs: DataFrame) -> DataFrame:
     return logs.select(*LOG_COLUMNS, F.to_date(F.timestamp_seconds("ts")).alias("event_date"))
 
 
-def append_logs(logs: DataFrame, path: str) -> None:
-    """Adds a batch. Files hold runs of one service in time order, so row-group
-    statistics on both columns can skip data; a hot service or day is spread
-    over tasks by the hour-and-trace hash."""
+def append_logs(logs: DataFrame, path: str, batch: str | None = None) -> None:
+    """Adds a batch; writing the same batch again replaces it, so a retried
+    micro-batch is stored once.
+
+    Files hold runs of one service in time order, so row-group statistics on both
+    columns can skip data; a hot service or day is spread over tasks by trace.
+    """
     (
         with_event_date(logs)
+        .withColumn("batch", F.lit(batch or uuid.uuid4().hex))
         .repartition("event_date", F.pmod(F.xxhash64("trace_id"), F.lit(64)))
         .sortWithinPartitions("event_date", "service", "ts")
-        .write.mode("append")
-        .partitionBy("event_date")
+        .write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
         .option("parquet.bloom.filter.enabled#trace_id", "true")
+        .partitionBy("event_date", "batch")
         .parquet(path)
     )
 
@@ -65,21 +73,33 @@ def last_ts(logs: DataFrame) -> float:
     return logs.agg(F.max("ts")).first()[0] or 0.0
 
 
+def _bounded(logs: DataFrame, moment_s: float, newer: bool) -> DataFrame:
+    """A copy of a bound on ``ts`` for stored time columns, a second looser: it
+    prunes partitions and row groups before ``ts`` is computed."""
+    moment = dt.datetime(1970, 1, 1) + dt.timedelta(seconds=moment_s + (-1.0 if newer else 1.0))
+    bounds = {
+        "event_time": F.lit(moment.isoformat(" ")).cast("timestamp_ntz"),
+        "event_date": F.lit(moment.date().isoformat()).cast("date"),
+    }
+    for column, bound in bounds.items():
+        if column in logs.columns:
+            logs = logs.filter(F.col(column) >= bound if newer else F.col(column) <= bound)
+    return logs
+
+
 def since(logs: DataFrame, cutoff: float) -> DataFrame:
-    """Rows with ``ts >= cutoff``. Stored time columns get a looser copy of the
-    bound, which prunes partitions and row groups before ``ts`` is computed."""
-    out = logs.filter(F.col("ts") >= F.lit(cutoff))
-    moment = dt.datetime(1970, 1, 1) + dt.timedelta(seconds=cutoff - 1.0)
-    if "event_time" in logs.columns:
-        out = out.filter(F.col("event_time") >= F.lit(moment.isoformat(" ")).cast("timestamp_ntz"))
-    if "event_date" in logs.columns:
-        out = out.filter(F.col("event_date") >= F.lit(moment.date().isoformat()).cast("date"))
-    return out
+    """Rows with ``ts >= cutoff``."""
+    return _bounded(logs.filter(F.col("ts") >= F.lit(cutoff)), cutoff, newer=True)
+
+
+def until(logs: DataFrame, as_of: float) -> DataFrame:
+    """Rows with ``ts <= as_of``."""
+    return _bounded(logs.filter(F.col("ts") <= F.lit(as_of)), as_of, newer=False)
 
 
 def within(logs: DataFrame, as_of: float, seconds: float) -> DataFrame:
     """Rows of the ``seconds`` up to and including ``as_of``."""
-    return since(logs, as_of - seconds).filter(F.col("ts") <= F.lit(as_of))
+    return until(since(logs, as_of - seconds), as_of)
 
 
 def retained(logs: DataFrame, as_of: float, keep_s: float) -> DataFrame:
@@ -89,31 +109,32 @@ def retained(logs: DataFrame, as_of: float, keep_s: float) -> DataFrame:
 def prune_logs(spark: SparkSession, path: str, as_of: float, keep_s: float) -> int:
     """Deletes stored rows older than ``as_of - keep_s``; gives how many.
 
-    Expired days are emptied and the day of the cutoff is rewritten, both by one
-    dynamic partition overwrite per day range, so kept days are never touched.
+    Folders that hold only older rows are dropped, those cut through are
+    rewritten by a dynamic partition overwrite; all others are left alone.
     """
     cutoff = as_of - keep_s
-    day = (dt.datetime(1970, 1, 1) + dt.timedelta(seconds=cutoff)).date()
     logs = read_logs(spark, path)
-    stale = logs.filter((F.col("event_date") <= F.lit(day)) & (F.col("ts") < F.lit(cutoff)))
-    removed = stale.count()
-    if not removed:
-        return 0
-    edge = logs.filter((F.col("event_date") == F.lit(day)) & (F.col("ts") >= F.lit(cutoff)))
-    kept_on_edge = edge.limit(1).count() > 0
-    if kept_on_edge:
+    old = logs.filter(F.col("event_date") <= F.to_date(F.timestamp_seconds(F.lit(cutoff))))
+    folders = old.groupBy("event_date", "batch").agg(
+        F.sum(F.when(F.col("ts") < cutoff, 1).otherwise(0)).alias("stale"), F.count(F.lit(1)).alias("n")
+    )
+    touched = folders.filter("stale > 0").collect()  # folder names only
+    cut = [r for r in touched if r.stale < r.n]
+    if cut:
+        names = spark.createDataFrame([(r.event_date, r.batch) for r in cut], "event_date date, batch string")
+        kept = old.join(F.broadcast(names), ["event_date", "batch"], "left_semi").filter(F.col("ts") >= cutoff)
         (
-            edge.write.mode("overwrite")
+            kept.select(*STORED_SCHEMA.fieldNames())
+            .write.mode("overwrite")
             .option("partitionOverwriteMode", "dynamic")
-            .partitionBy("event_date")
+            .partitionBy("event_date", "batch")
             .parquet(path)
         )
     jvm = spark.sparkContext._jvm
     root = jvm.org.apache.hadoop.fs.Path(path)
     fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    for row in stale.select("event_date").distinct().collect() if not kept_on_edge else (
-        logs.filter(F.col("event_date") < F.lit(day)).select("event_date").distinct().collect()
-    ):
-        fs.delete(jvm.org.apache.hadoop.fs.Path(root, f"event_date={row.event_date.isoformat()}"), True)
+    for r in touched:
+        if r.stale == r.n:
+            fs.delete(jvm.org.apache.hadoop.fs.Path(root, f"event_date={r.event_date}/batch={r.batch}"), True)
     spark.catalog.refreshByPath(path)
-    return removed
+    return sum(r.stale for r in touched)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
@@ -9,9 +11,11 @@ from pyspark.sql.streaming.query import StreamingQuery
 from signalgraph.functions import scalars as S
 from signalgraph.functions.quantiles import quantile_rollup, value_bin
 from signalgraph.operators import rates as R
+from signalgraph.operators.rules import compare, metric_value
+from signalgraph.operators.templates import clean
 from signalgraph.params import Params
 from signalgraph.sources.adapters import event_logs
-from signalgraph.sources.logs import with_event_date
+from signalgraph.sources.logs import append_logs
 from signalgraph.sources.staging import staging_folder
 from signalgraph.streaming import state as ST
 
@@ -35,13 +39,13 @@ def _span(seconds: float) -> str:
     return f"{int(seconds * 1000)} milliseconds"
 
 
-def start_append(logs: DataFrame, path: str, checkpoint: str, every: str = "500 milliseconds") -> StreamingQuery:
-    """Stores the stream as the log table, one folder per day."""
+def start_append(
+    logs: DataFrame, path: str, checkpoint: str, every: str = "500 milliseconds", source: str = "stream"
+) -> StreamingQuery:
+    """Stores the stream as the log table. Each micro-batch is one batch of the
+    table, named after it, so a retry replaces what the first try wrote."""
     return (
-        with_event_date(logs)
-        .writeStream.format("parquet")
-        .partitionBy("event_date")
-        .option("path", path)
+        logs.writeStream.foreachBatch(lambda batch, n: append_logs(batch, path, f"{source}-{n}"))
         .option("checkpointLocation", checkpoint)
         .trigger(processingTime=every)
         .start()
@@ -132,8 +136,6 @@ def rule_signals(matches: DataFrame) -> DataFrame:
 
 def stream_matches(rates: DataFrame, rules: DataFrame, p: Params) -> DataFrame:
     """Rows of the rate stream that meet a rule of their service or of all."""
-    from signalgraph.operators.rules import compare, metric_value
-
     asked = rates.withColumn("asked", F.explode(F.array(F.col("service"), F.lit("*"))))
     return (
         asked.join(rules.filter("enabled").withColumnRenamed("service", "asked"), "asked")
@@ -171,8 +173,6 @@ def template_signals(logs: DataFrame, p: Params) -> DataFrame:
     Templates are named by leaf and place in the leaf. Branches are kept per
     token path in state, level by level, then groups per leaf.
     """
-    from signalgraph.operators.templates import clean
-
     out = logs.select("ts", "span_id", "service", clean().alias("masked")).filter("masked <> ''")
     out = out.withColumn("leaf", F.size(F.split("masked", " ")).cast("string"))
     for level in range(p.template_depth):
@@ -195,8 +195,6 @@ def _event_stream(spark: SparkSession, folder: str) -> DataFrame:
 
 def run_once(stream: DataFrame, name: str) -> DataFrame:
     """Drains what the source holds now into a staged table and reads it."""
-    import uuid
-
     spark = stream.sparkSession
     use_rocksdb(spark)
     place = f"{staging_folder(spark)}/{name}-{uuid.uuid4().hex}"
