@@ -81,8 +81,21 @@ def events(spark: SparkSession, folder: str) -> DataFrame:
     return A.event_logs(A.table(spark, folder, "events"))
 
 
+_replays: dict[tuple[str, str], Replay] = {}
+
+
 def replay(spark: SparkSession, folder: str) -> Replay:
-    return Replay(events(spark, folder), P, U.rules_frame(spark, RULES))
+    """The replay of a folder's events. Its staged tables serve all queries of a
+    session: the tables of a folder are taken as fixed meanwhile."""
+    key = (spark.sparkContext.applicationId, folder)
+    if key not in _replays:
+        _replays[key] = Replay(events(spark, folder), P, U.rules_frame(spark, RULES))
+    return _replays[key]
+
+
+def forget() -> None:
+    """Lets the next query of each folder start from its tables again."""
+    _replays.clear()
 
 
 def on_logs(fn: Callable[[DataFrame], DataFrame], *keep: str):
@@ -299,7 +312,7 @@ def _detail(r: Replay):
 def _detail_core(r: Replay):
     """The scalar part of the service detail."""
     return V.service_detail(r).select(
-        "service", "grp", "logs_per_min", "error_rate", "forecast_error_rate", F.size("latency_series").cast("bigint").alias("points"),
+        "service", "grp", "logs_per_min", "error_rate", "forecast_error_rate", "forecast_stddev", F.size("latency_series").cast("bigint").alias("points"),
         F.size("top_templates").cast("bigint").alias("templates"), F.size("recent_errors").cast("bigint").alias("problems"),
     )
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from signalgraph.functions import scalars as S
 from signalgraph.functions.ordered import ordered_fold
+from signalgraph.operators.rates import last_tick_no
 from signalgraph.params import Params
 from signalgraph.sources.logs import last_ts, within
 
@@ -26,9 +27,9 @@ def edge_counts(logs: DataFrame, p: Params, as_of: float | None = None) -> DataF
     return _calls(rows).groupBy("source", "target").agg(F.count(F.lit(1)).alias("calls"))
 
 
-def edge_ticks(logs: DataFrame, p: Params) -> DataFrame:
+def edge_ticks(logs: DataFrame, p: Params, last: int | None = None) -> DataFrame:
     """Calls per edge in the window of every tick."""
-    last = int(last_ts(logs) // p.tick_s) + 1
+    last = last_tick_no(last_ts(logs), p) if last is None else last
     panes = (
         _calls(logs)
         .groupBy("source", "target", S.bucket_index("ts", p.tick_s).alias("pane"))

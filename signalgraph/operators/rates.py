@@ -41,14 +41,21 @@ def service_rates(logs: DataFrame, p: Params, as_of: float | None = None) -> Dat
     return _finish(rolled, [], LATENCY_PROBS)
 
 
-def service_ticks(logs: DataFrame, p: Params, probs: tuple[str, ...] = ("p50", "p95", "p99")) -> DataFrame:
+def last_tick_no(newest_ts: float, p: Params) -> int:
+    """The first tick whose window ends after ``newest_ts``; no later one is looked at."""
+    return int(newest_ts // p.tick_s) + 1
+
+
+def service_ticks(
+    logs: DataFrame, p: Params, probs: tuple[str, ...] = ("p50", "p95", "p99"), last: int | None = None
+) -> DataFrame:
     """The same for every tick: windows ``[tick - window, tick)`` that hold rows.
 
     ``tick_no`` is the tick's end in units of the tick length.
     """
     chosen = {name: LATENCY_PROBS[name] for name in probs}
     rows = logs.withColumn("pane", S.bucket_index("ts", p.tick_s))
-    last = int(last_ts(logs) // p.tick_s) + 1
+    last = last_tick_no(last_ts(logs), p) if last is None else last
     rolled = window_rollup(
         rows.select("service", "level", "latency_ms", "pane"),
         ["service"],
@@ -66,13 +73,18 @@ def finish_ticks(rolled: DataFrame, p: Params, probs: dict[str, float]) -> DataF
     return _finish(rolled.withColumn("tick", F.col("tick_no") * F.lit(p.tick_s)), ["tick_no", "tick"], probs)
 
 
-def tick_numbers(logs: DataFrame, p: Params) -> DataFrame:
+def number_ticks(ticks: DataFrame, p: Params) -> DataFrame:
+    """Distinct ticks of a frame with their running number ``seq``."""
+    distinct = ticks.select("tick_no").distinct()
+    return number_rows(distinct.withColumn("tick", F.col("tick_no") * F.lit(p.tick_s)), "tick_no", [], "seq", 4096)
+
+
+def tick_numbers(logs: DataFrame, p: Params, last: int | None = None) -> DataFrame:
     """The ticks whose window holds any row, with their running number ``seq``."""
-    last = int(last_ts(logs) // p.tick_s) + 1
+    last = last_tick_no(last_ts(logs), p) if last is None else last
     panes = logs.select(S.bucket_index("ts", p.tick_s).alias("pane")).distinct()
     ends = F.sequence(F.col("pane") + 1, F.least(F.col("pane") + p.ticks_per_window, F.lit(last).cast("bigint")))
-    ticks = panes.select(F.explode(ends).alias("tick_no")).distinct()
-    return number_rows(ticks.withColumn("tick", F.col("tick_no") * F.lit(p.tick_s)), "tick_no", [], "seq", 4096)
+    return number_ticks(panes.select(F.explode(ends).alias("tick_no")), p)
 
 
 def feature_matrix(rates: DataFrame) -> DataFrame:

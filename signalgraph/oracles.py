@@ -61,7 +61,7 @@ base AS (
     CAST(l_quantity AS DOUBLE) AS latency_ms
   FROM lineitem),
 logs AS (
-  SELECT *, lag(service) OVER (PARTITION BY trace_id ORDER BY l_linenumber, span_id) AS parent_service FROM base),
+  SELECT *, lag(service) OVER (PARTITION BY trace_id ORDER BY l_linenumber, span_id, ts, level, latency_ms) AS parent_service FROM base),
 clock AS (SELECT CAST(floor(max(ts) / 86400) AS BIGINT) + 1 AS last_no FROM logs)
 """
 
@@ -220,7 +220,7 @@ DEPTHS = """
 firsts AS (
   SELECT * FROM (
     SELECT trace_id, service, parent_service, ts, span_id,
-      row_number() OVER (PARTITION BY trace_id, service ORDER BY ts, span_id) AS rn
+      row_number() OVER (PARTITION BY trace_id, service ORDER BY ts, span_id, parent_service NULLS FIRST) AS rn
     FROM logs) WHERE rn = 1),
 links AS (
   SELECT c.trace_id, c.service, p.service AS parent
@@ -278,6 +278,17 @@ FROM dense a JOIN dense b ON a.bucket = b.bucket
 JOIN stats sa ON sa.service = a.service JOIN stats sb ON sb.service = b.service
 GROUP BY a.service, b.service, sa.s, sb.s"""
 
+_LAST = "CAST(floor(max(ts) / 3600) AS BIGINT) + 1 AS last_no"
+# A stream gives windows its watermark (10 s behind the newest row) has passed.
+PANES_CLOSED = LOGS.replace(
+    _LAST,
+    """(SELECT max(CAST(floor(ts / 3600) AS BIGINT)) + 1 FROM logs
+      WHERE (floor(ts / 3600) + 1) * 3600 <= (SELECT max(ts) FROM logs) - 10) AS last_no""",
+)
+WINDOWS_CLOSED = LOGS.replace(_LAST, "CAST(floor((max(ts) - 10) / 3600) AS BIGINT) AS last_no")
+
+BLANKS = r"[\s\x0B\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
+
 ORACLES: dict[str, str] = {
     "service_rates_asof": sql(
         f"SELECT {SHOWN_RATES} FROM rates", f" rates AS (SELECT service, {AGGS} FROM recent GROUP BY service) "
@@ -488,4 +499,37 @@ reach AS (
     + ","
     + DEPTHS
     + " SELECT service, CAST(depth AS INTEGER) AS depth, count(*) AS n FROM spans_depth GROUP BY service, depth",
+    "stream_service_rates": "WITH " + PANES_CLOSED + "," + TICKS + f" SELECT tick_no, tick, {SHOWN_RATES} FROM ticks",
+    "stream_forecast": "WITH RECURSIVE "
+    + WINDOWS_CLOSED
+    + ","
+    + TICKS
+    + ","
+    + EWMA
+    + f" SELECT tick_no, service, {near('mean')} AS forecast, {near('sqrt(variance)')} AS stddev FROM ewma",
+    "document_masks": f"""
+      SELECT md5(masked) AS masked_md5, count(*) AS n, CAST(min(doc_id) AS DOUBLE) AS first_ts
+      FROM (
+        SELECT doc_id, trim(regexp_replace(
+          regexp_replace(line, '{PARAMETER_PATTERN}', '<*>', 'g'), '{BLANKS}', ' ', 'g')) AS masked
+        FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents))
+      GROUP BY masked""",
+    "service_detail_core": sql(
+        f"""SELECT r.service, {GROUP_CASE.replace('CASE service', 'CASE r.service')} AS grp,
+          {near('round_even(r.total / (CAST(108000 AS DOUBLE) / 60), 2)')} AS logs_per_min,
+          {near('round_even(r.error_rate, 4)')} AS error_rate,
+          {near('round_even(f.mean, 4)')} AS forecast_error_rate, {near('round_even(f.stddev, 4)')} AS forecast_stddev,
+          CAST(60 AS BIGINT) AS points, t.templates, coalesce(p.problems, 0) AS problems
+        FROM (SELECT service, {AGGS} FROM recent GROUP BY service) r
+        JOIN (SELECT service, arg_max(mean, rn) AS mean, sqrt(arg_max(variance, rn)) AS stddev FROM ewma GROUP BY service) f
+          USING (service)
+        JOIN (SELECT service, least(8, count(DISTINCT template_id)) AS templates FROM with_ids, clock
+              WHERE ts >= now - 108000 GROUP BY service) t USING (service)
+        LEFT JOIN (SELECT service, least(10, count(*)) AS problems FROM logs, clock
+              WHERE ts >= now - 216000 AND level IN ('ERROR', 'FATAL', 'WARN') GROUP BY service) p USING (service)""",
+        TICKS,
+        EWMA,
+        MASKED,
+        recursive=True,
+    ),
 }

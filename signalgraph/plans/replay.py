@@ -42,7 +42,7 @@ class Replay:
 
     @cached_property
     def last_tick_no(self) -> int:
-        return int(self.last_ts // self.p.tick_s) + 1
+        return R.last_tick_no(self.last_ts, self.p)
 
     @property
     def now(self) -> float:
@@ -56,12 +56,15 @@ class Replay:
     @cached_property
     def ticks(self) -> DataFrame:
         """Per-tick aggregates; the detectors need no other quantile than p95."""
-        return stage(R.service_ticks(self.raw_logs, self.p, ("p95",)), "ticks")
+        return stage(R.service_ticks(self.raw_logs, self.p, ("p95",), self.last_tick_no), "ticks")
 
     @cached_property
     def numbered(self) -> DataFrame:
-        """Ticks that hold rows, with their running number ``seq``."""
-        return stage(R.tick_numbers(self.raw_logs, self.p), "tick_numbers")
+        """Ticks that hold rows, with their running number ``seq``; from the
+        small per-tick table where that is there already."""
+        if "ticks" in self.__dict__:
+            return stage(R.number_ticks(self.ticks, self.p), "tick_numbers")
+        return stage(R.tick_numbers(self.raw_logs, self.p, self.last_tick_no), "tick_numbers")
 
     @cached_property
     def mined(self) -> tuple[DataFrame, DataFrame]:
@@ -78,7 +81,7 @@ class Replay:
 
     @cached_property
     def edge_calls(self) -> DataFrame:
-        return stage(G.edge_ticks(self.raw_logs, self.p), "edge_calls")
+        return stage(G.edge_ticks(self.raw_logs, self.p, self.last_tick_no), "edge_calls")
 
     @cached_property
     def edge_weights(self) -> DataFrame:

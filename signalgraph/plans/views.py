@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 from signalgraph.functions import scalars as S
 from signalgraph.operators import detect as D
@@ -25,7 +26,7 @@ def kpi(replay: Replay) -> DataFrame:
     stacked as rows and folded by one aggregate."""
     p = replay.p
     line = R.timeline(replay.raw_logs, p, replay.last_ts)
-    rates = R.service_ticks(replay.raw_logs, p, ()) if "ticks" not in replay.__dict__ else replay.ticks
+    rates = replay.ticks
     recent = (
         replay.anomalies.filter(F.col("tick") <= replay.now)
         .orderBy(*[F.col(c).desc() for c in D.ORDER])
@@ -138,7 +139,9 @@ def service_detail(replay: Replay, service: str | None = None) -> DataFrame:
         F.bround("p95", 2).alias("p95_latency_ms"),
         F.bround(S.health("error_rate", "p95"), 3).alias("health"),
     )
-    return reduce(lambda a, b: a.join(b, "service", "left"), [up, down, series, top, problems, outlook], core)
+    whole = reduce(lambda a, b: a.join(b, "service", "left"), [up, down, series, top, problems, outlook], core)
+    lists = [f for f in whole.schema.fields if isinstance(f.dataType, ArrayType)]
+    return whole.withColumns({f.name: F.coalesce(f.name, F.array().cast(f.dataType)) for f in lists})
 
 
 # fixed values: family, type and help text of each exported metric

@@ -81,7 +81,7 @@ def event_logs(events: DataFrame) -> DataFrame:
 
 def lineitem_logs(lineitem: DataFrame) -> DataFrame:
     """One log per order line; the previous line of the order is the caller."""
-    in_order = Window.partitionBy("trace_id").orderBy("l_linenumber", "span_id")
+    in_order = Window.partitionBy("trace_id").orderBy("l_linenumber", "span_id", "ts", "level", "latency_ms")
     order = F.col("l_orderkey").cast("string")
     return (
         lineitem.select(
