@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 BINS_PER_E = 16  # bins per factor e of the value; more bins mean smaller sorts and larger histograms
 
+SLICE_WINDOWS = 64  # window lengths per slice of running totals
+
 
 def value_bin(value) -> Column:
     """Never decreases with ``value``; at most ~23,000 bins over all doubles."""
@@ -134,7 +136,9 @@ def sliding_histogram(
 
     A pane enters the windows at one tick and leaves them at another, so running
     totals over these changes are the window's sums; each lasts until the next
-    change. Nothing is multiplied by the number of windows a row is in.
+    change. Nothing is multiplied by the number of windows a row is in. Time is cut
+    into slices with totals of their own, so a key that is always busy is shared
+    among tasks and rounding errors do not build up.
     """
     cells = cells.withColumn("value_sum", F.col("v") * F.col("total"))
     counted = ["total", *sums, "value_sum"]
@@ -142,17 +146,28 @@ def sliding_histogram(
         hist = cells.groupBy(*keys, "pane", "bin").agg(*[F.sum(c).alias(c) for c in counted])
         hist = hist.withColumn("tick", F.col("pane") + 1).drop("pane")
         return hist if last is None else hist.filter(F.col("tick") <= last)
-    enter = F.struct((F.col("pane") + 1).alias("tick"), *counted)
+    length = span * SLICE_WINDOWS
+
+    def slice_of(tick: Column) -> Column:
+        return F.floor(tick / F.lit(length))
+
+    slice_end = (F.col("slice") + 1) * length
+    enter = F.struct(F.greatest(F.col("pane") + 1, F.col("slice") * length).alias("tick"), *counted)
     leave = F.struct((F.col("pane") + span + 1).alias("tick"), *[(-F.col(c)).alias(c) for c in counted])
     changes = (
-        cells.select(*keys, "bin", F.explode(F.array(enter, leave)).alias("c"))
-        .select(*keys, "bin", "c.*")
-        .groupBy(*keys, "bin", "tick")
+        cells.withColumn(
+            "slice",
+            F.explode(F.array_distinct(F.array(slice_of(F.col("pane") + 1), slice_of(F.col("pane") + span)))),
+        )
+        .select(*keys, "bin", "slice", F.explode(F.array(enter, leave)).alias("c"))
+        .select(*keys, "bin", "slice", "c.*")
+        .filter(F.col("tick") < slice_end)
+        .groupBy(*keys, "bin", "slice", "tick")
         .agg(*[F.sum(c).alias(c) for c in counted])
     )
-    in_time = Window.partitionBy(*keys, "bin").orderBy("tick")
+    in_time = Window.partitionBy(*keys, "bin", "slice").orderBy("tick")
     so_far = in_time.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    until = F.lead("tick").over(in_time) - 1
+    until = F.coalesce(F.lead("tick").over(in_time), slice_end) - 1
     running = changes.select(
         *keys,
         "bin",

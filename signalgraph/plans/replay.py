@@ -21,7 +21,7 @@ from signalgraph.operators import rates as R
 from signalgraph.operators import rules as U
 from signalgraph.operators import templates as T
 from signalgraph.params import Params
-from signalgraph.sources.logs import last_ts
+from signalgraph.sources.logs import first_ts, last_ts
 from signalgraph.sources.staging import stage
 
 
@@ -34,7 +34,7 @@ class Replay:
 
     @cached_property
     def started(self) -> float:
-        return self.raw_logs.agg(F.min("ts")).first()[0] or 0.0
+        return first_ts(self.raw_logs)
 
     @cached_property
     def last_ts(self) -> float:

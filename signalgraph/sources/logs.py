@@ -52,13 +52,14 @@ def append_logs(logs: DataFrame, path: str, batch: str | None = None) -> None:
     """Adds a batch; writing the same batch again replaces it, so a retried
     micro-batch is stored once.
 
-    Files hold runs of one service in time order, so row-group statistics on both
-    columns can skip data; a hot service or day is spread over tasks by trace.
+    Partitions follow the days but are evened out by size, however much a day or
+    service holds. Files are sorted by service and time, so row-group statistics
+    on both columns can skip data.
     """
     (
         with_event_date(logs)
         .withColumn("batch", F.lit(batch or uuid.uuid4().hex))
-        .repartition("event_date", F.pmod(F.xxhash64("trace_id"), F.lit(64)))
+        .hint("rebalance", "event_date")
         .sortWithinPartitions("event_date", "service", "ts")
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
@@ -70,7 +71,19 @@ def append_logs(logs: DataFrame, path: str, batch: str | None = None) -> None:
 
 def last_ts(logs: DataFrame) -> float:
     """Newest ``ts``; the default moment of every read. 0.0 for an empty table."""
-    return logs.agg(F.max("ts")).first()[0] or 0.0
+    return _extreme(logs, F.max)
+
+
+def first_ts(logs: DataFrame) -> float:
+    return _extreme(logs, F.min)
+
+
+def _extreme(logs: DataFrame, pick) -> float:
+    """Looks at one column, and in a table stored by day at one day only."""
+    if "event_date" in logs.columns:
+        day = logs.agg(pick("event_date")).first()[0]
+        logs = logs.filter(F.col("event_date") == F.lit(day))
+    return logs.agg(pick("ts")).first()[0] or 0.0
 
 
 def _bounded(logs: DataFrame, moment_s: float, newer: bool) -> DataFrame:
