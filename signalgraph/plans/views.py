@@ -245,3 +245,8 @@ def snapshot(replay: Replay, logs: int = 60, anomalies: int = 30, incidents: int
         listed(rules, "rules", F.col("position")),
     ]
     return reduce(lambda a, b: a.join(b, "moment"), parts, moment)
+
+
+def write_snapshot(message: DataFrame, path: str) -> None:
+    """The live message as one JSON document; call it once per micro-batch."""
+    message.write.mode("overwrite").json(path)

@@ -52,6 +52,25 @@ def start_append(
     )
 
 
+def start_table(
+    stream: DataFrame, path: str, checkpoint: str, every: str = "2 seconds", fmt: str = "parquet"
+) -> StreamingQuery:
+    """Appends any of the streams below to a table, at a pace of its own. Each
+    query has its own checkpoint, so each sees every record of the source."""
+    return (
+        stream.writeStream.format(fmt)
+        .option("path", path)
+        .option("checkpointLocation", checkpoint)
+        .trigger(processingTime=every)
+        .start()
+    )
+
+
+def counted(logs: DataFrame, name: str = "ingest") -> DataFrame:
+    """The same stream; each progress report tells how many rows passed."""
+    return logs.observe(name, F.count(F.lit(1)).alias("rows"), F.max("ts").alias("newest_ts"))
+
+
 def second_counts(logs: DataFrame, p: Params) -> DataFrame:
     """Totals per bucket, as each bucket closes."""
     return (
