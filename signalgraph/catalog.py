@@ -13,7 +13,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from signalgraph.functions import scalars as S
 from signalgraph.operators import detect as D
 from signalgraph.operators import forecast as E
 from signalgraph.operators import graph as G

@@ -1,7 +1,8 @@
 """Views of other tables as logs, so that every operator can read them.
 
-Each gives the ten log columns plus ``event_time``, the stored timestamp, so
-that a time filter can reach the parquet scan.
+Each gives the ten log columns. Views of tables with a stored timestamp add it as
+``event_time``, so that a time filter can reach the parquet scan; they read it as
+UTC, so the session's time zone must be UTC.
 """
 
 from __future__ import annotations
@@ -127,7 +128,6 @@ def document_logs(documents: DataFrame) -> DataFrame:
         F.lit(200).alias("status_code"),
         "message",
         F.lit(None).cast("bigint").alias("template_id"),
-        F.timestamp_seconds(F.col("doc_id")).cast("timestamp_ntz").alias("event_time"),
     )
 
 
@@ -146,5 +146,4 @@ def conversation_logs(conversations: DataFrame) -> DataFrame:
         F.lit(200).alias("status_code"),
         F.col("text").alias("message"),
         F.lit(None).cast("bigint").alias("template_id"),
-        F.timestamp_seconds(F.col("turn")).cast("timestamp_ntz").alias("event_time"),
     )

@@ -45,7 +45,9 @@ def parse_json_logs(raw: DataFrame) -> DataFrame:
 
 
 def with_event_date(logs: DataFrame) -> DataFrame:
-    return logs.select(*LOG_COLUMNS, F.to_date(F.timestamp_seconds("ts")).alias("event_date"))
+    """Adds the day in UTC, whatever the session's time zone."""
+    day = F.date_from_unix_date(F.floor(F.col("ts") / 86400.0).cast("int"))
+    return logs.select(*LOG_COLUMNS, day.alias("event_date"))
 
 
 def append_logs(logs: DataFrame, path: str, batch: str | None = None) -> None:
@@ -127,7 +129,8 @@ def prune_logs(spark: SparkSession, path: str, as_of: float, keep_s: float) -> i
     """
     cutoff = as_of - keep_s
     logs = read_logs(spark, path)
-    old = logs.filter(F.col("event_date") <= F.to_date(F.timestamp_seconds(F.lit(cutoff))))
+    day = (dt.datetime(1970, 1, 1) + dt.timedelta(seconds=cutoff)).date()
+    old = logs.filter(F.col("event_date") <= F.lit(day.isoformat()).cast("date"))
     folders = old.groupBy("event_date", "batch").agg(
         F.sum(F.when(F.col("ts") < cutoff, 1).otherwise(0)).alias("stale"), F.count(F.lit(1)).alias("n")
     )
