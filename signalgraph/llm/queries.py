@@ -5,24 +5,77 @@ from __future__ import annotations
 import uuid
 
 from signalgraph.llm import common as C
-from signalgraph.llm import line_dedup, packing, token_files
+from signalgraph.llm import (
+    graph_index,
+    line_dedup,
+    nbest,
+    packing,
+    quality_rules,
+    sharding,
+    simhash,
+    site_quality,
+    suffix_dedup,
+    token_files,
+)
 from signalgraph.sources.staging import staging_folder
 
 
+def op1_label_propagation(spark, folder):
+    return sharding.digest(C.table(spark, folder, "documents"))
+
+
+def op2_covering_simhash(spark, folder):
+    return simhash.digest(C.table(spark, folder, "documents"))
+
+
 def op3_best_fit_packing(spark, folder):
     return packing.pack_documents(C.table(spark, folder, "documents"))
 
 
+def op4_graph_search(spark, folder):
+    return graph_index.nearest(C.table(spark, folder, "embeddings"))
+
+
+def op5_nbest_pieces(spark, folder):
+    return nbest.digest(C.table(spark, folder, "documents"))
+
+
+def op6_site_quality(spark, folder):
+    return site_quality.judged(C.table(spark, folder, "documents"), C.table(spark, folder, "labels"))
+
+
 def op7_line_dedup(spark, folder):
     return line_dedup.digest(C.table(spark, folder, "documents"))
 
 
+def op8_quality_rules(spark, folder):
+    return quality_rules.digest(C.table(spark, folder, "documents"))
+
+
+def op9_suffix_dedup(spark, folder):
+    return suffix_dedup.digest(C.table(spark, folder, "documents"))
+
+
 def op10_token_files(spark, folder):
     path = f"{staging_folder(spark)}/token-files-{uuid.uuid4().hex}"
     token_files.save(C.table(spark, folder, "documents"), path)
     return token_files.read_documents(*token_files.load(spark, path))
 
 
-QUERIES = {f.__name__: f for f in (op3_best_fit_packing, op7_line_dedup, op10_token_files)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_label_propagation,
+        op2_covering_simhash,
+        op3_best_fit_packing,
+        op4_graph_search,
+        op5_nbest_pieces,
+        op6_site_quality,
+        op7_line_dedup,
+        op8_quality_rules,
+        op9_suffix_dedup,
+        op10_token_files,
+    )
+}
 
 ORACLES: dict[str, str] = {}

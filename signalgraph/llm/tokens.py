@@ -21,8 +21,8 @@ from signalgraph.llm import common as C
 
 VOCABULARY = "word_bpe_49k.json"
 END_ID = 2
-#: Words that a Python worker remembers; beyond that it starts afresh.
-WORDS_HELD = 700_000
+#: Words that a Python worker remembers (some 200 bytes each); beyond that it starts afresh.
+WORDS_HELD = 1_500_000
 #: New words encoded in one call of the library.
 WORDS_A_CALL = 2_000
 
@@ -42,6 +42,10 @@ class WordEncoder:
 
         self.library = Tokenizer.from_file(path)
         self.special = [t.content.encode() for t in self.library.get_added_tokens_decoder().values()]
+        vocabulary = self.library.get_vocab()
+        self.ends_word = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        for piece, i in vocabulary.items():
+            self.ends_word[i] = piece.endswith("</w>")
         self.known: dict[bytes, bytes] = {}
 
     def words(self, data: bytes) -> list[bytes]:
@@ -51,43 +55,62 @@ class WordEncoder:
             return data.split()
         return folded.split()
 
-    def _ask(self, words: list[bytes]) -> None:
-        for k in range(0, len(words), WORDS_A_CALL):
-            some = words[k : k + WORDS_A_CALL]
-            texts = [w.decode() for w in some]
-            found = self.library.encode(" ".join(texts), add_special_tokens=False)
-            starts = np.cumsum([0, *(len(t) + 1 for t in texts)])
-            at = np.fromiter((a for a, _ in found.offsets), np.int64, len(found.offsets))
-            cut = (np.searchsorted(at, starts) * 4).tolist()
-            ids = np.array(found.ids, dtype="<u4").tobytes()
-            for i, w in enumerate(some):
-                self.known[w] = ids[cut[i] : cut[i + 1]]
+    def _ask(self, words: list[bytes]) -> dict[bytes, bytes]:
+        """Ids of words, many in a call. A word of letters alone ends at the first piece
+        that ends a word; for other words the library's offsets tell."""
+        out: dict[bytes, bytes] = {}
+        texts = [w.decode() for w in words]
+        plain = [t.isalpha() for t in texts]
+        for letters in (True, False):
+            some = [(w, t) for w, t, a in zip(words, texts, plain) if a is letters]
+            for k in range(0, len(some), WORDS_A_CALL):
+                asked = some[k : k + WORDS_A_CALL]
+                line = " ".join([t for _, t in asked])
+                cut = self._ends(line, len(asked)) if letters else None
+                if cut is None:
+                    found = self.library.encode(line, add_special_tokens=False)
+                    starts = np.cumsum([0, *(len(t) + 1 for _, t in asked)])
+                    at = np.fromiter((a for a, _ in found.offsets), np.int64, len(found.offsets))
+                    cut = np.array(found.ids, dtype="<u4"), np.searchsorted(at, starts)
+                ids, places = cut[0].tobytes(), (cut[1] * 4).tolist()
+                for (w, _), a, b in zip(asked, places, places[1:]):
+                    out[w] = ids[a:b]
+        return out
+
+    def _ends(self, line: str, n: int) -> tuple[np.ndarray, np.ndarray] | None:
+        ids = np.array(self.library.encode_batch_fast([line], add_special_tokens=False)[0].ids, dtype="<u4")
+        ends = np.flatnonzero(self.ends_word[ids]) + 1
+        return (ids, np.concatenate(([0], ends))) if len(ends) == n and ends[-1] == len(ids) else None
 
     def _learn(self, words: set[bytes]) -> None:
         """Full stops and commas after a letter or digit are words of their own to the
         vocabulary, so the word before them is asked for without."""
-        ask, ended = set(), []
+        if len(self.known) + len(words) > WORDS_HELD:
+            self.known.clear()
+        known, ask, ended = self.known, set(), []
         for w in words:
             core = w.rstrip(b".,")
             if len(core) < len(w) and core[-1:].isalnum():
-                ended.append((w, core, w[len(core) :]))
-                ask.update(x for x in ended[-1][1:] if x not in self.known)
+                tail = w[len(core) :]
+                ended.append((w, core, tail))
+                ask.add(core)
+                ask.add(tail)
             else:
                 ask.add(w)
-        self._ask(list(ask))
+        known.update(self._ask([w for w in ask if w not in known]))
         for w, core, tail in ended:
-            self.known[w] = self.known[core] + self.known[tail]
+            known[w] = known[core] + known[tail]
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         split = [self.words(t) for t in texts]
-        new = set().union(*split) - self.known.keys()
-        if new:
-            if len(self.known) + len(new) > WORDS_HELD:
-                self.known.clear()
-                new = set().union(*split)
-            self._learn(new)
-        look = self.known.__getitem__
-        return [b"".join(map(look, words)) for words in split]
+        look = self.known.get
+        found = [list(map(look, words)) for words in split]
+        gaps = [(ids, i, words[i]) for words, ids in zip(split, found) if None in ids for i, got in enumerate(ids) if got is None]
+        if gaps:
+            self._learn({w for _, _, w in gaps})
+            for ids, i, w in gaps:
+                ids[i] = self.known[w]
+        return [b"".join(ids) for ids in found]
 
 
 _encoders: dict[str, WordEncoder] = {}
