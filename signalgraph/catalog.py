@@ -80,13 +80,21 @@ def events(spark: SparkSession, folder: str) -> DataFrame:
     return A.event_logs(A.table(spark, folder, "events"))
 
 
-_replays: dict[tuple[str, str], Replay] = {}
+_replays: dict[tuple, Replay] = {}
+
+
+def _version(spark: SparkSession, path: str) -> tuple[int, int, int]:
+    """Size, number of files and time of change of a table's folder or file."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    held = fs.getContentSummary(at)
+    return held.getLength(), held.getFileCount(), fs.getFileStatus(at).getModificationTime()
 
 
 def replay(spark: SparkSession, folder: str) -> Replay:
     """The replay of a folder's events. Its staged tables serve all queries of a
-    session: the tables of a folder are taken as fixed meanwhile."""
-    key = (spark.sparkContext.applicationId, folder)
+    session until the events change."""
+    key = (spark.sparkContext.applicationId, folder, _version(spark, f"{folder}/events.parquet"))
     if key not in _replays:
         _replays[key] = Replay(events(spark, folder), P, U.rules_frame(spark, RULES))
     return _replays[key]
@@ -204,8 +212,14 @@ def _top_templates(r: Replay):
 
 
 def _new_templates(r: Replay):
-    eager = Params(**{**P.__dict__, "warmup_s": 1.0})
-    return M.new_templates(r.templates, eager, r.started).select("tick_no", "tick", "template_id", "service")
+    return M.new_templates(r.templates, P, r.started).select("tick_no", "tick", "template_id", "service")
+
+
+def _document_new_templates(spark, folder):
+    """Ids of documents stand for seconds here, so the warm-up is a live one."""
+    logs = A.document_logs(A.table(spark, folder, "documents"))
+    templates, _ = M.mine_templates(logs, Params())
+    return M.new_templates(templates, Params(), L.first_ts(logs)).select("tick_no", "tick", "template_id", "service", "first_text")
 
 
 def _anomalies(r: Replay):
@@ -424,6 +438,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "line_trace_depth": _line_depth,
     "conversation_templates": _conversation_templates,
     "document_templates": _document_templates,
+    "document_new_templates": _document_new_templates,
     "document_masks": _document_masks,
     "stream_service_rates": lambda spark, folder: rounded(J.replay_window_rates(spark, folder, P), "tick"),
     "stream_forecast": lambda spark, folder: rounded(J.replay_forecast(spark, folder, P)),

@@ -8,7 +8,6 @@ from typing import Any
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import AtomicType
 
 
 def number_rows(df: DataFrame, lead: str, ties: list[str], out: str, width: float) -> DataFrame:
@@ -111,26 +110,10 @@ def spread_by(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
 
 
-def lookup_hot_safe(
-    rows: DataFrame, found: DataFrame, key: str, weight: str, values: list[str], hot_share: int = 1000
-) -> DataFrame:
-    """``rows`` left-joined with ``found`` on ``key``, where few keys may hold most rows.
+def lookup(rows: DataFrame, found: DataFrame, key: str, values: list[str]) -> DataFrame:
+    """``rows`` with the ``values`` that ``found`` has for their ``key`` (one row per key).
 
-    ``found`` has one row per key, and ``weight``, the number of ``rows`` with it.
-    Keys holding at least 1/``hot_share`` of all rows are at most ``hot_share``
-    many, so they are broadcast; for the rest no key is hot, so they are joined
-    by shuffle. Rows already answered get keys of their own, spread evenly by
-    their content, so that a repeated task sends them the same way.
+    A few keys may hold most rows: it is a plain left join, whose hot partitions
+    adaptive execution splits by rows of the left side.
     """
-    content = [f.name for f in rows.schema.fields if isinstance(f.dataType, AtomicType)]
-    is_hot = F.col(weight) * hot_share >= F.lit(rows.count())
-    hot = found.filter(is_hot).select(F.col(key), F.struct(*values).alias("_hot"))
-    cold = found.filter(~is_hot).select(F.col(key).alias("_key"), F.struct(*values).alias("_cold"))
-    spread = F.concat(F.lit("\u0000"), F.xxhash64(*content).cast("string"))
-    first = rows.join(F.broadcast(hot), key, "left")
-    second = first.withColumn("_key", F.when(F.col("_hot").isNull(), F.col(key)).otherwise(spread))
-    return (
-        second.join(cold, "_key", "left")
-        .withColumns({v: F.coalesce(F.col(f"_hot.{v}"), F.col(f"_cold.{v}")) for v in values})
-        .drop("_key", "_hot", "_cold")
-    )
+    return rows.join(found.select(key, *values), key, "left")

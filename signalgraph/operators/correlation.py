@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.stat import Correlation
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,61 +11,44 @@ FLAT = 1e-9  # a series deviating less than this is constant
 def correlation(rates: DataFrame, start: int, end: int) -> DataFrame:
     """``rates`` has service, bucket, rate; absent buckets of ``[start, end)`` are 0.
 
-    Gives service_a, service_b, corr for every ordered pair. The sums behind the
-    matrix are added up on the executors, one vector per bucket; the matrix
-    itself is the result. A constant series correlates 0 with others, 1 with
-    itself.
+    Gives service_a, service_b, corr for every ordered pair. Products are summed over
+    buckets where both services have a rate, for half of the pairs, and mirrored; the
+    list of all pairs is the result. A constant series correlates 0 with others, 1
+    with itself, as does any over fewer than three buckets.
     """
     n = end - start
-    mean = F.sum("rate") / n
-    spread = (
-        rates.groupBy("service")
-        .agg(mean.alias("mean"), F.count(F.lit(1)).alias("present"))
-        .join(rates, "service")
+    moments = rates.groupBy("service").agg((F.sum("rate") / n).alias("mean"), F.count(F.lit(1)).alias("present"))
+    off = F.col("rate") - F.col("mean")
+    axis = (
+        rates.join(moments, "service")
         .groupBy("service")
         .agg(
-            F.sqrt(
-                (F.sum((F.col("rate") - F.col("mean")) ** 2) + (n - F.max("present")) * F.max("mean") ** 2) / n
-            ).alias("sd")
+            F.max("mean").alias("mean"),
+            F.sqrt((F.sum(off * off) + (n - F.max("present")) * F.max("mean") * F.max("mean")) / n).alias("sd"),
         )
+        .withColumn("moves", (F.col("sd") >= FLAT) & F.lit(n >= 3))
     )
-    axis = [(r.service, r.sd) for r in spread.orderBy("service").collect()]
-    spark = rates.sparkSession
-    schema = "service_a string, service_b string, corr double"
-    names = [name for name, _ in axis]
-    moving = [name for name, sd in axis if sd >= FLAT and n >= 3]
-    if not moving:
-        return _fill(spark.createDataFrame([], schema), spark, names)
-
-    scaled = rates.join(spread.filter(F.col("sd") >= FLAT), "service").withColumn(
-        "z", F.col("rate") / F.greatest("sd", F.lit(FLAT))
+    some = rates.filter("rate <> 0")
+    a, b = (some.select(F.col("service").alias(f"service_{x}"), "bucket", F.col("rate").alias(f"rate_{x}")) for x in "ab")
+    half = (
+        a.join(b, "bucket")
+        .filter("service_a < service_b")
+        .groupBy("service_a", "service_b")
+        .agg(F.sum(F.col("rate_a") * F.col("rate_b")).alias("products"))
     )
-    wide = scaled.groupBy("bucket").pivot("service", moving).agg(F.first("z"))
-    columns = [f"s{i}" for i in range(len(moving))]
-    wide = (
-        spark.range(start, end).withColumnRenamed("id", "bucket").join(wide.toDF("bucket", *columns), "bucket", "left")
-    ).fillna(0.0)
-    vectors = VectorAssembler(inputCols=columns, outputCol="v").transform(wide)
-    matrix = F.udf(lambda m: m.toArray().tolist(), "array<array<double>>")
-    axis_col = F.array(*[F.lit(name) for name in moving])
-    pairs = (
-        Correlation.corr(vectors, "v", "pearson")
-        .select(F.posexplode(matrix(F.col("pearson(v)"))).alias("a", "line"))
-        .select("a", F.posexplode("line").alias("b", "corr"))
+    other = half.select(F.col("service_b").alias("service_a"), F.col("service_a").alias("service_b"), "products")
+    left, right = (axis.select(*[F.col(c).alias(f"{c}_{x}") for c in axis.columns]) for x in "ab")
+    covariance = F.coalesce("products", F.lit(0.0)) / n - F.col("mean_a") * F.col("mean_b")
+    found = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), covariance / (F.col("sd_a") * F.col("sd_b"))))
+    return (
+        left.crossJoin(right)  # the matrix itself
+        .join(half.unionByName(other), ["service_a", "service_b"], "left")
         .select(
-            F.get(axis_col, F.col("a")).alias("service_a"),
-            F.get(axis_col, F.col("b")).alias("service_b"),
-            F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("corr"))).alias("corr"),
+            "service_a",
+            "service_b",
+            F.when(F.col("service_a") == F.col("service_b"), 1.0)
+            .when(F.col("moves_a") & F.col("moves_b"), found)
+            .otherwise(0.0)
+            .alias("corr"),
         )
     )
-    return _fill(pairs, spark, names) if len(moving) < len(names) else pairs
-
-
-def _fill(pairs: DataFrame, spark, names: list[str]) -> DataFrame:
-    """Adds the pairs of constant series."""
-    axis = spark.createDataFrame([(name, names) for name in names], "service_a string, others array<string>")
-    every = axis.select("service_a", F.explode("others").alias("service_b"))
-    same = F.when(F.col("service_a") == F.col("service_b"), 1.0).otherwise(0.0)
-    return every.join(pairs, ["service_a", "service_b"], "left").select(
-        "service_a", "service_b", F.coalesce("corr", same).alias("corr")
-    )

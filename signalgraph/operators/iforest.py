@@ -1,8 +1,8 @@
 """Isolation forest (Liu, Ting, Zhou, ICDM 2008) over feature rows.
 
 ``forest_per_tick`` fits and scores each tick's services, as the live detector
-does. ``pooled_forest`` fits one forest for a whole table from the small
-subsamples the method asks for, and scores all rows in parallel.
+does. ``pooled_forest`` fits one forest for a whole table, each tree from the small
+subsample the method asks for, and scores all rows in parallel.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from signalgraph.functions.ordered import spread_by
@@ -20,8 +20,6 @@ from signalgraph.operators.rates import FEATURES
 from signalgraph.params import Params
 from signalgraph.sources.staging import stage
 
-SUBSAMPLE = 256  # rows per tree, from the paper
-
 
 def mean_path(n: np.ndarray) -> np.ndarray:
     """Average path length of an unsuccessful search among ``n`` rows."""
@@ -69,6 +67,17 @@ class Forest:
             value = rows[np.arange(len(rows)), self.feature[at]]
             at = self._child(at, value)
 
+    @classmethod
+    def of(cls, trees: list, sample_size: int) -> Forest:
+        """A forest of trees grown one by one on samples of one size."""
+        forest = cls.__new__(cls)
+        forest.sample_size = sample_size
+        forest.depth = max(1, math.ceil(math.log2(max(sample_size, 2))))
+        forest.nodes = 2 ** (forest.depth + 1) - 1
+        for name in ("feature", "split", "length"):
+            setattr(forest, name, np.concatenate([np.asarray(t[name]) for t in trees]))
+        return forest
+
     def _child(self, at: np.ndarray, value: np.ndarray) -> np.ndarray:
         root = at // self.nodes * self.nodes
         return root + 2 * (at - root) + 1 + (value > self.split[at])
@@ -87,10 +96,11 @@ class Forest:
 
 def subsamples(rows: np.ndarray, p: Params) -> np.ndarray:
     """Rows for each tree, drawn without replacement."""
-    if len(rows) <= SUBSAMPLE:
+    n = p.forest_subsample
+    if len(rows) <= n:
         return np.broadcast_to(rows, (p.trees, *rows.shape))
     rng = np.random.default_rng(p.forest_seed)
-    return rows[np.stack([rng.choice(len(rows), SUBSAMPLE, replace=False) for _ in range(p.trees)])]
+    return rows[np.stack([rng.choice(len(rows), n, replace=False) for _ in range(p.trees)])]
 
 
 def fit_and_score(rows: np.ndarray, p: Params) -> np.ndarray:
@@ -118,16 +128,32 @@ def forest_per_tick(features: DataFrame, p: Params) -> DataFrame:
 
 
 def pooled_forest(features: DataFrame, keys: list[str], p: Params) -> DataFrame:
-    """One forest for all rows; the subsamples are ``trees`` x 256 rows at most."""
+    """One forest for all rows. Each tree draws its ``forest_subsample`` rows from the
+    whole table, those with the smallest hash for that tree, and is grown in a task of
+    its own; only the grown trees, a fixed number of nodes, come to the driver."""
     logged = features.select(*keys, *[F.log1p(c).alias(c) for c in FEATURES])
-    luck = F.xxhash64(F.lit(p.forest_seed), *keys)
-    pool = np.array(
-        [tuple(r) for r in logged.orderBy(luck, *keys).limit(SUBSAMPLE * p.trees).select(*FEATURES).collect()]
-    ).reshape(-1, len(FEATURES))
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in logged.select(*keys).schema)
-    if len(pool) < p.forest_min_rows:
+    total, size = logged.count(), p.forest_subsample
+    if total < p.forest_min_rows:
         return logged.limit(0).select(*keys, F.lit(0.0).alias("decision"), F.lit(False).alias("is_outlier"))
-    forest = Forest(subsamples(pool, p), p.forest_seed)
+    # twice as many candidates as are needed; a tree is short of rows with a chance below 1e-20
+    likely = F.lit(int(min(1.0, 2.0 * size / total) * (1 << 30)))
+    lots = F.transform(
+        F.sequence(F.lit(0), F.lit(p.trees - 1)),
+        lambda t: F.struct(t.alias("tree"), F.pmod(F.xxhash64(F.lit(p.forest_seed), t, *keys), F.lit(1 << 30)).alias("luck")),
+    )
+    drawn = logged.withColumn("lot", F.explode(F.filter(lots, lambda x: x["luck"] < likely))).select("lot.*", *keys, *FEATURES)
+    order = Window.partitionBy("tree").orderBy("luck", *keys)
+    samples = drawn.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= min(size, total))
+
+    def grow(pdf: pd.DataFrame) -> pd.DataFrame:
+        tree = int(pdf["tree"].iloc[0])
+        rows = pdf.sort_values("place")[FEATURES].to_numpy(dtype=float)
+        f = Forest(rows[None], p.forest_seed + tree)
+        return pd.DataFrame({"tree": [tree], "feature": [f.feature], "split": [f.split], "length": [f.length]})
+
+    grown = samples.groupBy("tree").applyInPandas(grow, "tree int, feature array<long>, split array<double>, length array<double>")
+    forest = Forest.of(grown.orderBy("tree").collect(), min(size, total))
     shared = features.sparkSession.sparkContext.broadcast(forest)
 
     def run(batches):

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from signalgraph.functions import scalars as S
-from signalgraph.functions.ordered import lookup_hot_safe, number_rows, ordered_fold
+from signalgraph.functions.ordered import lookup, number_rows, ordered_fold
 from signalgraph.params import Params
 from signalgraph.sources.logs import last_ts, within
 from signalgraph.sources.staging import stage
@@ -60,10 +60,6 @@ def route(masked: DataFrame, p: Params) -> DataFrame:
     starts = stage(
         out.groupBy("width", *levels).agg(F.min(F.struct("first_ts", "first_span")).alias("arrived")), "starts"
     )
-    busiest = starts.groupBy("width").count().agg(F.max("count")).first()[0] or 0
-    if busiest <= p.template_children:  # no branch can be full
-        return out.withColumn("leaf", F.concat_ws(" ", F.col("width").cast("string"), *levels)).drop("width", *levels)
-
     routes = starts.withColumn("leaf", F.col("width").cast("string"))
     for b in levels:
         by_arrival = Window.partitionBy("leaf").orderBy("branch_arrived")
@@ -194,7 +190,7 @@ def mine_templates(logs: DataFrame, p: Params) -> tuple[DataFrame, DataFrame]:
 def assign_templates(logs: DataFrame, assigned: DataFrame) -> DataFrame:
     """Every record with its ``template_id``; common messages cannot skew the join."""
     keyed = logs.drop("template_id").withColumn("masked", clean())
-    return lookup_hot_safe(keyed, assigned, "masked", "n", ["template_id"]).drop("masked")
+    return lookup(keyed, assigned, "masked", ["template_id"]).drop("masked")
 
 
 def template_list(templates: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from signalgraph.functions import scalars as S
-from signalgraph.functions.ordered import lookup_hot_safe
+from signalgraph.functions.ordered import lookup
 
 SPAN_COLUMNS = [
     "trace_id", "ts", "span_id", "service", "parent_service", "level", "latency_ms", "status_code", "message",
@@ -41,8 +41,8 @@ def _first_sights(logs: DataFrame) -> DataFrame:
     place = F.struct("ts", "span_id")
     firsts = (
         logs.groupBy("trace_id", "service")
-        .agg(F.min(F.struct(place.alias("place"), "parent_service")).alias("first"), F.count(F.lit(1)).alias("n"))
-        .select("trace_id", "n", F.struct("first.place", "service", "first.parent_service").alias("first"))
+        .agg(F.min(F.struct(place.alias("place"), "parent_service")).alias("first"))
+        .select("trace_id", F.struct("first.place", "service", "first.parent_service").alias("first"))
     )
     # A service's level is one more than the depth of its first row, which looks
     # up the services first seen before it.
@@ -54,9 +54,7 @@ def _first_sights(logs: DataFrame) -> DataFrame:
             F.create_map(x["service"], F.coalesce(F.try_element_at(acc, x["parent_service"]), F.lit(0)) + 1),
         ),
     )
-    return firsts.groupBy("trace_id").agg(
-        seen.alias("levels"), F.collect_list("first").alias("firsts"), F.sum("n").alias("rows_in_trace")
-    )
+    return firsts.groupBy("trace_id").agg(seen.alias("levels"), F.collect_list("first").alias("firsts"))
 
 
 def trace_depth(logs: DataFrame) -> DataFrame:
@@ -64,12 +62,11 @@ def trace_depth(logs: DataFrame) -> DataFrame:
     which its parent service was first seen before it, else 0."""
     sights = _first_sights(logs).select(
         "trace_id",
-        "rows_in_trace",
         "levels",
         F.map_from_entries(F.transform("firsts", lambda x: F.struct(x["service"], x["place"]))).alias("places"),
     )
     spans = logs.select(*SPAN_COLUMNS)
-    known = lookup_hot_safe(spans, sights, "trace_id", "rows_in_trace", ["levels", "places"])
+    known = lookup(spans, sights, "trace_id", ["levels", "places"])
     parent_first = F.try_element_at(F.col("places"), F.col("parent_service"))
     depth = F.when(
         parent_first < F.struct("ts", "span_id"), F.try_element_at(F.col("levels"), F.col("parent_service"))
@@ -83,14 +80,9 @@ def trace_waterfall(logs: DataFrame) -> DataFrame:
         "trace_id",
         "started",
         F.when(F.bround("duration_ms", 2) == 0, 1.0).otherwise(F.bround("duration_ms", 2)).alias("total_ms"),
-        "spans",
     )
-    rows = lookup_hot_safe(
-        logs.select("trace_id", "span_id", "service", "ts", "latency_ms"),
-        summary,
-        "trace_id",
-        "spans",
-        ["started", "total_ms"],
+    rows = lookup(
+        logs.select("trace_id", "span_id", "service", "ts", "latency_ms"), summary, "trace_id", ["started", "total_ms"]
     )
     offset = (F.col("ts") - F.col("started")) * 1000.0
     left = S.clip(offset / F.col("total_ms") * 100.0, 0.0, 100.0)

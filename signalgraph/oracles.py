@@ -472,7 +472,7 @@ reach AS (
     ),
     "new_templates": sql(
         """ SELECT CAST(floor(first_ts / 3600) AS BIGINT) + 1 AS tick_no, (floor(first_ts / 3600) + 1) * 3600 AS tick,
-          template_id, first_service AS service FROM found, clock WHERE (floor(first_ts / 3600) + 1) * 3600 - started >= 1""",
+          template_id, first_service AS service FROM found, clock WHERE (floor(first_ts / 3600) + 1) * 3600 - started >= 45000""",
         MASKED,
     ),
     "kpi_counts": sql(

@@ -29,6 +29,7 @@ class Params:
     trees: int = 80
     forest_seed: int = 42
     forest_min_rows: int = 6
+    forest_subsample: int = 256  # rows per tree, from the paper
     edge_decay: float = 0.92
     edge_floor: float = 0.3
     blast_edge_floor: float = 0.1

@@ -18,8 +18,6 @@ from signalgraph.operators import templates as T
 from signalgraph.plans.replay import Replay
 from signalgraph.schema import LOG_COLUMNS
 
-ANOMALIES_HELD = 200  # the recent-anomaly count looks at no more than the last 200
-
 
 def kpi(replay: Replay) -> DataFrame:
     """One row at the latest tick. Every part is one number, so the parts are
@@ -27,12 +25,7 @@ def kpi(replay: Replay) -> DataFrame:
     p = replay.p
     line = R.timeline(replay.raw_logs, p, replay.last_ts)
     rates = replay.ticks
-    recent = (
-        replay.anomalies.filter(F.col("tick") <= replay.now)
-        .orderBy(*[F.col(c).desc() for c in D.ORDER])
-        .limit(ANOMALIES_HELD)
-        .filter(F.lit(replay.now) - F.col("tick") <= p.anomaly_recent_s)
-    )
+    recent = replay.anomalies.filter((F.col("tick") <= replay.now) & (F.lit(replay.now) - F.col("tick") <= p.anomaly_recent_s))
 
     def one(name: str, df: DataFrame, value: Column) -> DataFrame:
         return df.agg(value.cast("double").alias("value")).select(F.lit(name).alias("name"), "value")

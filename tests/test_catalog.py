@@ -1,9 +1,11 @@
 import pytest
 
 from __spark_entry__ import entry, oracle_sql, queries
-from check_oracles import compare, duck
+from check_oracles import compare, duck, rows_of
+from signalgraph.catalog import QUERIES, forget
 
 FOLDER = "/root/testdata/sf0.001"
+MAY_BE_EMPTY = {"focus_incident", "incident_subgraph"}
 
 
 @pytest.fixture(scope="module")
@@ -20,14 +22,20 @@ def test_every_sql_has_a_query():
     assert set(oracle_sql()) <= set(queries())
 
 
-@pytest.mark.parametrize("name", sorted(oracle_sql()))
+@pytest.mark.parametrize("name", sorted(oracle_sql()))  # with the training-data queries, where they are there
 def test_query_equals_its_sql(spark, con, name):
     rows, differs = compare(spark, con, FOLDER, name)
     assert differs == ""
 
 
-@pytest.mark.parametrize("name", sorted(set(queries()) - set(oracle_sql())))
-def test_query_runs_and_repeats(spark, name):
-    df = queries()[name](spark, FOLDER)
-    assert df.columns and len(set(df.columns)) == len(df.columns)
-    assert df.count() >= 0
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(oracle_sql())))
+def test_query_repeats_itself(spark, name):
+    def run():
+        forget()
+        df = queries()[name](spark, FOLDER)
+        assert df.columns and len(set(df.columns)) == len(df.columns)
+        return rows_of(df.columns, [tuple(r) for r in df.collect()])
+
+    first = run()
+    assert first[1] or name in MAY_BE_EMPTY
+    assert run() == first

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 import replicas
 from signalgraph.functions import scalars as S
-from signalgraph.functions.ordered import chain_by_gap, lookup_hot_safe, number_rows
+from signalgraph.functions.ordered import chain_by_gap, lookup, number_rows
 from signalgraph.functions.quantiles import value_bin, window_rollup
 
 
@@ -93,7 +93,7 @@ def test_lookup_with_a_hot_key(spark):
     )
     found = rows.groupBy("k").agg(F.count(F.lit(1)).alias("n")).withColumn("v", F.length("k"))
     found = found.filter("k <> 'k7'")
-    got = lookup_hot_safe(rows, found, "k", "n", ["v"], hot_share=10)
+    got = lookup(rows, found, "k", ["v"])
     assert got.count() == 3000
     assert got.filter("v IS NULL").select("k").distinct().collect()[0].k == "k7"
     assert got.filter("v IS NOT NULL AND v <> length(k)").count() == 0

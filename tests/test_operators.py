@@ -116,6 +116,24 @@ def test_forecast_equals_the_full_fold_on_long_series(spark):
     assert got.forecast == pytest.approx(mean, rel=1e-14) and got.stddev == pytest.approx(math.sqrt(var), rel=1e-14)
 
 
+def test_forecast_over_several_slices_and_a_decaying_series(spark):
+    xs = [1.0] + [0.0] * 149
+    decayed = E.forecast_now(tick_rows(spark, [(i, "a", x) for i, x in enumerate(xs)], "error_rate"), P).first()
+    assert decayed.forecast == pytest.approx(0.65**149, rel=1e-9)
+    rng = random.Random(4)
+    for p in (P, Params(ewma_alpha=0.01)):
+        xs = [rng.random() for _ in range(2 * E.SLICE_TICKS + 50)]
+        want, mean, var = {}, xs[0], 0.0
+        for i, x in enumerate(xs):
+            var = p.ewma_alpha * (x - mean) ** 2 + (1 - p.ewma_alpha) * var
+            mean = p.ewma_alpha * x + (1 - p.ewma_alpha) * mean
+            want[i] = mean, var
+        got = E.forecast(tick_rows(spark, [(i, "a", x) for i, x in enumerate(xs)], "error_rate"), p).collect()
+        assert len(got) == len(xs)
+        for r in got[:: 50] + got[-60:]:
+            assert (r.forecast, r.variance) == pytest.approx(want[r.tick_no], rel=1e-9)
+
+
 def test_correlation(spark):
     series = {"x": [0, 1, 0, 1, 0.5, 0], "y": [0, 1, 0, 0.5, 0, 0], "k": [0] * 6, "flat": [0.1] * 6}
     rates = spark.createDataFrame(
