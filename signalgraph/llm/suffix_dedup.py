@@ -72,7 +72,7 @@ SAMPLE_CHUNKS, SAMPLE_KEYS = 2_000, 64
 class SuffixParams:
     length: int = 100
     gram: int = 52
-    chunk_bytes: int = 8_000_000
+    chunk_bytes: int = 4_000_000
     part_keys: int = 400_000
     block_bytes: int = 1_000_000  # text hashed at a time
 
@@ -667,8 +667,11 @@ def removed(docs: DataFrame, p: SuffixParams = SuffixParams(), finish: Callable[
         again = (np.frombuffer(post.get("strings", b""), np.uint8)[number] > 0) | (first[number] != np.arange(len(number)))
         gone[here[again]] = True
         # a byte goes if a marked start lies at most length - 1 before it
-        last = np.maximum.accumulate(np.where(gone[:-1], np.arange(len(chunk.bytes)), -p.length))
-        covered = np.arange(len(chunk.bytes)) - last < p.length
+        marked = np.flatnonzero(gone)
+        edge = np.zeros(len(gone) + p.length, np.int32)
+        np.add.at(edge, marked, 1)
+        np.add.at(edge, marked + p.length, -1)
+        covered = np.cumsum(edge, dtype=np.int32)[: len(chunk.bytes)] > 0
         whole, out = chunk.copies(p, post.get("copies", b"")), []
         for d, (a, b) in enumerate(zip(chunk.starts.tolist(), chunk.ends.tolist())):
             mask = np.ones(b - a, bool) if whole[d] else covered[a:b]
