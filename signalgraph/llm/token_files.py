@@ -78,8 +78,8 @@ def train_dictionary(docs: DataFrame, p: FileParams) -> bytes:
         .limit(p.dictionary_docs)
         .collect()
     )
-    encode = K.WordEncoder(p.vocabulary or K.vocabulary_path()).encode
-    arrays = [serialize(ids, p.id_width) for ids in encode([(r["text"] or "").encode() for r in sample])]
+    encode = K.WordEncoder(p.vocabulary or K.vocabulary_path()).encode_all
+    arrays = [serialize(ids, p.id_width) for ids in encode([r["text"] for r in sample])]
     size = min(p.dictionary_bytes, sum(map(len, arrays)) // 8)
     try:
         return zstandard.train_dictionary(size, arrays).as_bytes() if size >= 1024 else b""

@@ -283,7 +283,7 @@ def test_word_ids_are_the_librarys(sample, monkeypatch):
         monkeypatch.setattr(K, "WORDS_HELD", held)
         own = K.WordEncoder(K.vocabulary_path())
         for t in odd + [t for _, t in sample[:60]]:
-            assert np.frombuffer(own.encode([t.encode()])[0], "<u4").tolist() == library.encode(t, add_special_tokens=False).ids
+            assert np.frombuffer(own.encode_all([t])[0], "<u4").tolist() == library.encode(t, add_special_tokens=False).ids
 
 
 def test_token_files_round_trip(spark, make, sample, tmp_path):
