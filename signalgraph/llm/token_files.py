@@ -71,9 +71,12 @@ class Codec:
 
 def train_dictionary(docs: DataFrame, p: FileParams) -> bytes:
     """From a bounded sample; empty where there is too little to learn from."""
+    docs = K.texts_of(docs)
+    # four times as many candidates as needed, so that no task sends its own thousand texts
+    share = min(1.0, 4.0 * p.dictionary_docs / max(docs.count(), 1))
     sample = (
-        K.texts_of(docs)
-        .select("doc_id", F.xxhash64("doc_id").alias("h"), F.substring("text", 1, p.dictionary_doc_bytes).alias("text"))
+        docs.select(F.xxhash64("doc_id").alias("h"), F.substring("text", 1, p.dictionary_doc_bytes).alias("text"))
+        .filter(F.pmod("h", F.lit(1 << 30)) < int(share * (1 << 30)) + 1)
         .orderBy("h", "text")
         .limit(p.dictionary_docs)
         .collect()
