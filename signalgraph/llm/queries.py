@@ -78,4 +78,20 @@ QUERIES = {
     )
 }
 
-ORACLES: dict[str, str] = {}
+_WHITE = "concat(" + ", ".join(f"chr({k})" for k in (9, 10, 11, 12, 13, 32)) + ")"
+
+#: The others need a tokenizer, XXH64, iteration or an estimate; tests/llm holds them against plain loops.
+ORACLES: dict[str, str] = {
+    "op7_line_dedup": f"""
+WITH split AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+lines AS (
+  SELECT doc_id, pos, line,
+    translate(trim(line, {_WHITE}), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+  FROM (SELECT doc_id, unnest(lines) AS line, unnest(range(len(lines))) AS pos FROM split)),
+held AS (
+  SELECT key, min(doc_id) AS keeper FROM lines WHERE length(key) >= 10 GROUP BY key HAVING count(DISTINCT doc_id) >= 2),
+judged AS (SELECT lines.*, coalesce(doc_id <> keeper, false) AS gone FROM lines LEFT JOIN held USING (key))
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
+FROM judged GROUP BY doc_id""",
+}
