@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
@@ -44,6 +44,15 @@ def discard(*frames: DataFrame) -> None:
             at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def without(docs: DataFrame, keys: dict[str, Column], bad: DataFrame) -> DataFrame:
+    """``docs`` without the rows whose ``keys`` (null equals null) are a row of ``bad``,
+    whatever columns ``docs`` has."""
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *[k.alias(c) for c, k in keys.items()])
+    bad = bad.select(*[F.col(c).alias(f"bad_{c}") for c in keys]).distinct()
+    same = [rows[c].eqNullSafe(bad[f"bad_{c}"]) for c in keys]
+    return rows.join(bad, same, "left_anti").select("row.*")
+
+
 def blobs(column: pa.Array) -> list[bytes | None]:
     """UTF-8 bytes of a text column, without decoding them."""
     return column.cast(pa.large_binary()).to_pylist()

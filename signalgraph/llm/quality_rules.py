@@ -248,5 +248,5 @@ def digest(docs: DataFrame, p: QualityParams = QualityParams()) -> DataFrame:
 
 def keep_good(docs: DataFrame, p: QualityParams = QualityParams()) -> DataFrame:
     """``docs`` without rejected rows."""
-    bad = verdicts(docs, p).filter("not kept").select(F.col("doc_id").alias("_id"), F.col("row_hash").alias("_hash")).distinct()
-    return docs.join(bad, docs["doc_id"].cast("long").eqNullSafe(F.col("_id")) & (row_hash(docs) == F.col("_hash")), "left_anti")
+    bad = verdicts(docs, p).filter("not kept").select("doc_id", "row_hash")
+    return C.without(docs, {"doc_id": F.col("doc_id").cast("long"), "row_hash": row_hash(docs)}, bad)

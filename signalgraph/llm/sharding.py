@@ -5,8 +5,10 @@ in hubs: a hub joins all its members (equal texts, a site, or one hub for each e
 Linked documents start dealt out evenly. In every round a join with the counts of its
 hubs tells each which shard holds most of its neighbours; wishes are counted by
 (from, to, priority), a matrix of bounded size, and the driver grants as many of the
-most useful as the quotas allow, swaps included. Documents without neighbours have no
-wish; they fill the room that is left in the end, so counts are at most one apart.
+most useful as the quotas allow, in chains and rings of moves that leave sizes as they
+are. Documents without neighbours have no wish; they fill the room that is left in the
+end, with the few that a grant of whole priorities left above a quota, so counts are
+at most one apart.
 
 A hub is never gathered: only its counts by shard are, summed on the map side. The
 join of members with these counts is an equi-join that adaptive execution splits for
@@ -21,13 +23,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from signalgraph.llm import common as C
 from signalgraph.llm import tokens as K
 
-GAINS, SLICES = 20, 16  # priorities: binary magnitude of the gain, then a slice by hash
+GAINS, SLICES = 20, 64  # priorities: binary magnitude of the gain, then a slice by hash
 
 
 @dataclass(frozen=True)
@@ -48,34 +50,78 @@ def quotas(rows: int, shards: int) -> list[int]:
     return [rows // shards + (s < rows % shards) for s in range(shards)]
 
 
-def granted(wishes: dict[tuple[int, int, int], int], load: list[int], quota: list[int]) -> tuple[dict[tuple[int, int], int], list[int]]:
-    """Priority below which each (from, to) may move, and the loads that follow.
+def circulation(wishes: dict[tuple[int, int], int], room: list[int]) -> dict[tuple[int, int], int]:
+    """How many of the wishes (from, to) can be granted so that no shard takes in more
+    than it gives away and has room for. Shortest chains of moves first: into a shard
+    with room, then swaps, then longer rings, until none is left."""
+    left = {edge: n for edge, n in wishes.items() if n}
+    spare = list(room)
+    flow = dict.fromkeys(wishes, 0)
+    shards = range(len(room))
+
+    def ring() -> list[int] | None:
+        """Shards in the order of a shortest chain that ends with room or where it began."""
+        best = None
+        for begin in shards:
+            came, queue = {begin: None}, [begin]
+            while queue:
+                at = queue.pop(0)
+                path, k = [at], came[at]
+                while k is not None:
+                    path.append(k)
+                    k = came[k]
+                if best and len(path) >= len(best):
+                    break
+                if len(path) > 1 and spare[at] > 0:
+                    best = path[::-1]
+                    break
+                if left.get((at, begin)) and (not best or len(path) + 1 < len(best)):
+                    best = [*path[::-1], begin]
+                    break
+                for to in shards:
+                    if to not in came and left.get((at, to)):
+                        came[to] = at
+                        queue.append(to)
+        return best
+
+    while path := ring():
+        steps = list(zip(path, path[1:]))
+        n = min(left[e] for e in steps)
+        if path[0] != path[-1]:
+            n = min(n, spare[path[-1]])
+            spare[path[-1]] -= n
+            spare[path[0]] += n
+        for e in steps:
+            flow[e] += n
+            left[e] -= n
+    return flow
+
 
-    Starts from all wishes and takes back the least useful arrivals of shards above
-    their quota, which may bring their old shards above theirs, until none is.
-    """
-    arrivals: dict[int, list] = {}
-    now = list(load)
+def granted(wishes: dict[tuple[int, int, int], int], load: list[int], quota: list[int]) -> tuple[dict[tuple[int, int], int], list[int]]:
+    """Priority below which each (from, to) may move, and the loads that follow. Whole
+    priorities are granted, so a shard may end a little above its quota."""
+    total: dict[tuple[int, int], int] = {}
+    by_edge: dict[tuple[int, int], list] = {}
     for (a, b, prio), n in wishes.items():
-        arrivals.setdefault(b, []).append((prio, a, n))
-        now[a] -= n
-        now[b] += n
-    for waiting in arrivals.values():
-        waiting.sort()
-    limit = {(a, b): GAINS * SLICES for a, b, _ in wishes}
-    while over := [b for b in arrivals if now[b] > quota[b] and arrivals[b]]:
-        for b in over:
-            while now[b] > quota[b] and arrivals[b]:
-                prio, a, n = arrivals[b].pop()
-                now[b] -= n
-                now[a] += n
-                limit[a, b] = prio
+        total[a, b] = total.get((a, b), 0) + n
+        by_edge.setdefault((a, b), []).append((prio, n))
+    flow = circulation(total, [max(q - x, 0) for q, x in zip(quota, load)])
+    limit, now = {}, list(load)
+    for (a, b), entries in by_edge.items():
+        limit[a, b], moved = 0, 0
+        for prio, n in sorted(entries):
+            if moved + n > flow[a, b] + n // 2:
+                break
+            moved += n
+            limit[a, b] = prio + 1
+        now[a] -= moved
+        now[b] += moved
     return limit, now
 
 
 def propagate(members: DataFrame, start: DataFrame, quota: list[int], load: list[int], rounds: int) -> tuple[DataFrame, list[int]]:
-    """``node, shard`` after at most ``rounds``, and the loads. ``members``: node, hub;
-    ``start``: node, shard, no shard above its quota."""
+    """``node, shard`` after at most ``rounds``, and the loads, which may be a little above
+    quotas. ``members``: node, hub; ``start``: node, shard."""
     shards = len(quota)
     spark = members.sparkSession
     state, idle = start, 0
@@ -100,7 +146,7 @@ def propagate(members: DataFrame, start: DataFrame, quota: list[int], load: list
         gain = F.least(F.lit(GAINS - 1), F.floor(F.log2(F.col("best.n") - F.col("own") + 1)).cast("int"))
         prio = (GAINS - 1 - gain) * SLICES + F.pmod(F.xxhash64("node"), F.lit(SLICES)).cast("int")
         wished = C.settle(wished.select("node", "shard", "to", prio.alias("prio")), "wishes")
-        found = wished.filter("`to` != shard").groupBy("shard", "to", "prio").count().collect()  # at most shards² · 320 rows
+        found = wished.filter("`to` != shard").groupBy("shard", "to", "prio").count().collect()  # at most shards² · 1280 rows
         wishes = {(r["shard"], r["to"], r["prio"]): r["count"] for r in found}
         limit, load = granted(wishes, load, quota)
         if not any(n for (a, b, prio), n in wishes.items() if prio < limit[a, b]):
@@ -135,15 +181,26 @@ def shard_documents(docs: DataFrame, p: ShardParams = ShardParams()) -> DataFram
     members = placed.filter("lone = 0").select("node", "hub")
     start = members.select("node", F.pmod("node", F.lit(p.shards)).cast("int").alias("shard"))
     state, load = propagate(members, start, quota, load, p.rounds) if linked else (start, load)
+    # what stands above a quota loses its place, hub by hub, and fills room like the rest
+    ranked = indexed(members.join(state, "node"), ["shard", "hub", "node"], "rank")
+    here = ranked.withColumn("rank", F.col("rank") - _starts(load)[F.col("shard")]).filter(F.col("rank") < F.element_at(F.array(*map(F.lit, quota)), F.col("shard") + 1))
+    settled = C.settle(placed.join(here.select("node", "shard"), "node", "left"), "shard_places")
+    taken = dict(settled.filter("shard is not null").groupBy("shard").count().collect())
+    homeless = indexed(settled.filter("shard is null").drop("shard"), ["hub", "node"], "rank")
     room, ends = 0, []
     for s in range(p.shards):
-        room += quota[s] - load[s]
+        room += quota[s] - taken.get(s, 0)
         ends.append(room)
-    fill = sum((F.when(F.col("node") - linked >= end, 1).otherwise(0) for end in ends), F.lit(0))
-    where = placed.join(state, "node", "left").withColumn("shard", F.coalesce("shard", fill).cast("int"))
-    first = F.create_map(*[F.lit(x) for s in range(p.shards) for x in (s, sum(quota[:s]))])
-    final = indexed(where.select("doc_id", "size", "text_crc32", "shard"), ["shard", "doc_id", "text_crc32"], "slot")
-    return final.withColumn("slot", F.col("slot") - first[F.col("shard")])
+    fill = sum((F.when(F.col("rank") >= end, 1).otherwise(0) for end in ends), F.lit(0)).cast("int")
+    rows = ["doc_id", "size", "text_crc32", "shard"]
+    where = settled.filter("shard is not null").select(*rows).union(homeless.withColumn("shard", fill).select(*rows))
+    final = indexed(where, ["shard", "doc_id", "text_crc32"], "slot")
+    return final.withColumn("slot", F.col("slot") - _starts(quota)[F.col("shard")])
+
+
+def _starts(sizes: list[int]) -> Column:
+    """Map from a shard to the rows of the shards before it."""
+    return F.create_map(*[F.lit(x) for s in range(len(sizes)) for x in (s, sum(sizes[:s]))])
 
 
 def digest(docs: DataFrame, p: ShardParams = ShardParams()) -> DataFrame:

@@ -175,5 +175,5 @@ def digest(docs: DataFrame, p: SimhashParams = SimhashParams()) -> DataFrame:
 def one_of_each(docs: DataFrame, p: SimhashParams = SimhashParams()) -> DataFrame:
     """``docs`` without the documents that are not the first of their component. All
     rows of a ``doc_id`` share its fate; rows without one stay."""
-    extra = near_duplicates(docs, p).filter("doc_id != component_id").select(F.col("doc_id").alias("_extra")).distinct()
-    return docs.join(extra, docs["doc_id"].cast("long") == F.col("_extra"), "left_anti")
+    extra = near_duplicates(docs, p).filter("doc_id != component_id").select("doc_id")
+    return C.without(docs, {"doc_id": F.col("doc_id").cast("long")}, extra)

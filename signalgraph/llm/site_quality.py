@@ -1,7 +1,7 @@
 """Quality and toxicity by hierarchical empirical Bayes over documents, paths and hosts.
 
-A classifier (logistic regression over hashed features of whole texts) gives each
-document evidence. Soft counts of it are summed by path (host and section) and by
+A classifier (logistic regression over those hashed features of whole texts that tell
+the classes apart) gives each document evidence. Soft counts of it are summed by path (host and section) and by
 host; beta priors shrink them: a path towards its host, a host towards all documents.
 How strongly comes from the data: the prior's weight is fitted by the method of
 moments to the spread of the rates beyond what their counts explain, so a sparse site
@@ -46,6 +46,8 @@ class SiteParams:
     rounds: int = 60
     rate: float = 0.5
     penalty: float = 1e-4
+    least_docs: int = 3  # of the sample that a feature must be in
+    least_z: float = 3.5  # how far from chance it must be
     least_quality: float = 0.1  # posterior below which a document goes
     most_toxic: float = 0.5  # posterior above which it goes
 
@@ -127,28 +129,43 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, p: SiteParams) -> list:
     return C.arrow_map(rows, run, "doc_id long, features binary, quality int, toxic int").collect()
 
 
+def chosen_features(doc: np.ndarray, at: np.ndarray, target: np.ndarray, p: SiteParams) -> np.ndarray:
+    """Which buckets tell the classes apart: signed roots of the likelihood ratio of
+    their counts, ``least_z`` or more away from chance."""
+    with_it = np.bincount(at, minlength=p.buckets).astype(float)
+    hits = np.bincount(at, weights=target[doc], minlength=p.buckets)
+    n, pos = len(target), target.sum()
+
+    def part(observed, expected):
+        return np.where(observed > 0, observed * np.log(np.maximum(observed, 1e-12) / np.maximum(expected, 1e-12)), 0.0)
+
+    g2 = np.zeros(p.buckets)
+    for k, total in ((hits, pos), (with_it - hits, n - pos)):
+        g2 += part(k, with_it * total / n) + part(total - k, (n - with_it) * total / n)
+    return (with_it >= p.least_docs) & (2 * g2 >= p.least_z**2)
+
+
 def fit(features: list[np.ndarray], target: np.ndarray, p: SiteParams) -> tuple[np.ndarray, float]:
-    """Weights and intercept of a logistic regression (adaptive gradient steps over the whole sample)."""
+    """Weights and intercept of a logistic regression on the chosen features (adaptive
+    gradient steps over the whole sample)."""
     doc = np.repeat(np.arange(len(features)), [len(f) for f in features])
     at = np.concatenate(features) if len(doc) else np.empty(0, np.int64)
-    size = np.sqrt(np.maximum(np.bincount(doc, minlength=len(features)), 1))
-    scale = (1 / size)[doc]
+    use = chosen_features(doc, at, target, p)
+    doc, at = doc[use[at]], at[use[at]]
     w, g2 = np.zeros(p.buckets), np.full(p.buckets, 1e-8)
     rate = min(max(target.mean(), 1e-4), 1 - 1e-4)
     b, b2 = math.log(rate / (1 - rate)), 1e-8
-    balance = np.where(target > 0.5, 0.5 / rate, 0.5 / (1 - rate))
     for _ in range(p.rounds):
-        z = np.bincount(doc, weights=w[at] * scale, minlength=len(features)) + b
-        err = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - target) * balance
-        g = np.bincount(at, weights=err[doc] * scale, minlength=p.buckets) / len(features) + p.penalty * w
+        z = np.bincount(doc, weights=w[at], minlength=len(features)) + b
+        err = 1 / (1 + np.exp(-np.clip(z, -30, 30))) - target
+        g = np.bincount(at, weights=err[doc], minlength=p.buckets) / len(features) + p.penalty * w
         g2 += g * g
         w -= p.rate * g / np.sqrt(g2)
         gb = err.mean()
         b2 += gb * gb
         b -= p.rate * gb / math.sqrt(b2)
     # one more line through the scores sets the odds to those of the sample
-    z = np.bincount(doc, weights=w[at] * scale, minlength=len(features))
-    slope, shift = _calibrate(z, target)
+    slope, shift = _calibrate(np.bincount(doc, weights=w[at], minlength=len(features)), target)
     return w * slope, shift
 
 
@@ -178,7 +195,7 @@ def evidence(docs: DataFrame, models: list[tuple[np.ndarray, float] | None], buc
             for text in C.blobs(part.column("text")):
                 at = of(text or b"")
                 for k, model in enumerate(weights):
-                    scores[k].append(None if model is None else float(model[0][at].sum() / math.sqrt(max(len(at), 1)) + model[1]))
+                    scores[k].append(None if model is None else float(model[0][at].sum() + model[1]))
             yield {c: part.column(c) for c in ("doc_id", "host", "section")} | {"quality": scores[0], "toxic": scores[1]}
 
     return C.arrow_map(_texts(docs), run, "doc_id long, host string, section string, quality double, toxic double")

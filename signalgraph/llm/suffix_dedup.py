@@ -429,6 +429,8 @@ class Cover:
 
     def ahead(self, values: np.ndarray, k: int) -> np.ndarray:
         """The values ``k`` places on in the same string; 0 beyond its end."""
+        if not k:
+            return values
         out = np.zeros(len(values), np.uint64)
         if len(values) > k:
             same = self.string[k:] == self.string[:-k]
