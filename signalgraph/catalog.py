@@ -232,16 +232,45 @@ def _members(r: Replay):
     return r.members.select("anomaly_id", "tick", "service", "incident_id")
 
 
-def _steady_members(r: Replay) -> DataFrame:
-    """Incidents of the repeatable detectors only: no forest."""
-    found = D.all_anomalies(
+def _steady_found(r: Replay) -> DataFrame:
+    return D.all_anomalies(
         D.rate_anomalies(R.zscores(r.ticks, P), P),
         D.rule_anomalies(r.rule_firings),
     )
-    with_blast = stage(D.with_blast_radius(found, r.topologies[0], r.blast), "steady")
+
+
+def _steady_members(r: Replay) -> DataFrame:
+    """Incidents of the repeatable detectors only: no forest."""
+    with_blast = stage(D.with_blast_radius(_steady_found(r), r.topologies[0], r.blast), "steady")
     return stage(N.assign_incidents(with_blast, P), "steady_members")
 
 
+def _steady_anomalies(r: Replay):
+    return joined(
+        D.with_blast_radius(_steady_found(r), r.topologies[0], r.blast).select(
+            "tick_no", "kind", "service", "severity", "description", "blast_radius"
+        ),
+        "blast_radius",
+    )
+
+
+def _steady_shown(r: Replay):
+    members = _steady_members(r)
+    first = members.groupBy("incident_id").agg(F.min(F.struct(*D.ORDER, "tick_no", "service")).alias("first"))
+    return members.join(first, "incident_id").select(
+        "tick_no", "kind", "service", "ord_3", F.col("first.tick_no").alias("first_tick_no"), F.col("first.service").alias("first_service")
+    )
+
+
+def _steady_roots(r: Replay):
+    members = _steady_members(r)
+    ranked = N.root_ranking(members, r.topologies[0], r.root_reach, P)
+    started = members.groupBy("incident_id").agg(F.min(F.struct(*D.ORDER, "tick_no")).alias("first"))
+    return ranked.join(started, "incident_id").select(
+        F.col("first.tick_no").alias("first_tick_no"), "service", "reached_by", "score", F.col("place").cast("bigint").alias("place")
+    )
+
+
 def _rate_incidents(r: Replay):
     records = N.incident_records(_steady_members(r), r.topologies[0], r.root_reach, P)
     return joined(
@@ -419,6 +448,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "iforest_pooled": on_replay(_pooled),
     "anomalies": on_replay(_anomalies),
     "incident_members": on_replay(_members),
+    "steady_anomalies": on_replay(_steady_anomalies),
+    "steady_members": on_replay(_steady_shown),
+    "steady_roots": on_replay(_steady_roots),
     "rate_incidents": on_replay(_rate_incidents),
     "incidents": on_replay(_incidents),
     "root_cause": on_replay(_root_cause),

@@ -11,6 +11,7 @@ from signalgraph.functions import scalars as S
 from signalgraph.functions.ordered import chain_by_gap, ordered_fold
 from signalgraph.operators.detect import ORDER
 from signalgraph.params import Params
+from signalgraph.sources.staging import stage
 
 
 class OpenIncidents:
@@ -40,30 +41,100 @@ class OpenIncidents:
         best["impact"] |= reached
         return best["id"]
 
+    def reopen(self, incident_id: str, last_ts: float, services: list[str], impact: list[str]) -> None:
+        """Takes an incident over from an earlier run."""
+        self.rows.append({"id": incident_id, "last_ts": last_ts, "services": set(services), "impact": set(impact)})
 
-def assign_incidents(anomalies: DataFrame, p: Params, by: list[str] | None = None) -> DataFrame:
+
+def assign_incidents(anomalies: DataFrame, p: Params, by: list[str] | None = None, opened: DataFrame | None = None) -> DataFrame:
     """Adds ``incident_id`` to each anomaly (which has blast_radius).
 
-    An anomaly can only join an incident whose last signal is at most the gap
-    old, so a longer pause between any two anomalies splits the work exactly.
-    ``by`` names columns, such as a tenant, that never share incidents.
+    An anomaly can only join an incident whose last signal is at most the gap old and
+    that shares a service with what it reaches. So the work is split exactly: by
+    pauses longer than the gap, then by groups of linked services, then by the pauses
+    of each group. ``by`` names columns, such as a tenant, that never share incidents.
+
+    ``opened`` are the incidents that an earlier run left open (``open_incidents``);
+    the anomalies are then those after it, and nothing older is folded again.
     """
     by = by or []
     gap = p.correlation_gap_s
-    moments = chain_by_gap(anomalies.select(*by, "tick").distinct(), "tick", gap, "chain", by)
-    chained = anomalies.join(moments, [*by, "tick"]).select(
-        *by, "chain", *ORDER, "anomaly_id", "service", F.to_json("blast_radius").alias("blast")
+    fresh = anomalies.select(
+        *by, F.lit(1).alias("turn"), *ORDER, "anomaly_id", "service", F.col("tick").alias("seen"), "blast_radius",
+        F.lit(None).cast("string").alias("state"),
+    )
+    if opened is not None:
+        fresh = fresh.unionByName(
+            opened.select(
+                *by, F.lit(0).alias("turn"), *[F.col(f"born.{c}").alias(c) for c in ORDER], F.col("incident_id").alias("anomaly_id"),
+                F.col("services")[0].alias("service"), F.col("last_ts").alias("seen"), F.array_union("services", "impact").alias("blast_radius"),
+                F.to_json(F.struct("last_ts", "services", "impact")).alias("state"),
+            )
+        )
+    fresh = stage(fresh, "to_assign") if opened is not None else fresh
+    chained = fresh.join(chain_by_gap(fresh.select(*by, "seen").distinct(), "seen", gap, "chain", by), [*by, "seen"])
+    linked = chained.join(linked_services(chained, [*by, "chain"]), [*by, "chain", "service"]).withColumnRenamed("chain", "outer_chain")
+    part = [*by, "outer_chain", "linked"]
+    chained = linked.join(chain_by_gap(linked.select(*part, "seen").distinct(), "seen", gap, "chain", part), [*part, "seen"]).select(
+        *part, "chain", "turn", *ORDER, "anomaly_id", "service", F.to_json("blast_radius").alias("blast"), "state"
     )
-    width = len(by) + 1
+    at = chained.columns.index("tick")
 
     def step(state: OpenIncidents, row: tuple):
-        ts, anomaly_id, service, blast = row[width], row[-3], row[-2], row[-1]
-        yield anomaly_id, state.add(anomaly_id, ts, service, json.loads(blast), gap)
+        anomaly_id, service, blast, saved = row[-4:]
+        if saved is not None:
+            state.reopen(anomaly_id, **json.loads(saved))
+        else:
+            yield anomaly_id, state.add(anomaly_id, row[at], service, json.loads(blast), gap)
 
     found = ordered_fold(
-        chained, [*by, "chain"], [*ORDER, "anomaly_id"], OpenIncidents, step, "anomaly_id string, first_id string"
+        chained, [*part, "chain"], ["turn", *ORDER, "anomaly_id"], OpenIncidents, step, "anomaly_id string, first_id string"
+    )
+    named = F.when(F.startswith("first_id", F.lit("inc_")), F.col("first_id")).otherwise(S.short_id("inc_", "first_id"))
+    return anomalies.join(found, "anomaly_id").withColumn("incident_id", named).drop("first_id")
+
+
+def linked_services(anomalies: DataFrame, keys: list[str]) -> DataFrame:
+    """``keys, service, linked``: the smallest service that a service is linked to, where
+    an anomaly links its own to all that it reaches. Rounds of taking the neighbours'
+    smallest, over distinct services only."""
+    pairs = anomalies.select(*keys, "service", F.explode("blast_radius").alias("other")).distinct()
+    both = stage(
+        pairs.union(pairs.select(*keys, F.col("other").alias("service"), F.col("service").alias("other"))).distinct(), "service_links"
+    )
+    labels = stage(both.select(*keys, "service").distinct().withColumn("linked", F.col("service")), "linked")
+    while True:
+        near = both.join(labels.withColumnsRenamed({"service": "other", "linked": "theirs"}), [*keys, "other"])
+        least = near.groupBy(*keys, "service").agg(F.min("theirs").alias("theirs"))
+        after = stage(
+            labels.join(least, [*keys, "service"], "left").select(
+                *keys, "service", F.least("linked", "theirs").alias("linked"), (F.col("theirs") < F.col("linked")).alias("moved")
+            ),
+            "linked",
+        )
+        labels = after.drop("moved")
+        if after.filter("moved").isEmpty():
+            return labels
+
+
+def open_incidents(members: DataFrame, p: Params, by: list[str] | None = None, opened: DataFrame | None = None) -> DataFrame:
+    """Incidents that may still take an anomaly after the last of ``members``: what a run
+    saves for the next one. ``opened`` is what it started from itself."""
+    by = by or []
+    now = members.agg(F.max("tick")).first()[0]
+    rows = members.select(
+        *by, "incident_id", F.col("tick").alias("last_ts"), F.array("service").alias("services"), F.col("blast_radius").alias("impact"),
+        F.struct(*ORDER, "anomaly_id").alias("born"),
+    )
+    if opened is not None:
+        rows = rows.unionByName(opened.select(*rows.columns))
+    merged = rows.groupBy(*by, "incident_id").agg(
+        F.max("last_ts").alias("last_ts"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_set("services")))).alias("services"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_set("impact")))).alias("impact"),
+        F.min("born").alias("born"),
     )
-    return anomalies.join(found, "anomaly_id").withColumn("incident_id", S.short_id("inc_", "first_id")).drop("first_id")
+    return merged.filter(F.lit(now) - F.col("last_ts") <= p.correlation_gap_s)
 
 
 def incident_impact(members: DataFrame) -> DataFrame:

@@ -206,6 +206,85 @@ SELECT rule_id, tick_no, service, fired_count,
   {near("least(CAST(0.95 AS DOUBLE), CAST(0.55 AS DOUBLE) + fired_count * CAST(0.05 AS DOUBLE))")} AS severity
 FROM firings"""
 
+REACH = """
+reach AS (
+  SELECT DISTINCT tick_no, source, source AS service, 0 AS hops FROM weights WHERE weight >= 0.1
+  UNION
+  SELECT r.tick_no, r.source, w.target, r.hops + 1
+  FROM reach r JOIN weights w ON w.tick_no = r.tick_no AND w.source = r.service AND w.weight >= 0.1
+  WHERE r.hops < 5),
+blasts AS (
+  SELECT tick_no, source, list(service ORDER BY hops, service) AS blast
+  FROM (SELECT tick_no, source, service, min(hops) AS hops FROM reach WHERE hops <= 4 GROUP BY tick_no, source, service)
+  GROUP BY tick_no, source)"""
+
+# Anomalies of the detectors without chance: rates and rules.
+STEADY = f"""
+named(rule_id, position, name) AS (VALUES ('r_err_any', 1, 'error rate anywhere'), ('r_pay_p95', 2, 'payments p95'),
+  ('r_ntf_load', 3, 'notifications load'), ('r_quiet', 4, 'ledger quiet')),
+steady AS (
+  SELECT s.tick_no, s.tick, 'rate_spike' AS kind, s.service,
+    greatest(0, least(1, (s.z - s.t) / CAST(6 AS DOUBLE) + CAST(0.5 AS DOUBLE))) AS severity,
+    CASE s.signal WHEN 0 THEN printf('error burst: %d errors, z=%.1f', z.errors, s.z)
+      WHEN 1 THEN printf('p95 latency jump to %.0fms, z=%.1f', z.p95, s.z)
+      ELSE printf('log volume spike: %d logs, z=%.1f', z.total, s.z) END AS description,
+    0 AS detector_ord, CAST(-z.total AS DOUBLE) AS ord_1, s.service AS ord_2, s.signal AS ord_3
+  FROM signals s JOIN zs z ON z.tick_no = s.tick_no AND z.service = s.service
+  UNION ALL
+  SELECT f.tick_no, f.tick, 'rule_fired', f.service,
+    least(CAST(0.95 AS DOUBLE), CAST(0.55 AS DOUBLE) + f.fired_count * CAST(0.05 AS DOUBLE)),
+    concat('rule · ', n.name, ' (observed ', CASE f.rule_id WHEN 'r_err_any' THEN printf('%.1f%%', f.value * 100)
+      WHEN 'r_pay_p95' THEN printf('%.0fms', f.value) ELSE printf('%.0f/min', f.value) END, ')'),
+    3, CAST(n.position AS DOUBLE), concat(f.rule_id, '|', f.scope), 0
+  FROM firings f JOIN named n USING (rule_id)),
+hit AS (
+  SELECT s.*, coalesce(b.blast, [s.service]) AS blast,
+    row_number() OVER (ORDER BY s.tick, s.detector_ord, s.ord_1, s.ord_2, s.ord_3) AS k
+  FROM steady s LEFT JOIN blasts b ON b.tick_no = s.tick_no AND b.source = s.service)"""
+
+# One anomaly after the other, with the open incidents as a list.
+FOLD = """
+fold AS (
+  SELECT CAST(0 AS BIGINT) AS k, CAST(0 AS BIGINT) AS joined,
+    CAST([] AS STRUCT(id BIGINT, seen DOUBLE, services VARCHAR[], impact VARCHAR[])[]) AS held
+  UNION ALL
+  SELECT k, CASE WHEN place > 0 THEN alive[place].id ELSE k END AS joined,
+    CASE WHEN place > 0 THEN list_transform(alive, lambda x, i: CASE WHEN i = place THEN struct_pack(id := x.id, seen := tick,
+        services := list_distinct(list_append(x.services, service)), impact := list_distinct(list_concat(x.impact, blast))) ELSE x END)
+      ELSE list_append(alive, struct_pack(id := k, seen := tick, services := [service], impact := blast)) END AS held
+  FROM (
+    SELECT k, tick, service, blast, alive, CASE WHEN list_max(scores) > 0 THEN list_position(scores, list_max(scores)) ELSE 0 END AS place
+    FROM (
+      SELECT k, tick, service, blast, alive, list_transform(alive, lambda x: CASE
+          WHEN list_contains(x.impact, service) OR list_contains(x.services, service) OR list_has_any(x.services, blast)
+          THEN CASE WHEN list_contains(x.impact, service) THEN CAST(3 AS DOUBLE) ELSE 0 END
+            + CASE WHEN list_contains(x.services, service) THEN 4 ELSE 0 END
+            + CASE WHEN list_has_any(x.services, blast) THEN 2 ELSE 0 END + greatest(0, 1 - (tick - x.seen) / CAST(45000 AS DOUBLE))
+          ELSE 0 END) AS scores
+      FROM (
+        SELECT h.k, h.tick, h.service, h.blast, list_filter(f.held, lambda x: h.tick - x.seen <= 45000) AS alive
+        FROM fold f JOIN hit h ON h.k = f.k + 1)))),
+members AS (
+  SELECT h.*, f.joined, first.tick_no AS first_tick_no, first.service AS first_service
+  FROM hit h JOIN fold f USING (k) JOIN hit first ON first.k = f.joined)"""
+
+# Reachability of the last tick with an anomaly while an incident is kept.
+ROOTS = """
+ended AS (SELECT joined, max(tick_no) AS tick_no FROM members GROUP BY joined),
+graph_of AS (
+  SELECT e.joined, max(m.tick_no) AS tick_no FROM ended e
+  JOIN (SELECT DISTINCT tick_no FROM members) m ON m.tick_no >= e.tick_no AND m.tick_no - e.tick_no <= 172 GROUP BY e.joined),
+parts AS (SELECT DISTINCT joined, first_tick_no, service FROM members),
+roots AS (
+  SELECT *, row_number() OVER (PARTITION BY joined ORDER BY score DESC, service) AS place FROM (
+    SELECT p.joined, p.first_tick_no, p.service, count(r.hops) AS reached_by,
+      count(r.hops) * CAST(100 AS DOUBLE) + coalesce(avg(r.hops), 0) AS score
+    FROM parts p LEFT JOIN (
+      SELECT g.joined, r.source, r.service, min(r.hops) AS hops FROM graph_of g JOIN reach r ON r.tick_no = g.tick_no
+      JOIN parts q ON q.joined = g.joined AND q.service = r.source WHERE r.source <> r.service
+      GROUP BY g.joined, r.source, r.service) r ON r.joined = p.joined AND r.service = p.service
+    GROUP BY p.joined, p.first_tick_no, p.service))"""
+
 EWMA = """
 ordered AS (SELECT *, row_number() OVER (PARTITION BY service ORDER BY tick_no) AS rn FROM ticks),
 ewma AS (
@@ -424,6 +503,37 @@ reach AS (
         TICKS,
         ZSCORES,
     ),
+    "steady_anomalies": sql(
+        f""" SELECT tick_no, kind, service, {near('severity')} AS severity, description,
+          array_to_string(blast, ',') AS blast_radius FROM hit""",
+        TICKS, WEIGHTS, ZSCORES, RULES, dwell(), REACH, STEADY, recursive=True,
+    ),
+    "steady_members": sql(
+        " SELECT tick_no, kind, service, ord_3, first_tick_no, first_service FROM members",
+        TICKS, WEIGHTS, ZSCORES, RULES, dwell(), REACH, STEADY, FOLD, recursive=True,
+    ),
+    "steady_roots": sql(
+        f" SELECT first_tick_no, service, reached_by, {near('score')} AS score, place FROM roots",
+        TICKS, WEIGHTS, ZSCORES, RULES, dwell(), REACH, STEADY, FOLD, ROOTS, recursive=True,
+    ),
+    "rate_incidents": sql(
+        f""" SELECT min(m.tick) AS started, max(m.tick) AS last_ts, {near('max(m.severity)')} AS severity,
+          array_to_string(list_sort(list(DISTINCT m.service)), ',') AS services, any_value(i.impact) AS impact,
+          count(*) AS anomaly_count, any_value(r.service) AS root_service,
+          CASE WHEN count(DISTINCT m.service) <= 1 THEN concat(any_value(r.service), ' · ', any_value(t.kinds))
+            ELSE concat(any_value(r.service), ' incident · ', count(DISTINCT m.service), ' services') END AS title
+        FROM members m
+        JOIN (SELECT joined, service FROM roots WHERE place = 1) r USING (joined)
+        JOIN (SELECT joined, string_agg(service, ',' ORDER BY hops, service) AS impact FROM (
+            SELECT m.joined, b.service, min(b.hops) AS hops FROM members m
+            JOIN (SELECT tick_no, source, service, hops FROM reach WHERE hops <= 4
+              UNION ALL SELECT tick_no, service, service, 0 FROM members) b
+              ON b.tick_no = m.tick_no AND b.source = m.service GROUP BY m.joined, b.service) GROUP BY joined) i USING (joined)
+        JOIN (SELECT joined, string_agg(concat(replace(kind, '_', ' '), '×', n), ', ' ORDER BY k) AS kinds FROM (
+            SELECT joined, kind, count(*) AS n, min(k) AS k FROM members GROUP BY joined, kind) GROUP BY joined) t USING (joined)
+        GROUP BY m.joined""",
+        TICKS, WEIGHTS, ZSCORES, RULES, dwell(), REACH, STEADY, FOLD, ROOTS, recursive=True,
+    ),
     "rule_eval": sql(
         f" SELECT rule_id, tick_no, service, {near('value')} AS value, entered_at, tick - entered_at AS dwell_s FROM dwells",
         TICKS,

@@ -70,25 +70,24 @@ def edge_weights(calls, last_seq, decay, floor):
 
 
 def incidents(anomalies, gap):
-    """First anomaly of the incident of each, from (id, ts, service, blast) in order."""
-    opened, out = [], {}
-    for key, ts, service, blast in anomalies:
-        choice, top = None, -1.0
-        for inc in opened:
-            age = ts - inc["last"]
-            if age > gap:
-                continue
-            points = 3 * (service in inc["impact"]) + 4 * (service in inc["members"]) + 2 * any(m in blast for m in inc["members"])
-            if points and points + max(0, 1 - age / gap) > top:
-                choice, top = inc, points + max(0, 1 - age / gap)
-        if choice is None:
-            choice = {"id": key, "members": set(), "impact": set()}
-            opened.append(choice)
-        choice["last"] = ts
-        choice["members"].add(service)
-        choice["impact"] |= set(blast)
-        out[key] = choice["id"]
-    return out
+    """First anomaly of the incident of each, from (id, ts, service, blast) in order.
+    An incident is the list of its anomalies so far; what it holds is read off them."""
+    stories = []
+
+    def fit(story, ts, service, blast):
+        own = {s for _, _, s, _ in story}
+        reach = {m for _, _, _, b in story for m in b} | own
+        ties = 3 * (service in reach) + 4 * (service in own) + 2 * (not own.isdisjoint(blast))
+        return ties and ties + max(0.0, 1 - (ts - story[-1][1]) / gap)
+
+    for one in anomalies:
+        _, ts, service, blast = one
+        candidates = [x for x in stories if ts - x[-1][1] <= gap and fit(x, ts, service, blast)]
+        if candidates:
+            max(candidates, key=lambda x: fit(x, ts, service, blast)).append(one)
+        else:
+            stories.append([one])
+    return {key: story[0][0] for story in stories for key, _, _, _ in story}
 
 
 def depths(rows):

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import replicas
+from signalgraph.sources.staging import stage
 from signalgraph import Params
 from signalgraph.functions.ordered import number_rows
 from signalgraph.operators import correlation as C
@@ -475,6 +476,32 @@ def test_incidents_match_the_loop(spark):
     assert len(pairs) > 20
 
 
+def test_a_second_run_goes_on_from_open_incidents(spark):
+    rng = random.Random(12)
+    near = {"a": "ab", "b": "bc", "c": "c", "x": "xy", "y": "y", "q": "q"}
+    rows, ts = [], 0
+    for _ in range(300):
+        ts += rng.choice([0, 2, 2, 4, 20, 24, 26])
+        s = rng.choice(list(near))
+        rows.append((ts, s, rng.random(), {m: i for i, m in enumerate(near[s])}))
+    frame = anomaly_frame(spark, rows)
+    whole = {r.anomaly_id: r.incident_id for r in N.assign_incidents(frame, P).collect()}
+    cut, later = rows[100][0], rows[200][0]
+    runs, opened = {}, None
+    for low, high in ((-1, cut), (cut, later), (later, 10**9)):
+        part = frame.filter((F.col("tick") > low) & (F.col("tick") <= high))
+        members = N.assign_incidents(part, P, opened=opened)
+        opened = stage(N.open_incidents(members, P, opened=opened), "open")
+        runs |= {r.anomaly_id: r.incident_id for r in members.collect()}
+    assert runs == whole
+
+
+def test_linked_services(spark):
+    chain = [(0, "s%02d" % k, 0.5, {"s%02d" % k: 0, "s%02d" % (k + 1): 1}) for k in range(9)] + [(0, "x", 0.5, {"x": 0, "y": 1})]
+    got = {r.service: r.linked for r in N.linked_services(anomaly_frame(spark, chain), ["tick"]).collect()}
+    assert got == {**{f"s{k:02d}": "s00" for k in range(10)}, "x": "x", "y": "x"}
+
+
 def test_tenants_never_share_incidents(spark):
     rows = anomaly_frame(spark, [(t, "a", 0.5, {"a": 0}) for t in (0, 2, 4, 6)])
     rows = rows.withColumn("env", F.when(F.col("tick") % 4 == 0, "one").otherwise("two"))
