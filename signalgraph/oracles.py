@@ -368,6 +368,69 @@ WINDOWS_CLOSED = LOGS.replace(_LAST, "CAST(floor((max(ts) - 10) / 3600) AS BIGIN
 
 BLANKS = r"[\s\x0B\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
 
+
+
+DOCUMENT_LINES = """SELECT CAST(doc_id AS DOUBLE) AS ts, printf('%010d', line_no) AS span, source AS service, line AS message
+  FROM (SELECT doc_id, source, unnest(lines) AS line, unnest(range(len(lines))) AS line_no
+    FROM (SELECT doc_id, source, string_split(text, chr(10)) AS lines FROM documents))"""
+SHOWN_TEMPLATES = """SELECT row_number() OVER (ORDER BY g.first) AS template_id, array_to_string(t.held[g.place], ' ') AS template,
+  CAST(g.count AS BIGINT) AS count, g.first_text
+FROM groups g JOIN texts t USING (leaf)"""
+NEW_TEMPLATES = """SELECT tick_no, tick, template_id, service, first_text FROM (
+  SELECT CAST(floor(first_ts / 2) AS BIGINT) + 1 AS tick_no, (floor(first_ts / 2) + 1) * 2 AS tick,
+    row_number() OVER (ORDER BY first) AS template_id, first_service AS service, first_text FROM groups)
+WHERE tick - (SELECT min(ts) FROM lines) >= 25"""
+
+
+def mined(lines: str, shown: str = SHOWN_TEMPLATES, children: int = 100) -> str:
+    """Templates of ``lines`` (ts, span, service, message): routing level by level, then
+    one message of every leaf after the other, with the leaf's groups as lists of words."""
+    levels = "".join(
+        f"""
+kept{i} AS (
+  SELECT leaf, b{i}, row_number() OVER (PARTITION BY leaf ORDER BY min(arrived)) AS place
+  FROM route{i} WHERE b{i} IS NOT NULL GROUP BY leaf, b{i}),
+route{i + 1} AS (
+  SELECT r.* EXCLUDE (leaf), CASE WHEN r.b{i} IS NULL THEN r.leaf
+    ELSE concat(r.leaf, ' ', CASE WHEN k.place <= {children} THEN r.b{i} ELSE '<*>' END) END AS leaf
+  FROM route{i} r LEFT JOIN kept{i} k ON k.leaf = r.leaf AND k.b{i} = r.b{i}),"""
+        for i in range(4)
+    )
+    branches = ", ".join(f"CASE WHEN starts_with(words[{i + 1}], '<') THEN '<*>' ELSE words[{i + 1}] END AS b{i}" for i in range(4))
+    same = " AND ".join(f"r.b{i} IS NOT DISTINCT FROM w.b{i}" for i in range(4))
+    return f"""WITH RECURSIVE lines AS ({lines}),
+masks AS (
+  SELECT masked, count(*) AS n, min((ts, span)) AS arrived, min(ts) AS first_ts, arg_min(service, (ts, span)) AS first_service FROM (
+    SELECT ts, span, service, trim(regexp_replace(regexp_replace(message, '{PARAMETER_PATTERN}', '<*>', 'g'), '{BLANKS}', ' ', 'g')) AS masked
+    FROM lines) WHERE masked <> '' GROUP BY masked),
+worded AS (SELECT *, len(words) AS width, {branches} FROM (SELECT *, string_split(masked, ' ') AS words FROM masks)),
+route0 AS (
+  SELECT width, b0, b1, b2, b3, min(arrived) AS arrived, CAST(width AS VARCHAR) AS leaf FROM worded GROUP BY width, b0, b1, b2, b3),
+{levels}
+ordered AS (
+  SELECT w.masked, w.words, w.n, w.arrived, w.first_ts, w.first_service, r.leaf, row_number() OVER (PARTITION BY r.leaf ORDER BY w.arrived, w.masked) AS k
+  FROM worded w JOIN route4 r ON r.width = w.width AND {same}),
+fold AS (
+  SELECT leaf, k, CAST(1 AS BIGINT) AS place, [words] AS held FROM ordered WHERE k = 1
+  UNION ALL
+  SELECT leaf, k, place, CASE WHEN place > len(held) THEN list_append(held, words)
+    ELSE list_transform(held, lambda g, nth: CASE WHEN nth = place
+      THEN list_transform(g, lambda x, i: CASE WHEN x = words[i] THEN x ELSE '<*>' END) ELSE g END) END AS held
+  FROM (
+    SELECT leaf, k, words, held, CASE WHEN list_max(scores) >= 0.55 THEN CAST(list_position(scores, list_max(scores)) AS BIGINT)
+      ELSE len(held) + 1 END AS place
+    FROM (
+      SELECT o.leaf, o.k, o.words, f.held, list_transform(f.held, lambda g: CAST(list_sum(list_transform(g,
+          lambda x, i: CASE WHEN x = o.words[i] OR x = '<*>' THEN 1 ELSE 0 END)) AS DOUBLE) / len(g)) AS scores
+      FROM fold f JOIN ordered o ON o.leaf = f.leaf AND o.k = f.k + 1))),
+texts AS (SELECT leaf, arg_max(held, k) AS held FROM fold GROUP BY leaf),
+groups AS (
+  SELECT o.leaf, f.place, sum(o.n) AS count, min((o.arrived, o.masked)) AS first, arg_min(o.masked, (o.arrived, o.masked)) AS first_text,
+    min(o.first_ts) AS first_ts, arg_min(o.first_service, (o.arrived, o.masked)) AS first_service
+  FROM ordered o JOIN fold f ON f.leaf = o.leaf AND f.k = o.k GROUP BY o.leaf, f.place)
+{shown}"""
+
+
 ORACLES: dict[str, str] = {
     "service_rates_asof": sql(
         f"SELECT {SHOWN_RATES} FROM rates", f" rates AS (SELECT service, {AGGS} FROM recent GROUP BY service) "
@@ -617,6 +680,12 @@ reach AS (
     + ","
     + EWMA
     + f" SELECT tick_no, service, {near('mean')} AS forecast, {near('sqrt(variance)')} AS stddev FROM ewma",
+    "conversation_templates": mined(
+        """SELECT CAST(turn AS DOUBLE) AS ts, concat(CAST(conv_id AS VARCHAR), '-', CAST(turn AS VARCHAR)) AS span, role AS service, text AS message
+        FROM conversations"""
+    ),
+    "document_templates": mined(DOCUMENT_LINES),
+    "document_new_templates": mined(DOCUMENT_LINES, NEW_TEMPLATES),
     "document_masks": f"""
       SELECT md5(masked) AS masked_md5, count(*) AS n, CAST(min(doc_id) AS DOUBLE) AS first_ts
       FROM (
