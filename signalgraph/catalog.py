@@ -317,6 +317,23 @@ def _outliers(r: Replay):
     return r.forest.filter("is_outlier").select("tick_no", "service", "decision")
 
 
+def _flag_counts(r: Replay):
+    """Trees are random, how many rows they flag is not: without ties it follows from
+    the contamination and the number of services."""
+    return r.forest.groupBy("tick_no").agg(
+        F.count(F.lit(1)).alias("services"), F.count(F.when(F.col("is_outlier"), 1)).alias("flagged")
+    )
+
+
+def _trace(logs):
+    """One trace whole: its spans in order with depth, and its summary."""
+    chosen = reads.recent_traces(logs, P, limit=1).select("trace_id")
+    mine = logs.join(F.broadcast(chosen), "trace_id")  # one row
+    spans = TR.trace_depth(mine).select("trace_id", "span_id", "service", "parent_service", "ts", "latency_ms", "level", "depth")
+    whole = spans.join(_trace_summary(mine).select("trace_id", "started", "duration_ms", "services", "has_errors"), "trace_id")
+    return whole.withColumn("depth", F.col("depth").cast("bigint"))
+
+
 def _pooled(r: Replay):
     return I.pooled_forest(R.feature_matrix(r.ticks), ["tick_no", "service"], P).filter("is_outlier")
 
@@ -419,6 +436,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "trace_summary": on_logs(_trace_summary, "duration_ms"),
     "trace_waterfall": on_logs(TR.trace_waterfall),
     "trace_depth": on_logs(lambda x: TR.trace_depth(x).select("span_id", F.col("depth").cast("bigint").alias("depth"))),
+    "trace": on_logs(_trace, "duration_ms", "latency_ms"),
     "edge_counts": on_logs(lambda x: G.edge_counts(x, P)),
     "edge_ticks": on_logs(lambda x: G.edge_ticks(x, P)),
     "neighbours": on_logs(_neighbours),
@@ -445,6 +463,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "top_templates": on_replay(_top_templates, "first_seen", "last_seen"),
     "new_templates": on_replay(_new_templates),
     "iforest_outliers": on_replay(_outliers),
+    "iforest_flag_counts": on_replay(_flag_counts),
     "iforest_pooled": on_replay(_pooled),
     "anomalies": on_replay(_anomalies),
     "incident_members": on_replay(_members),

@@ -492,6 +492,16 @@ ORACLES: dict[str, str] = {
         SUMMARY,
     ),
     "trace_depth": sql(" SELECT span_id, depth FROM spans_depth", DEPTHS, recursive=True),
+    "trace": sql(
+        """ SELECT l.trace_id, l.span_id, l.service, l.parent_service, l.ts, l.latency_ms, l.level, d.depth, s.started,
+          round(s.duration_ms, 2) AS duration_ms, s.services, s.has_errors
+        FROM logs l JOIN spans_depth d USING (span_id) JOIN summary s USING (trace_id)
+        WHERE l.trace_id = (SELECT trace_id FROM logs, clock WHERE ts >= now - 108000
+          GROUP BY trace_id ORDER BY max(ts) DESC, trace_id LIMIT 1)""",
+        DEPTHS,
+        SUMMARY,
+        recursive=True,
+    ),
     "edge_counts": sql(
         """SELECT parent_service AS source, service AS target, count(*) AS calls FROM recent
         WHERE parent_service IS NOT NULL AND parent_service <> service GROUP BY parent_service, service"""
@@ -560,6 +570,12 @@ reach AS (
         TICKS,
         ZSCORES,
     ),
+    "iforest_flag_counts": sql(
+        """ SELECT tick_no, count(*) AS services,
+          CAST(CASE WHEN (count(*) - 1) * 6 % 100 = 0 THEN (count(*) - 1) * 6 // 100 ELSE (count(*) - 1) * 6 // 100 + 1 END AS BIGINT) AS flagged
+        FROM ticks GROUP BY tick_no HAVING count(*) >= 6""",
+        TICKS,
+    ),
     "anomaly_load": sql(
         """ SELECT n.tick_no, count(s.tick_no) AS anomalies_recent
         FROM numbered n LEFT JOIN signals s ON s.tick_no <= n.tick_no AND n.tick_no - s.tick_no <= 30 GROUP BY n.tick_no""",
