@@ -418,6 +418,11 @@ def _document_masks(spark, folder):
     return M.masked_messages(logs).select(F.md5("masked").alias("masked_md5"), "n", "first_ts")
 
 
+def _stream_rule_firings(spark, folder):
+    found = J.replay_rule_firings(spark, folder, U.rules_frame(spark, RULES), P)
+    return rounded(found.select("rule_id", "tick_no", "service", "fired_count", "severity"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "service_rates_asof": on_logs(lambda x: R.service_rates(x, P)),
     "service_rates_ticks": on_logs(lambda x: R.service_ticks(x, P)),
@@ -492,5 +497,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "document_new_templates": _document_new_templates,
     "document_masks": _document_masks,
     "stream_service_rates": lambda spark, folder: rounded(J.replay_window_rates(spark, folder, P), "tick"),
-    "stream_forecast": lambda spark, folder: rounded(J.replay_forecast(spark, folder, P)),
+    "stream_forecast": lambda spark, folder: rounded(
+        J.replay_signals(spark, folder, P).select("tick_no", "service", "z_total", "z_errors", "z_p95", "forecast", "stddev")
+    ),
+    "stream_rate_anomalies": lambda spark, folder: rounded(
+        J.replay_rate_anomalies(spark, folder, P).select("tick_no", "kind", "service", "severity", "description")
+    ),
+    "stream_rule_firings": _stream_rule_firings,
+    "stream_edge_weights": lambda spark, folder: rounded(
+        J.replay_edge_weights(spark, folder, P).select("tick_no", "source", "target", "weight")
+    ),
+    "stream_seconds": lambda spark, folder: J.replay_seconds(spark, folder, P),
 }

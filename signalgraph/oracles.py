@@ -357,15 +357,6 @@ FROM dense a JOIN dense b ON a.bucket = b.bucket
 JOIN stats sa ON sa.service = a.service JOIN stats sb ON sb.service = b.service
 GROUP BY a.service, b.service, sa.s, sb.s"""
 
-_LAST = "CAST(floor(max(ts) / 3600) AS BIGINT) + 1 AS last_no"
-# A stream gives windows its watermark (10 s behind the newest row) has passed.
-PANES_CLOSED = LOGS.replace(
-    _LAST,
-    """(SELECT max(CAST(floor(ts / 3600) AS BIGINT)) + 1 FROM logs
-      WHERE (floor(ts / 3600) + 1) * 3600 <= (SELECT max(ts) FROM logs) - 10) AS last_no""",
-)
-WINDOWS_CLOSED = LOGS.replace(_LAST, "CAST(floor((max(ts) - 10) / 3600) AS BIGINT) AS last_no")
-
 BLANKS = r"[\s\x0B\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
 
 
@@ -688,14 +679,32 @@ reach AS (
     + ","
     + DEPTHS
     + " SELECT service, CAST(depth AS INTEGER) AS depth, count(*) AS n FROM spans_depth GROUP BY service, depth",
-    "stream_service_rates": "WITH " + PANES_CLOSED + "," + TICKS + f" SELECT tick_no, tick, {SHOWN_RATES} FROM ticks",
-    "stream_forecast": "WITH RECURSIVE "
-    + WINDOWS_CLOSED
-    + ","
-    + TICKS
-    + ","
-    + EWMA
-    + f" SELECT tick_no, service, {near('mean')} AS forecast, {near('sqrt(variance)')} AS stddev FROM ewma",
+    "stream_service_rates": sql(f" SELECT tick_no, tick, {SHOWN_RATES} FROM ticks", TICKS),
+    "stream_forecast": sql(
+        f""" SELECT e.tick_no, e.service, {near('z_total')} AS z_total, {near('z_errors')} AS z_errors, {near('z_p95')} AS z_p95,
+          {near('mean')} AS forecast, {near('sqrt(variance)')} AS stddev
+        FROM ewma e JOIN zs z ON z.tick_no = e.tick_no AND z.service = e.service""",
+        TICKS,
+        ZSCORES,
+        EWMA,
+        recursive=True,
+    ),
+    "stream_rate_anomalies": sql(
+        f" SELECT tick_no, kind, service, {near('severity')} AS severity, description FROM hit WHERE kind = 'rate_spike'",
+        TICKS, WEIGHTS, ZSCORES, RULES, dwell(), REACH, STEADY, recursive=True,
+    ),
+    "stream_rule_firings": sql(FIRINGS, TICKS, RULES, dwell()),
+    "stream_edge_weights": sql(
+        f""" SELECT tick_no, source, target, {near('weight')} AS weight FROM weights
+        WHERE (tick_no, source, target) IN (SELECT (tick_no, source, target) FROM calls)""",
+        TICKS,
+        WEIGHTS,
+        recursive=True,
+    ),
+    "stream_seconds": sql(
+        f""" SELECT CAST(floor(ts / 1800) AS BIGINT) * 1800000000 AS start_us, count(*) AS total, {ERRORS} AS errors, {WARNS} AS warns
+        FROM logs GROUP BY floor(ts / 1800)"""
+    ),
     "conversation_templates": mined(
         """SELECT CAST(turn AS DOUBLE) AS ts, concat(CAST(conv_id AS VARCHAR), '-', CAST(turn AS VARCHAR)) AS span, role AS service, text AS message
         FROM conversations"""

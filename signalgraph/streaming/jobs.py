@@ -11,15 +11,18 @@ from pyspark.sql.streaming.query import StreamingQuery
 from signalgraph.functions import scalars as S
 from signalgraph.functions.quantiles import quantile_rollup, value_bin
 from signalgraph.operators import rates as R
+from signalgraph.operators.detect import rate_anomalies
 from signalgraph.operators.rules import compare, metric_value
 from signalgraph.operators.templates import clean
 from signalgraph.params import Params
 from signalgraph.sources.adapters import event_logs
-from signalgraph.sources.logs import append_logs
-from signalgraph.sources.staging import staging_folder
+from signalgraph.sources.logs import append_logs, last_ts
+from signalgraph.schema import LOG_SCHEMA
+from signalgraph.sources.staging import stage, staging_folder
 from signalgraph.streaming import state as ST
 
 LATE_S = 10.0  # rows later than this are dropped
+FAR_S = 30 * 86400.0  # how far behind a replay's rows its end is marked
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -86,17 +89,19 @@ def second_counts(logs: DataFrame, p: Params) -> DataFrame:
 
 
 def sliding_rates(logs: DataFrame, p: Params) -> DataFrame:
-    """Per-service counts of every sliding window, as it closes. The p95 is an
-    approximate one of bounded state; ``pane_cells`` leads to the exact ones."""
+    """Per-service counts and exact p95 of every sliding window, as it closes.
+
+    Rows are counted once, per tick-long pane, service and latency; the windows are
+    made of these counts, so a row is not multiplied by the windows it is in.
+    """
+    windows = F.window(F.window_time("w"), _span(p.window_s), _span(p.tick_s))
     return (
-        timed(logs)
-        .groupBy(F.window("event_time", _span(p.window_s), _span(p.tick_s)), "service")
+        _cells(logs, p)
+        .groupBy(windows, "service")
         .agg(
-            F.count(F.lit(1)).alias("total"),
-            F.sum(S.flag(S.is_error())).alias("errors"),
-            F.sum(S.flag(F.col("level") == "WARN")).alias("warns"),
-            F.avg("latency_ms").alias("mean_lat"),
-            F.percentile_approx("latency_ms", 0.95, 10000).alias("p95"),
+            (F.sum(F.col("v") * F.col("total")) / F.sum("total")).alias("mean_lat"),
+            F.percentile("v", 0.95, F.col("total")).alias("p95"),
+            *[F.sum(c).alias(c) for c in ("total", "errors", "warns")],
         )
         .select(
             F.col("window.end").alias("event_time"),
@@ -113,25 +118,33 @@ def sliding_rates(logs: DataFrame, p: Params) -> DataFrame:
     )
 
 
+def _cells(logs: DataFrame, p: Params) -> DataFrame:
+    """Counts per pane ``w``, service and latency ``v``."""
+    return (
+        timed(logs)
+        .groupBy(F.window("event_time", _span(p.tick_s)).alias("w"), "service", F.col("latency_ms").alias("v"))
+        .agg(
+            F.count(F.lit(1)).alias("total"),
+            F.sum(S.flag(S.is_error())).alias("errors"),
+            F.sum(S.flag(F.col("level") == "WARN")).alias("warns"),
+        )
+    )
+
+
 def pane_cells(logs: DataFrame, p: Params) -> DataFrame:
     """Counts per tick-long pane, service and latency, as each pane closes.
 
     Every row is counted once, not once per window it is in; exact window
     quantiles come from the stored cells by ``rates_from_cells``.
     """
-    rows = timed(logs)
-    pane = F.window("event_time", _span(p.tick_s)).alias("w")
-    sums = {"errors": S.flag(S.is_error()), "warns": S.flag(F.col("level") == "WARN")}
-    counts = rows.groupBy(pane, "service", F.col("latency_ms").alias("v")).agg(
-        F.count(F.lit(1)).alias("total"), *[F.sum(c).alias(s) for s, c in sums.items()]
-    )
-    return counts.select(
+    return _cells(logs, p).select(
         (F.unix_micros("w.start") / F.lit(p.tick_s * 1000000)).cast("bigint").alias("pane"),
         "service",
         value_bin("v").alias("bin"),
         "v",
         "total",
-        *sums,
+        "errors",
+        "warns",
     )
 
 
@@ -148,6 +161,11 @@ def service_signals(rates: DataFrame, p: Params) -> DataFrame:
     return ST.run(rates, ["service"], ST.ServiceSignals(p))
 
 
+def rate_anomaly_stream(rates: DataFrame, p: Params) -> DataFrame:
+    """Anomaly rows of the rate detector, as ticks close."""
+    return rate_anomalies(service_signals(rates, p), p)
+
+
 def rule_signals(matches: DataFrame) -> DataFrame:
     """Firings of each rule from a stream of its matches (``stream_matches``)."""
     return ST.run(matches, ["rule_id"], ST.RuleDwell())
@@ -166,15 +184,21 @@ def stream_matches(rates: DataFrame, rules: DataFrame, p: Params) -> DataFrame:
 
 def edge_signals(logs: DataFrame, p: Params) -> DataFrame:
     """Edge weights, kept up tick by tick in state."""
-    calls = (
+    # rows that are no calls are left out only after counting, as they move the watermark too
+    is_call = F.col("parent_service").isNotNull() & (F.col("parent_service") != F.col("service"))
+    panes = (
         timed(logs)
-        .filter(F.col("parent_service").isNotNull() & (F.col("parent_service") != F.col("service")))
         .groupBy(
-            F.window("event_time", _span(p.window_s), _span(p.tick_s)),
+            F.window("event_time", _span(p.tick_s)).alias("w"),
             F.col("parent_service").alias("source"),
             F.col("service").alias("target"),
         )
-        .agg(F.count(F.lit(1)).alias("calls"))
+        .agg(F.sum(S.flag(is_call)).alias("calls"))
+        .filter("calls > 0")
+    )
+    calls = (
+        panes.groupBy(F.window(F.window_time("w"), _span(p.window_s), _span(p.tick_s)), "source", "target")
+        .agg(F.sum("calls").alias("calls"))
         .select(
             F.col("window.end").alias("event_time"),
             (F.unix_micros("window.end") / F.lit(p.tick_s * 1000000)).cast("bigint").alias("tick_no"),
@@ -207,9 +231,22 @@ def incident_signals(anomalies: DataFrame, p: Params, by: str = "env") -> DataFr
 
 
 def _event_stream(spark: SparkSession, folder: str) -> DataFrame:
+    """The events as a stream that ends: a row far behind the last one, of no service,
+    moves the watermark past all windows, so that a drained replay closes them."""
     path = f"{folder}/events.parquet"
-    stream = spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{path}*")
-    return event_logs(stream).drop("event_time")
+    held = spark.read.parquet(path)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    reader = spark.readStream.schema(held.schema)
+    if at.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(at).isDirectory():
+        stream = reader.parquet(path)
+    else:
+        stream = reader.option("pathGlobFilter", "events.parquet").parquet(folder)
+    end = event_logs(held).agg(F.max("ts").alias("ts"))
+    empty = [F.lit(None).cast(f.dataType).alias(f.name) for f in LOG_SCHEMA.fields if f.name != "ts"]
+    marker = stage(end.select((F.col("ts") + FAR_S).alias("ts"), *empty), "end_of_stream")
+    ending = spark.readStream.schema(marker.schema).parquet(marker.inputFiles()[0].rsplit("/", 1)[0])
+    logs = event_logs(stream).drop("event_time")
+    return logs.unionByName(ending.select(*logs.columns))
 
 
 def run_once(stream: DataFrame, name: str) -> DataFrame:
@@ -228,11 +265,38 @@ def run_once(stream: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{place}/out")
 
 
+def _until_last(spark: SparkSession, folder: str, out: DataFrame, p: Params) -> DataFrame:
+    """Without the windows that end after the last tick of the table."""
+    last = R.last_tick_no(last_ts(event_logs(spark.read.parquet(f"{folder}/events.parquet"))), p)
+    return out.filter(F.col("tick_no") <= last)
+
+
 def replay_window_rates(spark: SparkSession, folder: str, p: Params) -> DataFrame:
     cells = run_once(pane_cells(_event_stream(spark, folder), p), "cells")
     return rates_from_cells(cells, p)
 
 
-def replay_forecast(spark: SparkSession, folder: str, p: Params) -> DataFrame:
+def replay_signals(spark: SparkSession, folder: str, p: Params) -> DataFrame:
+    """z-scores and forecast of every tick."""
     rates = sliding_rates(_event_stream(spark, folder), p)
-    return run_once(service_signals(rates, p), "signals").select("tick_no", "service", "forecast", "stddev")
+    return _until_last(spark, folder, run_once(service_signals(rates, p), "signals"), p)
+
+
+def replay_rate_anomalies(spark: SparkSession, folder: str, p: Params) -> DataFrame:
+    """The rate detector over the stream, up to anomaly rows."""
+    rates = sliding_rates(_event_stream(spark, folder), p)
+    return _until_last(spark, folder, run_once(rate_anomaly_stream(rates, p), "anomalies"), p)
+
+
+def replay_rule_firings(spark: SparkSession, folder: str, rules: DataFrame, p: Params) -> DataFrame:
+    rates = sliding_rates(_event_stream(spark, folder), p)
+    return _until_last(spark, folder, run_once(rule_signals(stream_matches(rates, rules, p)), "firings"), p)
+
+
+def replay_edge_weights(spark: SparkSession, folder: str, p: Params) -> DataFrame:
+    """Weights at the ticks that saw calls."""
+    return _until_last(spark, folder, run_once(edge_signals(_event_stream(spark, folder), p), "edges"), p)
+
+
+def replay_seconds(spark: SparkSession, folder: str, p: Params) -> DataFrame:
+    return run_once(second_counts(_event_stream(spark, folder), p), "seconds")

@@ -67,8 +67,8 @@ class ServiceSignals(Processor):
     """Rolling z of total, errors and p95, and the error-rate forecast."""
 
     output = (
-        "service string, tick_no long, tick double, z_total double, z_errors double, z_p95 double, "
-        "forecast double, stddev double"
+        "service string, tick_no long, tick double, total long, errors long, p95 double, "
+        "z_total double, z_errors double, z_p95 double, forecast double, stddev double"
     )
     order = ["tick_no"]
     watched = ("total", "errors", "p95")
@@ -93,7 +93,10 @@ class ServiceSignals(Processor):
             off = x - state["mean"]
             state["variance"] = a * off * off + (1 - a) * state["variance"]
             state["mean"] = a * x + (1 - a) * state["mean"]
-        yield row["service"], row["tick_no"], row["tick"], *z, state["mean"], math.sqrt(state["variance"])
+        yield (
+            row["service"], row["tick_no"], row["tick"], row["total"], row["errors"], row["p95"], *z, state["mean"],
+            math.sqrt(state["variance"]),
+        )
 
 
 class RuleDwell(Processor):

@@ -69,6 +69,7 @@ def test_signals_follow_the_batch_ones(spark, story):
     for k, v in got.items():
         assert v["z_total"] == pytest.approx(z[k]["z_total"], abs=1e-5)
         assert v["z_errors"] == pytest.approx(z[k]["z_errors"], abs=1e-5)
+        assert v["z_p95"] == pytest.approx(z[k]["z_p95"], abs=1e-5)
         assert v["forecast"] == pytest.approx(f[k]["forecast"], abs=1e-5)
         assert v["stddev"] == pytest.approx(f[k]["stddev"], abs=1e-5)
 
