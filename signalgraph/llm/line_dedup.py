@@ -84,7 +84,8 @@ def dropped_lines(docs: DataFrame, p: LineParams = LineParams()) -> DataFrame:
         F.min("doc_id").alias("keeper"),
         (F.min("doc_id") != F.max("doc_id") if p.min_docs == 2 else F.countDistinct("doc_id") >= p.min_docs).alias("repeated"),
     )
-    repeated = seen.filter("repeated").select("h1", "h2", "keeper")
+    # written first: a join of two plain tables is one that adaptive execution can split at a hot line
+    repeated = C.settle(seen.filter("repeated").select("h1", "h2", "keeper"), "repeated_lines")
     extra = lines.join(repeated, ["h1", "h2"]).filter("doc_id != keeper")
     return extra.groupBy("doc_id", "text_h").agg(F.sort_array(F.collect_set("pos")).alias("drop"))
 
