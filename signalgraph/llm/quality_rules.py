@@ -206,7 +206,8 @@ def robust_estimates(rows: DataFrame, p: QualityParams = QualityParams()) -> Dat
     now = C.settle(_estimates(start, p), "robust")
     for _ in range(p.steps):
         far = rows.join(now, "grp").withColumn("d2", _distance(dims))
-        cut = far.groupBy("grp").agg(F.percentile_approx("d2", p.support, 2_000).alias("cut"))
+        # written first, as the estimates are: joins of plain tables can be split at a hot group
+        cut = C.settle(far.groupBy("grp").agg(F.percentile_approx("d2", p.support, 2_000).alias("cut")), "robust_cut")
         off = [F.col(f"x{i}") - F.col("centre")[i] for i in range(dims)]
         near = far.join(cut, "grp").filter("d2 <= cut").select("grp", "centre", *[off[i].alias(f"o{i}") for i in range(dims)])
         sums = near.groupBy("grp").agg(
@@ -219,7 +220,7 @@ def robust_estimates(rows: DataFrame, p: QualityParams = QualityParams()) -> Dat
             F.array(*[f"c{min(i, j)}_{max(i, j)}" for i in range(dims) for j in range(dims)]).alias("cross"),
         )
         nearer = C.settle(_estimates(moments, p), "robust")
-        C.discard(now)
+        C.discard(now, cut)
         now = nearer
     middle = rows.join(now, "grp").groupBy("grp").agg(F.percentile_approx(_distance(dims), 0.5, 2_000).alias("middle"))
     scale = F.greatest(F.lit(1.0), F.col("middle") / chi_square(dims, 0.0))
