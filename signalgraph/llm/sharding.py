@@ -127,7 +127,10 @@ def propagate(members: DataFrame, start: DataFrame, quota: list[int], load: list
     state, idle = start, 0
     for turn in range(rounds):
         placed = members.join(state, "node")
-        counts = placed.groupBy("hub").agg(*[F.count(F.when(F.col("shard") == s, 1)).alias(f"c{s}") for s in range(shards)])
+        # written first: a join of two plain tables is one that adaptive execution can split at a hot hub
+        counts = C.settle(
+            placed.groupBy("hub").agg(*[F.count(F.when(F.col("shard") == s, 1)).alias(f"c{s}") for s in range(shards)]), "hub_counts"
+        )
         votes = placed.join(counts, "hub").groupBy("node").agg(
             F.first("shard").alias("shard"), F.min("hub").alias("anchor"), *[F.sum(f"c{s}").alias(f"c{s}") for s in range(shards)]
         )
@@ -146,6 +149,7 @@ def propagate(members: DataFrame, start: DataFrame, quota: list[int], load: list
         gain = F.least(F.lit(GAINS - 1), F.floor(F.log2(F.col("best.n") - F.col("own") + 1)).cast("int"))
         prio = (GAINS - 1 - gain) * SLICES + F.pmod(F.xxhash64("node"), F.lit(SLICES)).cast("int")
         wished = C.settle(wished.select("node", "shard", "to", prio.alias("prio")), "wishes")
+        C.discard(counts)
         found = wished.filter("`to` != shard").groupBy("shard", "to", "prio").count().collect()  # at most shards² · 1280 rows
         wishes = {(r["shard"], r["to"], r["prio"]): r["count"] for r in found}
         limit, load = granted(wishes, load, quota)
@@ -173,7 +177,7 @@ def shard_documents(docs: DataFrame, p: ShardParams = ShardParams()) -> DataFram
         ),
         "shard_rows",
     )
-    shared = rows.groupBy("hub").count().filter("count > 1").select("hub", F.lit(0).alias("lone"))
+    shared = C.settle(rows.groupBy("hub").count().filter("count > 1").select("hub", F.lit(0).alias("lone")), "shared_hubs")
     marked = rows.join(shared, "hub", "left").withColumn("lone", F.coalesce("lone", F.lit(1)))
     placed = C.settle(indexed(marked, ["lone", "hub", "doc_id"], "node"), "shard_nodes")
     total, linked = placed.agg(F.count(F.lit(1)), F.count(F.when(F.col("lone") == 0, 1))).first()
