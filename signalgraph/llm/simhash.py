@@ -114,7 +114,8 @@ def near_links(fps: DataFrame, p: SimhashParams = SimhashParams()) -> DataFrame:
     radius, most = p.radius, p.cell_rows
     keys = [F.xxhash64(F.lit(t), F.col("fp").bitwiseAND(F.lit(m))) for t, m in enumerate(covering_masks(radius))]
     rows = fps.select(F.explode(F.array(*keys)).alias("key"), "fp")
-    shared = rows.groupBy("key").count().filter("count > 1").select("key", F.ceil(F.col("count") / most).cast("int").alias("n"))
+    counts = rows.groupBy("key").count().filter("count > 1").select("key", F.ceil(F.col("count") / most).cast("int").alias("n"))
+    shared = C.settle(counts, "shared_keys")  # a join of two plain tables can be split at a hot key
     dealt = (
         rows.join(shared, "key")
         .withColumn("part", F.pmod(F.xxhash64("fp"), F.col("n")).cast("int"))
