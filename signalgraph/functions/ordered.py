@@ -10,23 +10,25 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def number_rows(df: DataFrame, lead: str, ties: list[str], out: str, width: float) -> DataFrame:
-    """Adds ``out`` = 1, 2, 3 … in the order of numeric ``lead``, then ``ties``.
+def number_rows(df: DataFrame, lead: str, ties: list[str], out: str, width: float, by: list[str] | None = None) -> DataFrame:
+    """Adds ``out`` = 1, 2, 3 … in the order of numeric ``lead``, then ``ties``; for each
+    value of ``by`` apart.
 
     Rows are ranked inside slices of ``lead`` of the given width; only one row
     per slice meets in a single window, to add up the sizes before it.
     """
+    by = by or []
     sliced = df.withColumn("_slice", F.floor(F.col(lead) / F.lit(float(width))))
-    before = Window.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy(*by).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
-        sliced.groupBy("_slice")
+        sliced.groupBy(*by, "_slice")
         .agg(F.count(F.lit(1)).alias("_n"))
-        .select("_slice", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+        .select(*by, "_slice", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
     )
-    inside = Window.partitionBy("_slice").orderBy(lead, *ties)
+    inside = Window.partitionBy(*by, "_slice").orderBy(lead, *ties)
     return (
         sliced.withColumn("_rank", F.row_number().over(inside))
-        .join(offsets, "_slice")
+        .join(offsets, [*by, "_slice"])
         .withColumn(out, (F.col("_before") + F.col("_rank")).cast("bigint"))
         .drop("_slice", "_rank", "_before")
     )

@@ -188,14 +188,25 @@ def error_rate_series(logs: DataFrame, p: Params, as_of: float | None = None) ->
     )
 
 
+SAMPLE_SLICE = 4096  # samples of a service per window
+
+
 def zscores(ticks: DataFrame, p: Params, columns: tuple[str, ...] = ("total", "errors", "p95")) -> DataFrame:
     """Rolling z of each column over the service's last samples, itself included.
 
     Reads per-tick aggregates: a service has one row per tick however many logs
-    it wrote, so a busy service is no bigger than a quiet one here.
+    it wrote, so a busy service is no bigger than a quiet one here. A service's
+    samples are numbered and cut into slices that each begin with the samples its
+    first rows look back on, so a long history is many windows.
     """
-    recent = Window.partitionBy("service").orderBy("tick_no").rowsBetween(1 - p.z_samples, 0)
-    out = ticks.withColumn("samples", F.count(F.lit(1)).over(recent))
+    numbered = number_rows(ticks, "tick_no", [], "_nth", SAMPLE_SLICE, ["service"])
+    own = F.floor(F.col("_nth") / SAMPLE_SLICE)
+    late = F.pmod("_nth", F.lit(SAMPLE_SLICE)) > SAMPLE_SLICE - p.z_samples
+    sliced = numbered.withColumn("_own", own).withColumn(
+        "_slice", F.explode(F.when(late, F.array("_own", F.col("_own") + 1)).otherwise(F.array("_own")))
+    )
+    recent = Window.partitionBy("service", "_slice").orderBy("_nth").rowsBetween(1 - p.z_samples, 0)
+    out = sliced.withColumn("samples", F.count(F.lit(1)).over(recent))
     for c in columns:
         sd = F.stddev_pop(F.col(c).cast("double")).over(recent)
         mean = F.avg(F.col(c).cast("double")).over(recent)
@@ -205,4 +216,4 @@ def zscores(ticks: DataFrame, p: Params, columns: tuple[str, ...] = ("total", "e
                 (F.col(c) - mean) / F.when(sd < 1e-6, F.lit(1.0)).otherwise(sd)
             ),
         )
-    return out
+    return out.filter("_slice = _own").drop("_nth", "_own", "_slice")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from signalgraph.functions import scalars as S
+from signalgraph.functions.ordered import chain_by_gap
 from signalgraph.params import Params
 
 RULE_SCHEMA = (
@@ -120,30 +121,29 @@ def rule_matches(
 def rule_dwell(matches: DataFrame, numbered: DataFrame) -> DataFrame:
     """Adds since when each match has held without a break (``entered_at``).
 
-    ``numbered`` has ``tick_no`` and ``seq``, the running number of ticks that
-    hold rows; a run of consecutive numbers is one dwell.
+    ``numbered`` has ``tick_no``, ``tick`` and ``seq``, the running number of ticks that
+    hold rows; a run of consecutive numbers is one dwell. Runs are found in slices of
+    ``seq``, so a rule's history is not one task.
     """
-    run = Window.partitionBy("rule_id", "scope", "epoch").orderBy("seq")
-    whole = Window.partitionBy("rule_id", "scope", "epoch", "run")
-    return (
-        matches.join(numbered.select("tick_no", "seq"), "tick_no")
-        .withColumn("run", F.col("seq") - F.row_number().over(run))
-        .withColumn("entered_at", F.min("tick").over(whole.orderBy("seq")))
-        .withColumn("dwell_s", F.col("tick") - F.col("entered_at"))
-    )
+    keys = ["rule_id", "scope", "epoch"]
+    held = chain_by_gap(matches.join(numbered.select("tick_no", "seq"), "tick_no"), "seq", 1.0, "run", keys)
+    begun = numbered.select(F.col("seq").alias("run"), F.col("tick").alias("entered_at"))
+    return held.join(begun, "run").withColumn("dwell_s", F.col("tick") - F.col("entered_at"))
 
 
 def rule_firings(dwell: DataFrame) -> DataFrame:
     """One row per dwell that lasted long enough, at its first such tick."""
-    first = Window.partitionBy("rule_id", "scope", "epoch", "run").orderBy("seq")
+    keys = ["rule_id", "scope", "epoch", "run"]
     so_far = Window.partitionBy("rule_id", "scope").orderBy("seq")
+    rest = [c for c in dwell.columns if c not in (*keys, "seq")]
     return (
         dwell.filter(F.col("dwell_s") >= F.col("duration_s"))
-        .withColumn("place", F.row_number().over(first))
-        .filter("place = 1")
+        .groupBy(*keys)
+        .agg(F.min(F.struct("seq", *rest)).alias("first"))
+        .select(*keys, "first.*")
         .withColumn("fired_count", F.row_number().over(so_far).cast("bigint"))
         .withColumn("severity", S.rule_severity("fired_count"))
-        .drop("place", "run", "seq", "epoch")
+        .drop("run", "seq", "epoch")
     )
 
 

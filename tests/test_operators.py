@@ -476,6 +476,17 @@ def test_incidents_match_the_loop(spark):
     assert len(pairs) > 20
 
 
+def test_zscores_across_slices_of_samples(spark, monkeypatch):
+    rng = random.Random(8)
+    rows = [(i, s, float(rng.randrange(50))) for s in "ab" for i in sorted(rng.sample(range(4000), 400))]
+    frame = spark.createDataFrame(rows, "tick_no long, service string, total double")
+    whole = {(r.tick_no, r.service): (r.samples, r.z_total) for r in R.zscores(frame, P, ("total",)).collect()}
+    monkeypatch.setattr(R, "SAMPLE_SLICE", 70)
+    cut = {(r.tick_no, r.service): (r.samples, r.z_total) for r in R.zscores(frame, P, ("total",)).collect()}
+    assert len(whole) == 800 and cut.keys() == whole.keys()
+    assert all(cut[k] == pytest.approx(whole[k]) for k in whole)
+
+
 def test_a_second_run_goes_on_from_open_incidents(spark):
     rng = random.Random(12)
     near = {"a": "ab", "b": "bc", "c": "c", "x": "xy", "y": "y", "q": "q"}
