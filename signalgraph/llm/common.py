@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -23,12 +24,25 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """While it lasts, jobs hand their Python workers no more than ``SLICE_BYTES`` at a time."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(SLICE_BYTES))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def settle(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the shared folder and read back: lineage ends here, and a
     lost executor costs only the task that ran on it."""
     spark = df.sparkSession
     path = f"{staging_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with small_batches(spark):
+        df.write.parquet(path)
     back = spark.read.schema(df.schema).parquet(path)
     back.settled_at = path
     return back
@@ -80,6 +94,7 @@ def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[d
     def run(batches):
         for columns in fn(batches):
             yield pa.RecordBatch.from_arrays([_array(columns[n], arrow.field(n).type) for n in names], schema=arrow)
+        pa.default_memory_pool().release_unused()  # the worker lives on for other tasks
 
     return df.mapInArrow(run, kind)
 

@@ -73,7 +73,7 @@ class SuffixParams:
     length: int = 100
     gram: int = 52
     chunk_bytes: int = 4_000_000
-    part_keys: int = 400_000
+    part_keys: int = 250_000
     block_bytes: int = 1_000_000  # text hashed at a time
 
 
@@ -97,7 +97,8 @@ class Bucketed:
         self.spark: SparkSession = df.sparkSession
         self.name = f"{name}_{uuid.uuid4().hex}"
         self.path = f"{staging_folder(self.spark)}/{self.name}"
-        df.write.bucketBy(buckets, "chunk").option("path", self.path).saveAsTable(self.name)
+        with C.small_batches(self.spark):
+            df.write.bucketBy(buckets, "chunk").option("path", self.path).saveAsTable(self.name)
 
     def read(self) -> DataFrame:
         return self.spark.read.table(self.name)
@@ -190,8 +191,9 @@ def answered(mail: DataFrame, answer: Callable[[np.ndarray, np.ndarray], np.ndar
         rows = rows.sort_by("chunk").combine_chunks()
         parts = [np.frombuffer(b, np.uint64).reshape(-1, width) for b in rows.column("data").to_pylist()]
         size = [len(x) for x in parts]
-        values = answer(np.concatenate(parts), np.repeat(np.arange(len(parts)), size))
+        values = answer(np.concatenate(parts), np.repeat(np.arange(len(parts), dtype=np.int32), size))
         out = [v.tobytes() for v in np.split(values, np.cumsum(size)[:-1])]
+        pa.default_memory_pool().release_unused()
         return pa.table({"chunk": rows.column("chunk"), "kind": rows.column("kind"), "part": rows.column("part"), "data": pa.array(out, pa.binary())})
 
     return C.settle(mail.groupBy("kind", "part").applyInArrow(run, MAIL), name)

@@ -195,7 +195,8 @@ def save(docs: DataFrame, path: str, p: FileParams = FileParams()) -> None:
     spark = docs.sparkSession
     dictionary = train_dictionary(docs, p)
     spark.createDataFrame([(bytearray(dictionary),)], "dictionary binary").write.parquet(f"{path}/dictionary")
-    write_token_blocks(docs, dictionary, p).write.option("compression", "none").parquet(f"{path}/blocks")
+    with C.small_batches(spark):
+        write_token_blocks(docs, dictionary, p).write.option("compression", "none").parquet(f"{path}/blocks")
 
 
 def load(spark: SparkSession, path: str) -> tuple[DataFrame, bytes]:

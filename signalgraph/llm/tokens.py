@@ -23,7 +23,7 @@ from signalgraph.llm import common as C
 VOCABULARY = "word_bpe_49k.json"
 END_ID = 2
 #: Words that a Python worker remembers (some 50 bytes each); beyond that it starts afresh.
-WORDS_HELD = 2_000_000
+WORDS_HELD = 1_200_000
 #: New words encoded in one call of the library.
 WORDS_A_CALL = 2_000
 
@@ -201,7 +201,7 @@ def encode_batches(
     """Document ids and id arrays (32-bit, the end id last), slice by slice. A null
     text is an empty one."""
     encode = encoder(path).encode
-    for part in C.slices(batches, "text", 16_000_000):
+    for part in C.slices(batches, "text"):
         ids, edges = encode(part.column("text"), end_id)
         raw, cuts = memoryview(ids.tobytes()), (edges * 4).tolist()
         yield part.column("doc_id"), [raw[a:b] for a, b in zip(cuts, cuts[1:])]
