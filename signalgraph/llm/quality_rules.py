@@ -59,9 +59,9 @@ class QualityParams:
     steps: int = 3
     least_group: int = 100
     #: How far out, in standard deviations of the distance's normal approximation.
-    cutoff: float = 8.0
+    cutoff: float = 6.0
     #: Least standard deviation of each transformed statistic, in the order of ``vector``.
-    floors: tuple = (0.6, 0.4, 0.08, 0.10, 0.06, 0.10, 0.12)
+    floors: tuple = (0.6, 0.6, 0.08, 0.15, 0.10, 0.10, 0.12)
 
 
 def text_counts(text: bytes) -> tuple[int, ...]:
