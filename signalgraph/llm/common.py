@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 from contextlib import contextmanager
@@ -16,6 +17,8 @@ from pyspark.sql.window import Window
 
 from signalgraph.sources.staging import staging_folder
 
+#: Most ranges that document ids are divided into.
+RANGES = 50_000
 #: Text bytes that a task handles at a time.
 SLICE_BYTES = 8_000_000
 
@@ -58,6 +61,17 @@ def discard(*frames: DataFrame) -> None:
             at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def id_bounds(docs: DataFrame, size: int) -> list[int]:
+    """Document ids that divide a table (doc_id, text) into ranges of about ``size`` bytes
+    of text, ``RANGES`` at most: what the driver holds does not grow beyond that."""
+    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = min(max(1, math.ceil(total / size)), RANGES)
+    if n == 1:
+        return []
+    shares = F.array(*[F.lit(k / n) for k in range(1, n)]) if n <= 1_000 else F.transform(F.sequence(F.lit(1), F.lit(n - 1)), lambda k: k / n)
+    return sorted(set(docs.agg(F.percentile_approx("doc_id", shares, F.lit(max(10_000, 10 * n)))).first()[0] or []))
+
+
 def without(docs: DataFrame, keys: dict[str, Column], bad: DataFrame) -> DataFrame:
     """``docs`` without the rows whose ``keys`` (null equals null) are a row of ``bad``,
     whatever columns ``docs`` has."""

@@ -47,7 +47,6 @@ from __future__ import annotations
 import bisect
 import math
 import uuid
-from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -66,6 +65,8 @@ LAST = 2**63 - 1
 MAIL = "chunk int, kind string, part int, data binary"
 #: Chunks whose sampled keys set the borders of ranges, and keys of each.
 SAMPLE_CHUNKS, SAMPLE_KEYS = 2_000, 64
+#: Numbers set aside for the chunks of a range of ids.
+CHUNKS_A_RANGE = 1 << 14
 
 
 @dataclass(frozen=True)
@@ -80,16 +81,6 @@ class SuffixParams:
 # --- texts by chunk ---------------------------------------------------------------
 
 
-def id_bounds(docs: DataFrame, size: int) -> list[int]:
-    """Document ids that divide the table into ranges of about ``size`` bytes of text."""
-    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = max(1, math.ceil(total / size))
-    if n == 1:
-        return []
-    shares = F.array(*[F.lit(k / n) for k in range(1, n)])
-    return sorted(set(docs.agg(F.percentile_approx("doc_id", shares, F.lit(max(10_000, 10 * n)))).first()[0] or []))
-
-
 class Bucketed:
     """A table in the shared folder, bucketed by chunk; dropped by ``drop``."""
 
@@ -111,45 +102,63 @@ class Bucketed:
 
 
 def chunked_texts(docs: DataFrame, p: SuffixParams) -> tuple[Bucketed, int]:
-    """chunk, doc_ids, text_hs (hashes), sizes, text (all texts of the chunk in a row); the number of buckets."""
+    """chunk, doc_ids, text_hs (hashes), nths (numbers of equal rows), sizes, text (all
+    texts of the chunk in a row); the number of buckets. Chunks are numbered in document
+    order: by a range of ids, then within it."""
     spark = docs.sparkSession
     docs = K.texts_of(docs)
-    bounds = id_bounds(docs, p.chunk_bytes)
+    bounds = C.id_bounds(docs, p.chunk_bytes)
     buckets = max(len(bounds) + 1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    most = p.chunk_bytes
 
     @F.arrow_udf("int")
-    def chunk_of(ids: pa.Array) -> pa.Array:
+    def range_of(ids: pa.Array) -> pa.Array:
         return pa.array(np.searchsorted(np.array(bounds, np.int64), ids.to_numpy(zero_copy_only=False), side="right").astype(np.int32))
 
     ordered = docs.select(F.coalesce("doc_id", F.lit(LAST)).alias("place"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
     dealt = (
-        ordered.withColumn("chunk", chunk_of("place"))
+        ordered.withColumn("range", range_of("place"))
         .withColumn("text_h", F.xxhash64("text"))
-        .repartition(buckets, "chunk")
-        .sortWithinPartitions("chunk", "place", "text_h")
+        .repartition(buckets, "range")
+        .sortWithinPartitions("range", "place", "text_h")
     )
 
     def gather(batches: Iterator[pa.RecordBatch]):
-        now, ids, hashes, texts = None, [], [], []
+        now, sub, last, nth = None, 0, None, 0
+        ids, hashes, nths, texts = [], [], [], []
+        held = 0
 
         def row():
-            return {"chunk": [now], "doc_ids": [list(ids)], "text_hs": [list(hashes)], "sizes": [[len(t) for t in texts]], "text": [b"".join(texts)]}
-
-        for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("chunk", "doc_id", "text_h")]
-            for chunk, doc_id, text_h, text in zip(*columns, C.blobs(batch.column("text"))):
-                if chunk != now:
-                    if ids:
-                        yield row()
-                    now, ids, hashes, texts = chunk, [], [], []
+            if sub >= CHUNKS_A_RANGE:
+                raise ValueError("a range of ids holds too many chunks; raise chunk_bytes")
+            return {
+                "chunk": [now * CHUNKS_A_RANGE + sub], "doc_ids": [list(ids)], "text_hs": [list(hashes)], "nths": [list(nths)],
+                "sizes": [[len(t) for t in texts]], "text": [b"".join(texts)],
+            }
+
+        for batch in C.slices(batches, "text"):
+            columns = [batch.column(c).to_pylist() for c in ("range", "doc_id", "text_h")]
+            for part, doc_id, text_h, text in zip(*columns, C.blobs(batch.column("text"))):
+                if ids and (part != now or held >= most):
+                    yield row()
+                    sub += 1
+                    held = 0
+                    for x in (ids, hashes, nths, texts):
+                        x.clear()
+                if part != now:
+                    now, sub = part, 0
+                nth = nth + 1 if (doc_id, text_h) == last else 1
+                last = doc_id, text_h
                 ids.append(doc_id)
                 hashes.append(text_h)
+                nths.append(nth)
                 texts.append(text)
+                held += len(text)
         if ids:
             yield row()
 
-    rows = C.arrow_map(dealt.select("chunk", "doc_id", "text_h", "text"), gather, "chunk int, doc_ids array<long>, text_hs array<long>, sizes array<long>, text binary")
-    return Bucketed(rows, buckets, "texts"), buckets
+    fields = "chunk int, doc_ids array<long>, text_hs array<long>, nths array<int>, sizes array<long>, text binary"
+    return Bucketed(C.arrow_map(dealt.select("range", "doc_id", "text_h", "text"), gather, fields), buckets, "texts"), buckets
 
 
 # --- exchanges of keys --------------------------------------------------------------
@@ -682,12 +691,9 @@ def removed(docs: DataFrame, p: SuffixParams = SuffixParams(), finish: Callable[
             spans = int(mask[:1].sum() + (mask[1:] & ~mask[:-1]).sum())
             out.append((b - a, int(mask.sum()), spans, chunk.bytes[a:b][~mask].tobytes()))
         n, cut_, spans, kept = zip(*out)
-        ids, hashes, nth, seen = row["doc_ids"].as_py(), row["text_hs"].as_py(), [], Counter()
-        for one in zip(ids, hashes):
-            seen[one] += 1
-            nth.append(seen[one])
+        ids = row["doc_ids"].as_py()
         return pa.table({
-            "doc_id": pa.array(ids, pa.int64()), "text_h": hashes, "nth": nth, "n_bytes": n, "n_removed": cut_, "n_spans": spans,
+            "doc_id": pa.array(ids, pa.int64()), "text_h": row["text_hs"].as_py(), "nth": row["nths"].as_py(), "n_bytes": n, "n_removed": cut_, "n_spans": spans,
             "kept": pa.array(kept, pa.binary()),
         })
 

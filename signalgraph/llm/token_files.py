@@ -26,7 +26,6 @@ Other columns are ignored.
 from __future__ import annotations
 
 import hashlib
-import math
 import struct
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -122,22 +121,10 @@ def document_ids(data: bytes, place: int, codec: Codec) -> bytes:
     return restore(codec.unpack(frames[start : int(index["end"][place])]), width)
 
 
-def bucket_bounds(docs: DataFrame, p: FileParams) -> list[int]:
-    """Document ids that divide the table into buckets of about ``bucket_bytes`` of
-    text: as many numbers as there are files."""
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = max(1, math.ceil(size / p.bucket_bytes))
-    if n == 1:
-        return []
-    shares = [F.lit(k / n) for k in range(1, n)]
-    found = docs.agg(F.percentile_approx("doc_id", F.array(*shares), F.lit(max(10_000, 10 * n)))).first()[0]
-    return sorted(set(found or []))
-
-
 def write_token_blocks(docs: DataFrame, dictionary: bytes, p: FileParams = FileParams()) -> DataFrame:
     """The table of blocks, lazily; write it as Parquet to keep it."""
     docs, path = K.texts_of(docs), p.vocabulary or K.vocabulary_path()
-    bounds = bucket_bounds(docs, p)
+    bounds = C.id_bounds(docs, p.bucket_bytes)
     end, level, width, most = p.end_id, p.level, p.id_width, p.block_bytes
 
     def compress(batches):
