@@ -68,7 +68,7 @@ def id_bounds(docs: DataFrame, size: int) -> list[int]:
     n = min(max(1, math.ceil(total / size)), RANGES)
     if n == 1:
         return []
-    shares = F.array(*[F.lit(k / n) for k in range(1, n)]) if n <= 1_000 else F.transform(F.sequence(F.lit(1), F.lit(n - 1)), lambda k: k / n)
+    shares = F.lit([k / n for k in range(1, n)])
     return sorted(set(docs.agg(F.percentile_approx("doc_id", shares, F.lit(max(10_000, 10 * n)))).first()[0] or []))
 
 

@@ -40,8 +40,9 @@ from signalgraph.llm import tokens as K
 MODEL = "piece_bpe_32k.model"
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0
-CHUNKS_HELD = 700_000
+CHUNKS_HELD = 1_400_000  # some 200 bytes each
 CHUNK_CHARS_HELD = 48
+STOPS = ".,"
 
 
 @dataclass(frozen=True)
@@ -82,6 +83,12 @@ class Pieces:
                 self.plain[i] = b""
         if any(MARK in name.lstrip(MARK) or ("\n" in name and name != "\n") for name in self.score):
             raise ValueError("a piece crosses a space or line break")
+        size_of = [len(x) for x in self.plain]
+        self.text = np.frombuffer(b"".join(self.plain), np.uint8)
+        self.size = np.array(size_of, np.int64)
+        self.begin = np.cumsum(self.size) - self.size
+        #: Whether stops at the end of a word can be segmented apart from it.
+        self.stops_apart = not any(x[k].isalpha() and x[k + 1] in STOPS for x in self.score for k in range(len(x) - 1))
         self.known: dict[str, tuple[bytes, float, float]] = {}
         self.lists: dict[tuple[str, int], list[tuple[float, bytes]]] = {}
 
@@ -110,6 +117,10 @@ class Pieces:
         got = self.known.get(chunk)
         if got is not None:
             return got
+        core = chunk.rstrip(STOPS)
+        if self.stops_apart and len(core) < len(chunk) and core[-1:].isalpha():
+            word, stops = self.first(core), self.first(chunk[len(core) :])
+            return self._keep(chunk, (word[0] + stops[0], word[1] + stops[1], min(word[2], stops[2])))
         look, longest, n, never = self.starts.get, self.longest, len(chunk), float("-inf")
         best, second, came, used = [0.0] + [never] * n, [never] * (n + 1), [0] * (n + 1), [None] * (n + 1)
         for i in range(n):
@@ -135,8 +146,10 @@ class Pieces:
             loss = min(loss, best[j] - second[j])
             ids.extend(reversed(used[j]) if isinstance(used[j], tuple) else (used[j],))
             j = came[j]
-        got = pack_ids(f"<{len(ids)}I", *ids[::-1]), best[n], loss
-        if n <= CHUNK_CHARS_HELD:
+        return self._keep(chunk, (pack_ids(f"<{len(ids)}I", *ids[::-1]), best[n], loss))
+
+    def _keep(self, chunk: str, got: tuple[bytes, float, float]) -> tuple[bytes, float, float]:
+        if len(chunk) <= CHUNK_CHARS_HELD:
             if len(self.known) >= CHUNKS_HELD:
                 self.known.clear()
             self.known[chunk] = got
@@ -165,7 +178,7 @@ class Pieces:
         top = self.first(chunk)[0]  # of equals, the same one leads
         out = [(0.0, top), *(w for w in out if w[1] != top)][:n]
         if len(chunk) <= CHUNK_CHARS_HELD:
-            if len(self.lists) >= CHUNKS_HELD // 8:
+            if len(self.lists) >= CHUNKS_HELD // 16:
                 self.lists.clear()
             self.lists[chunk, n] = out
         return out
@@ -225,7 +238,12 @@ class Pieces:
 
     def decode(self, ids: bytes) -> bytes:
         """The text of ids, the space in front left out."""
-        text = b"".join(map(self.plain.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+        at = np.frombuffer(ids, "<u4")
+        size = self.size[at]
+        ends = np.cumsum(size)
+        places = np.repeat(self.begin[at] - ends + size, size)
+        places += np.arange(len(places))
+        text = self.text[places].tobytes()
         return text[1:] if text[:1] == b" " else text
 
 
