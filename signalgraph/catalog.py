@@ -318,10 +318,17 @@ def _outliers(r: Replay):
 
 
 def _flag_counts(r: Replay):
-    """Trees are random, how many rows they flag is not: without ties it follows from
-    the contamination and the number of services."""
-    return r.forest.groupBy("tick_no").agg(
-        F.count(F.lit(1)).alias("services"), F.count(F.when(F.col("is_outlier"), 1)).alias("flagged")
+    """Trees are random, how many rows they flag is not: it follows from the contamination
+    and the number of services, unless the scores at the border are tied."""
+    k = F.floor((F.col("services") - 1) * P.contamination).cast("int") + 1
+    return (
+        r.forest.groupBy("tick_no")
+        .agg(
+            F.count(F.lit(1)).alias("services"),
+            F.count(F.when(F.col("is_outlier"), 1)).alias("flagged"),
+            F.sort_array(F.collect_list("decision")).alias("scores"),
+        )
+        .select("tick_no", "services", ((F.col("flagged") == k) | (F.get("scores", k - 1) == F.get("scores", k))).alias("as_asked"))
     )
 
 
