@@ -9,10 +9,11 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _local_folder: dict[str, str] = {}
+_staged: list[str] = []
 
 
 def staging_folder(spark: SparkSession) -> str:
-    """The shared folder named in ``spark.checkpoint.dir``. Only a local session
+    """The shared folder named in ``spark.checkpoint.dir``. Only a plain local session
     without that setting gets a folder of its own."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or _local_folder.get("path")
     if folder:
@@ -22,10 +23,28 @@ def staging_folder(spark: SparkSession) -> str:
     return _local_folder.setdefault("path", tempfile.mkdtemp(prefix="signalgraph-stage-"))
 
 
+def staged_at(spark: SparkSession, name: str) -> str:
+    """A new path for a table that later steps read; ``clear`` deletes it."""
+    _staged.append(f"{staging_folder(spark)}/{name}-{uuid.uuid4().hex}")
+    return _staged[-1]
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Writes ``df`` as parquet to the staging folder and gives it back read from
     there: losing an executor never recomputes what came before."""
     spark = df.sparkSession
-    path = f"{staging_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    path = staged_at(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def clear(spark: SparkSession) -> None:
+    """Deletes all that this process has staged. Call it when no frame that was read
+    from there is needed any more, at the end of a job."""
+    while _staged:
+        delete(spark, _staged.pop())

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
@@ -18,7 +16,7 @@ from signalgraph.params import Params
 from signalgraph.sources.adapters import event_logs
 from signalgraph.sources.logs import append_logs, last_ts
 from signalgraph.schema import LOG_SCHEMA
-from signalgraph.sources.staging import stage, staging_folder
+from signalgraph.sources.staging import stage, staged_at
 from signalgraph.streaming import state as ST
 
 LATE_S = 10.0  # rows later than this are dropped
@@ -253,7 +251,7 @@ def run_once(stream: DataFrame, name: str) -> DataFrame:
     """Drains what the source holds now into a staged table and reads it."""
     spark = stream.sparkSession
     use_rocksdb(spark)
-    place = f"{staging_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    place = staged_at(spark, name)
     query = (
         stream.writeStream.format("parquet")
         .option("path", f"{place}/out")

@@ -10,8 +10,11 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 @pytest.fixture(scope="session")
 def spark():
     from check_oracles import session
+    from signalgraph.sources.staging import clear
 
-    return session()
+    spark = session()
+    yield spark
+    clear(spark)
 
 
 @pytest.fixture(scope="session")
