@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-import uuid
 from collections.abc import Callable, Iterable, Iterator
 from contextlib import contextmanager
 
@@ -15,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from signalgraph.sources.staging import staging_folder
+from signalgraph.sources.staging import delete, staged_at
 
 #: Most ranges that document ids are divided into.
 RANGES = 50_000
@@ -43,7 +42,7 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the shared folder and read back: lineage ends here, and a
     lost executor costs only the task that ran on it."""
     spark = df.sparkSession
-    path = f"{staging_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    path = staged_at(spark, name)
     with small_batches(spark):
         df.write.parquet(path)
     back = spark.read.schema(df.schema).parquet(path)
@@ -56,9 +55,7 @@ def discard(*frames: DataFrame) -> None:
     for df in frames:
         path = getattr(df, "settled_at", None)
         if path:
-            jvm = df.sparkSession._jvm
-            at = jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
+            delete(df.sparkSession, path)
 
 
 def id_bounds(docs: DataFrame, size: int) -> list[int]:

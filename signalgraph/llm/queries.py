@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from signalgraph.llm import common as C
 from signalgraph.llm import (
     graph_index,
@@ -17,7 +15,7 @@ from signalgraph.llm import (
     suffix_dedup,
     token_files,
 )
-from signalgraph.sources.staging import staging_folder
+from signalgraph.sources.staging import staged_at
 
 
 def op1_label_propagation(spark, folder):
@@ -57,7 +55,7 @@ def op9_suffix_dedup(spark, folder):
 
 
 def op10_token_files(spark, folder):
-    path = f"{staging_folder(spark)}/token-files-{uuid.uuid4().hex}"
+    path = staged_at(spark, "token-files")
     token_files.save(C.table(spark, folder, "documents"), path)
     return token_files.read_documents(*token_files.load(spark, path))
 

@@ -59,7 +59,7 @@ from pyspark.sql.window import Window
 
 from signalgraph.llm import common as C
 from signalgraph.llm import tokens as K
-from signalgraph.sources.staging import staging_folder
+from signalgraph.sources.staging import delete, staged_at
 
 LAST = 2**63 - 1
 MAIL = "chunk int, kind string, part int, data binary"
@@ -87,7 +87,7 @@ class Bucketed:
     def __init__(self, df: DataFrame, buckets: int, name: str):
         self.spark: SparkSession = df.sparkSession
         self.name = f"{name}_{uuid.uuid4().hex}"
-        self.path = f"{staging_folder(self.spark)}/{self.name}"
+        self.path = staged_at(self.spark, name)
         with C.small_batches(self.spark):
             df.write.bucketBy(buckets, "chunk").option("path", self.path).saveAsTable(self.name)
 
@@ -96,9 +96,7 @@ class Bucketed:
 
     def drop(self) -> None:
         self.spark.sql(f"DROP TABLE IF EXISTS `{self.name}`")
-        gone = self.spark.range(0)
-        gone.settled_at = self.path
-        C.discard(gone)
+        delete(self.spark, self.path)
 
 
 def chunked_texts(docs: DataFrame, p: SuffixParams) -> tuple[Bucketed, int]:
