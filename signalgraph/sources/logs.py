@@ -71,6 +71,37 @@ def append_logs(logs: DataFrame, path: str, batch: str | None = None) -> None:
     )
 
 
+def compact_day(spark: SparkSession, path: str, day: str) -> int:
+    """Merges the batches of a day that no writer adds to any more into one, evened out
+    by size; gives how many it replaced.
+
+    The merged rows are written beside the table first, then a list of the folders they
+    replace, then the new folder is moved in and the old ones go. A run that was broken
+    off is finished by the next: without a list it starts again, with one it goes on.
+    """
+    jvm, root = spark.sparkContext._jvm, f"{path}/event_date={day}"
+    at = jvm.org.apache.hadoop.fs.Path
+    fs = at(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    work, listed = f"{path}/_compacting/{day}", f"{path}/_compacting/{day}.replaced"
+    if not fs.exists(at(listed)):
+        names = sorted(f.getPath().getName() for f in fs.listStatus(at(root))) if fs.exists(at(root)) else []
+        names = [n for n in names if n.startswith("batch=")]
+        if len(names) < 2:
+            return 0
+        rows = read_logs(spark, path).filter(F.col("event_date") == F.lit(day).cast("date"))
+        merged = rows.select(*LOG_COLUMNS).hint("rebalance").sortWithinPartitions("service", "ts")
+        merged.write.mode("overwrite").option("parquet.bloom.filter.enabled#trace_id", "true").parquet(work)
+        spark.createDataFrame([(n,) for n in names], "name string").coalesce(1).write.mode("overwrite").text(listed)
+    names = [r.value for r in spark.read.text(listed).collect()]  # folder names of one day
+    if fs.exists(at(work)):
+        fs.rename(at(work), at(f"{root}/batch=compacted-{uuid.uuid4().hex}"))
+    for name in names:
+        fs.delete(at(f"{root}/{name}"), True)
+    fs.delete(at(listed), True)
+    spark.catalog.refreshByPath(path)
+    return len(names)
+
+
 def last_ts(logs: DataFrame) -> float:
     """Newest ``ts``; the default moment of every read. 0.0 for an empty table."""
     return _extreme(logs, F.max)

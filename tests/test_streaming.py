@@ -155,6 +155,27 @@ def test_append_and_prune(spark, story, tmp_path):
     assert L.read_logs(spark, path).count() == want
 
 
+def test_compaction(spark, story, tmp_path):
+    logs, _ = story
+    path = str(tmp_path / "logs")
+    for k in range(4):
+        L.append_logs(logs.filter(F.col("ts") % 4 < 1 + k).filter(F.col("ts") % 4 >= k), path, f"b{k}")
+    before = sorted(tuple(r) for r in L.read_logs(spark, path).select("ts", "span_id", "service").collect())
+    assert L.compact_day(spark, path, "1970-01-01") == 4
+    table = L.read_logs(spark, path)
+    assert sorted(tuple(r) for r in table.select("ts", "span_id", "service").collect()) == before
+    assert table.select("batch").distinct().count() == 1
+    assert L.compact_day(spark, path, "1970-01-01") == 0 and L.compact_day(spark, path, "1999-01-01") == 0
+    # broken off after the list was written: the rows are not merged a second time
+    L.append_logs(logs.limit(5).withColumn("span_id", F.lit("new")), path, "late")
+    old = [r.batch for r in table.select("batch").distinct().collect()]
+    merged = L.read_logs(spark, path).select(*L.LOG_COLUMNS)
+    merged.write.parquet(f"{path}/_compacting/1970-01-01")
+    spark.createDataFrame([(f"batch={b}",) for b in [*old, "late"]], "name string").write.text(f"{path}/_compacting/1970-01-01.replaced")
+    assert L.compact_day(spark, path, "1970-01-01") == 2
+    assert L.read_logs(spark, path).count() == len(before) + 5
+
+
 def test_json_records(spark):
     good = '{"ts": 1.5, "service": "a", "level": "INFO", "trace_id": "t", "span_id": "s", "message": "hi", "status_code": 200}'
     got = L.parse_json_logs(spark.createDataFrame([(good,), ("{broken",)], "value string")).collect()
