@@ -13,10 +13,12 @@ medians and quartiles of each statistic. Each concentration step takes the share
 sums their moments. So a source that holds a third of all rows is a few partial sums
 per task, and no group is ever gathered.
 
-Spreads get a floor (``floors``): a statistic that is zero for nearly all documents
-must not condemn the first that has one symbol. Groups under ``least_group`` rows are
-pooled by language, and languages still under it together; a pool under it rejects
-nobody.
+Spreads are the group's own. Only where one is under a small minimum (``floors``) it is
+raised to that: a statistic that is zero for nearly all documents must not condemn the
+first that has one symbol. A share of few words, lines or characters is a weak witness,
+so each statistic is first drawn toward its group's median, as if ``sizes`` more units
+stood there. Groups under ``least_group`` rows are pooled by language, and languages
+still under it together; a pool under it rejects nobody.
 
 Null texts have no words and fail the base rules. Null languages and sources are
 groups of their own. Repeated rows count each. Rows that share ``doc_id``, text,
@@ -58,10 +60,12 @@ class QualityParams:
     support: float = 0.75  # share of a group that the estimate rests on
     steps: int = 3
     least_group: int = 100
-    #: How far out, in standard deviations of the distance's normal approximation.
-    cutoff: float = 6.0
+    #: Normal quantile of the chi-square cutoff: one clean document in 10,000.
+    cutoff: float = 3.72
     #: Least standard deviation of each transformed statistic, in the order of ``vector``.
-    floors: tuple = (0.6, 0.6, 0.08, 0.15, 0.10, 0.10, 0.12)
+    floors: tuple = (0.3, 0.2, 0.03, 0.10, 0.08, 0.02, 0.02)
+    #: Units (of ``units``) at the group's median that each statistic is mixed with.
+    sizes: tuple = (0, 200, 100, 10, 100, 800, 800)
 
 
 def text_counts(text: bytes) -> tuple[int, ...]:
@@ -140,6 +144,12 @@ def vector() -> list[Column]:
     ]
 
 
+def units() -> list[Column]:
+    """What each statistic of ``vector`` is a share or mean of."""
+    words, chars, lines = (F.greatest(F.col(c), F.lit(1)) for c in ("n_words", "word_chars", "n_lines"))
+    return [words, words, chars, lines, words, chars, chars]
+
+
 def base_failed(p: QualityParams) -> Column:
     return (F.col("n_words") < p.least_words) | (100 * F.col("n_repeat_words") > p.most_repeat_percent * F.col("n_words"))
 
@@ -175,7 +185,10 @@ def _estimates(moments: DataFrame, p: QualityParams) -> DataFrame:
             shift = np.array(batch.column("centre").to_pylist(), float).reshape(-1, dims)
             mean = np.array(batch.column("mean").to_pylist(), float).reshape(-1, dims)
             cross = np.array(batch.column("cross").to_pylist(), float).reshape(-1, dims, dims)
-            cov = cross - mean[:, :, None] * mean[:, None, :] + np.diag(floors)
+            cov = cross - mean[:, :, None] * mean[:, None, :]
+            own = np.diagonal(cov, axis1=1, axis2=2)
+            # a thousandth more, so that statistics that go together can be inverted
+            cov = cov + np.eye(dims) * (np.maximum(0, floors - own) + floors / 1000)[:, None, :]
             yield {
                 "grp": batch.column("grp"),
                 "centre": (shift + mean).tolist(),
@@ -227,13 +240,24 @@ def robust_estimates(rows: DataFrame, p: QualityParams = QualityParams()) -> Dat
     return C.settle(now.join(middle, "grp").select("grp", "centre", "precision", scale.alias("scale")), "robust")
 
 
+def _toward_middle(rows: DataFrame, p: QualityParams) -> DataFrame:
+    """``rows`` with each statistic drawn toward its group's median by what ``sizes`` says."""
+    xs = [f"x{i}" for i in range(len(p.floors))]
+    medians = rows.filter("grp is not null").groupBy("grp").agg(*[F.percentile_approx(x, 0.5, 2_000).alias(f"m{x}") for x in xs])
+    found = rows.join(C.settle(medians, "medians"), "grp", "left")
+    drawn = {x: F.col(f"m{x}") + (F.col(x) - F.col(f"m{x}")) * F.sqrt(n / (n + F.lit(more))) for x, n, more in zip(xs, units(), p.sizes)}
+    return found.withColumns(drawn).drop(*[f"m{x}" for x in xs])
+
+
 def verdicts(docs: DataFrame, p: QualityParams = QualityParams()) -> DataFrame:
     """Columns of ``statistics`` with base_failed, distance (squared; null where no
     estimate applies) and kept."""
     dims = len(p.floors)
     counted = C.settle(statistics(docs), "text_statistics")
     judged = counted.withColumn("base_failed", base_failed(p)).withColumns({f"x{i}": x for i, x in enumerate(vector())})
-    rows = C.settle(_grouped(judged.filter("not base_failed"), p), "grouped_statistics")
+    grouped = C.settle(_grouped(judged.filter("not base_failed"), p), "grouped_statistics")
+    rows = C.settle(_toward_middle(grouped, p), "drawn_statistics")
+    C.discard(grouped)
     found = rows.join(robust_estimates(rows.filter("grp is not null"), p), "grp", "left")
     passed = found.withColumn("distance", _distance(dims) / F.col("scale"))
     limit = chi_square(dims, p.cutoff)

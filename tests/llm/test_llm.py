@@ -502,6 +502,25 @@ def test_quality_keeps_clean_documents(spark):
     assert sum(r["kept"] for r in clean) >= 0.999 * len(clean) and sum(not r["kept"] for r in junk) >= 0.3 * len(junk)
 
 
+def test_quality_rejects_plain_junk(spark):
+    folder = "/root/testdata/sf0.1"
+    docs, labels = C.table(spark, folder, "documents"), C.table(spark, folder, "labels")
+    clean = docs.join(labels.filter("quality = 1"), "doc_id").filter("lang = 'en' and source = 'src1' and n_chars between 4000 and 9000")
+    text = clean.orderBy("doc_id").first()["text"].replace("\n", " ")
+    planted = {
+        -1: text.upper(),
+        -2: "".join(f"{t}.\nof it\n" for t in text.split(".")),  # nearly half the lines repeat, but no five words
+        -3: "| ".join(text.split()),
+        -4: " ".join(w + "#" * (k % 4 == 0) for k, w in enumerate(text.split())),  # some 5 % of characters
+    }
+    more = spark.createDataFrame([(d, t, "en", "src1", len(t)) for d, t in planted.items()], FIELDS)
+    rows = quality_rules.digest(docs.select(more.columns).unionByName(more)).collect()
+    assert sorted((r["doc_id"], r["base_failed"], r["kept"]) for r in rows if r["doc_id"] < 0) == [(d, False, False) for d in sorted(planted)]
+    label = {r["doc_id"]: r["quality"] for r in labels.collect()}
+    junk = [r["kept"] for r in rows if label.get(r["doc_id"]) == 0 and not r["base_failed"]]
+    assert junk.count(False) >= 0.95 * len(junk)
+
+
 def test_quality_of_odd_rows(make):
     rows = odd_texts()
     got = quality_rules.digest(make(rows)).collect()
