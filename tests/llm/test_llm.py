@@ -18,6 +18,7 @@ from signalgraph.llm import (
     packing,
     quality_rules,
     sharding,
+    shingle_dedup,
     simhash,
     site_quality,
     suffix_dedup,
@@ -193,6 +194,50 @@ def test_one_of_each_keeps_the_first(make):
     assert kept == {c for _, _, c in B.simhash(rows)}
 
 
+def test_stage_finds_similar_texts(spark):
+    from corpus_pipeline import STAGES
+
+    docs = C.table(spark, "/root/testdata/sf0.1", "documents").filter("n_chars between 150 and 20000").limit(3000)
+    rows = [(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()]
+    rnd = random.Random(3)
+    for k, (d, t) in enumerate(rnd.sample(rows, 250)):
+        words = t.split()
+        for _ in range(1 + len(words) // 60):
+            words[rnd.randrange(len(words))] = f"new{rnd.random()}"
+        rows.append((100_000 + k, " ".join(words)))
+    # an id with two texts, one a copy and one of its own
+    rows += [(200_000, rows[0][1]), (200_000, "a text of its own that no other document here is like at all")]
+    sets = {}
+    for d, t in rows:
+        w = t.lower().split()
+        sets.setdefault(frozenset(" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))), []).append(d)
+    sets = list(sets.items())
+    by, root = {}, list(range(len(sets)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    pairs = []
+    for i, (s, _) in enumerate(sets):
+        near = Counter(j for x in s for j in by.get(x, ()))
+        pairs += [(j, i) for j, n in near.items() if n >= 0.8 * (len(s) + len(sets[j][0]) - n)]
+        for x in s:
+            by.setdefault(x, []).append(i)
+    for i, j in pairs:
+        root[find(i)] = find(j)
+    first = {}
+    for i, (_, ids) in enumerate(sets):
+        first[find(i)] = min(first.get(find(i), ids[0]), *ids)
+    want = Counter((d, i) for i, (_, ids) in enumerate(sets) for d in ids if d == first[find(i)])
+    df = spark.createDataFrame([(d, t, "en", "s", len(t)) for d, t in rows], FIELDS).repartition(4)
+    got = Counter(r["doc_id"] for r in dict(STAGES)["simhash_near_dedup"](spark, df, SF).collect())
+    want = Counter(d for d, _ in want.elements())
+    print(len(pairs), "pairs", sum(got.values()), "kept", sum(want.values()), "wanted")
+    assert len(pairs) > 100 and got == want and got[200_000] == 1
+
+
 def test_components_of_paths_and_stars(spark):
     edges = [(k, k + 1) for k in range(0, 40)] + [(100, k) for k in range(101, 160)] + [(7, 7), (500, 499), (499, 500)]
     got = {r["node"]: r["root"] for r in components.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
