@@ -90,7 +90,12 @@ def train_dictionary(docs: DataFrame, p: FileParams) -> bytes:
 
 
 def serialize(ids: bytes, width: int) -> bytes:
-    return ids if width == 4 else np.frombuffer(ids, "<u4").astype("<u2").tobytes()
+    if width == 4:
+        return ids
+    wide = np.frombuffer(ids, "<u4")
+    if len(wide) and wide.max() > 0xFFFF:
+        raise ValueError(f"token id {wide.max()} needs an id_width of 4")
+    return wide.astype("<u2").tobytes()
 
 
 def restore(data: bytes, width: int) -> bytes:

@@ -349,6 +349,13 @@ def test_token_files_round_trip(spark, make, sample, tmp_path):
         token_files.open_block(bytes(one["bytes"]), b"\0" * 32)
 
 
+def test_wide_ids_are_not_wrapped():
+    ids = np.array([1, 0xFFFF], "<u4").tobytes()
+    assert token_files.restore(token_files.serialize(ids, 2), 2) == ids and token_files.serialize(b"", 2) == b""
+    with pytest.raises(ValueError):
+        token_files.serialize(np.array([1, 0x10000], "<u4").tobytes(), 2)
+
+
 def test_token_files_of_odd_rows(spark, make, tmp_path):
     for k, rows in enumerate((odd_texts(), [], [(1, None)])):
         token_files.save(make(rows), str(tmp_path / str(k)))
