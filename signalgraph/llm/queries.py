@@ -8,12 +8,15 @@ from signalgraph.llm import (
     line_dedup,
     nbest,
     packing,
+    periodic_runs,
     quality_rules,
     sharding,
     simhash,
     site_quality,
     suffix_dedup,
     token_files,
+    url_filter,
+    whitening,
 )
 from signalgraph.sources.staging import staged_at
 
@@ -60,6 +63,19 @@ def op10_token_files(spark, folder):
     return token_files.read_documents(*token_files.load(spark, path))
 
 
+def op11_periodic_runs(spark, folder):
+    return periodic_runs.digest(C.table(spark, folder, "documents"))
+
+
+def op12_whitening(spark, folder):
+    return whitening.whitened(C.table(spark, folder, "embeddings"))
+
+
+def op13_url_filter(spark, folder):
+    found = url_filter.judged(C.table(spark, folder, "pages"), C.table(spark, folder, "documents"))
+    return found.select("page_id", "host", "path", "rule", "verdict", "odds")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -73,6 +89,9 @@ QUERIES = {
         op8_quality_rules,
         op9_suffix_dedup,
         op10_token_files,
+        op11_periodic_runs,
+        op12_whitening,
+        op13_url_filter,
     )
 }
 
