@@ -30,6 +30,7 @@ from signalgraph.sources import adapters as A
 from signalgraph.sources import logs as L
 from signalgraph.sources.staging import stage
 from signalgraph.streaming import jobs as J
+from signalgraph.streaming import live as LV
 
 STRETCH = 1800
 P = Params().scaled(STRETCH)
@@ -426,8 +427,23 @@ def _document_masks(spark, folder):
 
 
 def _stream_rule_firings(spark, folder):
-    found = J.replay_rule_firings(spark, folder, U.rules_frame(spark, RULES), P)
-    return rounded(found.select("rule_id", "tick_no", "service", "fired_count", "severity"))
+    return rounded(_firings(J.replay_rule_firings(spark, folder, RULES, P)))
+
+
+def _stream_rule_changes(spark, folder):
+    changes = spark.createDataFrame(RULE_CHANGES, CHANGE_SCHEMA)
+    return rounded(_firings(J.replay_rule_firings(spark, folder, [], P, changes)))
+
+
+def _stream_members(spark, folder):
+    found = J.replay_incidents(spark, folder, RULES, P).filter("event = 'member'")
+    return found.select("tick_no", "kind", "service", "ord_3", "first_tick_no", F.col("first_service"))
+
+
+def _stream_incident_states(spark, folder):
+    """Each change of an incident's state, at the tick that sees it."""
+    found = J.replay_incidents(spark, folder, RULES, P).filter("event <> 'member'")
+    return found.select("tick_no", F.col("event").alias("state"), "first_tick_no", "first_kind", "first_service", "first_3")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -514,5 +530,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "stream_edge_weights": lambda spark, folder: rounded(
         J.replay_edge_weights(spark, folder, P).select("tick_no", "source", "target", "weight")
     ),
+    "stream_outliers": lambda spark, folder: rounded(
+        J.replay_outliers(spark, folder, P).filter("is_outlier").select("tick_no", "service", "decision")
+    ),
+    "stream_new_templates": lambda spark, folder: J.replay_new_templates(spark, folder, Params()),
+    "stream_rule_changes": _stream_rule_changes,
+    "stream_graph": lambda spark, folder: rounded(J.replay_graph(spark, folder, P), "tick"),
+    "stream_blast_radius": lambda spark, folder: J.replay_graph(spark, folder, P, LV.BlastClock),
+    "stream_incidents": _stream_members,
+    "stream_incident_states": _stream_incident_states,
     "stream_seconds": lambda spark, folder: J.replay_seconds(spark, folder, P),
 }

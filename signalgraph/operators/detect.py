@@ -37,8 +37,8 @@ def _anomalies(df: DataFrame, kind: str, detector_ord: int, severity, descriptio
     return out.withColumn("anomaly_id", S.short_id("a_", *key)).select(*ANOMALY_COLUMNS)
 
 
-def rate_anomalies(scored: DataFrame, p: Params) -> DataFrame:
-    """Error bursts, latency jumps and volume spikes of ``zscores`` output."""
+def rate_signals(p: Params) -> Column:
+    """Error bursts, latency jumps and volume spikes of a row of ``zscores``: sub, z, text."""
     t = p.z_threshold
     signals = [
         (
@@ -63,7 +63,13 @@ def rate_anomalies(scored: DataFrame, p: Params) -> DataFrame:
             for i, (hit, z, text) in enumerate(signals)
         ]
     )
-    fired = scored.select("tick_no", "tick", "service", "total", F.explode(F.filter(each, lambda s: s.isNotNull())).alias("s"))
+    return F.filter(each, lambda s: s.isNotNull())
+
+
+def rate_anomalies(scored: DataFrame, p: Params) -> DataFrame:
+    """``rate_signals`` of ``zscores`` output as anomalies."""
+    t = p.z_threshold
+    fired = scored.select("tick_no", "tick", "service", "total", F.explode(rate_signals(p)).alias("s"))
     return _anomalies(
         fired,
         "rate_spike",

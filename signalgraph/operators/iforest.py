@@ -109,21 +109,22 @@ def fit_and_score(rows: np.ndarray, p: Params) -> np.ndarray:
     return raw - np.percentile(raw, 100.0 * p.contamination)
 
 
+def tick_decisions(rows: pd.DataFrame, p: Params) -> pd.DataFrame:
+    """Decision value and outlier flag of each service of a tick; none if they are too few."""
+    if len(rows) < p.forest_min_rows:
+        return rows.iloc[:0][["tick_no", "tick", "service"]].assign(decision=0.0, is_outlier=False)
+    rows = rows.sort_values(["total", "service"], ascending=[False, True])
+    decision = fit_and_score(np.log1p(rows[FEATURES].to_numpy(dtype=float)), p)
+    return rows[["tick_no", "tick", "service"]].assign(decision=decision, is_outlier=decision < 0)
+
+
 def forest_per_tick(features: DataFrame, p: Params) -> DataFrame:
     """Decision value and outlier flag per tick and service.
 
     One group is one tick's services. Ticks with too few services give nothing.
     """
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        if len(pdf) < p.forest_min_rows:
-            return pdf.iloc[:0][["tick_no", "tick", "service"]].assign(decision=0.0, is_outlier=False)
-        pdf = pdf.sort_values(["total", "service"], ascending=[False, True])
-        decision = fit_and_score(np.log1p(pdf[FEATURES].to_numpy(dtype=float)), p)
-        return pdf[["tick_no", "tick", "service"]].assign(decision=decision, is_outlier=decision < 0)
-
     return spread_by(features, "tick_no").groupBy("tick_no").applyInPandas(
-        run, "tick_no long, tick double, service string, decision double, is_outlier boolean"
+        lambda pdf: tick_decisions(pdf, p), "tick_no long, tick double, service string, decision double, is_outlier boolean"
     )
 
 

@@ -268,6 +268,17 @@ members AS (
   SELECT h.*, f.joined, first.tick_no AS first_tick_no, first.service AS first_service
   FROM hit h JOIN fold f USING (k) JOIN hit first ON first.k = f.joined)"""
 
+# An incident is active from a signal on; silence makes it resolving, resolved and dropped.
+STATES = """
+moments AS (
+  SELECT joined, tick_no, lag(tick_no) OVER w AS prev, coalesce(lead(tick_no) OVER w, 1000000000) AS nxt
+  FROM (SELECT DISTINCT joined, tick_no FROM members) WINDOW w AS (PARTITION BY joined ORDER BY tick_no)),
+states AS (
+  SELECT joined, tick_no, 'active' AS state FROM moments WHERE prev IS NULL OR prev + 10 < tick_no
+  UNION ALL SELECT joined, tick_no + 10, 'resolving' FROM moments WHERE tick_no + 10 < nxt
+  UNION ALL SELECT joined, tick_no + 23, 'resolved' FROM moments WHERE tick_no + 23 < nxt
+  UNION ALL SELECT joined, tick_no + 173, 'dropped' FROM moments WHERE tick_no + 173 < nxt)"""
+
 # Reachability of the last tick with an anomaly while an incident is kept.
 ROOTS = """
 ended AS (SELECT joined, max(tick_no) AS tick_no FROM members GROUP BY joined),
@@ -699,6 +710,25 @@ reach AS (
         WEIGHTS,
         recursive=True,
     ),
+    "stream_rule_changes": sql(FIRINGS, TICKS, CHANGED_RULES, dwell()),
+    "stream_graph": sql(
+        f" SELECT tick_no, tick, source, target, {near('weight')} AS weight FROM weights", TICKS, WEIGHTS, recursive=True
+    ),
+    "stream_blast_radius": sql(
+        """ SELECT tick_no, source, service, CAST(min(hops) AS BIGINT) AS hops FROM reach WHERE hops <= 4
+        GROUP BY tick_no, source, service""",
+        TICKS, WEIGHTS, REACH, recursive=True,
+    ),
+    "stream_incidents": sql(
+        " SELECT tick_no, kind, service, ord_3, first_tick_no, first_service FROM members",
+        TICKS, WEIGHTS, ZSCORES, RULES, dwell(), REACH, STEADY, FOLD, recursive=True,
+    ),
+    # silent for more than 9, 22.5 and 172.5 ticks
+    "stream_incident_states": sql(
+        """ SELECT s.tick_no, s.state, f.tick_no AS first_tick_no, f.kind AS first_kind, f.service AS first_service, f.ord_3 AS first_3
+        FROM states s JOIN hit f ON f.k = s.joined WHERE s.tick_no <= (SELECT max(tick_no) FROM numbered)""",
+        TICKS, WEIGHTS, ZSCORES, RULES, dwell(), REACH, STEADY, FOLD, STATES, recursive=True,
+    ),
     "stream_seconds": sql(
         f""" SELECT CAST(floor(ts / 1800) AS BIGINT) * 1800000000 AS start_us, count(*) AS total, {ERRORS} AS errors, {WARNS} AS warns
         FROM logs GROUP BY floor(ts / 1800)"""
@@ -709,6 +739,7 @@ reach AS (
     ),
     "document_templates": mined(DOCUMENT_LINES),
     "document_new_templates": mined(DOCUMENT_LINES, NEW_TEMPLATES),
+    "stream_new_templates": mined(DOCUMENT_LINES, NEW_TEMPLATES),
     "document_masks": f"""
       SELECT md5(masked) AS masked_md5, count(*) AS n, CAST(min(doc_id) AS DOUBLE) AS first_ts
       FROM (

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
@@ -9,17 +11,18 @@ from pyspark.sql.streaming.query import StreamingQuery
 from signalgraph.functions import scalars as S
 from signalgraph.functions.quantiles import quantile_rollup, value_bin
 from signalgraph.operators import rates as R
-from signalgraph.operators.detect import rate_anomalies
-from signalgraph.operators.rules import compare, metric_value
+from signalgraph.operators.detect import rate_anomalies, rate_signals
 from signalgraph.operators.templates import clean
 from signalgraph.params import Params
-from signalgraph.sources.adapters import event_logs
+from signalgraph.sources.adapters import document_logs, event_logs
 from signalgraph.sources.logs import append_logs, last_ts
 from signalgraph.schema import LOG_SCHEMA
 from signalgraph.sources.staging import stage, staged_at
+from signalgraph.streaming import live as LV
 from signalgraph.streaming import state as ST
 
 LATE_S = 10.0  # rows later than this are dropped
+KEY_BUCKETS = 64  # messages and leaves are kept in so many keyed states; fixed for the life of a checkpoint
 FAR_S = 30 * 86400.0  # how far behind a replay's rows its end is marked
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -102,7 +105,7 @@ def sliding_rates(logs: DataFrame, p: Params) -> DataFrame:
             *[F.sum(c).alias(c) for c in ("total", "errors", "warns")],
         )
         .select(
-            F.col("window.end").alias("event_time"),
+            F.window_time("window").alias("event_time"),  # a microsecond before the end; later operators go by it
             (F.unix_micros("window.end") / F.lit(p.tick_s * 1000000)).cast("bigint").alias("tick_no"),
             (F.unix_micros("window.end") / F.lit(1000000.0)).alias("tick"),
             "service",
@@ -156,7 +159,7 @@ def rates_from_cells(cells: DataFrame, p: Params) -> DataFrame:
 
 def service_signals(rates: DataFrame, p: Params) -> DataFrame:
     """z-scores and forecast of each service, kept up tick by tick in state."""
-    return ST.run(rates, ["service"], ST.ServiceSignals(p))
+    return ST.run(rates, ["service"], ST.ServiceSignals(p), in_time=True)
 
 
 def rate_anomaly_stream(rates: DataFrame, p: Params) -> DataFrame:
@@ -164,24 +167,8 @@ def rate_anomaly_stream(rates: DataFrame, p: Params) -> DataFrame:
     return rate_anomalies(service_signals(rates, p), p)
 
 
-def rule_signals(matches: DataFrame) -> DataFrame:
-    """Firings of each rule from a stream of its matches (``stream_matches``)."""
-    return ST.run(matches, ["rule_id"], ST.RuleDwell())
-
-
-def stream_matches(rates: DataFrame, rules: DataFrame, p: Params) -> DataFrame:
-    """Rows of the rate stream that meet a rule of their service or of all."""
-    asked = rates.withColumn("asked", F.explode(F.array(F.col("service"), F.lit("*"))))
-    return (
-        asked.join(rules.filter("enabled").withColumnRenamed("service", "asked"), "asked")
-        .withColumn("value", metric_value(F.col("metric"), p))
-        .filter(compare(F.col("value"), F.col("op"), F.col("threshold")))
-        .select("event_time", "rule_id", "tick_no", "tick", "service", "total", "value", "duration_s")
-    )
-
-
-def edge_signals(logs: DataFrame, p: Params) -> DataFrame:
-    """Edge weights, kept up tick by tick in state."""
+def edge_calls(logs: DataFrame, p: Params) -> DataFrame:
+    """Calls per edge in every sliding window, as it closes."""
     # rows that are no calls are left out only after counting, as they move the watermark too
     is_call = F.col("parent_service").isNotNull() & (F.col("parent_service") != F.col("service"))
     panes = (
@@ -194,33 +181,137 @@ def edge_signals(logs: DataFrame, p: Params) -> DataFrame:
         .agg(F.sum(S.flag(is_call)).alias("calls"))
         .filter("calls > 0")
     )
-    calls = (
+    return (
         panes.groupBy(F.window(F.window_time("w"), _span(p.window_s), _span(p.tick_s)), "source", "target")
         .agg(F.sum("calls").alias("calls"))
         .select(
-            F.col("window.end").alias("event_time"),
+            F.window_time("window").alias("event_time"),
             (F.unix_micros("window.end") / F.lit(p.tick_s * 1000000)).cast("bigint").alias("tick_no"),
             "source",
             "target",
             "calls",
         )
     )
-    return ST.run(calls, ["source", "target"], ST.EdgeDecay(p))
 
 
-def template_signals(logs: DataFrame, p: Params) -> DataFrame:
-    """Each record's template, mined as records arrive.
+def edge_signals(logs: DataFrame, p: Params) -> DataFrame:
+    """Edge weights at the ticks that saw calls, kept up tick by tick in state."""
+    return ST.run(edge_calls(logs, p), ["source", "target"], ST.EdgeDecay(p))
 
-    Templates are named by leaf and place in the leaf. Branches are kept per
-    token path in state, level by level, then groups per leaf.
-    """
-    out = logs.select("ts", "span_id", "service", clean().alias("masked")).filter("masked <> ''")
-    out = out.withColumn("leaf", F.size(F.split("masked", " ")).cast("string"))
+
+def _one_tenant(df: DataFrame) -> DataFrame:
+    return df if "env" in df.columns else df.withColumn("env", F.lit("all"))
+
+
+def rate_rows(rates: DataFrame, p: Params) -> DataFrame:
+    """Rates as rows of the live clock; they also tell which ticks hold rows."""
+    return LV.live_rows(
+        _one_tenant(rates), "rate", tick_no="tick_no", service="service", total="total", error_rate="error_rate", p95="p95",
+        logs_per_min=S.per_minute("total", p.window_s),
+    )
+
+
+def signal_rows(signals: DataFrame, p: Params) -> DataFrame:
+    """Signals as rows of the live clock: one for the rates, one for each anomaly in them."""
+    rate = F.struct(F.lit("rate").alias("kind"), F.lit(0).alias("sub"), F.lit(0.0).alias("severity"))
+    found = F.transform(
+        rate_signals(p),
+        lambda s: F.struct(F.lit("anomaly").alias("kind"), s["sub"].alias("sub"), S.z_severity(s["z"], p.z_threshold).cast("double").alias("severity")),
+    )
+    held = _one_tenant(signals).withColumn("x", F.explode(F.concat(F.array(rate), found)))
+    return LV.live_rows(
+        held, F.col("x.kind"), tick_no="tick_no", service="service", total="total", error_rate="error_rate", p95="p95",
+        logs_per_min=S.per_minute("total", p.window_s), sub=F.col("x.sub"), severity=F.col("x.severity"),
+    )
+
+
+def edge_rows(calls: DataFrame) -> DataFrame:
+    return LV.live_rows(_one_tenant(calls), "edge", tick_no="tick_no", service="source", target="target", calls="calls")
+
+
+def change_rows(changes: DataFrame, p: Params) -> DataFrame:
+    """A stream of rule changes (``change_ts``, ``change``, the rule's columns) as rows of the
+    live clock. A change holds from the first tick at or after its time on."""
+    held = _one_tenant(changes).withColumn("event_time", F.timestamp_micros((F.col("change_ts") * 1000000).cast("bigint")))
+    return LV.live_rows(
+        held, "change", tick_no=F.ceil(F.col("change_ts") / F.lit(p.tick_s)), at="change_ts",
+        **{c: c for c in ("rule_id", "change", *LV.BODY)},
+    )
+
+
+def live_rule_firings(rates: DataFrame, p: Params, rules: list[tuple] = (), changes: DataFrame | None = None) -> DataFrame:
+    """Firings of ``rules`` (as in ``DEFAULT_RULES``) and of those that a stream of changes
+    adds, switches and deletes. Ticks without rows don't break a dwell."""
+    rows = rate_rows(rates, p)
+    if changes is not None:
+        rows = rows.unionByName(change_rows(changes, p))
+    return LV.run(rows, LV.RuleClock(p, rules))
+
+
+def live_graph(logs: DataFrame, p: Params, clock: type[LV.GraphClock] = LV.GraphClock) -> DataFrame:
+    """Living edges of every tick, silent ones too; with ``BlastClock`` what services reach."""
+    rows = rate_rows(sliding_rates(logs, p), p).unionByName(edge_rows(edge_calls(logs, p)))
+    return LV.run(rows, clock(p))
+
+
+def live_incidents(logs: DataFrame, p: Params, rules: list[tuple] = (), changes: DataFrame | None = None) -> DataFrame:
+    """Members of incidents and changes of their states, from the logs on: rate and rule
+    detectors, the call graph and incidents in one job. ``event`` is member, active,
+    resolving, resolved or dropped."""
+    rows = signal_rows(service_signals(sliding_rates(logs, p), p), p).unionByName(edge_rows(edge_calls(logs, p)))
+    if changes is not None:
+        rows = rows.unionByName(change_rows(changes, p))
+    return LV.run(rows, LV.IncidentClock(p, rules))
+
+
+def _mined(messages: DataFrame, p: Params, in_time: bool) -> DataFrame:
+    """Template of each message; a blank one has group -1. Branches are kept per token path in
+    state, level by level, then groups per leaf."""
+    words = F.when(F.col("masked") == "", 0).otherwise(F.size(F.split("masked", " ")))
+    out = messages.withColumn("leaf", words.cast("string"))
+    bucket = F.pmod(F.xxhash64("leaf"), F.lit(KEY_BUCKETS))
     for level in range(p.template_depth):
-        out = ST.run(out, ["leaf"], ST.Branch(level, p.template_children)).drop("from_leaf")
-    return ST.run(out, ["leaf"], ST.Leaf(p.template_similarity)).withColumn(
-        "template_id", F.xxhash64("leaf", "grp")
+        out = ST.run(out.withColumn("bucket", bucket), ["bucket"], ST.Branch(level, p.template_children), in_time)
+    leaves = ST.run(out.withColumn("bucket", bucket), ["bucket"], ST.Leaf(p.template_similarity), in_time)
+    return leaves.withColumn("template_id", F.xxhash64("leaf", "grp"))
+
+
+def template_signals(logs: DataFrame, p: Params) -> DataFrame:
+    """Each record's template, mined as records arrive. Templates are named by leaf and
+    place in the leaf."""
+    at = F.timestamp_micros((F.col("ts") * 1000000).cast("bigint")).alias("event_time")
+    messages = logs.select(at, "ts", "span_id", "service", clean().alias("masked")).filter("masked <> ''")
+    return _mined(messages, p, False).drop("event_time")
+
+
+def first_sights(logs: DataFrame, p: Params, forget_s: float) -> DataFrame:
+    """The first record of each masked message, as its tick closes. Records are combined per
+    tick and message first, so that a common message is one row a tick."""
+    panes = (
+        timed(logs)
+        .withColumn("masked", clean())
+        .groupBy(F.window("event_time", _span(p.tick_s)).alias("w"), "masked")
+        .agg(F.min(F.struct("ts", "span_id", "service")).alias("first"))
+        .select(F.window_time("w").alias("event_time"), "first.*", "masked", F.pmod(F.xxhash64("masked"), F.lit(KEY_BUCKETS)).alias("bucket"))
     )
+    return LV.timed_run(panes, ["bucket"], LV.FirstSights(forget_s))
+
+
+def live_new_templates(logs: DataFrame, p: Params, forget_s: float = 86400.0) -> DataFrame:
+    """New templates after the warm-up, as ticks close. Only messages not seen before (or not
+    for ``forget_s``) go through the miner, in order of event time."""
+    mined = _mined(first_sights(logs, p, forget_s), p, True).filter("is_new or masked = ''")
+    rows = LV.live_rows(
+        _one_tenant(mined), F.when(F.col("is_new"), "template").otherwise("start"),
+        tick_no=F.floor(F.col("ts") / F.lit(p.tick_s)) + 1, at="ts", rule_id="span_id", name="masked", service="service",
+    )
+    return LV.run(rows, LV.TemplateClock(p))
+
+
+def live_outliers(rates: DataFrame, p: Params) -> DataFrame:
+    """Decision value and flag of each service, by a forest grown as its tick closes."""
+    held = _one_tenant(rates).select("event_time", "env", "tick_no", "tick", "service", *[F.col(c).cast("double").alias(c) for c in R.FEATURES])
+    return LV.timed_run(held, ["env", "tick_no"], LV.TickForest(p))
 
 
 def incident_signals(anomalies: DataFrame, p: Params, by: str = "env") -> DataFrame:
@@ -228,25 +319,29 @@ def incident_signals(anomalies: DataFrame, p: Params, by: str = "env") -> DataFr
     return ST.run(anomalies, [by], ST.IncidentFold(p))
 
 
-def _event_stream(spark: SparkSession, folder: str) -> DataFrame:
-    """The events as a stream that ends: a row far behind the last one, of no service,
+def _table_stream(spark: SparkSession, folder: str, name: str, view: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """A table as a stream of logs that ends: a row far behind the last one, of no service,
     moves the watermark past all windows, so that a drained replay closes them."""
-    path = f"{folder}/events.parquet"
+    path = f"{folder}/{name}.parquet"
     held = spark.read.parquet(path)
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     reader = spark.readStream.schema(held.schema)
     if at.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(at).isDirectory():
         stream = reader.parquet(path)
     else:
-        stream = reader.option("pathGlobFilter", "events.parquet").parquet(folder)
-    end = event_logs(held).agg(F.max("ts").alias("ts"))
+        stream = reader.option("pathGlobFilter", f"{name}.parquet").parquet(folder)
+    end = view(held).agg(F.max("ts").alias("ts"))
     empty = [F.lit(None).cast(f.dataType).alias(f.name) for f in LOG_SCHEMA.fields if f.name != "ts"]
     marker = stage(end.select((F.col("ts") + FAR_S).alias("ts"), *empty), "end_of_stream")
     ending = spark.readStream.schema(marker.schema).parquet(marker.inputFiles()[0].rsplit("/", 1)[0])
-    logs = event_logs(stream).drop("event_time")
+    logs = view(stream).drop("event_time")
     return logs.unionByName(ending.select(*logs.columns))
 
 
+def _event_stream(spark: SparkSession, folder: str) -> DataFrame:
+    return _table_stream(spark, folder, "events", event_logs)
+
+
 def run_once(stream: DataFrame, name: str) -> DataFrame:
     """Drains what the source holds now into a staged table and reads it."""
     spark = stream.sparkSession
@@ -286,9 +381,32 @@ def replay_rate_anomalies(spark: SparkSession, folder: str, p: Params) -> DataFr
     return _until_last(spark, folder, run_once(rate_anomaly_stream(rates, p), "anomalies"), p)
 
 
-def replay_rule_firings(spark: SparkSession, folder: str, rules: DataFrame, p: Params) -> DataFrame:
+def replay_rule_firings(spark: SparkSession, folder: str, rules: list[tuple], p: Params, changes: DataFrame | None = None) -> DataFrame:
+    """``rules``, or the rules of a change table that is read as a stream beside the logs."""
     rates = sliding_rates(_event_stream(spark, folder), p)
-    return _until_last(spark, folder, run_once(rule_signals(stream_matches(rates, rules, p)), "firings"), p)
+    if changes is not None:
+        held = stage(changes, "rule_changes")
+        changes = spark.readStream.schema(held.schema).parquet(held.inputFiles()[0].rsplit("/", 1)[0])
+    return _until_last(spark, folder, run_once(live_rule_firings(rates, p, rules, changes), "firings"), p)
+
+
+def replay_outliers(spark: SparkSession, folder: str, p: Params) -> DataFrame:
+    rates = sliding_rates(_event_stream(spark, folder), p)
+    return _until_last(spark, folder, run_once(live_outliers(rates, p), "outliers"), p)
+
+
+def replay_new_templates(spark: SparkSession, folder: str, p: Params, forget_s: float = 86400.0) -> DataFrame:
+    """New templates over the lines of documents."""
+    return run_once(live_new_templates(_table_stream(spark, folder, "documents", document_logs), p, forget_s), "new_templates")
+
+
+def replay_graph(spark: SparkSession, folder: str, p: Params, clock: type[LV.GraphClock] = LV.GraphClock) -> DataFrame:
+    """Edges, or what services reach, at every tick that holds rows."""
+    return _until_last(spark, folder, run_once(live_graph(_event_stream(spark, folder), p, clock), "graph"), p)
+
+
+def replay_incidents(spark: SparkSession, folder: str, rules: list[tuple], p: Params) -> DataFrame:
+    return _until_last(spark, folder, run_once(live_incidents(_event_stream(spark, folder), p, rules), "incidents"), p)
 
 
 def replay_edge_weights(spark: SparkSession, folder: str, p: Params) -> DataFrame:

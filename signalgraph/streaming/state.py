@@ -22,6 +22,10 @@ from signalgraph.params import Params
 from signalgraph.functions.scalars import PLACEHOLDER
 
 
+def _columns(schema: str) -> list[str]:
+    return [c.strip().split(" ")[0] for c in schema.split(", ")]
+
+
 class Processor(StatefulProcessor):
     """One string of JSON per key; subclasses say how rows change it."""
 
@@ -34,7 +38,7 @@ class Processor(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         gathered = pd.concat(list(rows), ignore_index=True).sort_values(self.order, kind="stable")
         state = self.load(json.loads(self.kept.get()[0]) if self.kept.exists() else self.start())
-        columns = [c.strip().split(" ")[0] for c in self.output.split(", ")]
+        columns = _columns(self.output)
         out = [r for row in gathered.to_dict("records") for r in self.step(state, row)]
         self.kept.update((json.dumps(self.dump(state)),))
         if out:
@@ -57,9 +61,12 @@ class Processor(StatefulProcessor):
         raise NotImplementedError
 
 
-def run(df: DataFrame, keys: list[str], processor: Processor) -> DataFrame:
+def run(df: DataFrame, keys: list[str], processor: Processor, in_time: bool = False) -> DataFrame:
+    """``in_time``: by event time, so that operators that go by it can follow. Rows that come
+    later than the watermark are left out then."""
+    timed = {"timeMode": "EventTime", "eventTimeColumnName": "event_time"} if in_time else {"timeMode": "None"}
     return df.groupBy(*keys).transformWithStateInPandas(
-        statefulProcessor=processor, outputStructType=processor.output, outputMode="Append", timeMode="None"
+        statefulProcessor=processor, outputStructType=processor.output, outputMode="Append", **timed
     )
 
 
@@ -67,7 +74,7 @@ class ServiceSignals(Processor):
     """Rolling z of total, errors and p95, and the error-rate forecast."""
 
     output = (
-        "service string, tick_no long, tick double, total long, errors long, p95 double, "
+        "event_time timestamp, service string, tick_no long, tick double, total long, errors long, p95 double, error_rate double, "
         "z_total double, z_errors double, z_p95 double, forecast double, stddev double"
     )
     order = ["tick_no"]
@@ -94,37 +101,11 @@ class ServiceSignals(Processor):
             state["variance"] = a * off * off + (1 - a) * state["variance"]
             state["mean"] = a * x + (1 - a) * state["mean"]
         yield (
-            row["service"], row["tick_no"], row["tick"], row["total"], row["errors"], row["p95"], *z, state["mean"],
-            math.sqrt(state["variance"]),
+            row["event_time"], row["service"], row["tick_no"], row["tick"], row["total"], row["errors"], row["p95"], row["error_rate"], *z,
+            state["mean"], math.sqrt(state["variance"]),
         )
 
 
-class RuleDwell(Processor):
-    """Fires once a rule has matched on consecutive ticks for its duration."""
-
-    output = "rule_id string, tick_no long, tick double, service string, value double, fired_count long, severity double"
-    order = ["tick_no", "total", "service"]
-
-    def start(self) -> dict:
-        return {"tick_no": None, "entered_at": None, "firing": False, "fired": 0}
-
-    def handleInputRows(self, key, rows, timerValues):
-        """Of the services matching at a tick, the busiest speaks for the rule."""
-        all_rows = pd.concat(list(rows), ignore_index=True)
-        first = all_rows.sort_values(["tick_no", "total", "service"], ascending=[True, False, True])
-        yield from super().handleInputRows(key, iter([first.drop_duplicates("tick_no")]), timerValues)
-
-    def step(self, state: dict, row: dict):
-        if state["tick_no"] is None or row["tick_no"] != state["tick_no"] + 1:
-            state["entered_at"], state["firing"] = row["tick"], False
-        state["tick_no"] = row["tick_no"]
-        if not state["firing"] and row["tick"] - state["entered_at"] >= row["duration_s"]:
-            state["firing"] = True
-            state["fired"] += 1
-            severity = min(0.95, 0.55 + 0.05 * state["fired"])
-            yield row["rule_id"], row["tick_no"], row["tick"], row["service"], row["value"], state["fired"], severity
-
-
 class EdgeDecay(Processor):
     """Weight of an edge at each tick that saw calls on it."""
 
@@ -150,56 +131,90 @@ class EdgeDecay(Processor):
         yield row["source"], row["target"], row["tick_no"], state["weight"]
 
 
-class Branch(Processor):
-    """Sends a record one token further; a path takes only so many branches."""
+class Branch(StatefulProcessor):
+    """Sends messages one token further; a path takes only so many branches. A key is a bucket
+    of paths, whose branches are entries of a map."""
 
-    output = "ts double, span_id string, service string, masked string, from_leaf string, leaf string"
-    order = ["ts", "span_id"]
+    output = "event_time timestamp, ts double, span_id string, service string, masked string, leaf string"
 
     def __init__(self, level: int, most: int) -> None:
         self.level, self.most = level, most
 
-    def start(self) -> dict:
-        return {"branches": []}
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.kept = handle.getMapState("branches", "leaf string", "words array<string>")
 
-    def step(self, state: dict, row: dict):
-        words = row["masked"].split(" ")
-        leaf = row["leaf"]
-        if self.level < len(words):
-            word = PLACEHOLDER if words[self.level].startswith("<") else words[self.level]
-            if word not in state["branches"]:
-                if len(state["branches"]) < self.most:
-                    state["branches"].append(word)
-                else:
-                    word = PLACEHOLDER
-            leaf = f"{leaf} {word}"
-        yield row["ts"], row["span_id"], row["service"], row["masked"], row["leaf"], leaf
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        new = pd.concat(list(rows), ignore_index=True).sort_values(["ts", "span_id", "masked"], kind="stable")
+        known: dict[str, dict[str, None]] = {}
+        sizes: dict[str, int] = {}
+        leaves = []
+        for leaf, masked in zip(new["leaf"].tolist(), new["masked"].tolist()):
+            words = masked.split(" ")
+            if self.level < len(words):
+                if leaf not in known:
+                    held = self.kept.getValue((leaf,)) if self.kept.containsKey((leaf,)) else ([],)
+                    known[leaf] = dict.fromkeys(held[0])
+                    sizes[leaf] = len(known[leaf])
+                word = PLACEHOLDER if words[self.level].startswith("<") else words[self.level]
+                if word not in known[leaf]:
+                    if len(known[leaf]) < self.most:
+                        known[leaf][word] = None
+                    else:
+                        word = PLACEHOLDER
+                leaf = f"{leaf} {word}"
+            leaves.append(leaf)
+        for leaf, words in known.items():
+            if len(words) > sizes[leaf]:
+                self.kept.updateValue((leaf,), (list(words),))
+        yield new.assign(leaf=leaves)[_columns(self.output)]
+
+    def close(self) -> None:
+        pass
 
 
-class Leaf(Processor):
-    """Groups of one leaf: joins a record to its most similar group."""
+class Leaf(StatefulProcessor):
+    """Joins a message to the most similar group of its leaf; a blank one to none. A key is a
+    bucket of leaves; each group's text is an entry of a map."""
 
-    output = "ts double, span_id string, service string, masked string, leaf string, grp long, is_new boolean"
-    order = ["ts", "span_id"]
+    output = "event_time timestamp, ts double, span_id string, service string, masked string, leaf string, grp long, is_new boolean"
 
     def __init__(self, threshold: float) -> None:
         self.threshold = threshold
 
-    def start(self) -> dict:
-        return {"groups": []}
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.sizes = handle.getMapState("sizes", "leaf string", "n long")
+        self.texts = handle.getMapState("texts", "leaf string, grp long", "text string")
 
-    def load(self, saved: dict) -> LeafGroups:
+    def _load(self, leaf: str) -> LeafGroups:
         groups = LeafGroups()
-        for text in saved["groups"]:
-            groups.append(text.split(" "))
+        n = self.sizes.getValue((leaf,))[0] if self.sizes.containsKey((leaf,)) else 0
+        for grp in range(n):
+            groups.append(self.texts.getValue((leaf, grp))[0].split(" "))
         return groups
 
-    def dump(self, state: LeafGroups) -> dict:
-        return {"groups": list(state.texts())}
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        new = pd.concat(list(rows), ignore_index=True).sort_values(["ts", "span_id", "masked"], kind="stable")
+        held: dict[str, LeafGroups] = {}
+        touched: dict[str, set[int]] = {}
+        found = []
+        for leaf, masked in zip(new["leaf"].tolist(), new["masked"].tolist()):
+            if not masked:
+                found.append((-1, False))
+                continue
+            if leaf not in held:
+                held[leaf], touched[leaf] = self._load(leaf), set()
+            grp, is_new = held[leaf].add(masked.split(" "), self.threshold)
+            touched[leaf].add(grp)
+            found.append((grp, is_new))
+        for leaf, groups in held.items():
+            texts = list(groups.texts())
+            for grp in touched[leaf]:
+                self.texts.updateValue((leaf, grp), (texts[grp],))
+            self.sizes.updateValue((leaf,), (len(texts),))
+        yield new.assign(grp=[g for g, _ in found], is_new=[n for _, n in found])[_columns(self.output)]
 
-    def step(self, state: LeafGroups, row: dict):
-        grp, new = state.add(row["masked"].split(" "), self.threshold)
-        yield row["ts"], row["span_id"], row["service"], row["masked"], row["leaf"], grp, new
+    def close(self) -> None:
+        pass
 
 
 class IncidentFold(Processor):

@@ -81,13 +81,12 @@ def test_bucket_counts(spark, story):
     assert len(got) > 150 and all(want[k] == n for k, n in got.items())
 
 
-def test_rule_signals(spark, story):
+def test_live_rules(spark, story):
     logs, folder = story
-    rules = U.rules_frame(spark, [("r", 1, "errors", "*", "error_rate", ">", 0.38, 4.0, True)])
-    rates = J.sliding_rates(stream(spark, folder), P)
-    got = J.run_once(J.rule_signals(J.stream_matches(rates, rules, P)), "t").collect()
+    rules = [("r", 1, "errors", "*", "error_rate", ">", 0.38, 4.0, True)]
+    got = J.run_once(J.live_rule_firings(J.sliding_rates(stream(spark, folder), P), P, rules), "t").collect()
     ticks = R.service_ticks(logs, P, ("p95",))
-    want = U.rule_firings(U.rule_dwell(U.rule_matches(ticks, rules, P), R.tick_numbers(logs, P))).collect()
+    want = U.rule_firings(U.rule_dwell(U.rule_matches(ticks, U.rules_frame(spark, rules), P), R.tick_numbers(logs, P))).collect()
     closed = (1200 - J.LATE_S) // P.tick_s
     key = lambda r: (r.tick_no, r.service, r.fired_count, round(r.severity, 6))
     assert sorted(map(key, got)) == sorted(key(r) for r in want if r.tick_no <= closed)
