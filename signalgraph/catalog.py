@@ -446,6 +446,16 @@ def _stream_incident_states(spark, folder):
     return found.select("tick_no", F.col("event").alias("state"), "first_tick_no", "first_kind", "first_service", "first_3")
 
 
+def _stream_trace_summary(spark, folder):
+    found = J.replay_traces(spark, folder, J.TRACE_GAP_S * STRETCH).drop("rows", "depths")
+    return rounded(joined(found, "services").withColumn("duration_ms", F.round("duration_ms", 2)), "started", "duration_ms")
+
+
+def _stream_trace_depth(spark, folder):
+    found = J.trace_span_depths(J.replay_traces(spark, folder, J.TRACE_GAP_S * STRETCH))
+    return found.select("span_id", F.col("depth").cast("bigint").alias("depth"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "service_rates_asof": on_logs(lambda x: R.service_rates(x, P)),
     "service_rates_ticks": on_logs(lambda x: R.service_ticks(x, P)),
@@ -530,6 +540,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "stream_edge_weights": lambda spark, folder: rounded(
         J.replay_edge_weights(spark, folder, P).select("tick_no", "source", "target", "weight")
     ),
+    "stream_trace_summary": _stream_trace_summary,
+    "stream_trace_depth": _stream_trace_depth,
     "stream_outliers": lambda spark, folder: rounded(
         J.replay_outliers(spark, folder, P).filter("is_outlier").select("tick_no", "service", "decision")
     ),

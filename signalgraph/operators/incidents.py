@@ -94,27 +94,41 @@ def assign_incidents(anomalies: DataFrame, p: Params, by: list[str] | None = Non
     return anomalies.join(found, "anomaly_id").withColumn("incident_id", named).drop("first_id")
 
 
+class Linked:
+    """Disjoint sets of services; a set goes by its smallest member."""
+
+    def __init__(self) -> None:
+        self.above: dict[str, str] = {}
+
+    def root(self, service: str) -> str:
+        above = self.above.setdefault(service, service)
+        while above != service:
+            self.above[service] = self.above[above]
+            service, above = above, self.above[above]
+        return service
+
+    def join(self, a: str, b: str) -> None:
+        a, b = sorted((self.root(a), self.root(b)))
+        self.above[b] = a
+
+
 def linked_services(anomalies: DataFrame, keys: list[str]) -> DataFrame:
     """``keys, service, linked``: the smallest service that a service is linked to, where
-    an anomaly links its own to all that it reaches. Rounds of taking the neighbours'
-    smallest, over distinct services only."""
+    an anomaly links its own to all that it reaches. One pass over distinct pairs; a task
+    holds the services of one chain, never its pairs or anomalies."""
     pairs = anomalies.select(*keys, "service", F.explode("blast_radius").alias("other")).distinct()
-    both = stage(
-        pairs.union(pairs.select(*keys, F.col("other").alias("service"), F.col("service").alias("other"))).distinct(), "service_links"
-    )
-    labels = stage(both.select(*keys, "service").distinct().withColumn("linked", F.col("service")), "linked")
-    while True:
-        near = both.join(labels.withColumnsRenamed({"service": "other", "linked": "theirs"}), [*keys, "other"])
-        least = near.groupBy(*keys, "service").agg(F.min("theirs").alias("theirs"))
-        after = stage(
-            labels.join(least, [*keys, "service"], "left").select(
-                *keys, "service", F.least("linked", "theirs").alias("linked"), (F.col("theirs") < F.col("linked")).alias("moved")
-            ),
-            "linked",
-        )
-        labels = after.drop("moved")
-        if after.filter("moved").isEmpty():
-            return labels
+    types = {f.name: f.dataType.simpleString() for f in pairs.schema.fields}
+
+    def step(state: Linked, row: tuple):
+        state.join(*row[-2:])
+        return ()
+
+    def finish(state: Linked, key: tuple):
+        for service in state.above:
+            yield *key, service, state.root(service)
+
+    schema = ", ".join(f"{k} {types[k]}" for k in [*keys, "service"]) + ", linked string"
+    return ordered_fold(pairs, keys, [], Linked, step, schema, finish)
 
 
 def open_incidents(members: DataFrame, p: Params, by: list[str] | None = None, opened: DataFrame | None = None) -> DataFrame:

@@ -710,6 +710,8 @@ reach AS (
         WEIGHTS,
         recursive=True,
     ),
+    "stream_trace_summary": sql(f" {SHOWN_SUMMARY}", SUMMARY),
+    "stream_trace_depth": sql(" SELECT span_id, depth FROM spans_depth", DEPTHS, recursive=True),
     "stream_rule_changes": sql(FIRINGS, TICKS, CHANGED_RULES, dwell()),
     "stream_graph": sql(
         f" SELECT tick_no, tick, source, target, {near('weight')} AS weight FROM weights", TICKS, WEIGHTS, recursive=True

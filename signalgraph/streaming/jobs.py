@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
@@ -23,6 +24,7 @@ from signalgraph.streaming import state as ST
 
 LATE_S = 10.0  # rows later than this are dropped
 KEY_BUCKETS = 64  # messages and leaves are kept in so many keyed states; fixed for the life of a checkpoint
+TRACE_GAP_S = 30.0  # silence after which a trace is taken for whole
 FAR_S = 30 * 86400.0  # how far behind a replay's rows its end is marked
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -314,6 +316,50 @@ def live_outliers(rates: DataFrame, p: Params) -> DataFrame:
     return LV.timed_run(held, ["env", "tick_no"], LV.TickForest(p))
 
 
+def live_traces(logs: DataFrame, gap_s: float = TRACE_GAP_S) -> DataFrame:
+    """Summary of each trace, and its spans with their depth, once it has been silent for
+    ``gap_s``. A trace that goes on later is told as another."""
+    end = F.col("ts") + F.col("latency_ms") / 1000.0
+    span = F.struct("ts", "span_id", "parent_service", "service")
+    closed = (
+        timed(logs)
+        .groupBy(F.session_window("event_time", _span(gap_s)).alias("w"), "trace_id")
+        .agg(
+            F.min("ts").alias("started"),
+            ((F.max(end) - F.min("ts")) * 1000.0).alias("duration_ms"),
+            F.array_sort(F.collect_set("service")).alias("services"),
+            F.max(S.is_error()).alias("has_errors"),
+            F.count(F.lit(1)).alias("spans"),
+            F.array_sort(F.collect_list(span)).alias("rows"),
+        )
+    )
+    return closed.withColumn("depths", span_depths()("rows.service", "rows.parent_service"))
+
+
+def trace_span_depths(traces: DataFrame) -> DataFrame:
+    """trace_id, span_id, service, depth of ``live_traces``."""
+    each = F.explode(F.arrays_zip(F.col("rows.span_id").alias("span_id"), F.col("rows.service").alias("service"), F.col("depths").alias("depth")))
+    return traces.select("trace_id", each.alias("s")).select("trace_id", "s.span_id", "s.service", "s.depth")
+
+
+def span_depths():
+    """Column function of the services and parents of a trace's spans in order: how deep each is."""
+
+    @F.arrow_udf("array<int>")
+    def depths(services: pa.Array, parents: pa.Array) -> pa.Array:
+        out = []
+        for own, above in zip(services.to_pylist(), parents.to_pylist()):
+            level: dict[str, int] = {}  # of a service, by its first span
+            row = []
+            for service, parent in zip(own, above):
+                row.append(level.get(parent, 0))
+                level.setdefault(service, row[-1] + 1)
+            out.append(row)
+        return pa.array(out, pa.list_(pa.int32()))
+
+    return depths
+
+
 def incident_signals(anomalies: DataFrame, p: Params, by: str = "env") -> DataFrame:
     """The incident of each anomaly, as anomalies arrive, per tenant."""
     return ST.run(anomalies, [by], ST.IncidentFold(p))
@@ -390,6 +436,10 @@ def replay_rule_firings(spark: SparkSession, folder: str, rules: list[tuple], p:
     return _until_last(spark, folder, run_once(live_rule_firings(rates, p, rules, changes), "firings"), p)
 
 
+def replay_traces(spark: SparkSession, folder: str, gap_s: float) -> DataFrame:
+    return run_once(live_traces(_event_stream(spark, folder), gap_s).drop("w"), "traces")
+
+
 def replay_outliers(spark: SparkSession, folder: str, p: Params) -> DataFrame:
     rates = sliding_rates(_event_stream(spark, folder), p)
     return _until_last(spark, folder, run_once(live_outliers(rates, p), "outliers"), p)
