@@ -156,15 +156,29 @@ class Pieces:
         return got
 
     def best_n(self, chunk: str, n: int) -> list[tuple[float, bytes]]:
-        """Loss against the best, and ids, of the ``n`` best segmentations: A* from the end."""
+        """Loss against the best, and ids, of the ``n`` best segmentations: A* from the end.
+        Of equal losses the one nearest the start goes on, and no place is left more than
+        ``n`` times, so that a run of one character costs what its length does."""
         got = self.lists.get((chunk, n))
         if got is not None:
             return got
         best, into = self.forward(chunk)
         order, out = 0, []
-        heap: list[tuple] = [(0.0, 0, len(chunk), None)]
+        left = [n] * (len(chunk) + 1)
+        ways: dict[int, list[tuple[float, int, object]]] = {}  # into a place, the least loss first
+        # loss rounded (equal sums in another order differ in their last digits), place, order, loss,
+        # pieces after it, and where among its siblings it stands: only the next of them waits
+        heap: list[tuple] = [(0.0, len(chunk), 0, 0.0, None, None)]
         while heap and len(out) < n:
-            loss, _, j, path = heapq.heappop(heap)
+            _, j, _, loss, path, among = heapq.heappop(heap)
+            if among is not None:
+                parent, base, after, k = among
+                if k + 1 < len(ways[parent]):
+                    order += 1
+                    self._wait(heap, ways[parent], parent, base, after, k + 1, order)
+            if not left[j]:
+                continue
+            left[j] -= 1
             if not j:
                 ids = []
                 while path:
@@ -172,9 +186,11 @@ class Pieces:
                     path = path[1]
                 out.append((loss, ids_bytes(ids)))
                 continue
-            for score, i, piece in into[j]:
-                order += 1
-                heapq.heappush(heap, (loss + best[j] - score, order, i, (piece, path)))
+            if j not in ways:
+                ways[j] = sorted(((best[j] - score, i, piece) for score, i, piece in into[j]), key=lambda w: w[:2])
+            order += 1
+            self._wait(heap, ways[j], j, loss, path, 0, order)
+        out.sort(key=lambda w: w[0])
         top = self.first(chunk)[0]  # of equals, the same one leads
         out = [(0.0, top), *(w for w in out if w[1] != top)][:n]
         if len(chunk) <= CHUNK_CHARS_HELD:
@@ -183,6 +199,11 @@ class Pieces:
             self.lists[chunk, n] = out
         return out
 
+    @staticmethod
+    def _wait(heap: list, ways: list, parent: int, base: float, after, k: int, order: int) -> None:
+        more, i, piece = ways[k]
+        heapq.heappush(heap, (round(base + more, 9), i, order, base + more, (piece, after), (parent, base, after, k)))
+
     def chunks(self, text: str) -> list[str]:
         """Of a whole text; their concatenation is the text as the model sees it."""
         if not text:
