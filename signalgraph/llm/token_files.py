@@ -1,10 +1,12 @@
 """Token ids as files of separately compressed documents with one shared dictionary.
 
-A zstandard dictionary is trained on the serialized ids of ``dictionary_docs``
-documents (those with the smallest hash of their id, at most ``dictionary_doc_bytes``
-of text of each: the documented bound of the sample). Every document is then one
-frame, so a short document is read without its neighbours and still profits from
-what all documents share.
+A zstandard dictionary is trained on ``dictionary_windows`` windows of serialized ids, of at
+most ``dictionary_window_bytes`` each (the documented bound of the sample, 8 MB). Windows lie
+anywhere in the whole id arrays of any document: texts are divided in as many places as they
+are long, and the places with the smallest hashes are taken, so each part of the corpus counts
+by its bytes. Tasks encode and cut; the driver gets the windows alone. Every document is then
+one frame, so a short document is read without its neighbours and still profits from what all
+documents share.
 
 Layout. A table of blocks, ``bucket, block, first_token, n_docs, n_tokens, bytes``,
 written by Spark (its commit protocol covers lost tasks) with Parquet compression
@@ -33,6 +35,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,6 +46,8 @@ from signalgraph.llm import tokens as K
 HEAD = struct.Struct("<4sHHI32s")
 ENTRY = np.dtype([("doc_id", "<i8"), ("has_id", "u1"), ("end", "<u8"), ("n_tokens", "<u4")])
 MAGIC, VERSION = b"TOKB", 1
+#: Bytes of text for each place of a window.
+PLACE_BYTES = 16 * 1024
 
 
 @dataclass(frozen=True)
@@ -52,8 +57,8 @@ class FileParams:
     id_width: int = 2  # bytes; 4 for vocabularies beyond 65,536
     level: int = 3
     dictionary_bytes: int = 64 * 1024
-    dictionary_docs: int = 1_000
-    dictionary_doc_bytes: int = 16 * 1024
+    dictionary_windows: int = 1_000
+    dictionary_window_bytes: int = 8 * 1024
     block_bytes: int = 2 * 1024 * 1024
     bucket_bytes: int = 32 * 1024 * 1024  # of text
 
@@ -68,20 +73,36 @@ class Codec:
         self.unpack = zstandard.ZstdDecompressor(dict_data=shared).decompress
 
 
+def sample_windows(docs: DataFrame, p: FileParams) -> DataFrame:
+    """h, data: serialized ids of the windows chosen, about half as many again as asked for."""
+    places = (F.coalesce(F.octet_length("text"), F.lit(0)) / F.lit(PLACE_BYTES)).cast("int") + 1
+    spread = K.texts_of(docs).select("text", F.xxhash64("doc_id", "text").alias("h"), places.alias("places"))
+    total = spread.agg(F.sum("places")).first()[0] or 0
+    share = int(min(1.0, 1.5 * p.dictionary_windows / max(total, 1)) * (1 << 30)) + 1
+    luck = lambda k: F.pmod(F.xxhash64("h", k), F.lit(1 << 30))
+    chosen = spread.withColumn("at", F.filter(F.sequence(F.lit(0), F.col("places") - 1), lambda k: luck(k) < share))
+    path, width, window = p.vocabulary or K.vocabulary_path(), p.id_width, p.dictionary_window_bytes // p.id_width
+
+    def cut(batches: Iterator[pa.RecordBatch]):
+        encode = K.encoder(path).encode_all
+        for part in C.slices(batches, "text"):
+            hashes, data = [], []
+            rows = zip(part.column("text").to_pylist(), part.column("h").to_pylist(), part.column("places").to_pylist(), part.column("at").to_pylist())
+            for text, h, places, at in rows:
+                ids = serialize(encode([text])[0], width)
+                n = len(ids) // width
+                for k in at:
+                    start = n * k // places * width
+                    hashes.append(xxhash.xxh64_intdigest(struct.pack("<qq", h, k)) >> 1)
+                    data.append(ids[start : start + window * width])
+            yield {"h": hashes, "data": data}
+
+    return C.arrow_map(chosen.filter(F.size("at") > 0), cut, "h long, data binary")
+
+
 def train_dictionary(docs: DataFrame, p: FileParams) -> bytes:
     """From a bounded sample; empty where there is too little to learn from."""
-    docs = K.texts_of(docs)
-    # four times as many candidates as needed, so that no task sends its own thousand texts
-    share = min(1.0, 4.0 * p.dictionary_docs / max(docs.count(), 1))
-    sample = (
-        docs.select(F.xxhash64("doc_id").alias("h"), F.substring("text", 1, p.dictionary_doc_bytes).alias("text"))
-        .filter(F.pmod("h", F.lit(1 << 30)) < int(share * (1 << 30)) + 1)
-        .orderBy("h", "text")
-        .limit(p.dictionary_docs)
-        .collect()
-    )
-    encode = K.WordEncoder(p.vocabulary or K.vocabulary_path()).encode_all
-    arrays = [serialize(ids, p.id_width) for ids in encode([r["text"] for r in sample])]
+    arrays = [bytes(r["data"]) for r in sample_windows(docs, p).orderBy("h", "data").limit(p.dictionary_windows).collect()]
     size = min(p.dictionary_bytes, sum(map(len, arrays)) // 8)
     try:
         return zstandard.train_dictionary(size, arrays).as_bytes() if size >= 1024 else b""

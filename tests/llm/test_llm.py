@@ -2,6 +2,7 @@
 nulls, empty and long texts, ties, repeated rows, empty tables, clashing columns."""
 
 import random
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -349,6 +350,18 @@ def test_token_files_round_trip(spark, make, sample, tmp_path):
         token_files.open_block(bytes(one["bytes"]), b"\0" * 32)
 
 
+def test_dictionary_learns_from_whole_documents(make):
+    words = [" ".join(f"{w}{k}" for k in range(6_000)) for w in ("one", "two")]
+    p = token_files.FileParams(dictionary_windows=1_000, dictionary_window_bytes=2_000)
+    ids = [token_files.serialize(x, 2) for x in K.WordEncoder(K.vocabulary_path()).encode_all(words)]
+    windows = [bytes(r["data"]) for r in token_files.sample_windows(make([*enumerate(words), (None, None), (7, "")]), p).collect()]
+    places = [max(x.find(w) for x in ids) / len(ids[0]) for w in windows if w]
+    assert min(places) == 0 and max(places) > 0.6 and all(len(w) <= 2_000 for w in windows)
+    few = token_files.FileParams(dictionary_windows=2)
+    assert len(token_files.train_dictionary(make(list(enumerate(words * 50))), p)) > 1_000
+    assert token_files.sample_windows(make(list(enumerate(words * 50))), few).count() < 30
+
+
 def test_wide_ids_are_not_wrapped():
     ids = np.array([1, 0xFFFF], "<u4").tobytes()
     assert token_files.restore(token_files.serialize(ids, 2), 2) == ids and token_files.serialize(b"", 2) == b""
@@ -433,6 +446,21 @@ def test_n_best_are_the_best_of_all(model):
         assert all(model.decode(x).decode() == t.replace("▁", " ") for _, x in found)
 
 
+@pytest.mark.parametrize("text", ["a" * 10_000, "-" * 10_000, "." * 10_000, "=-" * 5_000, "ab" * 5_000, "\n" * 10_000, " " * 10_000])
+def test_long_runs_of_ties_take_no_time(model, text):
+    began = time.perf_counter()
+    found = model.segment(text, 4)
+    assert time.perf_counter() - began < 3
+    assert len({ids for _, ids in found}) == len(found) and [s for s, _ in found] == sorted((s for s, _ in found), reverse=True)
+    assert all(model.decode(ids).decode() == text for _, ids in found)
+
+
+def test_n_best_of_ties(model):
+    for text in ("aaaaaaaaaa", "----------", "..........", "abababab"):
+        every = all_segmentations(model, text)
+        assert [s for s, _ in model.segment(text, 6)] == pytest.approx([s for s, _ in every[:6]], abs=1e-9)
+
+
 def test_decoding_is_the_librarys(model, sample):
     import sentencepiece
 
