@@ -84,17 +84,17 @@ def sample_windows(docs: DataFrame, p: FileParams) -> DataFrame:
     path, width, window = p.vocabulary or K.vocabulary_path(), p.id_width, p.dictionary_window_bytes // p.id_width
 
     def cut(batches: Iterator[pa.RecordBatch]):
-        encode = K.encoder(path).encode_all
+        encode = K.encoder(path).encode
         for part in C.slices(batches, "text"):
+            ids, edges = encode(part.column("text"))
+            ids = np.frombuffer(serialize(ids.tobytes(), width), f"<u{width}")
             hashes, data = [], []
-            rows = zip(part.column("text").to_pylist(), part.column("h").to_pylist(), part.column("places").to_pylist(), part.column("at").to_pylist())
-            for text, h, places, at in rows:
-                ids = serialize(encode([text])[0], width)
-                n = len(ids) // width
+            rows = zip(edges, edges[1:], part.column("h").to_pylist(), part.column("places").to_pylist(), part.column("at").to_pylist())
+            for first, end, h, places, at in rows:
                 for k in at:
-                    start = n * k // places * width
+                    start = first + (end - first) * k // places
                     hashes.append(xxhash.xxh64_intdigest(struct.pack("<qq", h, k)) >> 1)
-                    data.append(ids[start : start + window * width])
+                    data.append(ids[start : min(end, start + window)].tobytes())
             yield {"h": hashes, "data": data}
 
     return C.arrow_map(chosen.filter(F.size("at") > 0), cut, "h long, data binary")
