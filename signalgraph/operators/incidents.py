@@ -128,7 +128,7 @@ def linked_services(anomalies: DataFrame, keys: list[str]) -> DataFrame:
             yield *key, service, state.root(service)
 
     schema = ", ".join(f"{k} {types[k]}" for k in [*keys, "service"]) + ", linked string"
-    return ordered_fold(pairs, keys, [], Linked, step, schema, finish)
+    return stage(ordered_fold(pairs, keys, [], Linked, step, schema, finish), "linked")
 
 
 def open_incidents(members: DataFrame, p: Params, by: list[str] | None = None, opened: DataFrame | None = None) -> DataFrame:
