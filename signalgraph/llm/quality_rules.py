@@ -7,11 +7,14 @@ determinant estimate (Rousseeuw, 1984; concentration steps of Rousseeuw and Van
 Driessen, 1999) gives the centre and spread of their transformed statistics without
 letting junk widen them, and a document far out in Mahalanobis distance is rejected.
 
-The estimate is worked out by grouped aggregation for all groups at once. Start:
-medians and quartiles of each statistic. Each concentration step takes the share
-``support`` of a group with the smallest distances (a quantile of the distances) and
-sums their moments. So a source that holds a third of all rows is a few partial sums
-per task, and no group is ever gathered.
+The estimate is worked out by grouped aggregation for all groups at once, from the four
+fixed starts of ``STARTS`` (as in deterministic searches: Hubert, Rousseeuw and Verdonck,
+2012). Each concentration step takes the share ``support`` of a group with the smallest
+distances (a quantile of the distances) and sums their moments. After ``trial_steps``
+steps the start of least determinant goes on, group by group, until a step lowers its
+determinant no more; the least one seen is the estimate. ``steps`` bounds the rest. So a
+source that holds a third of all rows is a few partial sums per task, and no group is
+ever gathered. Determinants are those of the covariances with ``floors`` (below).
 
 Spreads are the group's own. Only where one is under a small minimum (``floors``) it is
 raised to that: a statistic that is zero for nearly all documents must not condemn the
@@ -48,6 +51,9 @@ SYMBOLS = b"#*$%&|<>"
 MARKS = b"!?.,;:\"'()[]{}/\\=_~^+-@"
 UPPER = bytes(range(ord("A"), ord("Z") + 1))
 WINDOW = 5
+#: Where concentration starts, by what is made of robust z-scores before they are correlated:
+#: nothing in common, hyperbolic tangents, spatial signs, Cauchy weights.
+STARTS = ("apart", "tanh", "signs", "weights")
 
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 MORE = ["n_lines", "n_marks", "n_upper"]
@@ -58,7 +64,9 @@ class QualityParams:
     least_words: int = 10
     most_repeat_percent: int = 20
     support: float = 0.75  # share of a group that the estimate rests on
-    steps: int = 3
+    trial_steps: int = 2  # from every start
+    steps: int = 15  # more, at most, from the best of them
+    least_fall: float = 1e-6  # of the logarithm of a determinant
     least_group: int = 100
     #: Normal quantile of the chi-square cutoff: one clean document in 10,000.
     cutoff: float = 3.72
@@ -176,7 +184,8 @@ def _grouped(rows: DataFrame, p: QualityParams) -> DataFrame:
 
 
 def _estimates(moments: DataFrame, p: QualityParams) -> DataFrame:
-    """grp, centre and precision (row by row) from the count, means and products of each group."""
+    """grp, start, centre, precision (row by row) and log determinant of the covariance from
+    the means and products of each group and start."""
     dims = len(p.floors)
     floors = np.square(np.array(p.floors))
 
@@ -191,11 +200,13 @@ def _estimates(moments: DataFrame, p: QualityParams) -> DataFrame:
             cov = cov + np.eye(dims) * (np.maximum(0, floors - own) + floors / 1000)[:, None, :]
             yield {
                 "grp": batch.column("grp"),
+                "start": batch.column("start"),
                 "centre": (shift + mean).tolist(),
                 "precision": np.linalg.inv(cov).reshape(-1, dims * dims).tolist(),
+                "log_det": np.linalg.slogdet(cov)[1].tolist(),
             }
 
-    return C.arrow_map(moments, invert, "grp string, centre array<double>, precision array<double>")
+    return C.arrow_map(moments, invert, "grp string, start int, centre array<double>, precision array<double>, log_det double")
 
 
 def _distance(dims: int) -> Column:
@@ -204,40 +215,92 @@ def _distance(dims: int) -> Column:
     return sum(terms[1:], terms[0])
 
 
-def robust_estimates(rows: DataFrame, p: QualityParams = QualityParams()) -> DataFrame:
-    """grp, centre, precision, scale (of squared distances) from ``rows`` (grp, x0, x1, ...)."""
+def _starts(rows: DataFrame, p: QualityParams) -> DataFrame:
+    """grp, start, centre, mean (zeros) and cross (covariance, row by row) of each of STARTS."""
     dims = len(p.floors)
     xs = [f"x{i}" for i in range(dims)]
-    quartiles = rows.groupBy("grp").agg(*[F.percentile_approx(x, [0.25, 0.5, 0.75], 2_000).alias(x) for x in xs])
-    spread = [F.pow((F.col(x)[2] - F.col(x)[0]) / 1.349, 2) for x in xs]
-    start = quartiles.select(
-        "grp",
-        F.array(*[F.col(x)[1] for x in xs]).alias("centre"),
-        F.array(*[F.lit(0.0)] * dims).alias("mean"),
-        F.array(*[spread[i] if i == j else F.lit(0.0) for i in range(dims) for j in range(dims)]).alias("cross"),
+    quartiles = rows.groupBy("grp").agg(*[F.percentile_approx(x, [0.25, 0.5, 0.75], 2_000).alias(f"q_{x}") for x in xs])
+    middles = C.settle(
+        quartiles.select(
+            "grp",
+            F.array(*[F.col(f"q_{x}")[1] for x in xs]).alias("centre"),
+            F.array(*[F.greatest((F.col(f"q_{x}")[2] - F.col(f"q_{x}")[0]) / 1.349, F.lit(f)) for x, f in zip(xs, p.floors)]).alias("spread"),
+        ),
+        "middles",
+    )
+    scored = rows.join(middles, "grp").select("grp", *[((F.col(x) - F.col("centre")[i]) / F.col("spread")[i]).alias(f"z{i}") for i, x in enumerate(xs)])
+    z = [F.col(f"z{i}") for i in range(dims)]
+    scored = scored.withColumn("norm2", sum((x * x for x in z[1:]), z[0] * z[0]))
+    made = {
+        "tanh": [F.tanh(x) for x in z],
+        "signs": [F.when(F.col("norm2") > 0, x / F.sqrt("norm2")).otherwise(0.0) for x in z],
+        "weights": [x / (1 + F.col("norm2") / dims) for x in z],
+    }
+    each = F.explode(F.array(*[F.struct(F.lit(STARTS.index(k)).alias("start"), *[u.alias(f"u{i}") for i, u in enumerate(us)]) for k, us in made.items()]))
+    flat = scored.select("grp", each.alias("s")).select("grp", "s.*")
+    sums = flat.groupBy("grp", "start").agg(*[F.avg(F.col(f"u{i}") * F.col(f"u{j}")).alias(f"c{i}_{j}") for i in range(dims) for j in range(i, dims)])
+
+    def covariance(i: int, j: int) -> Column:
+        both = F.col("spread")[i] * F.col("spread")[j]
+        if i == j:
+            return both
+        own = F.col(f"c{i}_{i}") * F.col(f"c{j}_{j}")
+        return F.when(own > 0, both * F.col(f"c{min(i, j)}_{max(i, j)}") / F.sqrt(own)).otherwise(0.0)
+
+    def described(start: Column, cross: Column) -> list[Column]:
+        return [F.col("grp"), start.alias("start"), F.col("centre"), F.array(*[F.lit(0.0)] * dims).alias("mean"), cross.alias("cross")]
+
+    together = F.array(*[covariance(i, j) for i in range(dims) for j in range(dims)])
+    apart = F.array(*[F.pow(F.col("spread")[i], 2) if i == j else F.lit(0.0) for i in range(dims) for j in range(dims)])
+    return middles.select(*described(F.lit(STARTS.index("apart")), apart)).union(sums.join(middles, "grp").select(*described(F.col("start"), together)))
+
+
+def _concentrated(rows: DataFrame, now: DataFrame, p: QualityParams) -> DataFrame:
+    """One concentration step from each estimate of ``now``; settled."""
+    dims = len(p.floors)
+    far = rows.join(now, "grp").withColumn("d2", _distance(dims))
+    # written first, as the estimates are: joins of plain tables can be split at a hot group
+    cut = C.settle(far.groupBy("grp", "start").agg(F.percentile_approx("d2", p.support, 2_000).alias("cut")), "robust_cut")
+    off = [F.col(f"x{i}") - F.col("centre")[i] for i in range(dims)]
+    near = far.join(cut, ["grp", "start"]).filter("d2 <= cut").select("grp", "start", "centre", *[off[i].alias(f"o{i}") for i in range(dims)])
+    sums = near.groupBy("grp", "start").agg(
+        F.first("centre").alias("centre"),
+        *[F.avg(f"o{i}").alias(f"m{i}") for i in range(dims)],
+        *[F.avg(F.col(f"o{i}") * F.col(f"o{j}")).alias(f"c{i}_{j}") for i in range(dims) for j in range(i, dims)],
     )
-    now = C.settle(_estimates(start, p), "robust")
+    moments = sums.select(
+        "grp", "start", "centre", F.array(*[f"m{i}" for i in range(dims)]).alias("mean"),
+        F.array(*[f"c{min(i, j)}_{max(i, j)}" for i in range(dims) for j in range(dims)]).alias("cross"),
+    )
+    nearer = C.settle(_estimates(moments, p), "robust")
+    C.discard(cut)
+    return nearer
+
+
+def robust_estimates(rows: DataFrame, p: QualityParams = QualityParams()) -> DataFrame:
+    """grp, centre, precision, log_det, scale (of squared distances) from ``rows`` (grp, x0, x1, ...)."""
+    dims = len(p.floors)
+    now = C.settle(_estimates(_starts(rows, p), p), "robust")
+    for _ in range(p.trial_steps):
+        now, before = _concentrated(rows, now, p), now
+        C.discard(before)
+    fields = ["start", "centre", "precision", "log_det"]
+    # equal determinants: the first start
+    least = now.groupBy("grp").agg(F.min_by(F.struct(*fields), F.struct("log_det", "start")).alias("e")).select("grp", "e.*")
+    best = C.settle(least.withColumn("falling", F.lit(True)), "robust")
+    C.discard(now)
     for _ in range(p.steps):
-        far = rows.join(now, "grp").withColumn("d2", _distance(dims))
-        # written first, as the estimates are: joins of plain tables can be split at a hot group
-        cut = C.settle(far.groupBy("grp").agg(F.percentile_approx("d2", p.support, 2_000).alias("cut")), "robust_cut")
-        off = [F.col(f"x{i}") - F.col("centre")[i] for i in range(dims)]
-        near = far.join(cut, "grp").filter("d2 <= cut").select("grp", "centre", *[off[i].alias(f"o{i}") for i in range(dims)])
-        sums = near.groupBy("grp").agg(
-            F.first("centre").alias("centre"),
-            *[F.avg(f"o{i}").alias(f"m{i}") for i in range(dims)],
-            *[F.avg(F.col(f"o{i}") * F.col(f"o{j}")).alias(f"c{i}_{j}") for i in range(dims) for j in range(i, dims)],
-        )
-        moments = sums.select(
-            "grp", "centre", F.array(*[f"m{i}" for i in range(dims)]).alias("mean"),
-            F.array(*[f"c{min(i, j)}_{max(i, j)}" for i in range(dims) for j in range(dims)]).alias("cross"),
-        )
-        nearer = C.settle(_estimates(moments, p), "robust")
-        C.discard(now, cut)
-        now = nearer
-    middle = rows.join(now, "grp").groupBy("grp").agg(F.percentile_approx(_distance(dims), 0.5, 2_000).alias("middle"))
+        if best.filter("falling").isEmpty():
+            break
+        nearer = _concentrated(rows, best.filter("falling"), p)
+        after = nearer.select("grp", F.struct(*fields).alias("e"))
+        fell = F.coalesce(F.col("e.log_det") < F.col("log_det") - p.least_fall, F.lit(False))
+        chosen = [F.when(fell, F.col(f"e.{c}")).otherwise(F.col(c)).alias(c) for c in fields]
+        best, before = C.settle(best.join(after, "grp", "left").select("grp", *chosen, fell.alias("falling")), "robust"), best
+        C.discard(nearer, before)
+    middle = rows.join(best, "grp").groupBy("grp").agg(F.percentile_approx(_distance(dims), 0.5, 2_000).alias("middle"))
     scale = F.greatest(F.lit(1.0), F.col("middle") / chi_square(dims, 0.0))
-    return C.settle(now.join(middle, "grp").select("grp", "centre", "precision", scale.alias("scale")), "robust")
+    return C.settle(best.join(middle, "grp").select("grp", "centre", "precision", "log_det", scale.alias("scale")), "robust")
 
 
 def _toward_middle(rows: DataFrame, p: QualityParams) -> DataFrame:
@@ -258,7 +321,7 @@ def verdicts(docs: DataFrame, p: QualityParams = QualityParams()) -> DataFrame:
     grouped = C.settle(_grouped(judged.filter("not base_failed"), p), "grouped_statistics")
     rows = C.settle(_toward_middle(grouped, p), "drawn_statistics")
     C.discard(grouped)
-    found = rows.join(robust_estimates(rows.filter("grp is not null"), p), "grp", "left")
+    found = rows.join(robust_estimates(rows.filter("grp is not null"), p).drop("log_det"), "grp", "left")
     passed = found.withColumn("distance", _distance(dims) / F.col("scale"))
     limit = chi_square(dims, p.cutoff)
     keep = ["doc_id", "row_hash", "lang", "site", *COUNTS, *MORE, "base_failed"]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 import zlib
 from collections import defaultdict
@@ -89,6 +90,137 @@ def text_counts(text: str | None) -> tuple[int, ...]:
     return len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text), dup, len(covered)
 
 
+def nth_smallest(values, share):
+    """The smallest value that at least ``share`` of all are no larger than."""
+    return sorted(values)[max(math.ceil(share * len(values)) - 1, 0)]
+
+
+def _covariance(near, floors):
+    """Mean and covariance (divisor n) of rows, with least variances."""
+    mean = near.mean(0)
+    cov = sum(np.outer(r - mean, r - mean) for r in near) / len(near)
+    for i, f in enumerate(floors):
+        cov[i, i] += max(0.0, f * f - cov[i, i]) + f * f / 1000
+    return mean, cov
+
+
+def _distances(x, mean, cov):
+    return np.array([(r - mean) @ np.linalg.solve(cov, r - mean) for r in x])
+
+
+def concentrate(x, mean, cov, support, floors):
+    d2 = _distances(x, mean, cov)
+    return _covariance(x[d2 <= nth_smallest(d2.tolist(), support)], floors)
+
+
+def min_determinant(x, support, floors, trial_steps, steps):
+    """Centre, covariance and log determinant from four fixed starts."""
+    dims = x.shape[1]
+    q1, q2, q3 = (np.array([nth_smallest(x[:, i].tolist(), s) for i in range(dims)]) for s in (0.25, 0.5, 0.75))
+    spread = np.maximum((q3 - q1) / 1.349, floors)
+    z = (x - q2) / spread
+    norm2 = (z * z).sum(1)
+    made = [None, np.tanh(z), np.array([r / math.sqrt(n) if n else 0 * r for r, n in zip(z, norm2)]), z / (1 + norm2 / dims)[:, None]]
+    tried = []
+    for u in made:
+        r = np.eye(dims)
+        if u is not None:
+            c = u.T @ u / len(u)
+            for i in range(dims):
+                for j in range(dims):
+                    if i != j:
+                        r[i, j] = c[i, j] / math.sqrt(c[i, i] * c[j, j]) if c[i, i] * c[j, j] > 0 else 0.0
+        cov = r * np.outer(spread, spread)
+        for i, f in enumerate(floors):
+            cov[i, i] += max(0.0, f * f - cov[i, i]) + f * f / 1000
+        mean = q2
+        for _ in range(trial_steps):
+            mean, cov = concentrate(x, mean, cov, support, floors)
+        tried.append((np.linalg.slogdet(cov)[1], mean, cov))
+    best = min(tried, key=lambda t: t[0])
+    for _ in range(steps):
+        mean, cov = concentrate(x, best[1], best[2], support, floors)
+        now = np.linalg.slogdet(cov)[1]
+        if now >= best[0] - 1e-6:
+            break
+        best = now, mean, cov
+    return best[1], best[2], best[0]
+
+
+def quality_verdicts(rows, p, cutoff, middle):
+    """[(doc_id, squared distance or None, kept)] of (doc_id, text, lang, source) rows; ``cutoff``
+    and ``middle`` are the chi-square's quantiles."""
+    counted = []
+    for d, text, lang, source in rows:
+        text = text or ""
+        n, chars, symbols, dup, again = text_counts(text)
+        lines = sum(bool(WORD.search(x)) for x in text.split("\n"))
+        marks = sum(c in "!?.,;:\"'()[]{}/\\=_~^+-@" for c in text)
+        upper = sum("A" <= c <= "Z" for c in text)
+        failed = n < p.least_words or 100 * again > p.most_repeat_percent * n
+        w, c, k = max(n, 1), max(chars, 1), max(lines, 1)
+        x = [math.log1p(n), chars / w, math.sqrt(symbols / c), math.sqrt(dup / k), math.sqrt(again / w), math.sqrt(marks / c), math.sqrt(upper / c)]
+        counted.append((d, lang, source, failed, np.array(x), np.array([w, w, c, k, w, c, c], float)))
+    good = [r for r in counted if not r[3]]
+    site, pool = defaultdict(int), defaultdict(int)
+    for r in good:
+        site[r[1], r[2]] += 1
+    for (lang, source), n in site.items():
+        if n < p.least_group:
+            pool[lang] += n
+    rest = sum(n for n in pool.values() if n < p.least_group)
+
+    def group(lang, source):
+        if site[lang, source] >= p.least_group:
+            return "site", lang, source
+        if pool[lang] >= p.least_group:
+            return "lang", lang
+        return ("rest",) if rest >= p.least_group else None
+
+    held = defaultdict(list)
+    for r in good:
+        held[group(r[1], r[2])].append(r)
+    out = [(r[0], None, False) for r in counted if r[3]]
+    for name, members in held.items():
+        if name is None:
+            out += [(r[0], None, True) for r in members]
+            continue
+        x = np.array([r[4] for r in members])
+        median = np.array([nth_smallest(x[:, i].tolist(), 0.5) for i in range(x.shape[1])])
+        units = np.array([r[5] for r in members])
+        x = median + (x - median) * np.sqrt(units / (units + np.array(p.sizes)))
+        mean, cov, _ = min_determinant(x, p.support, p.floors, p.trial_steps, p.steps)
+        d2 = _distances(x, mean, cov)
+        d2 /= max(1.0, nth_smallest(d2.tolist(), 0.5) / middle)
+        out += [(r[0], float(d), bool(d <= cutoff)) for r, d in zip(members, d2)]
+    return out
+
+
+def site_rates(rows):
+    """({(host, section): shrunken rate}, rate of all) of (host, section, probability) rows."""
+    paths = defaultdict(list)
+    for host, section, q in rows:
+        paths[host, section].append(q)
+    hosts = defaultdict(list)
+    for (host, _), qs in paths.items():
+        hosts[host] += qs
+    overall = min(max(sum(q for _, _, q in rows) / len(rows), 1e-6), 1 - 1e-6)
+
+    def weight(groups):  # (rate above, members)
+        beyond, inner = [], []
+        for rate, qs in groups:
+            var = rate * (1 - rate)
+            beyond.append((sum(qs) / len(qs) - rate) ** 2 - var / len(qs))
+            inner.append(var)
+        inner, beyond = sum(inner) / len(inner), sum(beyond) / len(beyond)
+        return max(inner / max(beyond, inner * 1e-4) - 1, 1.0)
+
+    w = weight([(overall, qs) for qs in hosts.values()])
+    above = {h: (sum(qs) + w * overall) / (len(qs) + w) for h, qs in hosts.items()}
+    w = weight([(above[h], qs) for (h, _), qs in paths.items()])
+    return {(h, s): (sum(qs) + w * above[h]) / (len(qs) + w) for (h, s), qs in paths.items()}, overall
+
+
 def repeats(rows, length):
     """(doc_id, bytes, removed, spans, rest) of (doc_id, text) rows; strings judged in document order."""
     seen, out = set(), []

@@ -1,6 +1,7 @@
 """Dealt operators against plain loops, round trips and held-out labels; and odd inputs:
 nulls, empty and long texts, ties, repeated rows, empty tables, clashing columns."""
 
+import math
 import random
 import time
 from collections import Counter, defaultdict
@@ -507,6 +508,51 @@ def test_sparse_sites_are_shrunk(spark):
     assert overall < by["new", "a"] < 0.98  # one document doesn't make a site
 
 
+def test_site_rates_are_the_plain_ones(spark):
+    rng = np.random.default_rng(8)
+    rows = []
+    for h in range(30):
+        for s in range(rng.integers(1, 5)):
+            odds = rng.normal() * 2
+            rows += [(f"h{h}", f"s{s}", float(odds + rng.normal())) for _ in range(rng.integers(1, 40))]
+    scored = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "doc_id long, host string, section string, quality double")
+    rates, overall = site_quality.site_posteriors(scored, "quality")
+    want, all_ = B.site_rates([(h, s, 1 / (1 + math.exp(-z))) for h, s, z in rows])
+    assert abs(overall - all_) < 1e-9
+    got = {(r["host"], r["section"]): r["quality_site"] for r in rates.collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
+def test_site_verdicts_are_the_plain_ones(spark):
+    """Posteriors of ``judged`` from its own classifier's odds, by a plain loop."""
+    folder = "/root/testdata/sf0.01"
+    docs, labels = C.table(spark, folder, "documents"), C.table(spark, folder, "labels")
+    p = site_quality.SiteParams()
+    got = {r["doc_id"]: r for r in site_quality.judged(docs, labels, p).collect()}
+    sample = site_quality.labelled_sample(docs, labels, p)
+    texts = {r["doc_id"]: r["text"] for r in docs.select("doc_id", "text").collect()}
+    of = site_quality.Features(p.buckets).of
+    odds = {}
+    for kind in ("quality", "toxic"):
+        rows = [r for r in sample if r[kind] in (0, 1)]
+        w, b = site_quality.fit([np.frombuffer(r["features"], "<i4") for r in rows], np.array([r[kind] for r in rows], float), p)
+        odds[kind] = {d: float(w[of((t or "").encode())].sum() + b) for d, t in texts.items()}
+        want, overall = B.site_rates([(r["host"], r["section"], 1 / (1 + math.exp(-odds[kind][d]))) for d, r in got.items()])
+        for d, r in got.items():
+            rate = want[r["host"], r["section"]]
+            z = odds[kind][d] - math.log(overall / (1 - overall)) + math.log(rate / (1 - rate))
+            assert abs(r[f"{kind}_site"] - rate) < 1e-6
+            assert abs(r[kind] - 1 / (1 + math.exp(-z))) < 1e-6
+    for r in got.values():
+        assert r["kept"] == (r["quality"] >= p.least_quality and r["toxic"] <= p.most_toxic)
+
+
+def test_labelled_sample_is_bounded(make, spark):
+    labels = spark.createDataFrame([(4, 1, 0)], "doc_id long, quality int, toxic int")
+    docs = make([(4, f"text number {k}") for k in range(50)])
+    assert len(site_quality.labelled_sample(docs, labels, site_quality.SiteParams(sample_rows=20))) == 20
+
+
 def test_site_quality_of_odd_rows(spark, make):
     labels = spark.createDataFrame([(4, 1, 0), (8, 0, 1), (8, 0, 1), (None, 1, 1), (9, None, None), (999, 0, 0)], "doc_id long, quality int, toxic int")
     rows = odd_texts()
@@ -573,6 +619,57 @@ def test_junk_does_not_widen_the_estimate(spark):
     assert far.min() > quality_rules.chi_square(7, p.cutoff)
 
 
+def test_least_determinant_is_the_plain_one(spark):
+    """Centre, precision and determinant of a plain version; no random search finds a much smaller one."""
+    p = quality_rules.QualityParams()
+    rng = np.random.default_rng(11)
+    floors = np.array(p.floors)
+    groups = {}
+    for name, n, junk in (("a", 300, 60), ("b", 240, 0), ("c", 400, 95)):
+        x = rng.normal(size=(n, 7)) @ (rng.normal(size=(7, 7)) * 0.2 + np.eye(7) * floors * 3)
+        x[:junk] = rng.normal(size=(junk, 7)) * 0.05 + 1.5 * rng.normal(size=7)
+        x[:, 2] = np.where(rng.random(n) < 0.8, 0, x[:, 2])  # a statistic that is mostly zero
+        groups[name] = x
+    df = spark.createDataFrame([(g, *map(float, r)) for g, x in groups.items() for r in x], "grp string, " + ", ".join(f"x{i} double" for i in range(7)))
+    got = {r["grp"]: r for r in quality_rules.robust_estimates(df, p).collect()}
+    assert set(got) == set(groups)
+    for g, x in groups.items():
+        mean, cov, least = B.min_determinant(x, p.support, floors, p.trial_steps, p.steps)
+        assert np.allclose(got[g]["centre"], mean, atol=1e-8)
+        assert np.allclose(np.array(got[g]["precision"]).reshape(7, 7) @ cov, np.eye(7), atol=1e-5)
+        assert abs(got[g]["log_det"] - least) < 1e-6
+        for _ in range(30):  # random starts of eight rows, as the search that is not deterministic
+            mean, cov = B._covariance(x[rng.choice(len(x), 8, replace=False)], floors)
+            for _ in range(15):
+                mean, cov = B.concentrate(x, mean, cov, p.support, floors)
+            assert got[g]["log_det"] < np.linalg.slogdet(cov)[1] + 0.15
+
+
+def test_quality_verdicts_are_the_plain_ones(spark):
+    rnd = random.Random(4)
+    words = "the of and to in is for with on that plain river stone A Bird sings".split()
+
+    def text(junk):
+        n = rnd.randint(5, 120)
+        found = [rnd.choice(words) + rnd.choice(["", "", "", ",", ".", ".\n", "#|" * junk]) for _ in range(n)]
+        return " ".join(x.upper() if junk and rnd.random() < 0.4 else x for x in found)
+
+    rows = []
+    for k in range(700):
+        lang, source = rnd.choice([("en", "s1"), ("en", "s1"), ("en", "s2"), ("de", "s1"), ("de", "s3"), ("fr", None), (None, "s1")])
+        rows.append((k, None if k == 5 else text(k % 12 == 0), lang, source))
+    p = quality_rules.QualityParams()
+    df = spark.createDataFrame([(*r, 0) for r in rows], FIELDS)
+    got = {r["doc_id"]: r for r in quality_rules.digest(df, p).collect()}
+    plain = B.quality_verdicts(rows, p, quality_rules.chi_square(7, p.cutoff), quality_rules.chi_square(7, 0.0))
+    assert len(got) == len(plain) == len(rows)
+    for d, distance, kept in plain:
+        assert got[d]["kept"] == kept
+        assert got[d]["distance"] is None if distance is None else abs(got[d]["distance"] - distance) < 1e-6 * max(1, distance)
+    assert {k for _, _, k in plain} == {True, False}
+    assert any(d is not None and not k for _, d, k in plain)
+
+
 def test_quality_keeps_clean_documents(spark):
     folder = "/root/testdata/sf0.1"
     docs, labels = C.table(spark, folder, "documents"), C.table(spark, folder, "labels")
