@@ -106,7 +106,8 @@ def _texts(docs: DataFrame) -> DataFrame:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, p: SiteParams) -> list:
-    """(features, quality, toxic) of at most ``sample_rows`` labelled documents."""
+    """(features, quality, toxic) of at most ``sample_rows`` labelled documents, however
+    often an id occurs among them."""
     chosen = (
         labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"), F.col("toxic").cast("int").alias("toxic"))
         .filter("doc_id is not null")
@@ -126,7 +127,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, p: SiteParams) -> list:
                 "toxic": part.column("toxic"),
             }
 
-    return C.arrow_map(rows, run, "doc_id long, features binary, quality int, toxic int").collect()
+    found = C.arrow_map(rows, run, "doc_id long, features binary, quality int, toxic int")
+    return found.orderBy(F.xxhash64("doc_id"), "quality", "toxic", F.xxhash64("features")).limit(p.sample_rows).collect()
 
 
 def chosen_features(doc: np.ndarray, at: np.ndarray, target: np.ndarray, p: SiteParams) -> np.ndarray:
