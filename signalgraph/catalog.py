@@ -549,6 +549,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "stream_rule_changes": _stream_rule_changes,
     "stream_graph": lambda spark, folder: rounded(J.replay_graph(spark, folder, P), "tick"),
     "stream_blast_radius": lambda spark, folder: J.replay_graph(spark, folder, P, LV.BlastClock),
+    "stream_correlation": lambda spark, folder: rounded(J.replay_correlation(spark, folder, P), "moment"),
     "stream_incidents": _stream_members,
     "stream_incident_states": _stream_incident_states,
     "stream_seconds": lambda spark, folder: J.replay_seconds(spark, folder, P),

@@ -368,6 +368,23 @@ FROM dense a JOIN dense b ON a.bucket = b.bucket
 JOIN stats sa ON sa.service = a.service JOIN stats sb ON sb.service = b.service
 GROUP BY a.service, b.service, sa.s, sb.s"""
 
+# every third bucket's end, from the first that closes up to the last row
+MOMENTS = """
+rates AS (
+  SELECT service, CAST(floor(ts / 1800) AS BIGINT) AS bucket,
+    CAST(sum(CASE WHEN level IN ('ERROR', 'FATAL', 'WARN') THEN 1 ELSE 0 END) AS DOUBLE) / count(*) AS rate
+  FROM logs GROUP BY service, floor(ts / 1800)),
+moments AS (
+  SELECT unnest(range((SELECT min(bucket) // 3 FROM rates), (SELECT CAST(floor(max(ts) / 5400) AS BIGINT) + 1 FROM logs))) AS m),
+present AS (
+  SELECT m, service FROM moments JOIN rates ON bucket < 3 * m AND bucket >= 3 * m - 60 GROUP BY m, service),
+dense AS (
+  SELECT p.m, p.service, k.bucket, coalesce(r.rate, 0) AS rate
+  FROM present p, LATERAL (SELECT unnest(range(3 * p.m - 60, 3 * p.m)) AS bucket) k
+  LEFT JOIN rates r ON r.service = p.service AND r.bucket = k.bucket),
+stats AS (
+  SELECT m AS at, service, avg(rate) AS m, stddev_pop(rate) AS s FROM dense GROUP BY dense.m, service)"""
+
 BLANKS = r"[\s\x0B\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
 
 
@@ -721,6 +738,15 @@ reach AS (
         GROUP BY tick_no, source, service""",
         TICKS, WEIGHTS, REACH, recursive=True,
     ),
+    "stream_correlation": sql(
+        f""" SELECT CAST(a.m * 5400 AS DOUBLE) AS moment, a.service AS service_a, b.service AS service_b,
+          {near("""CASE WHEN sa.s < 1e-9 OR sb.s < 1e-9 THEN CASE WHEN a.service = b.service THEN 1.0 ELSE 0.0 END
+            ELSE greatest(-1, least(1, avg((a.rate - sa.m) * (b.rate - sb.m)) / (sa.s * sb.s))) END""")} AS corr
+        FROM dense a JOIN dense b ON a.m = b.m AND a.bucket = b.bucket
+        JOIN stats sa ON sa.at = a.m AND sa.service = a.service JOIN stats sb ON sb.at = b.m AND sb.service = b.service
+        GROUP BY a.m, a.service, b.service, sa.s, sb.s""",
+        MOMENTS,
+    ),
     "stream_incidents": sql(
         " SELECT tick_no, kind, service, ord_3, first_tick_no, first_service FROM members",
         TICKS, WEIGHTS, ZSCORES, RULES, dwell(), REACH, STEADY, FOLD, recursive=True,

@@ -15,6 +15,7 @@ class Params:
     bucket_s: float = 1.0
     warmup_s: float = 25.0
     correlation_gap_s: float = 25.0
+    correlation_s: float = 3.0  # how often a stream tells the correlation
     resolve_s: float = 18.0
     close_s: float = 45.0
     drop_s: float = 345.0

@@ -256,6 +256,23 @@ def live_graph(logs: DataFrame, p: Params, clock: type[LV.GraphClock] = LV.Graph
     return LV.run(rows, clock(p))
 
 
+def live_correlation(logs: DataFrame, p: Params) -> DataFrame:
+    """The correlation matrix of problem rates every ``correlation_s``, over closed buckets."""
+    buckets = (
+        timed(logs)
+        .groupBy(F.window("event_time", _span(p.bucket_s)).alias("w"), "service")
+        .agg(F.count(F.lit(1)).alias("total"), F.sum(S.flag(S.is_problem())).alias("problems"))
+        .select(
+            F.window_time("w").alias("event_time"),
+            (F.unix_micros("w.end") / F.lit(p.bucket_s * 1000000)).cast("bigint").alias("tick_no"),
+            "service",
+            S.ratio("problems", "total").alias("rate"),
+        )
+    )
+    rows = LV.live_rows(_one_tenant(buckets), "rate", tick_no="tick_no", service="service", error_rate="rate")
+    return LV.run(rows, LV.CorrelationClock(p))
+
+
 def live_incidents(logs: DataFrame, p: Params, rules: list[tuple] = (), changes: DataFrame | None = None) -> DataFrame:
     """Members of incidents and changes of their states, from the logs on: rate and rule
     detectors, the call graph and incidents in one job. ``event`` is member, active,
@@ -459,6 +476,12 @@ def replay_incidents(spark: SparkSession, folder: str, rules: list[tuple], p: Pa
     return _until_last(spark, folder, run_once(live_incidents(_event_stream(spark, folder), p, rules), "incidents"), p)
 
 
+def replay_correlation(spark: SparkSession, folder: str, p: Params) -> DataFrame:
+    """The matrix at every moment up to the last row."""
+    last = last_ts(event_logs(spark.read.parquet(f"{folder}/events.parquet")))
+    return run_once(live_correlation(_event_stream(spark, folder), p), "correlation").filter(F.col("moment") <= last)
+
+
 def replay_edge_weights(spark: SparkSession, folder: str, p: Params) -> DataFrame:
     """Weights at the ticks that saw calls."""
     return _until_last(spark, folder, run_once(edge_signals(_event_stream(spark, folder), p), "edges"), p)

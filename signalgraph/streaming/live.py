@@ -19,11 +19,13 @@ from collections import namedtuple
 from collections.abc import Iterator
 from itertools import groupby
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from signalgraph.operators.correlation import FLAT
 from signalgraph.operators.iforest import tick_decisions
 from signalgraph.operators.incidents import OpenIncidents
 from signalgraph.operators.rates import FEATURES
@@ -398,6 +400,71 @@ class BlastClock(GraphClock):
                 yield tick_no, source, service, n
 
 
+class CorrelationClock(Clock):
+    """Correlation of the services' problem rates every ``correlation_s``, over the buckets
+    that end by then. Its ticks are buckets: state is a rate per service and bucket of the
+    window, the pairs are worked out from it, so nothing drifts. Moments go on by timers until
+    the window holds no bucket with rows."""
+
+    output = "moment double, service_a string, service_b string, corr double"
+
+    def open(self, handle):
+        self.kept = handle.getListState("buckets", "bucket long, service string, rate double")
+        self.told = handle.getValueState("told", "moment long")
+
+    def load(self):
+        self.held = [tuple(r) for r in self.kept.get()] if self.kept.exists() else []
+        self.last = self.told.get()[0] if self.told.exists() else None
+
+    def save(self):
+        if self.held:
+            self.kept.put(self.held)
+            self.told.update((self.last,))
+        elif self.kept.exists():
+            self.kept.clear()
+            self.told.clear()
+
+    def ms(self, tick_no: int) -> int:
+        return round(tick_no * self.p.bucket_s * 1000)
+
+    def moment_at(self, end: int) -> int:
+        """The last moment (its number) by the end of a bucket."""
+        return math.floor(end * self.p.bucket_s / self.p.correlation_s + 1e-9)
+
+    def tick(self, tick_no, seq, rows):
+        if not self.held:
+            self.last = self.moment_at(tick_no - 1)
+        self.held.extend((tick_no - 1, r.service, r.error_rate) for r in rows)
+        return iter(())
+
+    def before(self, tick_no):
+        while self.held and self.last < self.moment_at(tick_no):
+            self.last += 1
+            at = self.last * self.p.correlation_s
+            end = math.floor(at / self.p.bucket_s + 1e-9)
+            self.held = [r for r in self.held if r[0] >= end - self.p.buckets]
+            yield from self.matrix(at, [r for r in self.held if r[0] < end], end)
+
+    def due(self):
+        return math.ceil((self.last + 1) * self.p.correlation_s / self.p.bucket_s - 1e-9) if self.held else None
+
+    def matrix(self, at: float, rows: list[tuple], end: int) -> Iterator[tuple]:
+        services = sorted({service for _, service, _ in rows})
+        place = {service: i for i, service in enumerate(services)}
+        x = np.zeros((len(services), self.p.buckets))
+        for bucket, service, rate in rows:
+            x[place[service], bucket - (end - self.p.buckets)] = rate
+        x -= x.mean(1, keepdims=True)
+        sd = np.sqrt((x * x).mean(1))
+        moves = (sd >= FLAT) & (self.p.buckets >= 3)
+        unit = np.where(moves[:, None], x / np.where(moves, sd, 1.0)[:, None], 0.0)
+        corr = np.clip(unit @ unit.T / self.p.buckets, -1.0, 1.0)
+        np.fill_diagonal(corr, 1.0)
+        for i, a in enumerate(services):
+            for j, b in enumerate(services):
+                yield at, a, b, float(corr[i, j])
+
+
 class IncidentClock(Clock):
     """Members of incidents, and every change of an incident's state."""
 

@@ -256,6 +256,35 @@ def test_streamed_graph_has_silent_ticks(spark, story):  # noqa: F811
     assert key(got) == key(want) and len(got) > 100
 
 
+def test_streamed_correlation_is_the_batch_one(spark, story):  # noqa: F811
+    """At each moment, what the batch gives as of the last bucket that ends by it."""
+    logs, folder = story
+    got = {}
+    for r in J.run_once(J.live_correlation(stream(spark, folder), P), "t").collect():
+        got.setdefault(r.moment, {})[r.service_a, r.service_b] = r["corr"]
+    moments = sorted(got)
+    assert moments == [moments[0] + P.correlation_s * k for k in range(len(moments))]
+    assert moments[0] < 1000 + 2 * P.correlation_s and moments[-1] > 1200 - J.LATE_S - 2 * P.correlation_s
+    replay = Replay(logs, P)
+    for moment in (moments[0], moments[7], moments[len(moments) // 2], moments[-1]):
+        want = {(r.service_a, r.service_b): r["corr"] for r in replay.correlation(moment - 0.5).collect()}
+        assert got[moment] == pytest.approx(want, abs=1e-9)
+
+
+def test_correlation_ends_with_the_window():
+    """Moments go on over silence until the window is empty, in one step or many, and start anew."""
+    rows = [(k, s, rate) for k in (5, 6, 9) for s, rate in (("a", 0.5), ("b", k / 10))] + [(200, "a", 1.0)]
+
+    given = [rate(b + 1, s, error_rate=x) for b, s, x in rows]
+    whole, store = drain(lambda: LV.CorrelationClock(P), [(given, 1000)])
+    steps, held = drain(lambda: LV.CorrelationClock(P), [([r for r in given if r["tick_no"] == t + 3], t) for t in range(1, 400)])
+    assert whole == steps
+    assert not any(x.states["buckets"].exists() or x.states["told"].exists() for x in (store, held))
+    moments = sorted({r[0] for r in whole})
+    assert moments == [*range(6, 70, 3), *range(201, 261, 3)]
+    assert {r[3] for r in whole if r[1] == r[2]} == {1.0}
+
+
 def test_streamed_incidents_are_the_batch_ones(spark, story):  # noqa: F811
     logs, folder = story
     rules = [("r", 1, "errors", "*", "error_rate", ">", 0.38, 4.0, True), ("s", 2, "b", "b", "p95_latency", ">", 480.0, 2.0, True)]
