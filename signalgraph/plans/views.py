@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType
 
@@ -243,3 +243,10 @@ def snapshot(replay: Replay, logs: int = 60, anomalies: int = 30, incidents: int
 def write_snapshot(message: DataFrame, path: str) -> None:
     """The live message as one JSON document; call it once per micro-batch."""
     message.write.mode("overwrite").json(path)
+
+
+def latest_snapshot(spark: SparkSession, path: str) -> DataFrame:
+    """The newest of the documents that a stream has written (``start_snapshots``)."""
+    held = spark.read.json(path)
+    newest = held.agg(F.max("batch")).first()[0]
+    return held.filter(F.col("batch") == F.lit(newest)).drop("batch")

@@ -4,12 +4,16 @@ from __future__ import annotations
 
 import re
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _local_folder: dict[str, str] = {}
 _staged: list[str] = []
+_scope = threading.local()
 
 
 def staging_folder(spark: SparkSession) -> str:
@@ -25,8 +29,9 @@ def staging_folder(spark: SparkSession) -> str:
 
 def staged_at(spark: SparkSession, name: str) -> str:
     """A new path for a table that later steps read; ``clear`` deletes it."""
-    _staged.append(f"{staging_folder(spark)}/{name}-{uuid.uuid4().hex}")
-    return _staged[-1]
+    held = getattr(_scope, "held", _staged)
+    held.append(f"{staging_folder(spark)}/{name}-{uuid.uuid4().hex}")
+    return held[-1]
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
@@ -43,6 +48,20 @@ def delete(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Deletes at its end what this thread has staged inside: for work that a stream
+    repeats with every micro-batch."""
+    _scope.held = []
+    try:
+        yield
+    finally:
+        held = _scope.held
+        del _scope.held
+        for path in held:
+            delete(spark, path)
+
+
 def clear(spark: SparkSession) -> None:
     """Deletes all that this process has staged. Call it when no frame that was read
     from there is needed any more, at the end of a job."""

@@ -15,10 +15,12 @@ from signalgraph.operators import rates as R
 from signalgraph.operators.detect import rate_anomalies, rate_signals
 from signalgraph.operators.templates import clean
 from signalgraph.params import Params
+from signalgraph.plans.replay import Replay
+from signalgraph.plans.views import snapshot, write_snapshot
 from signalgraph.sources.adapters import document_logs, event_logs
-from signalgraph.sources.logs import append_logs, last_ts
+from signalgraph.sources.logs import append_logs, last_ts, read_logs, retained
 from signalgraph.schema import LOG_SCHEMA
-from signalgraph.sources.staging import stage, staged_at
+from signalgraph.sources.staging import scratch, stage, staged_at
 from signalgraph.streaming import live as LV
 from signalgraph.streaming import state as ST
 
@@ -72,6 +74,33 @@ def start_table(
     )
 
 
+def start_snapshots(
+    logs: DataFrame, store: str, path: str, checkpoint: str, p: Params, every: str | None = "2 seconds",
+    chain: type[Replay] = Replay, source: str = "stream",
+) -> StreamingQuery:
+    """Stores the stream as the log table and emits the live message after each micro-batch:
+    one JSON document per batch id, so a retry replaces what the first try wrote. With
+    ``every=None`` it drains the source and ends.
+
+    A message is worked out over the rows of the last ``retention_s``: its cost follows that
+    window, not the history, and what was seen only before it counts as unseen. Tables staged
+    on the way are deleted with the batch.
+    """
+
+    def emit(batch: DataFrame, n: int) -> None:
+        spark = batch.sparkSession
+        append_logs(batch, store, f"{source}-{n}")
+        held = read_logs(spark, store)
+        newest = last_ts(held)
+        if newest:
+            with scratch(spark):
+                seen = retained(held, newest, p.retention_s).select(*LOG_SCHEMA.fieldNames())
+                write_snapshot(snapshot(chain(stage(seen, "retained"), p)), f"{path}/batch={n}")
+
+    writer = logs.writeStream.foreachBatch(emit).option("checkpointLocation", checkpoint)
+    return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
+
+
 def counted(logs: DataFrame, name: str = "ingest") -> DataFrame:
     """The same stream; each progress report tells how many rows passed."""
     return logs.observe(name, F.count(F.lit(1)).alias("rows"), F.max("ts").alias("newest_ts"))

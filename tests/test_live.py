@@ -1,7 +1,9 @@
 """The live clock: part by part over a stand-in for the state store, then over streams of
 several micro-batches against the batch operators."""
 
+import json
 import random
+from functools import cached_property
 
 import pandas as pd
 import pytest
@@ -16,7 +18,10 @@ from signalgraph.operators import iforest as I
 from signalgraph.operators import incidents as N
 from signalgraph.operators import rates as R
 from signalgraph.operators import rules as U
+from signalgraph.plans import views as V
 from signalgraph.plans.replay import Replay
+from signalgraph.sources import logs as L
+from signalgraph.sources.staging import stage
 from signalgraph.streaming import jobs as J
 from signalgraph.streaming import live as LV
 from signalgraph.streaming import state as ST
@@ -285,6 +290,45 @@ def test_correlation_ends_with_the_window():
     assert {r[3] for r in whole if r[1] == r[2]} == {1.0}
 
 
+class Steady(Replay):
+    """The chain over detectors that give the same at every run: no forest."""
+
+    @cached_property
+    def anomalies(self):
+        found = D.all_anomalies(D.rate_anomalies(R.zscores(self.ticks, self.p), self.p), D.rule_anomalies(self.rule_firings))
+        return stage(D.with_blast_radius(found, self.topologies[0], self.blast), "anomalies")
+
+
+def test_streamed_snapshots(spark, story, tmp_path):  # noqa: F811
+    """One document per batch; the last is the batch's message over all rows. A batch that is
+    tried again leaves one document and one copy of its rows."""
+    logs, folder = story
+    rows = L.read_log_stream(spark, folder, max_files=3)
+    store, out, mark = (str(tmp_path / x) for x in ("store", "out", "mark"))
+
+    def drain_all():
+        query = J.start_snapshots(rows, store, out, mark, P, every=None, chain=Steady)
+        query.awaitTermination()
+
+    drain_all()
+    assert [r.batch for r in spark.read.json(out).select("batch").orderBy("batch").collect()] == [0, 1]
+    V.write_snapshot(V.snapshot(Steady(logs, P)), str(tmp_path / "whole"))
+
+    def shown(df):
+        return json.loads(df.select(F.to_json(F.struct(*sorted(df.columns))).alias("x")).first()["x"])
+
+    want = shown(spark.read.json(str(tmp_path / "whole")))
+    assert want["anomalies"] and want["logs"] and want["nodes"]
+    assert shown(V.latest_snapshot(spark, out)) == want
+    (tmp_path / "mark" / "commits" / "1").unlink()  # as if the driver had died before the last commit
+    for crc in (tmp_path / "mark" / "commits").glob(".1.crc"):
+        crc.unlink()
+    before = L.read_logs(spark, store).count()
+    drain_all()
+    assert spark.read.json(out).count() == 2 and L.read_logs(spark, store).count() == before == logs.count()
+    assert shown(V.latest_snapshot(spark, out)) == want
+
+
 def test_streamed_incidents_are_the_batch_ones(spark, story):  # noqa: F811
     logs, folder = story
     rules = [("r", 1, "errors", "*", "error_rate", ">", 0.38, 4.0, True), ("s", 2, "b", "b", "p95_latency", ">", 480.0, 2.0, True)]
