@@ -20,8 +20,12 @@ are first gathered into phrases, at places that depend on their content only:
    after these. Any two residues have an offset at which both are samples, so there is
    one sorted order for each pair of residues: (phrase, rank), (phrase, phrase, rank)
    and (rank).
-3. Adjacent suffixes are compared over the bytes that their run's strings span. In a
-   class of equal ones all runs but the earliest are repeated throughout.
+3. Each order is dealt to tasks by sampled ranges of (place, chunk), so a passage of a
+   great many chunks takes several tasks. Adjacent suffixes are compared over the bytes
+   that their run's strings span, across the borders of tasks as well: the classes at
+   both ends of a task are joined to those of the others. In a class of equal neighbours
+   all runs but those of the earliest chunk are repeated throughout. Within a chunk equal
+   prefixes are one key (the combining before the shuffle).
 4. Matches end within phrases. So runs that are the first of their class, where others
    of the same gram differ, are checked start by start: hashes of their strings, each
    against earlier ones. This check is exact and also covers suffixes that agree beyond
@@ -62,11 +66,13 @@ from signalgraph.llm import tokens as K
 from signalgraph.sources.staging import delete, staged_at
 
 LAST = 2**63 - 1
-MAIL = "chunk int, kind string, part int, data binary"
+MAIL = "chunk long, kind string, part int, data binary"
 #: Chunks whose sampled keys set the borders of ranges, and keys of each.
 SAMPLE_CHUNKS, SAMPLE_KEYS = 2_000, 64
+#: The sorted orders, one for each two residues modulo 3.
+ORDERS = ("01", "02", "12")
 #: Numbers set aside for the chunks of a range of ids.
-CHUNKS_A_RANGE = 1 << 14
+CHUNKS_A_RANGE = 1 << 32
 
 
 @dataclass(frozen=True)
@@ -127,8 +133,6 @@ def chunked_texts(docs: DataFrame, p: SuffixParams) -> tuple[Bucketed, int]:
         held = 0
 
         def row():
-            if sub >= CHUNKS_A_RANGE:
-                raise ValueError("a range of ids holds too many chunks; raise chunk_bytes")
             return {
                 "chunk": [now * CHUNKS_A_RANGE + sub], "doc_ids": [list(ids)], "text_hs": [list(hashes)], "nths": [list(nths)],
                 "sizes": [[len(t) for t in texts]], "text": [b"".join(texts)],
@@ -155,7 +159,7 @@ def chunked_texts(docs: DataFrame, p: SuffixParams) -> tuple[Bucketed, int]:
         if ids:
             yield row()
 
-    fields = "chunk int, doc_ids array<long>, text_hs array<long>, nths array<int>, sizes array<long>, text binary"
+    fields = "chunk long, doc_ids array<long>, text_hs array<long>, nths array<int>, sizes array<long>, text binary"
     return Bucketed(C.arrow_map(dealt.select("range", "doc_id", "text_h", "text"), gather, fields), buckets, "texts"), buckets
 
 
@@ -173,21 +177,28 @@ def unique_rows(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return rows[new], order[new], number
 
 
-def hash_cuts(keys: np.ndarray, parts: int) -> list[int]:
-    """Where sorted uniform 64-bit keys pass from part to part."""
-    edges = [(k << 64) // parts for k in range(1, parts)]
-    return [0, *np.searchsorted(keys[:, 0], np.array(edges, np.uint64)).tolist(), len(keys)]
+def hashed(kind: str, keys: np.ndarray, parts: int) -> Iterator[tuple[str, int, bytes]]:
+    """Sorted keys as mail to their parts: equal ranges of the first value, a uniform hash."""
+    part = ((keys[:, 0] >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
+    cuts = np.flatnonzero(np.diff(part)) + 1
+    for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(keys)]):
+        if b > a:
+            yield kind, int(part[a]), np.ascontiguousarray(keys[a:b]).tobytes()
 
 
-def range_cuts(keys: np.ndarray, borders: list[tuple]) -> list[int]:
-    return [0, *(bisect.bisect_left(range(len(keys)), b, key=lambda i: tuple(keys[i].tolist())) for b in borders), len(keys)]
+def ranged(kind: str, keys: np.ndarray, borders: list[tuple], width: int, end: tuple = ()) -> Iterator[tuple[str, int, bytes]]:
+    """Keys, sorted by their first ``width`` values, as mail to the parts between borders;
+    ``end`` follows each key's values in comparisons with them."""
 
+    def value(i: int) -> tuple:
+        return (*keys[i, :width].tolist(), *end)
 
-def letters(kind: str, keys: np.ndarray, cuts: list[int]) -> Iterator[tuple[str, int, bytes]]:
-    """Sorted keys as mail to their parts."""
-    for part, (a, b) in enumerate(zip(cuts, cuts[1:])):
-        if b > a:
-            yield kind, part, np.ascontiguousarray(keys[a:b]).tobytes()
+    a = 0
+    while a < len(keys):
+        part = bisect.bisect_right(borders, value(a))
+        b = len(keys) if part == len(borders) else bisect.bisect_left(range(len(keys)), borders[part], lo=a, key=value)
+        yield kind, part, np.ascontiguousarray(keys[a:b]).tobytes()
+        a = b
 
 
 def answered(mail: DataFrame, answer: Callable[[np.ndarray, np.ndarray], np.ndarray], width: int, name: str) -> DataFrame:
@@ -238,18 +249,66 @@ def ranks(keys: np.ndarray, who: np.ndarray) -> np.ndarray:
     return out
 
 
-def equal_to_neighbour(keys: np.ndarray, who: np.ndarray) -> np.ndarray:
-    """Keys are a suffix's place in the sorted order, then its first phrase and the hash
-    of its prefix. Sorts, compares adjacent prefixes, and marks those of a class that
-    an earlier chunk begins."""
-    order = np.lexsort((who, *keys.T[::-1]))
-    prefix = keys[order][:, -2:]
+def in_order(keys: np.ndarray, chunk: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Suffixes (three values that place them, the hash of their prefix, a run's number) in
+    sorted order, by their place alone, then by chunk; where a prefix differs from the one
+    before it; and the first chunk of the class of equal neighbours that each is in."""
+    order = np.lexsort((chunk, keys[:, 2], keys[:, 1], keys[:, 0]))
+    prefix = keys[order, 3]
     new = np.ones(len(order), bool)
-    new[1:] = (prefix[1:] != prefix[:-1]).any(1)
-    first = np.minimum.reduceat(who[order], np.flatnonzero(new)) if len(order) else who[order]
-    out = np.empty(len(keys), np.uint8)
-    out[order] = who[order] > np.repeat(first, np.diff(np.append(np.flatnonzero(new), len(order))))
-    return out
+    new[1:] = prefix[1:] != prefix[:-1]
+    starts = np.flatnonzero(new)
+    first = np.repeat(np.minimum.reduceat(chunk[order], starts), np.diff(np.append(starts, len(order))))
+    return order, new, first
+
+
+ORDERED = MAIL + ", prefix long, first long"
+
+
+def equal_neighbours(mail: DataFrame) -> DataFrame:
+    """Settled letters with the numbers of each chunk's runs whose prefix, in the sorted
+    order of all parts, lies among equal ones that an earlier chunk begins.
+
+    A class may go on in the next part. The first and the last class of a part are
+    therefore told apart, with their first chunk, and joined to those of other parts.
+    """
+
+    def compare(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("chunk").combine_chunks()
+        letters = [np.frombuffer(b, np.uint64).reshape(-1, 5) for b in rows.column("data").to_pylist()]
+        keys = np.concatenate(letters)
+        chunk = np.repeat(rows.column("chunk").to_numpy(), [len(x) for x in letters])
+        order, new, first = in_order(keys, chunk)
+        starts = np.flatnonzero(new)
+        border = np.zeros(len(order), np.int8)
+        border[: starts[1] if len(starts) > 1 else len(order)] = 1
+        border[starts[-1] :] = 2
+        chunk, prefix, run = chunk[order], keys[order, 3].view(np.int64), keys[order, 4].astype("<u4")
+        out = []
+        for side in (0, 1, 2):
+            which = np.flatnonzero((border == side) & ((chunk > first) | (side > 0)))
+            which = which[np.argsort(chunk[which], kind="stable")]
+            cuts = (np.flatnonzero(np.diff(chunk[which])) + 1).tolist()
+            for a, b in zip([0, *cuts], [*cuts, len(which)]):
+                if b > a:
+                    i = which[a]
+                    out.append((int(chunk[i]), run[which[a:b]].tobytes(), int(prefix[i]) if side else None, int(first[i]) if side else None))
+        pa.default_memory_pool().release_unused()
+        chunks, data, prefixes, firsts = zip(*out) if out else ((), (), (), ())
+        same = {c: pa.array([rows.column(c)[0].as_py()] * len(out), rows.schema.field(c).type) for c in ("kind", "part")}
+        return pa.table({
+            "chunk": pa.array(chunks, pa.int64()), **same, "data": pa.array(data, pa.binary()),
+            "prefix": pa.array(prefixes, pa.int64()), "first": pa.array(firsts, pa.int64()),
+        })
+
+    found = C.settle(mail.groupBy("kind", "part").applyInArrow(compare, ORDERED), "ordered")
+    columns = ["chunk", "kind", "part", "data"]
+    border = found.filter("prefix IS NOT NULL")
+    begun = border.groupBy("kind", "prefix").agg(F.min("first").alias("begun"))
+    later = border.join(begun, ["kind", "prefix"]).filter("chunk > begun").select(columns)
+    repeated = C.settle(found.filter("prefix IS NULL").select(columns).union(later), "repeated")
+    C.discard(found)
+    return repeated
 
 
 def chunk_pass(left: DataFrame, mail: DataFrame, fn: Callable[[dict, dict], pa.Table], schema: str) -> DataFrame:
@@ -278,7 +337,7 @@ def mail_pass(left: DataFrame, mail: DataFrame, fn: Callable[[dict, dict], Itera
     def write(row, post):
         out = list(fn(row, post))
         return pa.table({
-            "chunk": pa.array([row["chunk"].as_py()] * len(out), pa.int32()), "kind": pa.array([k for k, _, _ in out], pa.string()),
+            "chunk": pa.array([row["chunk"].as_py()] * len(out), pa.int64()), "kind": pa.array([k for k, _, _ in out], pa.string()),
             "part": pa.array([n for _, n, _ in out], pa.int32()), "data": pa.array([d for _, _, d in out], pa.binary()),
         })
 
@@ -397,12 +456,12 @@ def shared(h: np.ndarray, answers: bytes) -> np.ndarray:
 RUN_FIELDS = (("at", "<u4"), ("n", "<u2"), ("h", "<u8"), ("phrase", "<u8"), ("prefix", "<u8"), ("stretch", "<u4"))
 
 
-RUN_ROW = "chunk int, " + ", ".join(f"{name} binary" for name, _ in RUN_FIELDS)
+RUN_ROW = "chunk long, " + ", ".join(f"{name} binary" for name, _ in RUN_FIELDS)
 
 
 def pack_runs(chunk: int, columns: dict[str, np.ndarray]) -> pa.Table:
     data = {name: pa.array([columns[name].astype(kind).tobytes()], pa.binary()) for name, kind in RUN_FIELDS}
-    return pa.table({"chunk": pa.array([chunk], pa.int32())} | data)
+    return pa.table({"chunk": pa.array([chunk], pa.int64())} | data)
 
 
 def unpack_runs(row: dict) -> dict[str, np.ndarray]:
@@ -491,7 +550,7 @@ def _sorted_names(left: DataFrame, mail: DataFrame, triples: Callable[[dict, dic
 
     def send(row, post):
         keys = unique_rows(triples(row, post))[0]
-        yield from letters(kind, keys, range_cuts(keys, borders))
+        yield from ranged(kind, keys, borders, 3)
 
     local = answered(mail_pass(left, mail, send), ranks, 3, kind)
     def largest(batches):
@@ -513,8 +572,8 @@ def _sorted_names(left: DataFrame, mail: DataFrame, triples: Callable[[dict, dic
 
 
 def repeated_runs(runs: DataFrame, total: int, p: SuffixParams) -> DataFrame:
-    """Letters that tell of each chunk's distinct prefixes which are equal to an earlier
-    chunk's. ``runs``: a row of packed runs for each chunk."""
+    """Letters with the numbers of those runs of a chunk that are equal to an earlier
+    chunk's by the sorted order. ``runs``: a row of packed runs for each chunk."""
     nothing = runs.sparkSession.createDataFrame([], MAIL)
 
     def cover(row) -> tuple[Cover, dict]:
@@ -533,42 +592,57 @@ def repeated_runs(runs: DataFrame, total: int, p: SuffixParams) -> DataFrame:
         c, _ = cover(row)
         return c.names(sample_names(c, post))[0].triples()
 
-    parts = max(1, math.ceil(total / p.part_keys))
-
-    def merged(row, post):
+    def merged(row, post) -> Iterator[tuple[str, np.ndarray]]:
         c, r = cover(row)
         names, at = c.names(sample_names(c, post))
         rank = np.zeros(len(c.c), np.uint64)
         rank[at] = np.frombuffer(post.get("name2", b""), np.uint64)[unique_rows(names.triples())[2]] + np.uint64(1)
-        prefix = np.stack([r["prefix"], r["phrase"]], 1)
-        _, first, _ = unique_rows(prefix)
-        begins = np.zeros(len(prefix), bool)
-        begins[first] = True  # a prefix that the chunk itself repeats is sent once
+        begins = np.zeros(len(rank), bool)
+        begins[unique_rows(prefixes_of(r))[1]] = True  # a prefix that the chunk itself repeats is sent once
         for name, places, key in c.pairs(rank):
             sent = begins[places]
-            keys = np.concatenate([key[sent], r["phrase"][places][sent].reshape(-1, 1), r["prefix"][places][sent].reshape(-1, 1)], 1)
-            keys = keys[np.lexsort((keys[:, 3], keys[:, 4]))]
-            yield from letters(name, keys, hash_cuts(keys[:, 4:], parts))
+            keys = np.column_stack([key[sent], r["prefix"][places][sent], places[sent].astype(np.uint64)])
+            yield name, keys[np.lexsort((keys[:, 2], keys[:, 1], keys[:, 0]))]
 
     name1 = C.settle(_sorted_names(runs, nothing, first_triples, total, p, "name1"), "names")
     name2 = C.settle(_sorted_names(runs, name1, second_triples, total, p, "name2"), "names")
-    return answered(mail_pass(runs, name1.union(name2), merged), equal_to_neighbour, 5, "merged")
+    names = name1.union(name2)
+    parts = max(1, math.ceil(total * 2 / 3 / p.part_keys))  # each of the three orders leaves a residue out
+    borders: dict[str, list[tuple]] = {}
+    if parts > 1:
+
+        def some(row, post):
+            pick = np.random.default_rng(row["chunk"].as_py())
+            for name, keys in merged(row, post):
+                yield name, 0, np.ascontiguousarray(keys[np.sort(pick.choice(len(keys), min(4 * SAMPLE_KEYS, len(keys)), replace=False)), :3]).tobytes()
+
+        thin = max(1, runs.count() // min(SAMPLE_CHUNKS, 4 * parts))
+        chosen = runs.filter(F.pmod(F.xxhash64("chunk"), F.lit(thin)) == 0)
+        sample: dict[str, list[tuple]] = {}
+        for r in mail_pass(chosen, names, some).collect():
+            sample.setdefault(r["kind"], []).extend((*key, r["chunk"]) for key in np.frombuffer(r["data"], np.uint64).reshape(-1, 3).tolist())
+        for kind, keys in sample.items():
+            keys.sort()
+            borders[kind] = [keys[len(keys) * k // parts] for k in range(1, parts)]
+
+    def send(row, post):
+        for name, keys in merged(row, post):
+            yield from ranged(name, keys, borders.get(name, []), 3, (row["chunk"].as_py(),))
+
+    return equal_neighbours(mail_pass(runs, names, send))
+
+
+def prefixes_of(runs: dict[str, np.ndarray]) -> np.ndarray:
+    return np.stack([runs["prefix"], runs["phrase"]], 1)
 
 
 def run_is_repeated(runs: dict[str, np.ndarray], post: dict[str, bytes]) -> np.ndarray:
     """Which runs of a chunk are equal to an earlier one's."""
-    c = Cover(runs["phrase"], runs["stretch"])
-    prefix = np.stack([runs["prefix"], runs["phrase"]], 1)
-    _, first, number = unique_rows(prefix)
-    out = first[number] != np.arange(len(prefix))
+    _, first, number = unique_rows(prefixes_of(runs))
     elsewhere = np.zeros(len(first), bool)
-    begins = np.zeros(len(prefix), bool)
-    begins[first] = True
-    for name, skipped in (("01", 2), ("02", 1), ("12", 0)):
-        sent = np.flatnonzero(begins & (c.mod != skipped))
-        sent = sent[np.lexsort((runs["phrase"][sent], runs["prefix"][sent]))]
-        elsewhere[number[sent]] |= np.frombuffer(post.get(name, b""), np.uint8) > 0
-    return out | elsewhere[number]
+    for name in ORDERS:
+        elsewhere[number[np.frombuffer(post.get(name, b""), "<u4")]] = True
+    return (first[number] != np.arange(len(number))) | elsewhere[number]
 
 
 # --- the whole ------------------------------------------------------------------------
@@ -611,7 +685,7 @@ def removed(docs: DataFrame, p: SuffixParams = SuffixParams(), finish: Callable[
     def text_letters(row, post):
         chunk = Chunk(row)
         keys = unique_rows(chunk.text_keys(chunk.long_enough(p)))[0]
-        yield from letters("copies", keys, hash_cuts(keys, text_parts))
+        yield from hashed("copies", keys, text_parts)
 
     copies = answered(mail_pass(texts.read(), nothing, text_letters), held_earlier, 2, "copies")
 
@@ -621,7 +695,7 @@ def removed(docs: DataFrame, p: SuffixParams = SuffixParams(), finish: Callable[
         chunk = Chunk(row)
         h = chunk.runs(p, chunk.copies(p, post.get("copies", b"")))["h"]
         keys = unique_rows(h.reshape(-1, 1))[0]
-        yield from letters("grams", keys, hash_cuts(keys, gram_parts))
+        yield from hashed("grams", keys, gram_parts)
 
     grams = answered(mail_pass(texts.read(), copies, gram_letters), held_by_others, 1, "grams")
 
@@ -640,7 +714,7 @@ def removed(docs: DataFrame, p: SuffixParams = SuffixParams(), finish: Callable[
     def first_letters(row, post):
         r = unpack_runs(row)
         keys = unique_rows(r["h"][~run_is_repeated(r, post)].reshape(-1, 1))[0]
-        yield from letters("firsts", keys, hash_cuts(keys, first_parts))
+        yield from hashed("firsts", keys, first_parts)
 
     firsts = answered(mail_pass(runs, equal, first_letters), held_by_others, 1, "firsts")
 
@@ -664,7 +738,7 @@ def removed(docs: DataFrame, p: SuffixParams = SuffixParams(), finish: Callable[
 
     def string_letters(row, post):
         keys = unique_rows(_string_keys(Chunk(row), *ranges_of(post, "open"), p))[0]
-        yield from letters("strings", keys, hash_cuts(keys, string_parts))
+        yield from hashed("strings", keys, string_parts)
 
     strings = answered(mail_pass(texts.read(), ranges, string_letters), held_earlier, 2, "strings")
 

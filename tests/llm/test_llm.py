@@ -754,6 +754,61 @@ def test_difference_cover_orders_like_a_plain_sort():
         assert suffixes == sorted(suffixes)
 
 
+def stretches(chunks, seed=11):
+    """Packed runs of chunks with a passage that most share; a prefix is the next four phrases."""
+    rng = np.random.default_rng(seed)
+    passage = rng.integers(1, 5, 40)
+    tables, plain = [], []
+    for chunk in range(chunks):
+        parts = [rng.integers(1, 4, rng.integers(1, 30)), passage[rng.integers(0, 4) : rng.integers(20, 40)]][: 1 + (rng.random() < 0.7)]
+        phrase, stretch = np.concatenate(parts).astype(np.uint64), np.repeat(np.arange(len(parts)), [len(x) for x in parts])
+        c = suffix_dedup.Cover(phrase, stretch)
+        ahead = np.stack([c.ahead(phrase, k) for k in range(4)], 1)
+        prefix = np.array([hash(tuple(row)) % 2**63 for row in ahead.tolist()], np.uint64)
+        columns = {"at": np.arange(len(phrase)), "n": np.ones(len(phrase)), "h": phrase, "phrase": phrase, "prefix": prefix, "stretch": stretch}
+        tables.append(suffix_dedup.pack_runs(chunk, columns).to_pylist()[0])
+        plain.append(prefix.tolist())
+    return tables, plain
+
+
+@pytest.mark.parametrize("part_keys", [7, 60, 100_000])
+def test_the_sorted_order_alone_finds_equal_prefixes(spark, part_keys):
+    tables, plain = stretches(40)
+    runs = spark.createDataFrame(tables, suffix_dedup.RUN_ROW)
+    total = sum(map(len, plain))
+    found = suffix_dedup.repeated_runs(runs, total, suffix_dedup.SuffixParams(part_keys=part_keys)).collect()
+    post = defaultdict(lambda: defaultdict(bytes))
+    for r in found:
+        post[r["chunk"]][r["kind"]] += bytes(r["data"])
+    seen = set()
+    for row, prefixes in zip(tables, plain):
+        unpacked = {name: np.frombuffer(row[name], kind) for name, kind in suffix_dedup.RUN_FIELDS}
+        want = [x in seen or x in prefixes[:i] for i, x in enumerate(prefixes)]
+        assert suffix_dedup.run_is_repeated(unpacked, post[row["chunk"]]).tolist() == want
+        seen |= set(prefixes)
+
+
+def test_without_ranks_equal_prefixes_are_no_neighbours():
+    rng = np.random.default_rng(5)
+    string = np.repeat(np.arange(60), 12)
+    c = suffix_dedup.Cover(rng.integers(1, 3, len(string)).astype(np.uint64), string)
+    prefix = c.c + c.ahead(c.c, 1) * np.uint64(8) + c.ahead(c.c, 2) * np.uint64(64) + c.ahead(c.c, 3) * np.uint64(512)
+    names, at = c.names(suffix_dedup.unique_rows(c.triples()[c.sample])[2].astype(np.uint64))
+    rank = np.zeros(len(c.c), np.uint64)
+    rank[at] = suffix_dedup.unique_rows(names.triples())[2].astype(np.uint64) + np.uint64(1)
+
+    def classes(rank):
+        found = []
+        for _, places, key in c.pairs(rank):
+            keys = np.column_stack([key, prefix[places], places.astype(np.uint64)])
+            _, new, _ = suffix_dedup.in_order(keys, string[places])
+            found.append((int(new.sum()), len(set(prefix[places].tolist()))))
+        return found
+
+    assert all(n == distinct for n, distinct in classes(rank))
+    assert all(n > 2 * distinct for n, distinct in classes(np.zeros_like(rank)))
+
+
 def test_drop_repeats_keeps_columns_and_valid_text(make):
     rows = [(1, "é" * 80 + "x"), (2, "y" + "é" * 80), (2, "y" + "é" * 80), (3, None), (4, "short"), (None, "z")]
     got = suffix_dedup.drop_repeats(make(rows))
