@@ -281,6 +281,38 @@ def _rate_incidents(r: Replay):
     )
 
 
+def _steady_board(r: Replay):
+    """The board halfway through the history and at its end, with the incident to show first."""
+    members, ticks = _steady_members(r), r.numbered.agg(F.min("tick_no"), F.max("tick_no")).first()
+    boards = []
+    for tick_no in ((ticks[0] + ticks[1]) // 2, ticks[1]):
+        as_of = tick_no * P.tick_s
+        known = members.filter(F.col("tick") <= as_of)  # later signals are not known yet
+        board = N.incident_board(N.incident_records(known, r.topologies[0], r.root_reach, P), as_of, P)
+        shown = N.focus_incident(board).select("incident_id", F.lit(True).alias("focus"))
+        unresolved = N.active_count(board)
+        boards.append(
+            board.join(shown, "incident_id", "left")
+            .crossJoin(F.broadcast(unresolved))  # one row
+            .select(
+                F.lit(tick_no).cast("bigint").alias("tick_no"), "state", "started", "last_ts", "severity", "services", "anomaly_count",
+                F.coalesce("focus", F.lit(False)).alias("focus"), "active_incidents",
+            )
+        )
+    return joined(boards[0].union(boards[1]), "services")
+
+
+def _steady_subgraph(r: Replay):
+    """Edges of the last tick with both ends in the impact of an incident of the repeatable detectors."""
+    members = _steady_members(r)
+    roots = N.root_ranking(members, r.topologies[0], r.root_reach, P).filter("place = 1").select("incident_id", F.col("service").alias("root"))
+    first = members.groupBy("incident_id").agg(F.min(F.struct(*D.ORDER, "tick_no")).alias("first"))
+    impact = N.incident_impact(members).join(roots, "incident_id").withColumn("is_root", F.col("service") == F.col("root"))
+    return G.incident_subgraph(impact, V.graph_snapshot(r)[1]).join(first, "incident_id").select(
+        F.col("first.tick_no").alias("first_tick_no"), "source", "target", "weight", "source_label", "target_label", "source_is_root", "target_is_root"
+    )
+
+
 def _incidents(r: Replay):
     return joined(
         r.incidents.drop("impact_hops"),
@@ -508,6 +540,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "steady_anomalies": on_replay(_steady_anomalies),
     "steady_members": on_replay(_steady_shown),
     "steady_roots": on_replay(_steady_roots),
+    "steady_board": on_replay(_steady_board),
+    "steady_subgraph": on_replay(_steady_subgraph),
     "rate_incidents": on_replay(_rate_incidents),
     "incidents": on_replay(_incidents),
     "root_cause": on_replay(_root_cause),

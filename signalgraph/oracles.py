@@ -630,6 +630,40 @@ reach AS (
         GROUP BY m.joined""",
         TICKS, WEIGHTS, ZSCORES, RULES, dwell(), REACH, STEADY, FOLD, ROOTS, recursive=True,
     ),
+    # silent for at most 9, 22.5 and 172.5 ticks
+    "steady_board": sql(
+        f""", moments_at AS (
+          SELECT (min(tick_no) + max(tick_no)) // 2 AS told FROM numbered UNION ALL SELECT max(tick_no) FROM numbered),
+        shown AS (
+          SELECT told, joined, min(tick) AS started, max(tick) AS last_ts, max(severity) AS severity, told - max(m.tick_no) AS silent,
+            array_to_string(list_sort(list(DISTINCT service)), ',') AS services, count(*) AS anomaly_count
+          FROM moments_at JOIN members m ON m.tick_no <= told GROUP BY told, joined),
+        board AS (
+          SELECT *, CASE WHEN silent <= 9 THEN 'active' WHEN silent <= 22 THEN 'resolving' ELSE 'resolved' END AS state
+          FROM shown WHERE silent <= 172)
+        SELECT told AS tick_no, state, started, last_ts, {near('severity')} AS severity, services, anomaly_count,
+          state <> 'resolved' AND row_number() OVER (PARTITION BY told ORDER BY state = 'resolved', severity DESC, last_ts DESC) = 1 AS focus,
+          count(*) FILTER (state <> 'resolved') OVER (PARTITION BY told) AS active_incidents
+        FROM board""",
+        TICKS, WEIGHTS, ZSCORES, RULES, dwell(), REACH, STEADY, FOLD, recursive=True,
+    ),
+    "steady_subgraph": sql(
+        f""", near_to AS (
+          SELECT m.joined, m.first_tick_no, b.service, min(b.hops) AS hops FROM members m
+          JOIN (SELECT tick_no, source, service, hops FROM reach WHERE hops <= 4
+            UNION ALL SELECT tick_no, service, service, 0 FROM members) b
+            ON b.tick_no = m.tick_no AND b.source = m.service GROUP BY m.joined, m.first_tick_no, b.service),
+        ends AS (
+          SELECT n.*, n.service = r.service AS is_root, CASE WHEN n.hops > 0 THEN CAST(n.hops AS VARCHAR) END AS label
+          FROM near_to n JOIN roots r ON r.joined = n.joined AND r.place = 1),
+        edges AS (
+          SELECT source, target, {near('round_even(weight / max(weight) OVER (), 3)')} AS weight FROM weights
+          WHERE tick_no = (SELECT max(tick_no) FROM numbered))
+        SELECT s.first_tick_no, e.source, e.target, e.weight, s.label AS source_label, t.label AS target_label,
+          s.is_root AS source_is_root, t.is_root AS target_is_root
+        FROM edges e JOIN ends s ON s.service = e.source JOIN ends t ON t.service = e.target AND t.joined = s.joined""",
+        TICKS, WEIGHTS, ZSCORES, RULES, dwell(), REACH, STEADY, FOLD, ROOTS, recursive=True,
+    ),
     "rule_eval": sql(
         f" SELECT rule_id, tick_no, service, {near('value')} AS value, entered_at, tick - entered_at AS dwell_s FROM dwells",
         TICKS,
