@@ -10,6 +10,7 @@ leaves are independent of each other.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
@@ -60,11 +61,11 @@ def route(masked: DataFrame, p: Params) -> DataFrame:
     starts = stage(
         out.groupBy("width", *levels).agg(F.min(F.struct("first_ts", "first_span")).alias("arrived")), "starts"
     )
-    routes = starts.withColumn("leaf", F.col("width").cast("string"))
-    for b in levels:
+    routed = starts.withColumn("leaf", F.col("width").cast("string"))
+    for b in levels:  # each level is read twice by the next
         by_arrival = Window.partitionBy("leaf").orderBy("branch_arrived")
         kept = (
-            routes.filter(F.col(b).isNotNull())
+            routed.filter(F.col(b).isNotNull())
             .groupBy("leaf", b)
             .agg(F.min("arrived").alias("branch_arrived"))
             .withColumn("place", F.row_number().over(by_arrival))
@@ -72,50 +73,106 @@ def route(masked: DataFrame, p: Params) -> DataFrame:
             .select("leaf", b, F.lit(True).alias("kept"))
         )
         step = F.when(F.col("kept"), F.col(b)).when(F.col(b).isNotNull(), F.lit(S.PLACEHOLDER))
-        routes = routes.join(kept, ["leaf", b], "left").withColumn("leaf", F.concat_ws(" ", "leaf", step)).drop("kept")
-    routed = stage(routes.select("width", *levels, "leaf"), "routes")
+        routed = stage(routed.join(kept, ["leaf", b], "left").withColumn("leaf", F.concat_ws(" ", "leaf", step)).drop("kept"), "routes")
     same = [out["width"] == routed["width"], *[out[b].eqNullSafe(routed[b]) for b in levels]]
     return out.join(routed, same).select(*[out[c] for c in masked.columns], routed["leaf"])
 
 
 class LeafGroups:
-    """Token groups of one leaf. Tokens are kept as numbers, one row per group."""
+    """Token groups of one leaf. Tokens are kept as numbers, one row per group.
+
+    A message is compared only with groups that can be alike enough. The positions are
+    paired, each of the first half with one of the second (an odd last one stays alone):
+    of ``pairs`` pairs, ``need`` equal positions make at least ``need - pairs`` wholly equal,
+    the odd one counted as such. Groups are listed by what they hold at each pair, so all but
+    the ``need - pairs - 1`` longest lists hold every group in question.
+    """
 
     PLACEHOLDER_ID = 0
+    LISTED = 256  # fewer groups are compared one by one
 
     def __init__(self) -> None:
         self.ids = {S.PLACEHOLDER: self.PLACEHOLDER_ID}
         self.rows: np.ndarray | None = None
         self.size = 0
+        self.lists: list[dict[int, list[int]]] | None = None  # of each pair: groups by their two tokens
 
-    def _coded(self, words: list[str]) -> np.ndarray:
-        return np.array([self.ids.setdefault(w, len(self.ids)) for w in words], dtype=np.int64)
+    def _coded(self, words: list[str]) -> list[int]:
+        return [self.ids.setdefault(w, len(self.ids)) for w in words]
 
     def append(self, words: list[str]) -> None:
         """Takes ``words`` as one more group."""
-        coded = self._coded(words)
+        self._append(self._coded(words))
+
+    def _append(self, coded: list[int]) -> None:
         if self.rows is None:
-            self.rows = np.empty((4, len(coded)), dtype=np.int64)
+            self.rows = np.empty((4, len(coded)), dtype=np.int32)
         if self.size == len(self.rows):
             self.rows = np.concatenate([self.rows, np.empty_like(self.rows)])
         self.rows[self.size] = coded
         self.size += 1
+        if self.lists is not None:
+            self._list(self.size - 1, coded)
+        elif self.size == self.LISTED:
+            self.lists = [{} for _ in range((len(coded) + 1) // 2)]
+            for group, row in enumerate(self.rows[: self.size].tolist()):
+                self._list(group, row)
+
+    def _pairs(self, coded: list[int]) -> Iterator[tuple[int, int]]:
+        half = len(coded) // 2
+        yield from zip(coded[:half], coded[half : 2 * half])
+        if len(coded) % 2:
+            yield coded[-1], self.PLACEHOLDER_ID
+
+    def _list(self, group: int, coded: list[int], before: list[int] | None = None) -> None:
+        """Lists a group by its tokens; of one that has changed, by the pairs that did."""
+        old = self._pairs(before) if before else repeat(None)
+        for listed, pair, was in zip(self.lists, self._pairs(coded), old):
+            if pair != was:
+                listed.setdefault(pair[0] << 32 | pair[1], []).append(group)
+
+    def _asked(self, coded: list[int], threshold: float) -> np.ndarray | None:
+        """Groups that may be alike enough, in order; None stands for all."""
+        width = len(coded)
+        sure = next((k for k in range(width + 1) if k / width >= threshold), width + 1) - width // 2
+        if self.lists is None or sure < 1:
+            return None
+        found = []
+        for listed, (a, b) in zip(self.lists, self._pairs(coded)):
+            keys = {a << 32 | b, a << 32, b, 0}  # a placeholder of the group is equal to any token
+            found.append([group for k in keys if k in listed for group in listed[k]])
+        found.sort(key=len)
+        asked = set().union(*found[: max(0, len(found) - sure + 1)])
+        return np.array(sorted(asked), dtype=np.int64) if 2 * len(asked) < self.size else None
 
     def add(self, words: list[str], threshold: float) -> tuple[int, bool]:
         """Number of the group the message joins, from 0, and whether it is new."""
+        coded = self._coded(words)
         if not self.size:
-            self.append(words)
+            self._append(coded)
             return 0, True
-        coded = self._coded(words)
-        known = self.rows[: self.size]
-        alike = ((known == coded) | (known == self.PLACEHOLDER_ID)).sum(axis=1) / len(coded)
-        best = int(alike.argmax())
-        if alike[best] >= threshold:
-            known[best][known[best] != coded] = self.PLACEHOLDER_ID
-            return best, False
-        self.append(words)
+        asked = self._asked(coded, threshold)
+        known = self.rows[: self.size] if asked is None else self.rows[asked]
+        if len(known):
+            message = np.array(coded, dtype=np.int32)
+            alike = ((known == message) | (known == self.PLACEHOLDER_ID)).sum(axis=1) / len(coded)
+            best = int(alike.argmax())
+            if alike[best] >= threshold:
+                group = best if asked is None else int(asked[best])
+                self._join(group, message)
+                return group, False
+        self._append(coded)
         return self.size - 1, True
 
+    def _join(self, group: int, message: np.ndarray) -> None:
+        row = self.rows[group]
+        other = row != message
+        if row[other].any():
+            before = row.tolist()
+            row[other] = self.PLACEHOLDER_ID
+            if self.lists is not None:
+                self._list(group, row.tolist(), before)
+
     def texts(self) -> Iterator[str]:
         names = list(self.ids)
         for row in self.rows[: self.size]:
@@ -123,26 +180,34 @@ class LeafGroups:
 
 
 def group_leaves(routed: DataFrame, p: Params) -> DataFrame:
-    """Greedy grouping in arrival order. Two kinds of rows: a message with its
-    group, and a group (``masked`` null) with its final text."""
+    """Greedy grouping in arrival order. Two kinds of rows: a message with its group, and
+    a group (``masked`` null) with its final text and the count of its records."""
     threshold = p.template_similarity
 
-    def step(state: LeafGroups, row: tuple):
-        leaf, _, _, masked = row
-        group, new = state.add(masked.split(" "), threshold)
-        yield leaf, group, masked, None, new
+    def start():
+        return LeafGroups(), []
+
+    def step(state: tuple[LeafGroups, list[int]], row: tuple):
+        groups, counts = state
+        leaf, first_ts, first_span, masked, n, first_service = row
+        group, new = groups.add(masked.split(" "), threshold)
+        if new:
+            counts.append(0)
+        counts[group] += n
+        yield leaf, group, masked, n, first_ts, first_span, first_service, None, new
 
-    def finish(state: LeafGroups, key: tuple):
-        for group, text in enumerate(state.texts()):
-            yield key[0], group, None, text, False
+    def finish(state: tuple[LeafGroups, list[int]], key: tuple):
+        groups, counts = state
+        for group, (text, n) in enumerate(zip(groups.texts(), counts)):
+            yield key[0], group, None, n, None, None, None, text, False
 
     return ordered_fold(
-        routed.select("leaf", "first_ts", "first_span", "masked"),
+        routed.select("leaf", "first_ts", "first_span", "masked", "n", "first_service"),
         ["leaf"],
         ["first_ts", "first_span", "masked"],
-        LeafGroups,
+        start,
         step,
-        "leaf string, grp long, masked string, text string, is_new boolean",
+        "leaf string, grp long, masked string, n long, first_ts double, first_span string, first_service string, text string, is_new boolean",
         finish,
     )
 
@@ -155,19 +220,12 @@ def mine_templates(logs: DataFrame, p: Params) -> tuple[DataFrame, DataFrame]:
     """
     masked = stage(masked_messages(logs), "masked")
     folded = stage(group_leaves(route(masked.filter("masked <> ''"), p), p), "groups")
-    members = folded.filter("masked IS NOT NULL").join(masked, "masked")
-    texts = folded.filter("masked IS NULL").select("leaf", "grp", F.col("text").alias("template"))
-    arrival = F.struct("first_ts", "first_span", "masked")
-    found = (
-        members.groupBy("leaf", "grp")
-        .agg(
-            F.sum("n").alias("count"),
-            F.min_by(F.struct("first_ts", "first_span", "first_service", "masked"), arrival).alias("first"),
-        )
-        .join(texts, ["leaf", "grp"])
-        .select("leaf", "grp", "template", "count", "first.*")
-    )
-    span = found.agg(F.max("first_ts") - F.min("first_ts")).first()[0] or 0.0
+    members = folded.filter("masked IS NOT NULL")
+    texts = folded.filter("masked IS NULL").select("leaf", "grp", F.col("text").alias("template"), F.col("n").alias("count"))
+    # a group's first message is the one that opened it
+    first = members.filter("is_new").select("leaf", "grp", "first_ts", "first_span", "first_service", "masked")
+    found = texts.join(first, ["leaf", "grp"])
+    span = first.agg(F.max("first_ts") - F.min("first_ts")).first()[0] or 0.0
     numbered = number_rows(found, "first_ts", ["first_span", "masked"], "template_id", max(span / 1000.0, 1.0))
     templates = stage(
         numbered.select(

@@ -342,6 +342,44 @@ def test_templates_match_the_loop(make_logs, children):
     assert sum(r["count"] for r in found) == len(messages)
 
 
+def plain_groups(messages, threshold):
+    """Greedy grouping with every group compared."""
+    groups, out = [], []
+    for words in messages:
+        alike = [sum(g in (w, "<*>") for g, w in zip(group, words)) / len(words) for group in groups]
+        best = max(range(len(groups)), key=lambda k: (alike[k], -k), default=None)
+        if best is not None and alike[best] >= threshold:
+            groups[best] = [g if g == w else "<*>" for g, w in zip(groups[best], words)]
+            out.append((best, False))
+        else:
+            groups.append(words)
+            out.append((len(groups) - 1, True))
+    return out, [" ".join(g) for g in groups]
+
+
+@pytest.mark.parametrize("threshold", [0.4, 0.55, 0.8, 1.0])
+def test_listed_groups_match_the_loop(threshold, monkeypatch):
+    monkeypatch.setattr(M.LeafGroups, "LISTED", 2)
+    draw = random.Random(7)
+    for width in range(1, 14):
+        base = [[f"w{draw.randrange(12)}" for _ in range(width)] for _ in range(25)]
+        messages = [[w if draw.random() < 0.7 else draw.choice(["<*>", f"w{draw.randrange(12)}"]) for w in draw.choice(base)] for _ in range(200)]
+        groups = M.LeafGroups()
+        got = [groups.add(list(m), threshold) for m in messages]
+        assert (got, list(groups.texts())) == plain_groups(messages, threshold)
+
+
+def test_few_groups_of_a_large_leaf_are_compared():
+    draw = random.Random(8)
+    groups = M.LeafGroups()
+    messages = [[f"w{draw.randrange(300)}" for _ in range(12)] for _ in range(3000)]
+    for m in messages:
+        groups.add(m, 0.55)
+    assert groups.size > 2900
+    asked = [groups._asked(groups._coded(m), 0.55) for m in messages]
+    assert all(a is not None for a in asked) and sum(map(len, asked)) < 20 * len(messages)
+
+
 def test_new_templates_after_warm_up(make_logs):
     messages = ["start up"] * 60 + ["disk failed on node"] * 20 + ["start up"] * 20
     _, _, logs, templates = mined(make_logs, messages, Params())
