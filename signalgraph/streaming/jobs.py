@@ -123,31 +123,25 @@ def second_counts(logs: DataFrame, p: Params) -> DataFrame:
 def sliding_rates(logs: DataFrame, p: Params) -> DataFrame:
     """Per-service counts and exact p95 of every sliding window, as it closes.
 
-    Rows are counted once, per tick-long pane, service and latency; the windows are
-    made of these counts, so a row is not multiplied by the windows it is in.
+    Rows are gathered once, per tick-long pane and service; keyed state holds the panes of
+    a service's open windows, so a row is not multiplied by the windows it is in.
     """
-    windows = F.window(F.window_time("w"), _span(p.window_s), _span(p.tick_s))
-    return (
-        _cells(logs, p)
-        .groupBy(windows, "service")
+    panes = (
+        timed(logs)
+        .groupBy(F.window("event_time", _span(p.tick_s)).alias("w"), "service")
         .agg(
-            (F.sum(F.col("v") * F.col("total")) / F.sum("total")).alias("mean_lat"),
-            F.percentile("v", 0.95, F.col("total")).alias("p95"),
-            *[F.sum(c).alias(c) for c in ("total", "errors", "warns")],
+            F.count(F.lit(1)).alias("total"),
+            F.sum(S.flag(S.is_error())).alias("errors"),
+            F.sum(S.flag(F.col("level") == "WARN")).alias("warns"),
+            F.collect_list(F.col("latency_ms").cast("double")).alias("values"),
         )
         .select(
-            F.window_time("window").alias("event_time"),  # a microsecond before the end; later operators go by it
-            (F.unix_micros("window.end") / F.lit(p.tick_s * 1000000)).cast("bigint").alias("tick_no"),
-            (F.unix_micros("window.end") / F.lit(1000000.0)).alias("tick"),
-            "service",
-            "total",
-            "errors",
-            "warns",
-            "mean_lat",
-            "p95",
-            S.ratio("errors", "total").alias("error_rate"),
+            F.window_time("w").alias("event_time"),  # a microsecond before the end; later operators go by it
+            (F.unix_micros("w.start") / F.lit(p.tick_s * 1000000)).cast("bigint").alias("pane"),
+            "service", "total", "errors", "warns", "values",
         )
-    )
+    )
+    return LV.timed_run(panes, ["service"], LV.WindowRates(p)).withColumn("error_rate", S.ratio("errors", "total"))
 
 
 def _cells(logs: DataFrame, p: Params) -> DataFrame:

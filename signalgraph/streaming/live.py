@@ -595,6 +595,72 @@ class FirstSights(StatefulProcessor):
         pass
 
 
+class WindowRates(StatefulProcessor):
+    """Counts, mean and exact p95 of a service's sliding windows, told as the watermark passes
+    their ends. State is the panes of the windows that are still open."""
+
+    output = (
+        "event_time timestamp, tick_no long, tick double, service string, total long, errors long, warns long, mean_lat double, p95 double"
+    )
+
+    def __init__(self, p: Params) -> None:
+        self.p = p
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.panes = handle.getMapState("panes", "pane long", "total long, errors long, warns long, latencies binary")
+        self.told = handle.getValueState("told", "tick_no long")
+
+    def ms(self, tick_no: int) -> int:
+        return round(tick_no * self.p.tick_s * 1000)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        first = None
+        for frame in rows:
+            for pane, total, errors, warns, values in zip(*[frame[c].tolist() for c in ("pane", "total", "errors", "warns", "values")]):
+                self.panes.updateValue((pane,), (total, errors, warns, np.asarray(values, np.float64).tobytes()))
+                first = pane if first is None else min(first, pane)
+        if first is not None:
+            self.handle.registerTimer(self.ms(first + 1))
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        span, now = self.p.ticks_per_window, timerValues.getCurrentWatermarkInMs()
+        told = self.told.get()[0] if self.told.exists() else None
+        held = {k[0]: (*v[:3], np.frombuffer(v[3], np.float64)) for k, v in self.panes.iterator()}
+        due = sorted({t for pane in held for t in range(pane + 1, pane + 1 + span) if self.ms(t) <= now and (told is None or t > told)})
+        out = [self._rates(t, key[0], [held[pane] for pane in range(t - span, t) if pane in held]) for t in due]
+        last = math.floor(now / self.ms(1))
+        open_panes = [pane for pane in held if pane + span > last]
+        for pane in held.keys() - set(open_panes):
+            self.panes.removeKey((pane,))
+        if open_panes:
+            self.told.update((last,))
+            self.handle.registerTimer(self.ms(max(last, min(open_panes)) + 1))
+        elif self.told.exists():
+            self.told.clear()
+        if out:
+            frame = pd.DataFrame(out, columns=[c.strip().split(" ")[0] for c in self.output.split(", ")])
+            yield frame.assign(event_time=pd.to_datetime(frame["event_time"], unit="us", utc=True))
+
+    def _rates(self, tick_no: int, service: str | None, panes: list[tuple]) -> tuple:
+        total, errors, warns = (sum(p[i] for p in panes) for i in range(3))
+        values = np.concatenate([p[3] for p in panes])
+        mean = p95 = None
+        if len(values):
+            mean = float(values.sum()) / total
+            at = (len(values) - 1) * 0.95
+            low, high = math.floor(at), math.ceil(at)
+            values.partition(sorted({low, high}))
+            a, b = float(values[low]), float(values[high])
+            p95 = a if a == b else (high - at) * a + (at - low) * b
+        end_us = round(tick_no * self.p.tick_s * 1000000)
+        return end_us - 1, tick_no, end_us / 1000000.0, service, total, errors, warns, mean, p95
+
+    def close(self) -> None:
+        pass
+
+
 class TickForest(StatefulProcessor):
     """Grows a forest over the services of a tick once the tick has closed, and forgets it."""
 

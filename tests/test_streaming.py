@@ -74,6 +74,29 @@ def test_signals_follow_the_batch_ones(spark, story):
         assert v["stddev"] == pytest.approx(f[k]["stddev"], abs=1e-5)
 
 
+def test_sliding_rates_gather_a_row_once(spark, make_logs, tmp_path):
+    """Windows are those of the batch; no state holds a row for each window that a log is in."""
+    rng = random.Random(22)
+    rows = [{"ts": 1000 + i / 10, "service": rng.choice("aab"), "latency_ms": rng.uniform(1, 500)} for i in range(1200)]
+    logs = make_logs(rows)
+    logs.coalesce(1).write.parquet(f"{tmp_path}/in/a")
+    logs.filter("ts > 1119").withColumn("ts", F.col("ts") + 500).coalesce(1).write.parquet(f"{tmp_path}/in/b")
+    J.use_rocksdb(spark)
+    both = spark.readStream.schema(logs.schema).option("recursiveFileLookup", "true").parquet(f"{tmp_path}/in")
+    query = (
+        J.sliding_rates(both, P).writeStream.format("memory").queryName("gathered").outputMode("append")
+        .option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start()
+    )
+    query.awaitTermination()
+    held = max(op["numRowsTotal"] for p in query.recentProgress for op in p["stateOperators"])
+    assert held <= 2 * (1200 / 10 / P.tick_s + 30) * 3
+    got = {(r.tick_no, r.service): (r.total, r.p95, r.mean_lat) for r in spark.table("gathered").filter("tick <= 1120").collect()}
+    want = {(r.tick_no, r.service): (r.total, r.p95, r.mean_lat) for r in R.service_ticks(logs, P).collect()}
+    assert len(want) > 100
+    for k, (total, p95, mean) in want.items():
+        assert got[k] == (total, pytest.approx(p95, abs=1e-6), pytest.approx(mean, abs=1e-6))
+
+
 def test_bucket_counts(spark, story):
     logs, folder = story
     got = {r.start_us // 1000000: r.total for r in J.run_once(J.second_counts(stream(spark, folder), P), "t").collect()}
@@ -127,8 +150,8 @@ def test_incident_signals(spark, tmp_path):
         "detector_ord int, ord_1 double, ord_2 string, ord_3 int"
     )
     for i in range(2):
-        spark.createDataFrame(rows[i * 100 : (i + 1) * 100], schema).coalesce(1).write.mode("append").parquet(str(tmp_path))
-    source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path))
+        spark.createDataFrame(rows[i * 100 : (i + 1) * 100], schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
     got = {r.anomaly_id: r.first_id for r in J.run_once(J.incident_signals(source, P), "t").collect()}
     assert got == replicas.incidents([(a, t, s, b) for a, t, s, b, *_ in rows], P.correlation_gap_s)
 
