@@ -240,6 +240,24 @@ def test_stage_finds_similar_texts(spark):
     assert len(pairs) > 100 and got == want and got[200_000] == 1
 
 
+@pytest.mark.parametrize("cell_rows", [2_000, 7])
+def test_stage_joins_all_within_the_radius(make, cell_rows):
+    """Similar texts of few differing fingerprint bits are joined though no two share a MinHash key."""
+    rnd = random.Random(5)
+    rows = []
+    for k in range(20):
+        words = [f"v{rnd.randrange(5000)}" for _ in range(600)]
+        rows.append((2 * k, " ".join(words)))
+        words[rnd.randrange(600)] = "changed"
+        rows.append((2 * k + 1, " ".join(words)))
+    p = shingle_dedup.ShingleParams(bands=1, rows=2000, cell_rows=cell_rows)
+    fps = [simhash.fingerprint(shingle_dedup.shingle_set(t.encode(), p)) for _, t in rows]
+    near = [k for k in range(20) if ((fps[2 * k] ^ fps[2 * k + 1]) & (2**64 - 1)).bit_count() <= p.radius]
+    got = {r["doc_id"]: r["component_id"] for r in shingle_dedup.near_duplicates(make(rows), p).collect()}
+    assert len(near) > 10 and all(got[2 * k + 1] == 2 * k for k in near)
+    assert all(c // 2 == d // 2 for d, c in got.items())
+
+
 def test_components_of_paths_and_stars(spark):
     edges = [(k, k + 1) for k in range(0, 40)] + [(100, k) for k in range(101, 160)] + [(7, 7), (500, 499), (499, 500)]
     got = {r["node"]: r["root"] for r in components.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
