@@ -308,13 +308,13 @@ def live_incidents(logs: DataFrame, p: Params, rules: list[tuple] = (), changes:
 
 def _mined(messages: DataFrame, p: Params, in_time: bool) -> DataFrame:
     """Template of each message; a blank one has group -1. Branches are kept per token path in
-    state, level by level, then groups per leaf."""
+    state, those of all levels together, so that a text is sent once to find its leaf and once
+    to its groups."""
     words = F.when(F.col("masked") == "", 0).otherwise(F.size(F.split("masked", " ")))
-    out = messages.withColumn("leaf", words.cast("string"))
     bucket = F.pmod(F.xxhash64("leaf"), F.lit(KEY_BUCKETS))
-    for level in range(p.template_depth):
-        out = ST.run(out.withColumn("bucket", bucket), ["bucket"], ST.Branch(level, p.template_children), in_time)
-    leaves = ST.run(out.withColumn("bucket", bucket), ["bucket"], ST.Leaf(p.template_similarity), in_time)
+    wide = messages.withColumn("leaf", words.cast("string")).withColumn("bucket", bucket)
+    routed = ST.run(wide, ["bucket"], ST.Branch(p.template_depth, p.template_children), in_time)
+    leaves = ST.run(routed.withColumn("bucket", bucket), ["bucket"], ST.Leaf(p.template_similarity), in_time)
     return leaves.withColumn("template_id", F.xxhash64("leaf", "grp"))
 
 

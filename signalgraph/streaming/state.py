@@ -132,13 +132,13 @@ class EdgeDecay(Processor):
 
 
 class Branch(StatefulProcessor):
-    """Sends messages one token further; a path takes only so many branches. A key is a bucket
-    of paths, whose branches are entries of a map."""
+    """Sends messages along their first tokens; a path takes only so many branches. A key is a
+    bucket of widths, where paths start; a path's branches are an entry of a map."""
 
     output = "event_time timestamp, ts double, span_id string, service string, masked string, leaf string"
 
-    def __init__(self, level: int, most: int) -> None:
-        self.level, self.most = level, most
+    def __init__(self, depth: int, most: int) -> None:
+        self.depth, self.most = depth, most
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.kept = handle.getMapState("branches", "leaf string", "words array<string>")
@@ -149,13 +149,13 @@ class Branch(StatefulProcessor):
         sizes: dict[str, int] = {}
         leaves = []
         for leaf, masked in zip(new["leaf"].tolist(), new["masked"].tolist()):
-            words = masked.split(" ")
-            if self.level < len(words):
+            for word in masked.split(" ", self.depth)[: self.depth]:
                 if leaf not in known:
                     held = self.kept.getValue((leaf,)) if self.kept.containsKey((leaf,)) else ([],)
                     known[leaf] = dict.fromkeys(held[0])
                     sizes[leaf] = len(known[leaf])
-                word = PLACEHOLDER if words[self.level].startswith("<") else words[self.level]
+                if word.startswith("<"):
+                    word = PLACEHOLDER
                 if word not in known[leaf]:
                     if len(known[leaf]) < self.most:
                         known[leaf][word] = None
