@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from signalgraph.functions.ordered import spread_by
+
 BINS_PER_E = 16  # bins per factor e of the value; more bins mean smaller sorts and larger histograms
 
 SLICE_WINDOWS = 64  # window lengths per slice of running totals
@@ -38,22 +40,44 @@ def window_rollup(
     ``tick - span .. tick - 1``. Windows after ``last`` are left out. Gives
     ``keys, tick, total, <sums>, mean, <probs>``.
     """
-    if probs:
-        return quantile_rollup(count_cells(rows, keys, value, sums), keys, list(sums), probs, span, last)
     counted = ["total", *sums, "value_sum"]
     panes = rows.groupBy(*keys, "pane").agg(
         F.count(F.lit(1)).alias("total"),
         *[F.sum(c).alias(s) for s, c in sums.items()],
         F.sum(value).alias("value_sum"),
     )
-    wins = panes.withColumn("tick", ticks_of(span, last)).groupBy(*keys, "tick").agg(*[F.sum(c).alias(c) for c in counted])
+    if probs:
+        return quantile_rollup(count_cells(rows, keys, value, sums), keys, list(sums), probs, span, last, panes)
+    wins = window_sums(panes, keys, counted, span, last)
     return wins.select(*keys, "tick", "total", *sums, (F.col("value_sum") / F.col("total")).alias("mean"))
 
 
-def ticks_of(span: int, last: int | None) -> Column:
-    """The windows a pane belongs to, one row each."""
-    end = F.col("pane") + span
-    return F.explode(F.sequence(F.col("pane") + 1, F.least(end, F.lit(last).cast("bigint")) if last is not None else end))
+def window_sums(panes: DataFrame, keys: list[str], counted: list[str], span: int, last: int | None) -> DataFrame:
+    """Sums of the panes of each window. Panes are sent to their chunks of windows and
+    spread over the windows there, so what is shuffled isn't multiplied by them."""
+    if span == 1:
+        wins = panes.withColumn("tick", F.col("pane") + 1)
+        return (wins if last is None else wins.filter(F.col("tick") <= last)).select(*keys, "tick", *counted)
+    lasting = panes.withColumns({"from_tick": F.col("pane") + 1, "until_tick": _at_most(F.col("pane") + span, last)})
+    spread = by_tick(lasting.select(*keys, "from_tick", "until_tick", *counted), keys, span)
+    return spread.groupBy(*keys, "chunk", "tick").agg(*[F.sum(c).alias(c) for c in counted]).drop("chunk")
+
+
+def by_tick(lasting: DataFrame, keys: list[str], span: int) -> DataFrame:
+    """A row for each ``tick`` of ``from_tick .. until_tick``, partitioned by key and ``chunk``
+    of ``span`` ticks; rows are multiplied only after they are shuffled."""
+    start, end = F.col("chunk") * span, F.col("chunk") * span + span - 1
+    chunks = F.sequence(F.floor(F.col("from_tick") / F.lit(span)), F.floor(F.col("until_tick") / F.lit(span)))
+    cut = lasting.filter(F.col("until_tick") >= F.col("from_tick")).withColumn("chunk", F.explode(chunks))
+    return (
+        spread_by(cut, *keys, "chunk")
+        .withColumn("tick", F.explode(F.sequence(F.greatest("from_tick", start), F.least("until_tick", end))))
+        .drop("from_tick", "until_tick")
+    )
+
+
+def _at_most(tick: Column, last: int | None) -> Column:
+    return tick if last is None else F.least(tick, F.lit(last).cast("bigint"))
 
 
 def count_cells(rows: DataFrame, keys: list[str], value: str, sums: dict[str, Column]) -> DataFrame:
@@ -64,29 +88,37 @@ def count_cells(rows: DataFrame, keys: list[str], value: str, sums: dict[str, Co
 
 
 def quantile_rollup(
-    cells: DataFrame, keys: list[str], sums: list[str], probs: dict[str, float], span: int = 1, last: int | None = None
+    cells: DataFrame,
+    keys: list[str],
+    sums: list[str],
+    probs: dict[str, float],
+    span: int = 1,
+    last: int | None = None,
+    panes: DataFrame | None = None,
 ) -> DataFrame:
-    """``window_rollup`` from ``count_cells`` output, which may be a stored table."""
+    """``window_rollup`` from ``count_cells`` output, which may be a stored table;
+    ``panes`` are its sums per pane, if they are there already."""
     counted = ["total", *sums, "value_sum"]
-    hist = sliding_histogram(cells, keys, sums, span, last)
+    if panes is None:
+        valued = cells.withColumn("value_sum", F.col("v") * F.col("total"))
+        panes = valued.groupBy(*keys, "pane").agg(*[F.sum(c).alias(c) for c in counted])
+    hist = sliding_histogram(cells, keys, span, last)
 
     def block_of(pane: Column) -> Column:
         """Runs of ``span`` panes: a window touches two at most."""
         return F.floor(pane / F.lit(span))
 
-    whole = Window.partitionBy(*keys, "tick")
-    climbing = whole.orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    by_bin = Window.partitionBy("tick", "chunk", *keys).orderBy("bin")
+    climbing = by_bin.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    whole = by_bin.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     places = F.array_distinct(
         F.flatten(F.array(*[F.array(F.floor(_place(p)), F.ceil(_place(p))) for p in probs.values()]))
     )
     chosen = (
-        hist.withColumn("upto", F.sum("total").over(climbing))
+        hist.withColumns({"upto": F.sum("total").over(climbing), "w_total": F.sum("total").over(whole)})
         .withColumn("start", F.col("upto") - F.col("total"))
-        .drop("total")
-        .withColumns({f"w_{c}": F.sum(c).over(whole) for c in counted if c != "total"})
-        .withColumn("w_total", F.max("upto").over(whole))
         .filter(F.exists(places, lambda r: (r >= F.col("start")) & (r < F.col("upto"))))
-        .select(*keys, "tick", "bin", "start", *[f"w_{c}" for c in counted])
+        .select(*keys, "tick", "bin", "start", "w_total")
         .withColumn("block", F.explode(F.array_distinct(F.array(block_of(F.col("tick") - span), block_of(F.col("tick") - 1)))))
     )
     within = Window.partitionBy(*keys, "tick", "bin").orderBy("v").rowsBetween(
@@ -111,14 +143,13 @@ def quantile_rollup(
         for name, p in probs.items()
         for col in (at(F.floor(_place(p))).alias(f"{name}_lo"), at(F.ceil(_place(p))).alias(f"{name}_hi"))
     ]
-    wins = ranked.groupBy(*keys, "tick", *[f"w_{c}" for c in counted if c != "value_sum"]).agg(
-        F.max("w_value_sum").alias("w_value_sum"), *picked
-    )
-    return wins.select(
+    found = ranked.groupBy(*keys, "tick", "w_total").agg(*picked)
+    return found.join(window_sums(panes, keys, counted, span, last), [*keys, "tick"]).select(
         *keys,
         "tick",
-        *[F.col(f"w_{c}").alias(c) for c in counted if c != "value_sum"],
-        (F.col("w_value_sum") / F.col("w_total")).alias("mean"),
+        "total",
+        *sums,
+        (F.col("value_sum") / F.col("total")).alias("mean"),
         *[
             (
                 F.col(f"{name}_lo")
@@ -129,22 +160,18 @@ def quantile_rollup(
     )
 
 
-def sliding_histogram(
-    cells: DataFrame, keys: list[str], sums: list[str], span: int, last: int | None
-) -> DataFrame:
-    """Counts and sums per key, bin and window.
+def sliding_histogram(cells: DataFrame, keys: list[str], span: int, last: int | None) -> DataFrame:
+    """Counts per key, bin and window, partitioned by key and chunk of windows.
 
     A pane enters the windows at one tick and leaves them at another, so running
-    totals over these changes are the window's sums; each lasts until the next
+    totals over these changes are the window's counts; each lasts until the next
     change. Nothing is multiplied by the number of windows a row is in. Time is cut
     into slices with totals of their own, so a key that is always busy is shared
-    among tasks and rounding errors do not build up.
+    among tasks.
     """
-    cells = cells.withColumn("value_sum", F.col("v") * F.col("total"))
-    counted = ["total", *sums, "value_sum"]
     if span == 1:
-        hist = cells.groupBy(*keys, "pane", "bin").agg(*[F.sum(c).alias(c) for c in counted])
-        hist = hist.withColumn("tick", F.col("pane") + 1).drop("pane")
+        hist = cells.groupBy(*keys, "pane", "bin").agg(F.sum("total").alias("total"))
+        hist = hist.withColumns({"tick": F.col("pane") + 1, "chunk": F.col("pane") + 1}).drop("pane")
         return hist if last is None else hist.filter(F.col("tick") <= last)
     length = span * SLICE_WINDOWS
 
@@ -152,8 +179,8 @@ def sliding_histogram(
         return F.floor(tick / F.lit(length))
 
     slice_end = (F.col("slice") + 1) * length
-    enter = F.struct(F.greatest(F.col("pane") + 1, F.col("slice") * length).alias("tick"), *counted)
-    leave = F.struct((F.col("pane") + span + 1).alias("tick"), *[(-F.col(c)).alias(c) for c in counted])
+    enter = F.struct(F.greatest(F.col("pane") + 1, F.col("slice") * length).alias("tick"), "total")
+    leave = F.struct((F.col("pane") + span + 1).alias("tick"), (-F.col("total")).alias("total"))
     changes = (
         cells.withColumn(
             "slice",
@@ -163,23 +190,18 @@ def sliding_histogram(
         .select(*keys, "bin", "slice", "c.*")
         .filter(F.col("tick") < slice_end)
         .groupBy(*keys, "bin", "slice", "tick")
-        .agg(*[F.sum(c).alias(c) for c in counted])
+        .agg(F.sum("total").alias("total"))
     )
     in_time = Window.partitionBy(*keys, "bin", "slice").orderBy("tick")
     so_far = in_time.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    until = F.coalesce(F.lead("tick").over(in_time), slice_end) - 1
     running = changes.select(
         *keys,
         "bin",
         F.col("tick").alias("from_tick"),
-        (until if last is None else F.least(until, F.lit(last).cast("bigint"))).alias("until_tick"),
-        *[F.sum(c).over(so_far).alias(c) for c in counted],
-    )
-    return (
-        running.filter((F.col("total") > 0) & (F.col("until_tick") >= F.col("from_tick")))
-        .withColumn("tick", F.explode(F.sequence("from_tick", "until_tick")))
-        .drop("from_tick", "until_tick")
+        _at_most(F.coalesce(F.lead("tick").over(in_time), slice_end) - 1, last).alias("until_tick"),
+        F.sum("total").over(so_far).alias("total"),
     )
+    return by_tick(running.filter(F.col("total") > 0), keys, span)
 
 
 def _place(p: float) -> Column:

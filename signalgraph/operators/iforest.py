@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from signalgraph.functions.ordered import spread_by
+from signalgraph.functions.ordered import ordered_fold
 from signalgraph.functions.quantiles import window_rollup
 from signalgraph.operators.rates import FEATURES
 from signalgraph.params import Params
@@ -121,10 +121,27 @@ def tick_decisions(rows: pd.DataFrame, p: Params) -> pd.DataFrame:
 def forest_per_tick(features: DataFrame, p: Params) -> DataFrame:
     """Decision value and outlier flag per tick and service.
 
-    One group is one tick's services. Ticks with too few services give nothing.
+    A tick's services are gathered, largest first. Ticks with too few give nothing.
     """
-    return spread_by(features, "tick_no").groupBy("tick_no").applyInPandas(
-        lambda pdf: tick_decisions(pdf, p), "tick_no long, tick double, service string, decision double, is_outlier boolean"
+
+    def step(held: list, row: tuple):
+        held.append(row)
+        return ()
+
+    def finish(held: list, key: tuple):
+        if len(held) >= p.forest_min_rows:
+            rows = np.array([row[3:] for row in held], dtype=float)
+            for row, decision in zip(held, fit_and_score(np.log1p(rows), p).tolist()):
+                yield *row[:3], decision, decision < 0
+
+    return ordered_fold(
+        features.select("tick_no", "tick", "service", *FEATURES),
+        ["tick_no"],
+        [F.col("total").desc(), F.col("service").asc_nulls_last()],
+        list,
+        step,
+        "tick_no long, tick double, service string, decision double, is_outlier boolean",
+        finish,
     )
 
 

@@ -20,6 +20,20 @@ EVENT_SERVICES = [
     "notifications", "analytics",
 ]
 
+# fixed values: who calls a service, by event_id modulo 3 (0, 1, other)
+EVENT_CALLERS = {
+    "auth": ("gateway", "gateway", "gateway"),
+    "sessions": ("cart", "auth", "auth"),
+    "catalog": ("cart", "search", "gateway"),
+    "search": ("gateway", "gateway", "gateway"),
+    "cart": ("checkout", "checkout", "checkout"),
+    "payments": ("checkout", "checkout", "checkout"),
+    "ledger": ("payments", "payments", "payments"),
+    "inventory": ("checkout", "fulfillment", "catalog"),
+    "recommendations": ("catalog", "catalog", "catalog"),
+    "notifications": ("fulfillment", "fulfillment", "fulfillment"),
+}
+
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
@@ -33,7 +47,8 @@ def event_logs(events: DataFrame) -> DataFrame:
     """One log per event; the service is derived from the user."""
     user = F.col("user_id") % 14
     third = F.col("event_id") % 3
-    service = F.element_at(F.array(*[F.lit(s) for s in EVENT_SERVICES]), (user + 1).cast("int"))
+    place = (user + 1).cast("int")
+    service = F.element_at(F.array(*[F.lit(s) for s in EVENT_SERVICES]), place)
     level = (
         F.when((F.col("event_type") == "error") & (F.col("value") >= 100), "FATAL")
         .when(F.col("event_type") == "error", "ERROR")
@@ -41,17 +56,10 @@ def event_logs(events: DataFrame) -> DataFrame:
         .when(F.col("event_type") == "view", "DEBUG")
         .otherwise("INFO")
     )
-    s = F.col("service")
-    parent = (
-        F.when(s.isin("auth", "search"), "gateway")
-        .when(s == "sessions", F.when(third == 0, "cart").otherwise("auth"))
-        .when(s == "catalog", F.when(third == 0, "cart").when(third == 1, "search").otherwise("gateway"))
-        .when(s == "inventory", F.when(third == 0, "checkout").when(third == 1, "fulfillment").otherwise("catalog"))
-        .when(s == "recommendations", "catalog")
-        .when(s.isin("cart", "payments"), "checkout")
-        .when(s == "ledger", "payments")
-        .when(s == "notifications", "fulfillment")
-    )
+    # a filter on the caller repeats its expression: it is a place in a list, not a chain of comparisons
+    nobody = (None, None, None)
+    callers = [F.element_at(F.array(*[F.lit(EVENT_CALLERS.get(s, nobody)[k]) for s in EVENT_SERVICES]), place) for k in range(3)]
+    parent = F.when(third == 0, callers[0]).when(third == 1, callers[1]).otherwise(callers[2])
     message = F.concat(
         "event_type",
         F.lit(" handled user=u_"),
@@ -71,10 +79,10 @@ def event_logs(events: DataFrame) -> DataFrame:
         F.concat(F.lit("s"), F.col("event_id").cast("string")).alias("span_id"),
         F.col("value").alias("latency_ms"),
         message.alias("message"),
+        parent.alias("parent_service"),
     )
     return (
-        named.withColumn("parent_service", parent)
-        .withColumn("status_code", status_of())
+        named.withColumn("status_code", status_of())
         .withColumn("template_id", F.lit(None).cast("bigint"))
         .select(*LOG_COLUMNS, "event_time")
     )

@@ -8,6 +8,9 @@ import replicas
 from signalgraph.functions import scalars as S
 from signalgraph.functions.ordered import chain_by_gap, lookup, number_rows
 from signalgraph.functions.quantiles import value_bin, window_rollup
+from signalgraph.operators.graph import edge_ticks
+from signalgraph.params import Params
+from signalgraph.sources.adapters import event_logs
 
 
 @pytest.mark.parametrize(
@@ -72,6 +75,58 @@ def test_window_quantiles_match_numpy(spark, span):
             assert r[name] == pytest.approx(replicas.quantile(xs, p), abs=1e-9)
 
 
+def test_windows_are_spread_after_the_shuffle(spark, capsys):
+    df = spark.createDataFrame([("a", 3, 1.0), ("b", 5, 2.0)], "service string, pane long, x double")
+    window_rollup(df, ["service"], "x", {"one": F.lit(1)}, {"p95": 0.95}, 30, last=9).explain()
+    lines = capsys.readouterr().out.split("== Initial Plan ==")[-1].splitlines()
+    spread = [i for i, line in enumerate(lines) if "Generate explode(sequence(" in line and "tick" in line and "chunk" in line]
+    spread = [i for i in spread if "AS tick" in lines[i] or "[tick" in lines[i]]
+    assert len(spread) == 2  # counts by bin, and sums
+    for i in spread:  # the next step up that regroups rows finds them where they are
+        above = [line for line in reversed(lines[:i]) if any(w in line for w in ("Exchange", "Window [", "HashAggregate"))]
+        assert "Exchange" not in above[0]
+
+
+def test_long_windows_of_sparse_panes(spark):
+    rng = random.Random(2)
+    rows = [(rng.choice([None, "a", "b"]), rng.randrange(5000), rng.choice([None, 1e15, 0.25, rng.uniform(0, 9)])) for _ in range(400)]
+    df = spark.createDataFrame(rows, "service string, pane long, x double")
+    got = window_rollup(df, ["service"], "x", {"one": F.lit(1)}, {"p95": 0.95}, 30, last=5000).collect()
+    want = {}
+    for key, pane, x in rows:
+        for t in range(pane + 1, min(pane + 30, 5000) + 1):
+            want.setdefault((key, t), []).append(x)
+    whole = {k: v for k, v in want.items() if k[0] and None not in v}
+    found = {(r.service, r.tick): r for r in got}
+    assert len(found) == len(got) and whole.keys() <= found.keys() <= want.keys()
+    for k, xs in whole.items():
+        r = found[k]
+        assert r.total == r.one == len(xs)
+        # small values beside large ones that have left the window
+        assert r["mean"] == pytest.approx(np.mean(xs), rel=1e-12) and r.p95 == pytest.approx(replicas.quantile(xs, 0.95), rel=1e-12)
+
+
+def test_callers_of_events(spark, tmp_path, capsys):
+    rows = [(e, u, "error", 1.0, "{}") for e in (3, 4, 5, -1) for u in range(14)]
+    table = spark.createDataFrame(rows, "event_id long, user_id long, event_type string, value double, props string")
+    table.withColumn("ts", F.lit("2024-01-01").cast("timestamp")).write.parquet(str(tmp_path / "events"))
+    logs = event_logs(spark.read.parquet(str(tmp_path / "events")))
+    got = {(int(r.span_id[1:]), r.service): r.parent_service for r in logs.collect()}
+    fixed = {
+        "auth": "gateway", "search": "gateway", "recommendations": "catalog", "cart": "checkout", "payments": "checkout",
+        "ledger": "payments", "notifications": "fulfillment",
+    }
+    by_third = {
+        "sessions": ["cart", "auth", "auth"], "catalog": ["cart", "search", "gateway"], "inventory": ["checkout", "fulfillment", "catalog"]
+    }
+    for (event, service), parent in got.items():
+        k = event % 3 if event >= 0 else 2
+        assert parent == (by_third[service][k] if service in by_third else fixed.get(service))
+    assert len(got) == 4 * 14
+    edge_ticks(logs, Params()).explain()  # its filter looks a service up a few times, not for each comparison
+    assert capsys.readouterr().out.count("element_at(") < 20
+
+
 def test_numbering_and_chains(spark):
     rng = random.Random(5)
     at = sorted({round(rng.uniform(0, 500000), 1) for _ in range(400)} | {1000.0, 1025.0, 1050.1})

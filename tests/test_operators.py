@@ -172,6 +172,19 @@ def test_forest_flags_the_planted_outlier(spark):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, again.collect()))
 
 
+def test_forest_is_that_of_each_tick(spark, capsys):
+    rows = features(spark, 14, 2)
+    found = I.forest_per_tick(rows.repartition(7), P)
+    got = {(r.tick_no, r.service): (r.decision, r.is_outlier) for r in found.collect()}
+    want = {}
+    for _, pdf in rows.toPandas().groupby("tick_no"):
+        for r in I.tick_decisions(pdf, P).itertuples():
+            want[r.tick_no, r.service] = (r.decision, r.is_outlier)
+    assert got == want and len(got) == 14 * 3
+    found.explain()
+    assert "FlatMapGroupsInPandas" not in capsys.readouterr().out  # no frame for each tick
+
+
 def test_pooled_forest(spark):
     got = I.pooled_forest(features(spark, 400, 2), ["tick_no", "service"], P)
     flagged = got.filter("is_outlier").collect()
