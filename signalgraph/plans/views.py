@@ -200,6 +200,11 @@ def write_metrics(lines: DataFrame, path: str) -> None:
     lines.orderBy("family", "part", "at").select("line").coalesce(1).write.mode("overwrite").text(path)
 
 
+def newest_logs(replay: Replay, limit: int) -> DataFrame:
+    """The last records with their template ids: only these are masked to look them up."""
+    return T.assign_templates(reads.recent_logs(replay.raw_logs, limit), replay.mined[1]).select(*LOG_COLUMNS)
+
+
 def snapshot(replay: Replay, logs: int = 60, anomalies: int = 30, incidents: int = 15) -> DataFrame:
     """The live message as one row. Each list is a bounded top-k or has one entry
     per service, edge, bucket or rule; the parts meet on their common moment."""
@@ -229,7 +234,7 @@ def snapshot(replay: Replay, logs: int = 60, anomalies: int = 30, incidents: int
     )
     moment = kpi(replay).select(F.lit(now).alias("moment"), F.struct("*").alias("kpi"))
     parts = [
-        listed(reads.recent_logs(replay.logs, logs), "logs", F.col("ts"), F.col("span_id")),
+        listed(newest_logs(replay, logs), "logs", F.col("ts"), F.col("span_id")),
         listed(shown, "anomalies", F.col("tick"), F.col("detector_ord"), F.col("ord_1")),
         listed(board, "incidents", -F.col("severity"), -F.col("last_ts")),
         listed(nodes, "nodes", F.col("service")),

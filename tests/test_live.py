@@ -17,6 +17,7 @@ from signalgraph.operators import graph as G
 from signalgraph.operators import iforest as I
 from signalgraph.operators import incidents as N
 from signalgraph.operators import rates as R
+from signalgraph.operators import reads
 from signalgraph.operators import rules as U
 from signalgraph.plans import views as V
 from signalgraph.plans.replay import Replay
@@ -344,6 +345,19 @@ def test_streamed_incidents_are_the_batch_ones(spark, story):  # noqa: F811
     assert want
 
 
+def test_newest_logs_are_cut_before_they_are_masked(story, capsys):  # noqa: F811
+    chain = Replay(story[0], P)
+    got = V.newest_logs(chain, 9)
+    want = reads.recent_logs(chain.logs, 9)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.filter("template_id > 0").count() == 9
+
+    def below_the_limit(df):
+        df.explain()
+        return capsys.readouterr().out.split("== Initial Plan ==")[-1].split("TakeOrderedAndProject", 1)[1]
+
+    assert "regexp_replace" in below_the_limit(want) and "regexp_replace" not in below_the_limit(got)
+
+
 def test_streamed_forest_is_the_batch_one(spark, story):  # noqa: F811
     logs, folder = story
     p = Params(forest_min_rows=2, trees=20)
