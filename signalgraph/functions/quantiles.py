@@ -98,10 +98,8 @@ def quantile_rollup(
 ) -> DataFrame:
     """``window_rollup`` from ``count_cells`` output, which may be a stored table;
     ``panes`` are its sums per pane, if they are there already."""
-    counted = ["total", *sums, "value_sum"]
-    if panes is None:
-        valued = cells.withColumn("value_sum", F.col("v") * F.col("total"))
-        panes = valued.groupBy(*keys, "pane").agg(*[F.sum(c).alias(c) for c in counted])
+    if panes is None and sums:
+        panes = cells.groupBy(*keys, "pane").agg(*[F.sum(c).alias(c) for c in sums])
     hist = sliding_histogram(cells, keys, span, last)
 
     def block_of(pane: Column) -> Column:
@@ -115,10 +113,11 @@ def quantile_rollup(
         F.flatten(F.array(*[F.array(F.floor(_place(p)), F.ceil(_place(p))) for p in probs.values()]))
     )
     chosen = (
-        hist.withColumns({"upto": F.sum("total").over(climbing), "w_total": F.sum("total").over(whole)})
+        hist.withColumn("upto", F.sum("total").over(climbing))
+        .withColumns({"w_total": F.sum("total").over(whole), "w_value_sum": F.sum("value_sum").over(whole)})
         .withColumn("start", F.col("upto") - F.col("total"))
         .filter(F.exists(places, lambda r: (r >= F.col("start")) & (r < F.col("upto"))))
-        .select(*keys, "tick", "bin", "start", "w_total")
+        .select(*keys, "tick", "bin", "start", "w_total", "w_value_sum")
         .withColumn("block", F.explode(F.array_distinct(F.array(block_of(F.col("tick") - span), block_of(F.col("tick") - 1)))))
     )
     within = Window.partitionBy(*keys, "tick", "bin").orderBy("v").rowsBetween(
@@ -143,13 +142,15 @@ def quantile_rollup(
         for name, p in probs.items()
         for col in (at(F.floor(_place(p))).alias(f"{name}_lo"), at(F.ceil(_place(p))).alias(f"{name}_hi"))
     ]
-    found = ranked.groupBy(*keys, "tick", "w_total").agg(*picked)
-    return found.join(window_sums(panes, keys, counted, span, last), [*keys, "tick"]).select(
+    found = ranked.groupBy(*keys, "tick", "w_total").agg(F.max("w_value_sum").alias("w_value_sum"), *picked)
+    if sums:
+        found = found.join(window_sums(panes, keys, sums, span, last), [*keys, "tick"])
+    return found.select(
         *keys,
         "tick",
-        "total",
+        F.col("w_total").alias("total"),
         *sums,
-        (F.col("value_sum") / F.col("total")).alias("mean"),
+        (F.col("w_value_sum") / F.col("w_total")).alias("mean"),
         *[
             (
                 F.col(f"{name}_lo")
@@ -161,16 +162,18 @@ def quantile_rollup(
 
 
 def sliding_histogram(cells: DataFrame, keys: list[str], span: int, last: int | None) -> DataFrame:
-    """Counts per key, bin and window, partitioned by key and chunk of windows.
+    """Counts and sums of values per key, bin and window, partitioned by key and chunk of windows.
 
     A pane enters the windows at one tick and leaves them at another, so running
-    totals over these changes are the window's counts; each lasts until the next
+    totals over these changes are the window's sums; each lasts until the next
     change. Nothing is multiplied by the number of windows a row is in. Time is cut
     into slices with totals of their own, so a key that is always busy is shared
-    among tasks.
+    among tasks and rounding errors do not build up.
     """
+    counted = ["total", "value_sum"]
+    cells = cells.withColumn("value_sum", F.col("v") * F.col("total"))
     if span == 1:
-        hist = cells.groupBy(*keys, "pane", "bin").agg(F.sum("total").alias("total"))
+        hist = cells.groupBy(*keys, "pane", "bin").agg(*[F.sum(c).alias(c) for c in counted])
         hist = hist.withColumns({"tick": F.col("pane") + 1, "chunk": F.col("pane") + 1}).drop("pane")
         return hist if last is None else hist.filter(F.col("tick") <= last)
     length = span * SLICE_WINDOWS
@@ -179,8 +182,8 @@ def sliding_histogram(cells: DataFrame, keys: list[str], span: int, last: int |
         return F.floor(tick / F.lit(length))
 
     slice_end = (F.col("slice") + 1) * length
-    enter = F.struct(F.greatest(F.col("pane") + 1, F.col("slice") * length).alias("tick"), "total")
-    leave = F.struct((F.col("pane") + span + 1).alias("tick"), (-F.col("total")).alias("total"))
+    enter = F.struct(F.greatest(F.col("pane") + 1, F.col("slice") * length).alias("tick"), *counted)
+    leave = F.struct((F.col("pane") + span + 1).alias("tick"), *[(-F.col(c)).alias(c) for c in counted])
     changes = (
         cells.withColumn(
             "slice",
@@ -190,7 +193,7 @@ def sliding_histogram(cells: DataFrame, keys: list[str], span: int, last: int |
         .select(*keys, "bin", "slice", "c.*")
         .filter(F.col("tick") < slice_end)
         .groupBy(*keys, "bin", "slice", "tick")
-        .agg(F.sum("total").alias("total"))
+        .agg(*[F.sum(c).alias(c) for c in counted])
     )
     in_time = Window.partitionBy(*keys, "bin", "slice").orderBy("tick")
     so_far = in_time.rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -199,7 +202,7 @@ def sliding_histogram(cells: DataFrame, keys: list[str], span: int, last: int |
         "bin",
         F.col("tick").alias("from_tick"),
         _at_most(F.coalesce(F.lead("tick").over(in_time), slice_end) - 1, last).alias("until_tick"),
-        F.sum("total").over(so_far).alias("total"),
+        *[F.sum(c).over(so_far).alias(c) for c in counted],
     )
     return by_tick(running.filter(F.col("total") > 0), keys, span)
 
