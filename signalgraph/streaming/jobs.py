@@ -26,6 +26,7 @@ from signalgraph.streaming import state as ST
 
 LATE_S = 10.0  # rows later than this are dropped
 KEY_BUCKETS = 64  # messages and leaves are kept in so many keyed states; fixed for the life of a checkpoint
+SLICE_TICKS = 64  # ticks whose new templates are put in order by one task
 TRACE_GAP_S = 30.0  # silence after which a trace is taken for whole
 FAR_S = 30 * 86400.0  # how far behind a replay's rows its end is marked
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -342,12 +343,18 @@ def first_sights(logs: DataFrame, p: Params, forget_s: float) -> DataFrame:
 def live_new_templates(logs: DataFrame, p: Params, forget_s: float = 86400.0) -> DataFrame:
     """New templates after the warm-up, as ticks close. Only messages not seen before (or not
     for ``forget_s``) go through the miner, in order of event time."""
-    mined = _mined(first_sights(logs, p, forget_s), p, True).filter("is_new or masked = ''")
-    rows = LV.live_rows(
-        _one_tenant(mined), F.when(F.col("is_new"), "template").otherwise("start"),
-        tick_no=F.floor(F.col("ts") / F.lit(p.tick_s)) + 1, at="ts", rule_id="span_id", name="masked", service="service",
+    tick_no = F.floor(F.col("ts") / F.lit(p.tick_s)) + 1
+    found = (
+        _mined(first_sights(logs, p, forget_s), p, True)
+        .filter("is_new or (masked = '' and service <> '')")  # a blank message may be the first of all
+        .select(
+            "event_time", F.floor(tick_no / F.lit(SLICE_TICKS)).alias("slice"), tick_no.alias("tick_no"), "ts",
+            F.coalesce("span_id", F.lit("")).alias("span_id"), F.nullif("service", F.lit("")).alias("service"), "masked", "is_new",
+        )
     )
-    return LV.run(rows, LV.TemplateClock(p))
+    placed = LV.timed_run(found, ["slice"], LV.SliceOrder())
+    keyed = placed.withColumn("of", F.when(F.col("is_count"), 0).otherwise(F.col("slice")))
+    return LV.timed_run(LV.timed_run(keyed, ["is_count", "of"], LV.SliceStart()), ["slice"], LV.SliceNumbers(p))
 
 
 def live_outliers(rates: DataFrame, p: Params) -> DataFrame:

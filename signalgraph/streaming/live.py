@@ -30,6 +30,7 @@ from signalgraph.operators.iforest import tick_decisions
 from signalgraph.operators.incidents import OpenIncidents
 from signalgraph.operators.rates import FEATURES
 from signalgraph.params import Params
+from signalgraph.streaming import state as ST
 
 #: What a waiting row holds; a kind leaves the rest at their defaults.
 ROW = {
@@ -98,7 +99,7 @@ class Clock(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         # rates of no service only move the clock; a filter before this would reach below the watermark
-        named = (frame[(frame["service"] != "") | frame["kind"].isin(["change", "template"])] for frame in rows)
+        named = (frame[(frame["service"] != "") | (frame["kind"] == "change")] for frame in rows)
         new = [row for frame in named for row in zip(*[frame[c].tolist() for c in ROW])]
         if new:
             self.waiting.appendList(new)
@@ -522,28 +523,80 @@ class IncidentClock(Clock):
                 yield "active", *row
 
 
-class TemplateClock(Clock):
-    """Numbers new templates in order of their first messages; those after the warm-up are told."""
+# New templates are numbered in order of their first messages. A micro-batch holds all rows of the
+# ticks it closes: each slice of ticks orders its own, one key adds up a number per slice, and each
+# slice takes its start from there. The rows themselves never meet in one task.
 
-    output = "tick_no long, tick double, template_id long, service string, first_text string"
 
-    def open(self, handle):
+class SliceOrder(StatefulProcessor):
+    """Places of a slice's new templates among its own, and a row that tells how many there are."""
+
+    output = "event_time timestamp, slice long, is_count boolean, tick_no long, ts double, place long, service string, masked string"
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        pass
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        new = pd.concat(list(rows), ignore_index=True).sort_values(["tick_no", "ts", "span_id", "masked"], kind="stable")
+        columns = [c.strip().split(" ")[0] for c in self.output.split(", ")]
+        found = new.assign(is_count=False, place=new["is_new"].cumsum())[new["is_new"]]
+        if len(found):
+            yield found[columns]
+        count = new.iloc[:1].assign(event_time=new["event_time"].max(), is_count=True, ts=new["ts"].min(), place=len(found))
+        yield count[columns]
+
+    def close(self) -> None:
+        pass
+
+
+class SliceStart(StatefulProcessor):
+    """What was numbered before each slice, and when messages began, in place of a slice's count; rows go
+    past it, under keys of their own."""
+
+    output = SliceOrder.output
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
         self.kept = handle.getValueState("templates", "n long, started double")
 
-    def load(self):
-        self.n, self.started = self.kept.get() if self.kept.exists() else (0, math.inf)
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        columns = [c.strip().split(" ")[0] for c in self.output.split(", ")]
+        if not key[0]:
+            yield from (frame[columns] for frame in rows)
+            return
+        counts = pd.concat(list(rows), ignore_index=True).sort_values("slice", kind="stable")
+        n, started = self.kept.get() if self.kept.exists() else (0, math.inf)
+        started = min(started, float(counts["ts"].min()))
+        upto = n + counts["place"].cumsum()
+        self.kept.update((int(upto.iloc[-1]), started))
+        yield counts.assign(ts=started, place=upto - counts["place"])[columns]
 
-    def save(self):
-        self.kept.update((self.n, self.started))
+    def close(self) -> None:
+        pass
 
-    def extras(self, tick_no, rows):
-        tick = tick_no * self.p.tick_s
-        for r in sorted(rows, key=lambda r: (r.at, r.rule_id, r.name)):
-            self.started = min(self.started, r.at)
-            if r.kind == "template":
-                self.n += 1
-                if tick - self.started >= self.p.warmup_s:
-                    yield tick_no, tick, self.n, r.service or None, r.name
+
+class SliceNumbers(StatefulProcessor):
+    """New templates of a slice with their numbers; those after the warm-up are told."""
+
+    output = "tick_no long, tick double, template_id long, service string, first_text string"
+
+    def __init__(self, p: Params) -> None:
+        self.p = p
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        pass
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        new = pd.concat(list(rows), ignore_index=True)
+        start = new[new["is_count"]].iloc[0]
+        found = new[~new["is_count"]]
+        tick = found["tick_no"] * self.p.tick_s
+        out = found.assign(tick=tick, template_id=start["place"] + found["place"]).rename(columns={"masked": "first_text"})
+        out = out[tick - start["ts"] >= self.p.warmup_s]
+        if len(out):
+            yield out[[c.strip().split(" ")[0] for c in self.output.split(", ")]]
+
+    def close(self) -> None:
+        pass
 
 
 class FirstSights(StatefulProcessor):
@@ -557,17 +610,19 @@ class FirstSights(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.seen = handle.getMapState("seen", "masked string", "last_ms long")
+        self.seen = ST.Packed(handle, "seen", "masked string", "last_ms long")
         self.sweep = handle.getValueState("sweep", "at_ms long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         new = pd.concat(list(rows), ignore_index=True).sort_values(["ts", "span_id"], kind="stable")
         last = (new.groupby("masked")["ts"].max() * 1000).astype("int64")
+        seen = self.seen.open()
         fresh = []
         for masked, at in last.items():
-            if not self.seen.containsKey((masked,)):
+            if not seen.of(masked):
                 fresh.append(masked)
-            self.seen.updateValue((masked,), (int(at),))
+            seen.put(masked, (), (int(at),))
+        seen.save()
         if not self.sweep.exists():
             self._next(max(timerValues.getCurrentWatermarkInMs(), int(last.max())))
         out = new[new["masked"].isin(fresh)].drop_duplicates("masked")
@@ -581,11 +636,12 @@ class FirstSights(StatefulProcessor):
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         """A message that comes again later is known to its leaf all the same."""
         now = timerValues.getCurrentWatermarkInMs()
-        held = list(self.seen.iterator())
-        old = [k for k, v in held if v[0] <= now - self.forget_ms]
-        for k in old:
-            self.seen.removeKey(k)
-        if len(old) < len(held):
+        seen = self.seen.open()
+        old = [masked for masked, _, (last,) in seen.all() if last <= now - self.forget_ms]
+        for masked in old:
+            seen.drop(masked, ())
+        seen.save()
+        if seen.n:
             self._next(now)
         else:
             self.sweep.clear()

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import json
 import math
+import zlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -131,6 +132,121 @@ class EdgeDecay(Processor):
         yield row["source"], row["target"], row["tick_no"], state["weight"]
 
 
+class Packed:
+    """A map state of two-part keys (the second may be empty). Each call to a state takes a message to Spark
+    and back, whatever it carries, so entries are kept one by one only while they are few. Once
+    they are many they are kept in slots, told by the first part of the key, of which a batch reads and writes
+    those that it needs; slots become more as entries do, so that each stays small."""
+
+    FEW = 64  # entries kept one by one
+    SLOT = 256  # entries a slot has when slots are laid out; twice as many lay them out anew
+
+    def __init__(self, handle: StatefulProcessorHandle, name: str, key: str, value: str) -> None:
+        self.width = len(_columns(key)) - 1
+        self.single = handle.getMapState(name, key, value)
+        self.slots = handle.getMapState(f"{name}_slots", "slot int", "body string")
+        self.shape = handle.getValueState(f"{name}_shape", "slots int, n long")
+
+    def open(self) -> "PackedBatch":
+        """The entries of the key at hand, for as long as one batch of it."""
+        return PackedBatch(self)
+
+
+class PackedBatch:
+    def __init__(self, kept: Packed) -> None:
+        self.kept = kept
+        self.slots, self.n = self.stored = tuple(kept.shape.get()) if kept.shape.exists() else (0, 0)
+        self.held: dict[int, dict[str, dict[tuple, tuple]]] = {}
+        self.changed: dict[int, set[tuple]] = {}  # of each slot: keys put or dropped
+        if not self.slots:
+            self.held[0] = {}
+            for key, value in list(kept.single.iterator()) if self.n else ():
+                self.held[0].setdefault(key[0], {})[tuple(key[1:])] = tuple(value)
+
+    def _slot(self, first: str) -> int:
+        slot = zlib.crc32(first.encode()) % self.slots if self.slots else 0
+        if slot not in self.held:
+            body = self.kept.slots.getValue((slot,))[0] if self.kept.slots.containsKey((slot,)) else None
+            self.held[slot] = self._read(body)
+        return slot
+
+    def _read(self, body: str | None) -> dict[str, dict[tuple, tuple]]:
+        width = self.kept.width
+        return {first: {tuple(r[:width]): tuple(r[width:]) for r in rows} for first, rows in json.loads(body)} if body else {}
+
+    def of(self, first: str) -> dict[tuple, tuple]:
+        """Values by the second part of the key."""
+        return self.held[self._slot(first)].get(first, {})
+
+    def put(self, first: str, rest: tuple, value: tuple) -> None:
+        slot = self._slot(first)
+        entries = self.held[slot].setdefault(first, {})
+        self.n += rest not in entries
+        entries[rest] = value
+        self.changed.setdefault(slot, set()).add((first, *rest))
+
+    def drop(self, first: str, rest: tuple) -> None:
+        slot = self._slot(first)
+        entries = self.held[slot][first]
+        del entries[rest]
+        if not entries:
+            del self.held[slot][first]
+        self.n -= 1
+        self.changed.setdefault(slot, set()).add((first, *rest))
+
+    def all(self) -> Iterator[tuple[str, tuple, tuple]]:
+        self._read_all()
+        for slot in list(self.held.values()):
+            for first, entries in list(slot.items()):
+                for rest, value in list(entries.items()):
+                    yield first, rest, value
+
+    def _read_all(self) -> None:
+        if len(self.held) < self.slots:
+            for key, body in list(self.kept.slots.iterator()):
+                if key[0] not in self.held:
+                    self.held[key[0]] = self._read(body[0])
+            for slot in range(self.slots):
+                self.held.setdefault(slot, {})
+
+    def save(self) -> None:
+        if self.n > (2 * self.kept.SLOT * self.slots or self.kept.FEW):
+            self._lay_out()
+        elif self.slots:
+            for slot in self.changed:
+                self._write(slot)
+        else:
+            for key in self.changed.get(0, ()):
+                value = self.of(key[0]).get(key[1:])
+                if value is not None:
+                    self.kept.single.updateValue(key, value)
+                elif self.kept.single.containsKey(key):
+                    self.kept.single.removeKey(key)
+        if (self.slots, self.n) != self.stored:
+            self.kept.shape.update((self.slots, self.n))
+
+    def _lay_out(self) -> None:
+        """Deals all entries to as many slots as they need now."""
+        self._read_all()
+        if not self.slots:
+            for key in list(self.kept.single.iterator()) if self.stored[1] else ():
+                self.kept.single.removeKey(key[0])
+        before, self.slots = self.held, 1 << max(0, (self.n - 1) // self.kept.SLOT).bit_length()
+        self.held = {slot: {} for slot in range(self.slots)}
+        for slot in before.values():
+            for first, entries in slot.items():
+                self.held[self._slot(first)][first] = entries
+        for slot in self.held:
+            self._write(slot)
+
+    def _write(self, slot: int) -> None:
+        if self.held[slot]:
+            rows = [[first, [[*rest, *value] for rest, value in entries.items()]] for first, entries in self.held[slot].items()]
+            self.kept.slots.updateValue((slot,), (json.dumps(rows, ensure_ascii=False),))
+        elif self.kept.slots.containsKey((slot,)):
+            self.kept.slots.removeKey((slot,))
+
+
 class Branch(StatefulProcessor):
     """Sends messages along their first tokens; a path takes only so many branches. A key is a
     bucket of widths, where paths start; a path's branches are an entry of a map."""
@@ -141,18 +257,18 @@ class Branch(StatefulProcessor):
         self.depth, self.most = depth, most
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.kept = handle.getMapState("branches", "leaf string", "words array<string>")
+        self.kept = Packed(handle, "branches", "leaf string", "words array<string>")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         new = pd.concat(list(rows), ignore_index=True).sort_values(["ts", "span_id", "masked"], kind="stable")
+        kept = self.kept.open()
         known: dict[str, dict[str, None]] = {}
         sizes: dict[str, int] = {}
         leaves = []
         for leaf, masked in zip(new["leaf"].tolist(), new["masked"].tolist()):
             for word in masked.split(" ", self.depth)[: self.depth]:
                 if leaf not in known:
-                    held = self.kept.getValue((leaf,)) if self.kept.containsKey((leaf,)) else ([],)
-                    known[leaf] = dict.fromkeys(held[0])
+                    known[leaf] = dict.fromkeys(kept.of(leaf).get((), ((),))[0])
                     sizes[leaf] = len(known[leaf])
                 if word.startswith("<"):
                     word = PLACEHOLDER
@@ -165,7 +281,8 @@ class Branch(StatefulProcessor):
             leaves.append(leaf)
         for leaf, words in known.items():
             if len(words) > sizes[leaf]:
-                self.kept.updateValue((leaf,), (list(words),))
+                kept.put(leaf, (), (list(words),))
+        kept.save()
         yield new.assign(leaf=leaves)[_columns(self.output)]
 
     def close(self) -> None:
@@ -182,18 +299,11 @@ class Leaf(StatefulProcessor):
         self.threshold = threshold
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.sizes = handle.getMapState("sizes", "leaf string", "n long")
-        self.texts = handle.getMapState("texts", "leaf string, grp long", "text string")
-
-    def _load(self, leaf: str) -> LeafGroups:
-        groups = LeafGroups()
-        n = self.sizes.getValue((leaf,))[0] if self.sizes.containsKey((leaf,)) else 0
-        for grp in range(n):
-            groups.append(self.texts.getValue((leaf, grp))[0].split(" "))
-        return groups
+        self.texts = Packed(handle, "texts", "leaf string, grp long", "text string")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         new = pd.concat(list(rows), ignore_index=True).sort_values(["ts", "span_id", "masked"], kind="stable")
+        kept = self.texts.open()
         held: dict[str, LeafGroups] = {}
         touched: dict[str, set[int]] = {}
         found = []
@@ -202,15 +312,17 @@ class Leaf(StatefulProcessor):
                 found.append((-1, False))
                 continue
             if leaf not in held:
-                held[leaf], touched[leaf] = self._load(leaf), set()
+                held[leaf], touched[leaf] = LeafGroups(), set()
+                for _, (text,) in sorted(kept.of(leaf).items()):
+                    held[leaf].append(text.split(" "))
             grp, is_new = held[leaf].add(masked.split(" "), self.threshold)
             touched[leaf].add(grp)
             found.append((grp, is_new))
         for leaf, groups in held.items():
             texts = list(groups.texts())
             for grp in touched[leaf]:
-                self.texts.updateValue((leaf, grp), (texts[grp],))
-            self.sizes.updateValue((leaf,), (len(texts),))
+                kept.put(leaf, (grp,), (texts[grp],))
+        kept.save()
         yield new.assign(grp=[g for g, _ in found], is_new=[n for _, n in found])[_columns(self.output)]
 
     def close(self) -> None:

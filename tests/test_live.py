@@ -19,6 +19,7 @@ from signalgraph.operators import incidents as N
 from signalgraph.operators import rates as R
 from signalgraph.operators import reads
 from signalgraph.operators import rules as U
+from signalgraph.operators import templates as M
 from signalgraph.plans import views as V
 from signalgraph.plans.replay import Replay
 from signalgraph.sources import logs as L
@@ -249,6 +250,95 @@ def test_leaves_survive_restarts():
     assert store.states["texts"].held[("6 a", 0)] == ("a b c d <*> <*>",)
 
 
+class Counted(Store):
+    """Counts the calls to its map states."""
+
+    calls = 0
+
+    def __getattr__(self, name):
+        make = super().__getattr__(name)
+        if name != "getMapState":
+            return make
+        store = self
+
+        class Counting(Map):
+            def __getattribute__(self, name):
+                store.calls += name in ("containsKey", "getValue", "updateValue", "removeKey", "iterator")
+                return super().__getattribute__(name)
+
+        return lambda state, *schemas: self.states.setdefault(state, Counting())
+
+
+def test_many_messages_take_few_calls_to_state():
+    store = Counted()
+    seen: dict[str, int] = {}
+    rnd = random.Random(3)
+    for batch in range(6):
+        sights = LV.FirstSights(40.0)  # as after a restart
+        sights.init(store)
+        texts = [f"m{rnd.randrange(20_000)} \u00e9'\"" for _ in range((3, 5_000, 40, 9_000, 1, 3_000)[batch])]
+        at = 10.0 * batch
+        frame = pd.DataFrame({"event_time": pd.Timestamp(at, unit="s"), "ts": at, "span_id": [f"{i:06d}" for i in range(len(texts))], "service": "a", "masked": texts})
+        got = [m for f in sights.handleInputRows((0,), iter([frame]), store) for m in f["masked"]]
+        assert got == [t for t in dict.fromkeys(texts) if t not in seen]
+        seen |= {t: int(at * 1000) for t in texts}
+        if batch == 4:
+            store.watermark = 55_000
+            list(sights.handleExpiredTimer((0,), store, None))
+            seen = {t: last for t, last in seen.items() if last > 15_000}
+    assert len(seen) > 5_000 and store.calls < 1_000
+
+
+def test_branches_and_leaves_take_few_calls_to_state():
+    rnd = random.Random(4)
+    texts = list(dict.fromkeys(" ".join(f"{c}{rnd.randrange(9)}" for c in "abcdefgh") for _ in range(4_000)))
+    batches = [texts[:1], texts[1:2_000], texts[2_000:2_050], texts[2_050:]]
+
+    def run(make, stores):
+        out = []
+        for k, batch in enumerate(batches):
+            branch, leaf = ST.Branch(4, 5), ST.Leaf(0.55)
+            branch.init(stores[0])
+            leaf.init(stores[1])
+            frame = pd.DataFrame({"event_time": None, "ts": [float(k * 10_000 + i) for i in range(len(batch))], "span_id": "", "service": "s", "masked": batch, "leaf": "8"})
+            for routed in branch.handleInputRows((0,), iter([frame]), stores[0]):
+                out += [x for f in leaf.handleInputRows((0,), iter([routed]), stores[1]) for x in zip(f["masked"], f["leaf"], f["grp"], f["is_new"])]
+        return sorted(out)
+
+    stores = Counted(), Counted()
+    got = run(batches, stores)
+    batches = [texts]
+    whole = run(batches, (Counted(), Counted()))
+    assert [x[:3] for x in got] == [x[:3] for x in whole] and sum(x[3] for x in got) == sum(x[3] for x in whole) > 1_000
+    assert all(s.calls < 1_000 for s in stores)
+
+
+def test_new_templates_are_numbered_by_slices():
+    rnd = random.Random(9)
+    rows = [{"event_time": pd.Timestamp(t, unit="s"), "ts": t, "tick_no": int(t // 2) + 1, "span_id": f"s{rnd.randrange(3)}", "service": None, "masked": f"m{i}", "is_new": rnd.random() < 0.8} for i, t in enumerate(rnd.choices(range(3, 400), k=900))]
+    rows = [{**r, "slice": r["tick_no"] // 8} for r in rows]
+    in_order = sorted(rows, key=lambda r: (r["tick_no"], r["ts"], r["span_id"], r["masked"]))
+    new = [r for r in in_order if r["is_new"]]
+    started = in_order[0]["ts"]
+    want = [(r["tick_no"], r["tick_no"] * 2.0, i, None, r["masked"]) for i, r in enumerate(new, 1) if r["tick_no"] * 2.0 - started >= P.warmup_s]
+
+    def through(make, store, rows, *keys):
+        made, out = make(), []
+        made.init(store)
+        for key, group in pd.DataFrame(rows).groupby(list(keys)) if rows else ():
+            out += [r for f in made.handleInputRows(key, iter([group.iloc[:1], group.iloc[1:]]), store) for r in f.to_dict("records")]
+        return out
+
+    store, got, met = Store(), [], 0
+    for a, b in ((0, 21), (21, 90), (90, 250)):  # of ticks, a micro-batch each
+        placed = through(LV.SliceOrder, store, [r for r in rows if a <= r["tick_no"] < b], "slice")
+        met += sum(r["is_count"] for r in placed)
+        started = through(LV.SliceStart, store, [{**r, "of": 0 if r["is_count"] else r["slice"]} for r in placed], "is_count", "of")
+        got += [tuple(r.values()) for r in through(lambda: LV.SliceNumbers(P), store, started, "slice")]
+    assert sorted(got, key=lambda r: r[2]) == want and len(want) > 500
+    assert met <= 28  # rows that one key sees: slices and batches
+
+
 # --- over streams ---------------------------------------------------------------------------
 
 CLOSED = int((1200 - J.LATE_S) // P.tick_s) - 1
@@ -365,3 +455,17 @@ def test_streamed_forest_is_the_batch_one(spark, story):  # noqa: F811
     batch = I.forest_per_tick(R.feature_matrix(R.service_ticks(logs, p, ("p95",))), p).collect()
     want = close([r for r in batch if r.tick_no <= max(k[0] for k in got)], "tick_no", "service", "is_outlier")
     assert got == want and len(got) > 100
+
+
+def test_streamed_new_templates_are_the_batch_ones(spark, tmp_path):
+    rnd = random.Random(2)
+    rows = [(float(t), f"{i:06d}", rnd.choice(["a", "b", None]), " ".join(rnd.choices("uvwxyz", k=rnd.choice([0, 3, 5])))) for i, t in enumerate(sorted(rnd.choices(range(1000), k=600)))]
+    schema = "ts double, span_id string, service string, message string"
+    for k in range(3):
+        spark.createDataFrame(rows[200 * k : 200 * k + 200], schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    got = J.run_once(J.live_new_templates(source, P), "t").collect()
+    logs = spark.createDataFrame(rows, schema)
+    want = M.new_templates(M.mine_templates(logs, P)[0], P, rows[0][0]).select("tick_no", "tick", "template_id", "service", "first_text")
+    last = int((rows[-1][0] - J.LATE_S) // P.tick_s)
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want.filter(F.col("tick_no") <= last).collect())) and len(got) > 20
