@@ -258,6 +258,60 @@ def test_stage_joins_all_within_the_radius(make, cell_rows):
     assert all(c // 2 == d // 2 for d, c in got.items())
 
 
+@pytest.mark.parametrize("common, cell_rows", [(64, 2_000), (3, 2_000), (3, 7)])
+def test_stage_joins_what_no_key_tells(make, common, cell_rows):
+    """All pairs are joined though no two texts share a MinHash key, with common passages, copies, nulls and few words."""
+    rnd = random.Random(8)
+    passage = [f"p{k}" for k in range(60)]
+    rows = [(900, None), (901, ""), (902, "two words"), (903, "Two  words"), (904, "one"), (None, "one")]
+    for k in range(25):
+        words = [f"v{rnd.randrange(5000)}" for _ in range(rnd.choice([6, 30, 90, 400]))] + passage[: rnd.choice([0, 10, 60])]
+        for v in range(4):
+            rows.append((4 * k + v, " ".join(words)))
+            for _ in range(rnd.choice([0, 1, 1, 2, 1 + len(words) // 90])):
+                words[rnd.randrange(len(words))] = f"n{rnd.random()}"
+    sets = []
+    for _, t in rows:
+        w = (t or "").lower().split()
+        sets.append(frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset())
+    edges = [(i, j) for i in range(len(rows)) for j in range(i) if 10 * len(sets[i] & sets[j]) >= 8 * len(sets[i] | sets[j])]
+    root = list(range(len(rows)))
+    for _ in rows:
+        for i, j in edges:
+            root[i] = root[j] = min(root[i], root[j])
+    want = {}
+    for (d, _), r in zip(rows, root):
+        want[r] = min((x for x in (want.get(r), d) if x is not None), default=None)
+    p = shingle_dedup.ShingleParams(bands=1, rows=2000, cell_rows=cell_rows, common=common, cells=512)
+    got = [(r["doc_id"], r["component_id"]) for r in shingle_dedup.near_duplicates(make(rows), p).collect()]
+    assert Counter(got) == Counter((d, want[r]) for (d, _), r in zip(rows, root))
+    apart = [(i, j) for i, j in edges if bin(fp_of(rows[i][1], p) ^ fp_of(rows[j][1], p)).count("1") > p.radius]
+    assert len(apart) > 10
+
+
+def fp_of(text, p):
+    return simhash.fingerprint(shingle_dedup.shingle_set((text or "").encode(), p)) & (2**64 - 1)
+
+
+def test_bounds_keep_every_similar_pair():
+    rnd = np.random.default_rng(6)
+    p = shingle_dedup.ShingleParams(cells=512)
+    common = rnd.random(512) < 0.2
+    for _ in range(400):
+        n = int(rnd.integers(1, 900))
+        x = np.unique(rnd.integers(0, 1 << 64, n, np.uint64))
+        gone = int(rnd.integers(0, len(x) // 5 + 1))
+        y = np.unique(np.concatenate([x[gone:] if rnd.random() < 0.5 else rnd.permutation(x)[gone:], rnd.integers(0, 1 << 64, int(rnd.integers(0, n // 5 + 1)), np.uint64)]))
+        shared = len(np.intersect1d(x, y))
+        if shared < p.least * (len(x) + len(y) - shared):
+            continue
+        a, b = (shingle_dedup.prefix(s, common, p.least).tolist() for s in (x, y))
+        i, j = next((i, b.index(h)) for i, h in enumerate(a) if h in b)
+        assert shingle_dedup.may_be_similar(np.array([min(len(x) - i, len(y) - j)]), np.array([len(x) + len(y)]), p.least).all()
+        odd = [shingle_dedup.odd_sketch(s) for s in (x, y)]
+        assert shingle_dedup.OddSketches(odd, np.array([len(x), len(y)])).near(np.array([0]), np.array([1]), p.least).all()
+
+
 def test_components_of_paths_and_stars(spark):
     edges = [(k, k + 1) for k in range(0, 40)] + [(100, k) for k in range(101, 160)] + [(7, 7), (500, 499), (499, 500)]
     got = {r["node"]: r["root"] for r in components.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
